@@ -6,6 +6,9 @@ from tessera.catalog import base
 
 _MODULES = (
     "basket_queries",
+    "relational_queries",
+    "aggregate_queries",
+    "window_queries",
 )
 
 

@@ -164,35 +164,48 @@ def log_count_ratio(df: DataFrame, token: str, label: str, alpha: float = 1.0) -
     )
 
 
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row, also when used inside lambdas."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def array_mean(c: Column) -> Column:
+    return F.try_divide(F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x), F.size(c))
+
+
 def array_moments(c: Column) -> dict[str, Column]:
     """Mean, population sd, min, max and median of a numeric array; null when empty."""
     n = F.size(c)
-    total = F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x)
-    mean = F.try_divide(total, n)
-    squares = F.aggregate(c, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean))
-    ordered = F.array_sort(c)
-    low = F.get(ordered, F.floor((n - 1) / 2).cast("int"))
-    high = F.get(ordered, F.floor(n / 2).cast("int"))
+    squares = bound(
+        array_mean(c), lambda m: F.aggregate(c, F.lit(0.0), lambda acc, x: acc + (x - m) * (x - m))
+    )
+    median = bound(
+        F.array_sort(c),
+        lambda s: (F.get(s, F.floor((F.size(s) - 1) / 2).cast("int")) + F.get(s, F.floor(F.size(s) / 2).cast("int"))) / 2,
+    )
     return {
-        "mean": mean,
+        "mean": array_mean(c),
         "std": F.sqrt(F.try_divide(squares, n)),
         "min": F.array_min(c).cast("double"),
         "max": F.array_max(c).cast("double"),
-        "median": F.when(n > 0, (low + high) / 2),
+        "median": F.when(n > 0, median),
     }
 
 
 def array_shape(c: Column) -> dict[str, Column]:
     """Population skewness and excess kurtosis of a numeric array."""
-    n = F.size(c)
-    mean = F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x) / n
-
-    def moment(k):
-        return F.aggregate(c, F.lit(0.0), lambda acc, x: acc + F.pow(x - mean, F.lit(float(k)))) / n
+    def central(acc, x, m):
+        d = x - m
+        return F.struct(
+            (acc["m2"] + d * d).alias("m2"), (acc["m3"] + d * d * d).alias("m3"), (acc["m4"] + d * d * d * d).alias("m4")
+        )
 
+    zero = F.struct(*[F.lit(0.0).alias(k) for k in ("m2", "m3", "m4")])
+    sums = bound(array_mean(c), lambda m: F.aggregate(c, zero, lambda acc, x: central(acc, x, m)))
+    n = F.size(c)
     return {
-        "skew": F.try_divide(moment(3), F.pow(moment(2), F.lit(1.5))),
-        "kurtosis": F.try_divide(moment(4), F.pow(moment(2), F.lit(2.0))) - 3,
+        "skew": F.try_divide(sums["m3"] / n, F.pow(sums["m2"] / n, F.lit(1.5))),
+        "kurtosis": F.try_divide(sums["m4"] / n, F.pow(sums["m2"] / n, F.lit(2.0))) - 3,
     }
 
 

@@ -14,16 +14,21 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PARTS = 32
-_OVERSAMPLE = 32
+_OVERSAMPLE = 16
 _RANGE = "__range"
 
 
-def split_points(df: DataFrame, order: Sequence[str], parts: int = PARTS) -> list[tuple]:
+def default_parts(df: DataFrame) -> int:
+    """As many ranges as shuffle partitions, within 32 to 512."""
+    return max(32, min(512, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def split_points(df: DataFrame, order: Sequence[str], parts: int | None = None) -> list[tuple]:
     """Ordered cut points for ``order``, from a sample of fixed size.
 
     The points only balance the ranges; any choice gives the same results.
     """
+    parts = parts or default_parts(df)
     sample = (
         df.select(*order)
         .orderBy(F.xxhash64(*order, F.monotonically_increasing_id()))
@@ -37,7 +42,7 @@ def split_points(df: DataFrame, order: Sequence[str], parts: int = PARTS) -> lis
     return sorted({values[int(i * step)] for i in range(1, parts)})
 
 
-def range_bucket(df: DataFrame, order: Sequence[str], parts: int = PARTS) -> Column:
+def range_bucket(df: DataFrame, order: Sequence[str], parts: int | None = None) -> Column:
     """Range number of a row: monotone in ``order``, found by a binary search of literals."""
     points = split_points(df, order, parts)
     types = [df.schema[c].dataType for c in order]
@@ -67,7 +72,7 @@ def split_window(
     row_number: str | None = None,
     lags: Mapping[str, str] | None = None,
     sums: Mapping[str, str] | None = None,
-    parts: int = PARTS,
+    parts: int | None = None,
 ) -> DataFrame:
     """Row number, previous value and running sum per key in ascending ``order``.
 
