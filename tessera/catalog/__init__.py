@@ -9,6 +9,7 @@ _MODULES = (
     "relational_queries",
     "aggregate_queries",
     "window_queries",
+    "scalar_queries",
 )
 
 

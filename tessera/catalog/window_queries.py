@@ -173,7 +173,7 @@ def _(t):
     return T.top_columns(df, ["l_orderkey", "l_linenumber", "l_partkey"], [n for n, _ in SCORES], 3)
 
 
-@query("t04_mask_owned", f"""WITH {PANEL} SELECT user_id, w, greatest(round(0.9 - 0.1 * w, 6) - click, 0) AS click, greatest(round(0.5 + 0.05 * w, 6) - view, 0) AS view FROM pn""")
+@query("t04_mask_owned", f"""WITH {PANEL} SELECT user_id, w, greatest(round(0.9::DOUBLE - 0.1 * w::DOUBLE, 6) - click, 0) AS click, greatest(round(0.5::DOUBLE + 0.05 * w::DOUBLE, 6) - view, 0) AS view FROM pn""")
 def _(t):
     p = weekly_panel(t)
     mask = lambda score, owned: F.greatest(F.round(score, 6) - F.col(owned), F.lit(0.0)).alias(owned)
