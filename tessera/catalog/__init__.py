@@ -10,6 +10,7 @@ _MODULES = (
     "aggregate_queries",
     "window_queries",
     "scalar_queries",
+    "source_queries",
 )
 
 
