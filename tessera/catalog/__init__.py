@@ -11,6 +11,8 @@ _MODULES = (
     "window_queries",
     "scalar_queries",
     "source_queries",
+    "text_queries",
+    "pair_queries",
 )
 
 

@@ -7,6 +7,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions import rules
+
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -32,7 +34,7 @@ def space_words(c) -> Column:
 
 def regex_words(c, unicode: bool = False) -> Column:
     """Lowered words of two or more word characters."""
-    pattern = r"(?U)\b\w\w+\b" if unicode else r"\b\w\w+\b"
+    pattern = r"(?U)\w\w+" if unicode else r"\w\w+"
     return F.regexp_extract_all(F.lower(_col(c)), F.lit(pattern), F.lit(0))
 
 
@@ -44,7 +46,7 @@ def strip_punctuation(c) -> Column:
 
 
 def drop_words(tokens: Column, stop: Sequence[str]) -> Column:
-    return F.array_except(tokens, F.array()) if not stop else F.filter(tokens, lambda w: ~w.isin(list(stop)))
+    return F.filter(tokens, lambda w: ~w.isin(list(stop))) if stop else tokens
 
 
 def join_words(tokens: Column) -> Column:
@@ -61,21 +63,29 @@ def collapse_repeats(tokens: Column, limit: float = 0.06) -> Column:
     return F.when((F.size(tokens) > 0) & (F.size(distinct) <= F.size(tokens) * limit), distinct).otherwise(tokens)
 
 
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row, also when used inside lambdas."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _starts(count: Column) -> Column:
+    return F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
+
+
 def word_ngrams(tokens: Column, n: int, sep: str = "_") -> Column:
     """Consecutive word n-grams joined by ``sep``; none when the text is shorter."""
     if n == 1:
         return tokens
-    count = F.size(tokens) - n + 1
-    starts = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), sep))
+    return bound(tokens, lambda w: F.transform(
+        _starts(F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), sep)
+    ))
 
 
 def char_ngrams(c, n: int) -> Column:
     """Character n-grams of a text."""
-    text = _col(c)
-    count = F.length(text) - n + 1
-    starts = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))
+    return bound(_col(c), lambda text: F.transform(
+        _starts(F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n))
+    ))
 
 
 def token_char_ngrams(tokens: Column, n: int) -> Column:
@@ -125,7 +135,8 @@ def pad_sequence(ids: Column, length: int) -> Column:
 def html_text(c) -> Column:
     """Visible text of an HTML page: scripts, styles, tags and entities removed."""
     return F.trim(replace_all(c, [
-        (r"(?is)<(script|style)[^>]*>.*?</\1>", " "),
+        ("(?is)<script[^>]*>.*?</script>", " "),
+        ("(?is)<style[^>]*>.*?</style>", " "),
         (r"(?s)<!--.*?-->", " "),
         (r"(?s)<[^>]+>", " "),
         ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", "\""), ("&amp;", "&"),
@@ -149,3 +160,100 @@ def stem(c) -> Column:
         done = F.regexp_replace(word, pattern, replacement)
         out = F.when(word.rlike(pattern), done) if out is None else out.when(word.rlike(pattern), done)
     return out.otherwise(word)
+
+
+def sentences(c) -> Column:
+    """Parts of a text that end with a full stop, question or exclamation mark."""
+    parts = F.split(_col(c), r"[.!?]+\s+")
+    return F.filter(parts, lambda x: F.trim(x) != "")
+
+
+def clean_question(c, stop: Sequence[str] = rules.QUESTION_STOP_WORDS) -> Column:
+    cleaned = strip_punctuation(replace_all(c, rules.QUESTION_RULES))
+    return join_words(drop_words(space_words(cleaned), stop))
+
+
+def fix_spelling(tokens: Column, spelling: dict[str, str]) -> Column:
+    """Replace listed words; the list is passed as a literal map, so keep it small."""
+    if not spelling:
+        return tokens
+    table = F.create_map(*[F.lit(x) for kv in spelling.items() for x in kv])
+    return F.transform(tokens, lambda w: F.coalesce(table[w], w))
+
+
+def clean_comment(c, spelling: dict[str, str] | None = None) -> Column:
+    """Rules, spelling, non-ASCII words, repeated spam, punctuation, lower case."""
+    tokens = fix_spelling(space_words(replace_all(c, rules.COMMENT_RULES)), spelling or {})
+    kept = F.filter(drop_non_ascii_words(tokens), lambda w: w != "")
+    return F.lower(strip_punctuation(join_words(collapse_repeats(kept))))
+
+
+def char_gram_text(c) -> Column:
+    """Lower case, contractions expanded, no punctuation or digits, words between # marks."""
+    text = replace_all(F.regexp_replace(F.lower(_col(c)), "[\n\t\x08\r]", " "), rules.CHAR_GRAM_RULES)
+    words = F.transform(space_words(text), strip_punctuation)
+    spaced = replace_all(join_words(words), [(r"\d+", " "), (r"\s+", " "), (" ", "# #")])
+    return F.regexp_replace(spaced, r"\s+$", "")
+
+
+def fold_accents(c) -> Column:
+    source = "".join(rules.ACCENTS.values())
+    target = "".join(k * len(v) for k, v in rules.ACCENTS.items())
+    return F.translate(_col(c), source, target)
+
+
+def fold_symbols(c) -> Column:
+    """Smileys, hearts, plus signs and ellipses to words, accents folded, odd characters to spaces."""
+    marked = replace_all(c, [(r"\|", " "), (r":\)", " smile "), (r"\++", " plus "), ("&+", " "), ("\u2764", " xin ")])
+    plain = F.regexp_replace(fold_accents(marked), rules.ODD_CHARACTER, " ")
+    return F.regexp_replace(plain, r"\.{2,}", " ellipsis ")
+
+
+def log_character_counts(c) -> dict[str, Column]:
+    """log(1 + count), four digits: accented letters, and characters outside the usual set."""
+    text = _col(c)
+    accented = "[" + "".join(rules.ACCENTS.values()) + "]"
+    log_count = lambda col, pattern: F.round(F.log1p(F.regexp_count(col, F.lit(pattern))), 4)
+    return {"accents": log_count(text, accented), "odd": log_count(fold_accents(text), rules.ODD_CHARACTER)}
+
+
+def marked_words(c) -> Column:
+    """Numbers of two or more digits to ``numcus``; words and marks as separate tokens."""
+    numbered = F.regexp_replace(_col(c), *rules.NUMBER_RULE)
+    split = F.split(F.regexp_replace(numbered, rules.SPLIT_MARKS, " $1 "), " ")
+    return F.filter(split, lambda w: ~w.isin("", "/"))
+
+
+def listing_text(category, name, description, placeholder: str = "No description yet") -> Column:
+    """One text of a listing: prefixed type, name and description; missing parts are named."""
+    def part(prefix, c, end):
+        words = F.array_join(marked_words(c), " ")
+        gone = _col(c).isNull() | _col(c).isin("", placeholder)
+        return F.when(gone, f"{prefix} missing{end}").otherwise(F.concat(F.lit(f"{prefix} "), words, F.lit(end)))
+
+    return F.concat_ws(" ", part("type", category, ""), part("name", name, " ."), part("description", description, " ."))
+
+
+def comment_counts(text: Column, clean: Column, terms: dict[str, str] | None = None) -> dict[str, Column]:
+    """Pattern counts and length ratios of a raw comment and of its character-gram text.
+
+    ``terms`` adds named patterns, for example of abusive words. Pass ``clean``
+    as a column of its own so that it is built once.
+    """
+    words, clean_words = space_words(text), space_words(clean)
+    out = {k: F.regexp_count(text, F.lit(p)) for k, p in {**rules.COUNT_PATTERNS, **(terms or {})}.items()}
+    unique, clean_unique = F.size(F.array_distinct(words)), F.size(F.array_distinct(clean_words))
+    letters = F.size(F.array_distinct(F.filter(F.split(clean, ""), lambda x: x != "")))
+    out.update({
+        "raw_word_len": F.size(words),
+        "raw_char_len": F.length(text),
+        "unique_word_len": unique,
+        "word_ratio": unique / (F.size(words) + 1),
+        "clean_word_len": F.size(clean_words),
+        "clean_char_len": F.length(clean),
+        "clean_chars": letters,
+        "clean_chars_ratio": letters / (1 + F.least(F.lit(99), F.length(clean))),
+        "clean_unique_word_len": clean_unique,
+        "clean_word_ratio": clean_unique / (F.size(clean_words) + 1),
+    })
+    return out

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.text import bound
+
 
 def mode_per_key(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
     """Most frequent value per key; the lowest value wins a tie."""
@@ -164,11 +166,6 @@ def log_count_ratio(df: DataFrame, token: str, label: str, alpha: float = 1.0) -
     )
 
 
-def bound(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once per row, also when used inside lambdas."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def array_mean(c: Column) -> Column:
     return F.try_divide(F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x), F.size(c))
 

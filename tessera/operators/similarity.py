@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import Normalizer
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -23,3 +26,117 @@ def linked_set_distance(sets: DataFrame, links: DataFrame) -> DataFrame:
     return sized.join(common, ["id", "id2"], "left").select(
         *own.columns, (c / (F.col("n") + F.col("n2") - c)).alias("jaccard"), (2 * c / (F.col("n") + F.col("n2"))).alias("dice")
     )
+
+
+def pair_grams(pairs: DataFrame, key: str, a: Column, b: Column) -> DataFrame:
+    """Gram counts of both sides of each pair: (key, gram, ca, cb)."""
+    tagged = F.concat(
+        F.transform(a, lambda g: F.struct(g.alias("gram"), F.lit(1).alias("l"))),
+        F.transform(b, lambda g: F.struct(g.alias("gram"), F.lit(0).alias("l"))),
+    )
+    return pairs.select(key, F.explode(tagged).alias("t")).groupBy(key, F.col("t.gram").alias("gram")).agg(
+        F.sum("t.l").alias("ca"), F.sum(1 - F.col("t.l")).alias("cb")
+    )
+
+
+def gram_overlap(grams: DataFrame, key: str) -> DataFrame:
+    """Jaccard of gram sets, and of gram multisets over the sum and over the larger side."""
+    ca, cb = F.col("ca"), F.col("cb")
+    low = F.sum(F.least(ca, cb))
+    return grams.groupBy(key).agg(
+        (F.count_if((ca > 0) & (cb > 0)) / F.count(F.lit(1))).alias("jaccard"),
+        (low / F.sum(ca + cb)).alias("all_jaccard"),
+        (low / F.sum(F.greatest(ca, cb))).alias("all_jaccard_max"),
+    )
+
+
+def gram_distances(grams: DataFrame, key: str, documents: Column) -> DataFrame:
+    """TF-IDF cosine distance and Euclidean distances under l2, l1 and plain-count weights.
+
+    idf = ln((1 + documents) / (1 + documents with the gram)) + 1.
+    """
+    seen = grams.groupBy("gram").agg(
+        (F.count_if(F.col("ca") > 0) + F.count_if(F.col("cb") > 0)).alias("df")
+    ).select("gram", (F.log((1 + documents) / (1 + F.col("df"))) + 1).alias("idf"))
+    w = grams.join(seen, "gram").select(
+        key, "ca", "cb", (F.col("ca") * F.col("idf")).alias("x"), (F.col("cb") * F.col("idf")).alias("y")
+    )
+    dot = lambda p, q: F.sum(F.col(p) * F.col(q))
+    s = w.groupBy(key).agg(
+        dot("x", "x").alias("xx"), dot("y", "y").alias("yy"), dot("x", "y").alias("xy"),
+        F.sum("x").alias("sx"), F.sum("y").alias("sy"),
+        dot("ca", "ca").alias("aa"), dot("cb", "cb").alias("bb"), dot("ca", "cb").alias("ab"),
+    )
+
+    def gap(pp, qq, pq, p, q):
+        """Distance of two vectors scaled by 1/p and 1/q, from their dot products."""
+        part = lambda v, d: F.coalesce(F.try_divide(v, d), F.lit(0.0))
+        square = part(F.col(pp), p * p) + part(F.col(qq), q * q) - 2 * part(F.col(pq), p * q)
+        return F.sqrt(F.greatest(square, F.lit(0.0)))
+
+    norm = lambda c: F.sqrt(F.col(c))
+    return s.select(
+        key,
+        (1 - F.coalesce(F.try_divide(F.col("xy"), norm("xx") * norm("yy")), F.lit(1.0))).alias("tfidf_cosine"),
+        gap("xx", "yy", "xy", norm("xx"), norm("yy")).alias("tfidf_l2_euclidean"),
+        gap("xx", "yy", "xy", F.col("sx"), F.col("sy")).alias("tfidf_l1_euclidean"),
+        gap("aa", "bb", "ab", norm("aa"), norm("bb")).alias("tf_l2_euclidean"),
+    )
+
+
+def weighted_share(grams: DataFrame, key: str, weights: DataFrame, stop=()) -> DataFrame:
+    """Weight of words on both sides over the weight of all, counted once per side."""
+    kept = grams.where(~F.col("gram").isin(list(stop))) if stop else grams
+    w = kept.join(weights, "gram", "left").select(
+        key, F.coalesce("weight", F.lit(0.0)).alias("w"),
+        (F.col("ca") > 0).cast("int").alias("a"), (F.col("cb") > 0).cast("int").alias("b"),
+    )
+    share = F.try_divide(2 * F.sum(F.col("w") * F.col("a") * F.col("b")), F.sum(F.col("w") * (F.col("a") + F.col("b"))))
+    empty = (F.max("a") == 0) | (F.max("b") == 0)
+    return w.groupBy(key).agg(F.when(empty, 0.0).otherwise(share).alias("share"))
+
+
+def inverse_weights(grams: DataFrame, eps: float = 10000, min_count: int = 2) -> DataFrame:
+    """1 / (occurrences + eps) per word over both sides; rarer words than ``min_count`` weigh 0."""
+    n = F.sum(F.col("ca") + F.col("cb"))
+    return grams.groupBy("gram").agg(F.when(n < min_count, 0.0).otherwise(1 / (n + eps)).alias("weight"))
+
+
+def pair_degrees(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """How often each end of a pair occurs on either side of any pair."""
+    both = pairs.select(F.col(a).alias("__n")).unionByName(pairs.select(F.col(b).alias("__n")))
+    freq = both.groupBy("__n").agg(F.count(F.lit(1)).alias("__f"))
+    one = freq.select(F.col("__n").alias(a), F.col("__f").alias(f"{a}_freq"))
+    two = freq.select(F.col("__n").alias(b), F.col("__f").alias(f"{b}_freq"))
+    return pairs.join(one, a).join(two, b)
+
+
+def sentence_vectors(words: DataFrame, key: str, vectors: DataFrame) -> DataFrame:
+    """Sum of the vectors of a text's words, scaled to length 1; (key, vector)."""
+    counts = words.groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
+    rows = counts.join(vectors, "word").select(
+        key, array_to_vector(F.transform("vector", lambda v: v.cast("double"))).alias("v"), "n"
+    )
+    sums = rows.groupBy(key).agg(Summarizer.sum(F.col("v"), F.col("n").cast("double")).alias("s"))
+    unit = Normalizer(p=2.0, inputCol="s", outputCol="u").transform(sums)
+    return unit.select(key, vector_to_array("u").alias("vector"))
+
+
+def word_grid(pairs: DataFrame, key: str, vectors: DataFrame, idf: DataFrame, size: int = 10) -> DataFrame:
+    """Similarity of the first ``size`` words of one side with those of the other, weighted by idf.
+
+    Cells missing a word or a vector are 0; rows and columns run in reading order.
+    """
+    def side(c, name):
+        first = pairs.select(key, F.posexplode(F.slice(c, 1, size)).alias(f"p{name}", "word"))
+        return first.join(vectors, "word").join(idf, "word").select(
+            key, f"p{name}", F.col("vector").alias(f"v{name}"), F.col("idf").alias(f"i{name}")
+        )
+
+    cells = side("a", "a").join(side("b", "b"), key)
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    cosine = dot("va", "vb") / F.sqrt(dot("va", "va") * dot("vb", "vb"))
+    values = cells.select(key, (F.col("pa") * size + F.col("pb")).alias("at"), (cosine * F.col("ia") * F.col("ib")).alias("v"))
+    filled = values.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("at", "v"))).alias("m"))
+    grid = F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0)))
+    return pairs.select(key).join(filled, key, "left").select(key, grid.alias("grid"))
