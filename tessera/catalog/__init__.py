@@ -13,6 +13,8 @@ _MODULES = (
     "source_queries",
     "text_queries",
     "pair_queries",
+    "encoder_queries",
+    "model_queries",
 )
 
 

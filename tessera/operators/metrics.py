@@ -142,3 +142,11 @@ def kendall_tau_b(df: DataFrame, a: str, b: str, bits: int = 40) -> Column:
 
     n0, n1, n2, n3 = ties(), ties(a), ties(b), ties(a, b)
     return (n0 - n1 - n2 + n3 - 2 * discordant) / F.sqrt((n0 - n1) * (n0 - n2))
+
+
+def gini_pairwise(df: DataFrame, y: str, p: str, key: str) -> DataFrame:
+    """1 - 2 x (share of wrongly ordered 1/0 pairs), from the zeros ranked above each one."""
+    base = df.select(F.col(key).alias("__id"), F.col(y).alias("__y"), (1 - F.col(y)).alias("__z"), (-F.col(p)).alias("__p"))
+    run = split_window(base, [], ["__p", "__id"], sums={"__zeros": "__z"})
+    ones, n = F.sum("__y"), F.count(F.lit(1))
+    return run.agg((1 - 2 * F.sum(F.col("__y") * F.col("__zeros")) / (ones * (n - ones))).alias("gini"))
