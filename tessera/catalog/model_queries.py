@@ -354,9 +354,9 @@ def rank_sql(c):
     return f"(rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2) / count(*) OVER ()"
 
 
-@query("m40_rank_mean", f"{METRIC} SELECT id, round(({rank_sql('p1')} + {rank_sql('p2')}) / 2, 6) AS r FROM pr")
+@query("m40_rank_mean", f"{METRIC} SELECT id, round(({rank_sql('p1')} + {rank_sql('p2')}) / 2, 8) AS r FROM pr")
 def _(t):
-    return rounded(L.rank_mean(predictions(t), "id", ["p1", "p2"], "r"))
+    return rounded(L.rank_mean(predictions(t), "id", ["p1", "p2"], "r"), 8)
 
 
 def vote_tables(t):

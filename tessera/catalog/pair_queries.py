@@ -372,3 +372,17 @@ def _(t):
 def _(t):
     p = pairs(t)
     return rounded(P.vector_table(p, "id", word_vectors(t, p)), 4)
+
+
+@query("s21_nearest_neighbours", """WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+  d AS (SELECT a.vec_id AS q, b.vec_id AS t, any_value(b.label) AS label, sum(abs(a.x - b.x)) AS d FROM e a JOIN e b ON a.i = b.i AND a.vec_id <> b.vec_id GROUP BY ALL),
+  k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, t) r FROM d) WHERE r <= 15),
+  v AS (SELECT q, label, row_number() OVER (PARTITION BY q ORDER BY count(*) DESC, label) r FROM k GROUP BY q, label)
+  SELECT v.q AS qid, v.label AS vote, round(avg(k.label), 6) AS mean, round(max(k.d), 5) AS farthest FROM v JOIN k USING (q) WHERE v.r = 1 GROUP BY ALL""")
+def _(t):
+    from tessera.operators.neighbours import nearest, vote
+    v = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    found = nearest(v, v, 15, skip_same_id=True)
+    far = found.groupBy("qid").agg(F.max("distance").alias("farthest"))
+    votes = vote(found, t.embeddings.select(F.col("vec_id").alias("id"), "label"), "label")
+    return rounded(rounded(votes.join(far, "qid"), 5, ["farthest"]))

@@ -127,9 +127,9 @@ def kendall_tau_b(df: DataFrame, a: str, b: str, bits: int = 40) -> Column:
     top = coded.agg(F.max("code")).scalar()
     levels = F.sequence(F.lit(0), F.least(F.length(F.bin(top)), F.lit(bits)) - 1)
     spread = coded.select(a, b, "w", "code", F.explode(levels).alias("level"))
-    bit = F.shiftright("code", F.col("level")).bitwiseAND(F.lit(1))
+    bit = F.expr("shiftright(code, level) & 1")
     spread = spread.select(
-        a, b, "w", "level", F.shiftright("code", F.col("level") + 1).alias("prefix"), bit.alias("bit"),
+        a, b, "w", "level", F.expr("shiftright(code, level + 1)").alias("prefix"), bit.alias("bit"),
         (F.col("w") * bit).alias("ones"),
     )
     run = split_window(spread, ["level", "prefix"], [a, b], sums={"seen": "ones"})
