@@ -13,14 +13,13 @@ from tessera.operators.ranges import group_quantiles, number_chunks
 from tessera.operators.similarity import linked_set_distance
 from tessera.operators.topk import joined_ids, top_n
 
-ONE = F.lit(1)
 WORDS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 
 
 @query("a01_basic", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_extendedprice), 2) AS s, min(l_quantity) AS lo, max(l_quantity) AS hi, round(avg(l_discount), 6) AS m FROM lineitem GROUP BY ALL")
 def _(t):
     return t.lineitem.groupBy("l_returnflag", "l_linestatus").agg(
-        F.count(ONE).alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("s"), F.min("l_quantity").alias("lo"),
+        F.count("*").alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("s"), F.min("l_quantity").alias("lo"),
         F.max("l_quantity").alias("hi"), F.round(F.avg("l_discount"), 6).alias("m"))
 
 
@@ -62,7 +61,7 @@ def _(t):
 
 @query("a08_two_level_mean", basket_sql("SELECT user_id, round(avg(n), 6) AS mean_order_size FROM (SELECT user_id, order_id, count(*) n FROM lines GROUP BY ALL) GROUP BY 1"))
 def _(t):
-    sizes = basket_lines(t).groupBy("user_id", "order_id").agg(F.count(ONE).alias("n"))
+    sizes = basket_lines(t).groupBy("user_id", "order_id").agg(F.count("*").alias("n"))
     return rounded(sizes.groupBy("user_id").agg(F.avg("n").alias("mean_order_size")))
 
 
@@ -282,18 +281,18 @@ def _(t):
 
 @query("a34_top_by_mean", "SELECT l_suppkey, count(*) AS n, round(avg(l_quantity), 6) AS m FROM lineitem GROUP BY 1 HAVING count(*) > 40 ORDER BY round(avg(l_quantity), 6) DESC, l_suppkey LIMIT 20")
 def _(t):
-    g = rounded(t.lineitem.groupBy("l_suppkey").agg(F.count(ONE).alias("n"), F.avg("l_quantity").alias("m")).where("n > 40"))
+    g = rounded(t.lineitem.groupBy("l_suppkey").agg(F.count("*").alias("n"), F.avg("l_quantity").alias("m")).where("n > 40"))
     return top_n(g, [F.col("m").desc(), F.col("l_suppkey")], 20)
 
 
 @query("a35_histogram", "SELECT hour(ts) AS h, dayofweek(ts) + 1 AS d, event_type, count(*) AS n FROM events GROUP BY ALL")
 def _(t):
-    return t.events.groupBy(F.hour("ts").cast("long").alias("h"), F.dayofweek("ts").cast("long").alias("d"), "event_type").agg(F.count(ONE).alias("n"))
+    return t.events.groupBy(F.hour("ts").cast("long").alias("h"), F.dayofweek("ts").cast("long").alias("d"), "event_type").agg(F.count("*").alias("n"))
 
 
 @query("a36_two_way_rates", basket_sql('SELECT department_id, count(*) FILTER (reordered = 0) AS "0", count(*) FILTER (reordered = 1) AS "1", count(*) AS total, round(avg(reordered), 6) AS reorder_rate FROM lines GROUP BY 1'))
 def _(t):
-    p = basket_lines(t).groupBy("department_id").pivot("reordered", [0, 1]).agg(F.count(ONE)).fillna(0)
+    p = basket_lines(t).groupBy("department_id").pivot("reordered", [0, 1]).agg(F.count("*")).fillna(0)
     return rounded(p.withColumn("total", F.col("0") + F.col("1")).withColumn("reorder_rate", F.col("1") / F.col("total")))
 
 
@@ -307,8 +306,8 @@ def _(t):
   (SELECT product_id, cart_pos, count(*) n, sum(reordered) again FROM lines WHERE eval_set = 'train' GROUP BY ALL) WHERE again > 0 GROUP BY 1"""))
 def _(t):
     train = basket_lines(t).where("eval_set = 'train'")
-    cells = train.groupBy("product_id", "cart_pos").agg(F.count(ONE).alias("n"), F.sum("reordered").alias("again")).where("again > 0")
-    return rounded(cells.groupBy("cart_pos").agg(F.avg(F.col("again") / F.col("n")).alias("reorder_rate"), F.count(ONE).alias("total_count")))
+    cells = train.groupBy("product_id", "cart_pos").agg(F.count("*").alias("n"), F.sum("reordered").alias("again")).where("again > 0")
+    return rounded(cells.groupBy("cart_pos").agg(F.avg(F.col("again") / F.col("n")).alias("reorder_rate"), F.count("*").alias("total_count")))
 
 
 @query("a39_always_reordered", basket_sql("""SELECT user_id, count(*) FILTER (m = 1) AS n_equal FROM (SELECT user_id, order_id, avg(reordered) m FROM lines WHERE order_number > 15 GROUP BY ALL)
@@ -324,10 +323,10 @@ def _(t):
 def _(t):
     p = products(t)
     keys = ["department_id", "aisle_id"]
-    sales = basket_lines(t).groupBy("product_id").agg(F.count(ONE).alias("c")).join(p, "product_id").groupBy(*keys).agg(F.sum("c").alias("sumcount"))
+    sales = basket_lines(t).groupBy("product_id").agg(F.count("*").alias("c")).join(p, "product_id").groupBy(*keys).agg(F.sum("c").alias("sumcount"))
     departments = p.select("department_id", F.concat(F.lit("department "), "department_id").alias("department")).distinct()
     aisles = p.select("aisle_id", F.concat(F.lit("aisle "), "aisle_id").alias("aisle")).distinct()
-    n = p.groupBy(*keys).agg(F.count(ONE).alias("n"))
+    n = p.groupBy(*keys).agg(F.count("*").alias("n"))
     return n.join(sales, keys).join(departments, "department_id").join(aisles, "aisle_id")
 
 

@@ -22,7 +22,6 @@ from tessera.plans import matrices
 
 LINE = "l_orderkey, l_linenumber, l_partkey"
 IDS = ["l_orderkey", "l_linenumber", "l_partkey"]
-ONE = F.lit(1)
 
 
 def md5_sql(x, n):
@@ -44,7 +43,7 @@ def _(t):
   FROM lineitem, (SELECT unnest([10, 11, 12]) AS left_out) GROUP BY ALL""")
 def _(t):
     df = t.lineitem.select(F.month("l_shipdate").alias("m"), "l_quantity")
-    return S.hold_out_times(df, "m", [10, 11, 12]).groupBy("left_out", "part").agg(F.count(ONE).alias("n"), F.round(F.sum("l_quantity"), 2).alias("q"))
+    return S.hold_out_times(df, "m", [10, 11, 12]).groupBy("left_out", "part").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("q"))
 
 
 @query("m04_folds", f"SELECT event_id, {md5_sql('event_id::VARCHAR', 5)} AS fold FROM events")
@@ -66,13 +65,13 @@ def purchases(t):
   a AS (SELECT event_id, 1 AS y FROM e WHERE y = 1 UNION ALL SELECT event_id, 0 FROM z UNION ALL SELECT event_id, 0 FROM z, k WHERE r <= floor(part * (SELECT count(*) FROM z)))
   SELECT event_id, y, count(*) AS n FROM a GROUP BY ALL""")
 def _(t):
-    return S.oversample(purchases(t), "event_id", "y", 0.06).groupBy("event_id", "y").agg(F.count(ONE).alias("n"))
+    return S.oversample(purchases(t), "event_id", "y", 0.06).groupBy("event_id", "y").agg(F.count("*").alias("n"))
 
 
 @query("m07_up_down_sampled", """WITH e AS (SELECT event_id, CAST(event_type = 'click' AS INT) AS y FROM events), o AS (SELECT event_id, row_number() OVER (ORDER BY event_id) r FROM e WHERE y = 1)
   SELECT event_id, 0 AS y, 2 AS n FROM e WHERE y = 0 UNION ALL SELECT event_id, 1, 1 FROM o WHERE r <= floor(0.8 * (SELECT count(*) FROM o))""")
 def _(t):
-    return S.up_down_sample(purchases(t), "event_id", "y").groupBy("event_id", "y").agg(F.count(ONE).cast("int").alias("n"))
+    return S.up_down_sample(purchases(t), "event_id", "y").groupBy("event_id", "y").agg(F.count("*").cast("int").alias("n"))
 
 
 @query("m08_bootstrap", f"""WITH b AS (SELECT o_custkey AS bag, row_number() OVER (ORDER BY o_custkey) AS slot FROM (SELECT DISTINCT o_custkey FROM orders)), n AS (SELECT count(*) AS n FROM b)
@@ -429,4 +428,4 @@ def _(t):
     rows = df.join(ranked, "id")
     model = M.logistic(0.01, 0.1, iterations=10).fit(rows.where("r % 10 <> 0"))
     held = M.scored(model, rows.where("r % 10 = 0"), "p")
-    return held.groupBy(F.floor(F.col("r") / 1000).alias("block")).agg(Q.logloss("label", "p").alias("logloss"), F.count(ONE).alias("n"))
+    return held.groupBy(F.floor(F.col("r") / 1000).alias("block")).agg(Q.logloss("label", "p").alias("logloss"), F.count("*").alias("n"))

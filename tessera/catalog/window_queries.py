@@ -15,7 +15,6 @@ from tessera.operators.metrics import gini
 from tessera.operators.ranges import average_rank, dense_codes, split_window
 from tessera.plans.basket import pattern_features
 
-ONE = F.lit(1)
 
 
 @query("w01_row_number", basket_sql("SELECT order_id, product_id, row_number() OVER (PARTITION BY user_id, product_id ORDER BY order_number) AS product_time FROM lines"))
@@ -81,7 +80,7 @@ def _(t):
 @query("w11_since_last", basket_sql("""SELECT user_id, product_id, n_orders - max(order_number) AS since_last, round(count(*) / (n_orders - min(order_number) + 1), 6) AS rate
   FROM lines GROUP BY user_id, product_id, n_orders"""))
 def _(t):
-    g = basket_lines(t).groupBy("user_id", "product_id").agg(F.max("n_orders").alias("k"), F.max("order_number").alias("hi"), F.min("order_number").alias("lo"), F.count(ONE).alias("n"))
+    g = basket_lines(t).groupBy("user_id", "product_id").agg(F.max("n_orders").alias("k"), F.max("order_number").alias("hi"), F.min("order_number").alias("lo"), F.count("*").alias("n"))
     return rounded(g.select("user_id", "product_id", (F.col("k") - F.col("hi")).alias("since_last"), F.try_divide(F.col("n"), F.col("k") - F.col("lo") + 1).alias("rate")))
 
 
@@ -111,7 +110,7 @@ def _(t):
 @query("w15_percentile_rank", """SELECT l_orderkey, l_linenumber, l_partkey, round((rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2) / count(*) OVER (), 6) AS pr FROM lineitem""")
 def _(t):
     ranks = average_rank(t.lineitem, "l_extendedprice", "r").drop("ties")
-    n = t.lineitem.agg(F.count(ONE)).scalar()
+    n = t.lineitem.agg(F.count("*")).scalar()
     return rounded(t.lineitem.join(ranks, "l_extendedprice").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("r") / n).alias("pr")))
 
 
@@ -140,7 +139,7 @@ GINI = """g AS (SELECT (sum(c) / sum(y) - (count(*) + 1) / 2) / count(*) AS gini
 @query("w17_cumulative_gain", f"WITH {PRED}, r AS (SELECT id, y, sum(y) OVER (ORDER BY p1 DESC, id, l_suppkey) AS hits FROM pr) SELECT hits, count(*) AS n FROM r GROUP BY 1")
 def _(t):
     base = predictions(t).select("id", "l_suppkey", "y", (-F.col("p1")).alias("o"))
-    return split_window(base, [], ["o", "id", "l_suppkey"], sums={"hits": "y"}).groupBy("hits").agg(F.count(ONE).alias("n"))
+    return split_window(base, [], ["o", "id", "l_suppkey"], sums={"hits": "y"}).groupBy("hits").agg(F.count("*").alias("n"))
 
 
 @query("w18_rank_within_display", f"WITH {CLICKS} SELECT k AS display, ad, row_number() OVER (PARTITION BY k ORDER BY avg(clicked) DESC, ad) AS pos FROM clicks GROUP BY k, ad")
@@ -157,7 +156,7 @@ def _(t):
 
 @query("t02_top_n_names", "SELECT l_partkey, n, p_name FROM (SELECT l_partkey, count(*) n FROM lineitem GROUP BY 1 ORDER BY n DESC, l_partkey LIMIT 10) JOIN part ON l_partkey = p_partkey")
 def _(t):
-    n = t.lineitem.groupBy("l_partkey").agg(F.count(ONE).alias("n"))
+    n = t.lineitem.groupBy("l_partkey").agg(F.count("*").alias("n"))
     top = T.top_n(n, [F.col("n").desc(), F.col("l_partkey")], 10)
     return top.join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_name").distinct(), "l_partkey")
 
