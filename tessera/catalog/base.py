@@ -12,6 +12,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+TEXT_TABLES = ("documents", "conversations", "pages")
+
+
 class Tables:
     """The Parquet tables of one folder, read on first use."""
 
@@ -23,7 +26,12 @@ class Tables:
         return f"{self.folder}/{name}.parquet"
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
+        df = self.spark.read.parquet(self.path(name))
+        cores = self.spark.sparkContext.defaultParallelism
+        # a text table in fewer files than cores would be cleaned by a few tasks only
+        if name in TEXT_TABLES and len(df.inputFiles()) < cores:
+            df = df.repartition(cores)
+        return df
 
 
 def query(name: str, sql: str | None = None):

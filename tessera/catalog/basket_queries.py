@@ -6,11 +6,13 @@ from tessera.catalog.base import query
 from tessera.catalog.views import basket_lines, basket_orders, basket_sql
 from tessera.operators.frames import rounded
 from tessera.plans import basket as B
+from tessera.session import cut_lineage
 
 
 def both(t):
-    orders = basket_orders(t)
-    return orders, basket_lines(t, orders)
+    """Orders and lines as written tables, as the features read them many times."""
+    orders = cut_lineage(basket_orders(t))
+    return orders, cut_lineage(basket_lines(t, orders))
 
 
 def prior(t):

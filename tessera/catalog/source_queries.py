@@ -13,13 +13,14 @@ from tessera.plans import clicks as CK
 from tessera.plans import demand as D
 from tessera.sources import readers as R
 from tessera.sources import writers as W
+from tessera.session import scratch_path
 from tessera.streaming import clicks as ST
 
 CUSTOMER = "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
 
 
 def as_csv(t, df, name, **kw):
-    path = W.scratch_path(t.spark, name)
+    path = scratch_path(t.spark, name)
     W.write_delimited(df, path, **kw)
     return path
 
@@ -59,7 +60,7 @@ def _(t):
 
 @query("io07_glob_with_file_name", "SELECT count(*) AS n, round(sum(c_acctbal), 2) AS s, true AS named FROM customer")
 def _(t):
-    root = W.scratch_path(t.spark, "parts")
+    root = scratch_path(t.spark, "parts")
     for i in range(3):
         W.write_delimited(t.customer.where(F.col("c_custkey") % 3 == i), f"{root}/model_{i}")
     df = R.read_delimited(t.spark, f"{root}/model_*", CUSTOMER, source_column="src")
@@ -68,14 +69,14 @@ def _(t):
 
 @query("io08_key_value_lines", "SELECT c_name AS key, c_mktsegment AS value FROM customer")
 def _(t):
-    path = W.scratch_path(t.spark, "pairs")
+    path = scratch_path(t.spark, "pairs")
     t.customer.select(F.concat_ws("->", "c_name", "c_mktsegment")).write.text(path)
     return R.read_key_values(t.spark, path)
 
 
 @query("io09_word_vectors", "SELECT 'w' || vec_id AS word, len(embedding) AS d, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) AS s FROM embeddings")
 def _(t):
-    path = W.scratch_path(t.spark, "vectors")
+    path = scratch_path(t.spark, "vectors")
     t.embeddings.select(F.concat_ws(" ", F.concat(F.lit("w"), "vec_id"), F.array_join(F.col("embedding").cast("array<string>"), " "))).write.text(path)
     total = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x)
     return R.read_word_vectors(t.spark, path).select("word", F.size("vector").cast("long").alias("d"), F.round(total, 4).alias("s"))
@@ -89,7 +90,7 @@ def _(t):
 
 @query("io11_materialised_stage", "SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1")
 def _(t):
-    return W.materialise(t.lineitem.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n")), W.scratch_path(t.spark, "stage"))
+    return W.materialise(t.lineitem.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n")), scratch_path(t.spark, "stage"))
 
 
 NB = f"""w AS (SELECT doc_id, toxic, unnest({WORDS}) AS word FROM documents JOIN labels USING (doc_id)),
@@ -121,7 +122,7 @@ def _(t):
 
 @query("io14_vocabulary", f"WITH {CLICKS} SELECT feature, count(*) AS n FROM (SELECT 'ad_' || ad AS feature FROM clicks UNION ALL SELECT 'k_' || k FROM clicks) GROUP BY 1 HAVING count(*) >= 70")
 def _(t):
-    return W.materialise(W.vocabulary(clicks(t), ["ad", "k"], 70), W.scratch_path(t.spark, "vocabulary"))
+    return W.materialise(W.vocabulary(clicks(t), ["ad", "k"], 70), scratch_path(t.spark, "vocabulary"))
 
 
 @query("e14_ffm_index", f"WITH {FFM} SELECT field, kind, value, f AS feature FROM ent")

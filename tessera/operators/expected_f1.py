@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
 
 def best_size(p: np.ndarray) -> tuple[int, bool, float]:
@@ -38,20 +39,27 @@ def best_size(p: np.ndarray) -> tuple[int, bool, float]:
     return int(size), bool(row == 0), float(score[row, size])
 
 
-def _choose(pdf: pd.DataFrame) -> pd.DataFrame:
-    ordered = pdf.sort_values(["prediction", "product_id"], ascending=[False, True])
-    size, add_none, _ = best_size(ordered["prediction"].to_numpy())
-    chosen = (["None"] if add_none else []) + [str(x) for x in ordered["product_id"].iloc[:size]]
-    return pd.DataFrame({"order_id": [pdf["order_id"].iloc[0]], "products": [" ".join(chosen)]})
+_SIZE = StructType([StructField("size", IntegerType()), StructField("none", BooleanType())])
+
+
+def _sizes(probabilities: pd.Series) -> pd.DataFrame:
+    best = [best_size(np.asarray(p, dtype=float))[:2] for p in probabilities]
+    return pd.DataFrame(best, columns=["size", "none"])
 
 
 def best_baskets(predictions: DataFrame, floor: float = 0.05) -> DataFrame:
     """Chosen products per order as text, from (order_id, product_id, prediction).
 
-    A group holds one row per product of the catalogue an order might contain,
-    after the products under ``floor`` are dropped.
+    An order's list holds at most one entry per product of the catalogue, and
+    only products above ``floor``; whole Arrow batches of orders reach Python.
     """
     candidates = predictions.where(F.col("prediction") > floor).groupBy("order_id", "product_id").agg(
         F.max("prediction").alias("prediction")
     )
-    return candidates.groupBy("order_id").applyInPandas(_choose, "order_id long, products string")
+    ordered = F.sort_array(F.collect_list(F.struct((-F.col("prediction")).alias("n"), "product_id")))
+    lists = candidates.groupBy("order_id").agg(ordered.alias("items"))
+    sizes = F.pandas_udf(_sizes, _SIZE)
+    sized = lists.withColumn("best", sizes(F.transform("items", lambda x: -x["n"])))
+    chosen = F.transform(F.slice("items", F.lit(1), F.col("best.size")), lambda x: x["product_id"].cast("string"))
+    none = F.when(F.col("best.none"), F.array(F.lit("None"))).otherwise(F.array().cast("array<string>"))
+    return sized.select("order_id", F.array_join(F.concat(none, chosen), " ").alias("products"))

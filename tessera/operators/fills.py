@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.ranges import group_quantiles
+from tessera.session import cut_lineage
 
 
 def ages_to_usual(df: DataFrame, c: str) -> DataFrame:
@@ -26,7 +27,7 @@ def ages_to_usual(df: DataFrame, c: str) -> DataFrame:
 def fill_group_median(df: DataFrame, group: str, c: str) -> DataFrame:
     """Null to the median of the group, then to the median of the filled column."""
     medians = group_quantiles(df, [group], c, {"__m": 0.5})
-    filled = df.join(medians, group, "left").withColumn(c, F.coalesce(c, "__m")).drop("__m")
+    filled = cut_lineage(df.join(medians, group, "left").withColumn(c, F.coalesce(c, "__m")).drop("__m"))
     overall = group_quantiles(filled.select(c), [], c, {"m": 0.5}).scalar()
     return filled.withColumn(c, F.coalesce(c, overall))
 

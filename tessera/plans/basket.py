@@ -1,7 +1,8 @@
 """Reorder features: product, user, user x group, user x product, and their joins.
 
 Every function takes order lines (one row per order and product) and, where
-needed, orders as made by ``order_history``. Ratios with a zero base are null.
+needed, orders as made by ``order_history``. Most read them several times, so
+pass written tables rather than long plans. Ratios with a zero base are null.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from tessera.operators.ranges import split_window
 from tessera.operators.sequences import (
     last_rows, rows_between, state_rows, transition_table,
 )
+from tessera.session import cut_lineage
 
 UP = ["user_id", "product_id"]
 
@@ -195,9 +197,9 @@ def pattern_features(lines: DataFrame) -> DataFrame:
         again, UP, ["order_number"], bucket=month, row_number="place", sums={"cumsum_order_day": "days_since_prior"}
     )
     # the step between running sums is the row's own gap, 0 on the first row
-    steps = running.withColumn(
+    steps = cut_lineage(running.withColumn(
         "diff_order_day", F.when(F.col("place") == 1, 0).otherwise(F.col("days_since_prior"))
-    )
+    ))
     stats = steps.groupBy(*UP).agg(
         F.avg("order_number").alias("__mean"), F.max("order_number").alias("__max"),
         F.count(F.lit(1)).alias("__n"), F.avg("diff_order_day").alias("mean_diff_order_day"),
@@ -234,7 +236,7 @@ def candidate_rows(orders: DataFrame, lines: DataFrame, current: str = "train")
     """One row per (order to predict, product the user bought before) with features and label."""
     prior_orders = orders.where("eval_set = 'prior'")
     prior = lines.where("eval_set = 'prior'")
-    users = user_features(prior_orders, prior)
+    users = cut_lineage(user_features(prior_orders, prior))
     label = lines.where(F.col("eval_set") == current).select(*UP, F.lit(1).cast("long").alias("label"))
     base = user_product_features(prior, users).withColumn("aisle_id", F.col("product_id") % 7).withColumn(
         "department_id", F.col("product_id") % 3

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import scalars as C
 from tessera.operators.fills import ages_to_usual, fill_group_median, fill_minimum
 from tessera.operators.frames import code_lookup
+from tessera.session import cut_lineage
 
 # Code, code of a blank cell. Country and channel codes are passed in by the caller.
 CODE_TABLES = {
@@ -29,7 +30,7 @@ CODE_TABLES = {
 
 def clean_customers(df: DataFrame) -> DataFrame:
     """Impute age, seniority, income and codes; input columns as in the bank panel."""
-    out = ages_to_usual(df, "age")
+    out = cut_lineage(ages_to_usual(df, "age"))
     out = fill_minimum(out, "antiguedad").withColumn("antiguedad", F.greatest("antiguedad", F.lit(0.0)))
     out = out.fillna({"ind_nuevo": "1", "ind_actividad_cliente": "1", "sexo": "UNKNOWN", "nomprov": "UNKNOWN"})
     out = out.withColumn("indrel_1mes", F.when(F.coalesce("indrel_1mes", F.lit("")) == "", "1").when(

@@ -2,20 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.ranges import split_window
-from tessera.session import ensure_checkpoint_dir
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder inside the shared checkpoint folder."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+from tessera.session import scratch_path
 
 
 def write_delimited(df: DataFrame, path: str, sep: str = ",", decimals: int | None = None, header: bool = True) -> None:

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.operators.aggregates import field_value_counts
-from tessera.sources.writers import scratch_path
+from tessera.session import scratch_path
 
 
 def read_events(spark: SparkSession, path: str, schema) -> DataFrame:
