@@ -47,17 +47,19 @@ def _(t):
     return t.part.select("p_partkey", sum((c for c in cols), F.lit(0)).cast("long").alias("kept"))
 
 
-@query("e05_sparse_labels")
+@query("e05_sparse_labels", """SELECT p_partkey, r AS slot, 1.0::DOUBLE AS ones FROM part JOIN (SELECT p_brand, row_number() OVER (ORDER BY count(*) DESC, p_brand) AS r FROM part GROUP BY 1) USING (p_brand)""")
 def _(t):
     df = t.part.select("p_partkey", "p_brand")
     m = E.sparse_one_hot(["p_brand"], "v").fit(df).transform(df)
-    return m.select("p_partkey", F.array_position(vector_to_array("v"), F.lit(1.0)).alias("slot"), F.aggregate(vector_to_array("v"), F.lit(0.0), lambda a, x: a + x).alias("ones"))
+    return m.select("p_partkey", F.array_position(vector_to_array("v"), F.lit(1.0)).cast("long").alias("slot"), F.aggregate(vector_to_array("v"), F.lit(0.0), lambda a, x: a + x).alias("ones"))
 
 
-@query("e06_count_vectors")
+@query("e06_count_vectors", r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\w\w+')) AS w, generate_subscripts(regexp_extract_all(lower(text), '\w\w+'), 1) AS i FROM documents),
+  g AS (SELECT doc_id, w AS g FROM w UNION ALL SELECT doc_id, w || ' ' || n FROM (SELECT doc_id, w, lead(w) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM w) WHERE n IS NOT NULL),
+  k AS (SELECT g FROM g GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3) SELECT doc_id, CAST(count(k.g) AS DOUBLE) AS total FROM documents LEFT JOIN g USING (doc_id) LEFT JOIN k USING (g) GROUP BY 1""")
 def _(t):
     df = t.documents.select("doc_id", X.regex_words("text").alias("w"))
-    m = E.count_vectors("w", "v", n=2, min_df=3.0, size=5000).fit(df).transform(df)
+    m = E.count_vectors("w", "v", n=2, min_df=3.0).fit(df).transform(df)
     return m.select("doc_id", F.aggregate(vector_to_array("v"), F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
@@ -109,7 +111,7 @@ def _(t):
     return E.drop_rare_terms(terms, "doc_id", "term").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("e12_stacked_blocks")
+@query("e12_stacked_blocks", """SELECT p_partkey, CAST((SELECT count(DISTINCT p_brand) + count(DISTINCT p_type) + 2 FROM part) AS INT) AS width, round(2 + p_retailprice + p_size, 4) AS total FROM part""")
 def _(t):
     df = t.part.select("p_partkey", "p_brand", "p_type", "p_retailprice", F.col("p_size").cast("double").alias("p_size"))
     hot_block = E.sparse_one_hot(["p_brand", "p_type"], "cats").fit(df).transform(df)
@@ -117,7 +119,7 @@ def _(t):
     return v.select("p_partkey", F.size(vector_to_array("v")).alias("width"), F.round(F.aggregate(vector_to_array("v"), F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
-@query("e13_formula_matrix")
+@query("e13_formula_matrix", """SELECT l_returnflag, l_linestatus, count(*) AS n, (SELECT CAST(count(DISTINCT l_returnflag) - 1 + count(DISTINCT l_linestatus) - 1 + 1 AS INT) FROM lineitem) AS width FROM lineitem GROUP BY ALL""")
 def _(t):
     df = t.lineitem.select("l_quantity", "l_returnflag", "l_linestatus", "l_discount")
     m = E.formula_matrix(df, "l_quantity ~ l_returnflag + l_linestatus + l_discount")
@@ -152,10 +154,16 @@ def _(t):
     return projection(t, E.svd_matrix(t.embeddings, "embedding", 12))
 
 
-@query("e19_random_projection")
+def projection_sql(matrix):
+    dots = [f"round(list_dot_product(v, [{', '.join(repr(float(x)) for x in matrix[:, j])}]::DOUBLE[]), 5) + 0.0" for j in range(matrix.shape[1])]
+    return f"[{', '.join(dots)}]"
+
+
+@query("e19_random_projection", f"SELECT vec_id, {projection_sql(E.gaussian_matrix(64, 12, 7))} AS gaussian, {projection_sql(E.sparse_matrix(64, 12, 7))} AS sparse FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)")
 def _(t):
     g = projection(t, E.gaussian_matrix(64, 12, 7)).withColumnRenamed("p", "gaussian")
-    return g.join(projection(t, E.sparse_matrix(64, 12, 7)).withColumnRenamed("p", "sparse"), "vec_id")
+    both = g.join(projection(t, E.sparse_matrix(64, 12, 7)).withColumnRenamed("p", "sparse"), "vec_id")
+    return both.select("vec_id", *[F.transform(c, lambda x: F.round(x, 5) + F.lit(0.0)).alias(c) for c in ("gaussian", "sparse")])
 
 
 @query("e20_item_vectors")

@@ -87,7 +87,7 @@ def bags(t):
     """Order lines as instances, orders as bags, y = order value."""
     from tessera.operators.ranges import split_window
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
-    inst = split_window(t.lineitem.select("l_orderkey", "l_discount", *order), ["l_orderkey"], order, bucket=F.col("l_linenumber"), row_number="instance")
+    inst = split_window(t.lineitem.select("l_orderkey", "l_discount", *order), ["l_orderkey"], order, row_number="instance")
     y = t.orders.select(F.col("o_orderkey").alias("bag"), (F.col("o_totalprice") / 100000).alias("y"))
     return inst.select(F.col("l_orderkey").alias("bag"), "instance", (F.col("l_quantity") / 50).alias("a"), (F.col("l_extendedprice") / 100000).alias("b"),
                        (F.col("l_discount") * 10).alias("c")).join(y, "bag")
@@ -179,7 +179,7 @@ def _(t):
     one = M.scored(M.boosted_classifier(trees=5, depth=3).fit(df), df, "p")
     reg = prices(t)
     two = M.scored(M.boosted_regressor(trees=5, depth=3).fit(reg), reg, "price")
-    return one.agg(Q.logloss("label", "p").alias("logloss")).join(two.agg(*[c.alias(n) for n, c in Q.regression_metrics("label", "price").items()]))
+    return one.agg(Q.logloss("label", "p").alias("logloss")).withColumn("rmse", two.agg(Q.regression_metrics("label", "price")["rmse"]).scalar())
 
 
 @query("m18_next_product_classes")

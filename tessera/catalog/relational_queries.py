@@ -140,7 +140,7 @@ def _(t):
 def _(t):
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
     li = t.lineitem.select("l_orderkey", "l_discount", *order)
-    inst = split_window(li, ["l_orderkey"], order, bucket=F.col("l_linenumber"), row_number="inst")
+    inst = split_window(li, ["l_orderkey"], order, row_number="inst")
     sizes = li.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("bag_size"))
     return inst.join(sizes, "l_orderkey").select(
         F.col("l_orderkey").alias("bag"), "inst", F.col("l_quantity").alias("f1"), F.col("l_discount").alias("f2"), "bag_size")

@@ -180,12 +180,15 @@ def _(t):
     return rounded(predictions(t).select(*IDS, C.prior_correction(F.col("p1"), 0.9, 1.2).alias("c")))
 
 
-@query("c19_prior_weight")
+@query("c19_prior_weight", f"""WITH {PRED}, d AS (SELECT p1 AS x, count(*) AS c FROM pr GROUP BY 1), g AS (SELECT unnest(range(1, 100000)) / 100000 AS w),
+  m AS (SELECT w, sum(c * w * x / (w * x + (1 - w) * (1 - x))) / sum(c) AS m, CAST(sum(c) AS BIGINT) AS n FROM d, g GROUP BY 1)
+  SELECT round(m, 3) AS corrected_mean, n, round(w, 3) AS weight FROM m ORDER BY abs(m - 0.4) LIMIT 1""")
 def _(t):
     df = predictions(t)
     w = C.solve_prior_weight(df, "p1", 0.4)
     x = F.col("p1")
-    return df.agg(F.avg(w * x / (w * x + (1 - w) * (1 - x))).alias("corrected_mean"), F.count(F.lit(1)).alias("n")).withColumn("weight", F.lit(w))
+    out = df.agg(F.avg(w * x / (w * x + (1 - w) * (1 - x))).alias("corrected_mean"), F.count(F.lit(1)).alias("n")).withColumn("weight", F.lit(w))
+    return rounded(out, 3)
 
 
 @query("c20_sigmoid_logloss", f"WITH {PRED} SELECT {LINE}, round(1 / (1 + exp(-(p1 - p2))), 6) AS s, round(CASE WHEN y = 1 THEN -ln(p1) ELSE -ln(1 - p1) END, 6) AS ll FROM pr")

@@ -175,7 +175,8 @@ def _(t):
     return t.pages.select("page_id", X.html_text("html").alias("c"))
 
 
-@query("x15_sentences")
+@query("x15_sentences", f"""WITH p AS (SELECT page_id, list_filter(regexp_split_to_array(trim({fold('html', HTML)}), '[.!?]+\\s+'), lambda s: trim(s) <> '') AS l FROM pages)
+  SELECT page_id, CAST(generate_subscripts(l, 1) - 1 AS INT) AS pos, unnest(l) AS sentence FROM p""")
 def _(t):
     return t.pages.select("page_id", F.posexplode(X.sentences(X.html_text("html"))).alias("pos", "sentence"))
 
@@ -185,7 +186,11 @@ def _(t):
     return docs(t, spaced=F.size(X.space_words("text")), words=F.size(X.regex_words("text")))
 
 
-@query("x17_stems")
+STEM_SQL = "CASE " + " ".join(
+    f"WHEN regexp_matches(w, {lit(p.replace('(?<=', '(?:'))}) THEN regexp_replace(w, {lit(p.split(')')[-1])}, {lit(r)})" for p, r in X.STEM_RULES) + " ELSE w END"
+
+
+@query("x17_stems", rf"SELECT doc_id, array_to_string(list_transform(regexp_extract_all(lower(text), '\w\w+'), lambda w: {STEM_SQL}), ' ') AS stems FROM documents")
 def _(t):
     return docs(t, stems=F.array_join(F.transform(X.regex_words("text"), X.stem), " "))
 

@@ -19,8 +19,7 @@ from tessera.plans.basket import pattern_features
 
 @query("w01_row_number", basket_sql("SELECT order_id, product_id, row_number() OVER (PARTITION BY user_id, product_id ORDER BY order_number) AS product_time FROM lines"))
 def _(t):
-    month = F.year("order_time") * 12 + F.month("order_time")
-    return split_window(basket_lines(t), ["user_id", "product_id"], ["order_number"], bucket=month,
+    return split_window(basket_lines(t), ["user_id", "product_id"], ["order_number", "order_id"],
                         row_number="product_time").select("order_id", "product_id", "product_time")
 
 
@@ -55,14 +54,12 @@ def _(t):
 @query("w07_cumulative_sum", basket_sql("SELECT order_id, CAST(sum(days_since_prior) OVER (PARTITION BY user_id ORDER BY order_number) AS BIGINT) AS days FROM ord"))
 def _(t):
     o = basket_orders(t)
-    month = F.year("order_time") * 12 + F.month("order_time")
-    return split_window(o, ["user_id"], ["order_number"], bucket=month, sums={"days": "days_since_prior"}).select("order_id", "days")
+    return split_window(o, ["user_id"], ["order_number", "order_id"], sums={"days": "days_since_prior"}).select("order_id", "days")
 
 
 @query("w08_difference_to_previous", "SELECT o_orderkey, round(coalesce(o_totalprice - lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), 0), 2) AS d FROM orders")
 def _(t):
-    month = F.year("o_orderdate") * 12 + F.month("o_orderdate")
-    lagged = split_window(t.orders, ["o_custkey"], ["o_orderdate", "o_orderkey"], bucket=month, lags={"before": "o_totalprice"})
+    lagged = split_window(t.orders, ["o_custkey"], ["o_orderdate", "o_orderkey"], lags={"before": "o_totalprice"})
     return lagged.select("o_orderkey", F.round(F.coalesce(F.col("o_totalprice") - F.col("before"), F.lit(0.0)), 2).alias("d"))
 
 

@@ -13,6 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _OVERSAMPLE = 16
 _RANGE = "__range"
@@ -29,8 +30,10 @@ def split_points(df: DataFrame, order: Sequence[str], parts: int | None = None)
     The points only balance the ranges; any choice gives the same results.
     """
     parts = parts or default_parts(df)
+    # a cut point need not be a value of the table, so long texts give only their start
+    texts = [F.substring(c, 1, 64).alias(c) if df.schema[c].dataType == StringType() else F.col(c) for c in order]
     sample = (
-        df.select(*order)
+        df.select(*texts)
         .orderBy(F.xxhash64(*order, F.monotonically_increasing_id()))
         .limit(parts * _OVERSAMPLE)
         .collect()
@@ -76,9 +79,11 @@ def split_window(
 ) -> DataFrame:
     """Row number, previous value and running sum per key in ascending ``order``.
 
-    ``bucket`` is any expression that never decreases along ``order`` (for
-    example the month of a date); when absent, cut points are sampled.
-    ``lags`` and ``sums`` map an output column to its input column.
+    Cut points are sampled over all rows, so that with a unique ``order`` a
+    range holds about 1/parts of the table and no cell of (key, range) more,
+    even if one key has most rows. ``bucket`` replaces them by any expression
+    that never decreases along ``order``. ``lags`` and ``sums`` map an output
+    column to its input column.
     """
     lags, sums = dict(lags or {}), dict(sums or {})
     keys, order = list(keys), list(order)

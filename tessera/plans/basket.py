@@ -192,9 +192,8 @@ def repeat_buyer_features(lines: DataFrame) -> DataFrame:
 def pattern_features(lines: DataFrame) -> DataFrame:
     """Per reordered line: days between repeats, early and late means, scaled order numbers."""
     again = lines.where("reordered = 1").select(*UP, "order_id", "order_number", "order_time", "days_since_prior")
-    month = F.year("order_time") * 12 + F.month("order_time")
     running = split_window(
-        again, UP, ["order_number"], bucket=month, row_number="place", sums={"cumsum_order_day": "days_since_prior"}
+        again, UP, ["order_number", "order_id"], row_number="place", sums={"cumsum_order_day": "days_since_prior"}
     )
     # the step between running sums is the row's own gap, 0 on the first row
     steps = cut_lineage(running.withColumn(
