@@ -292,7 +292,7 @@ def _(t):
 
 @query("a36_two_way_rates", basket_sql('SELECT department_id, count(*) FILTER (reordered = 0) AS "0", count(*) FILTER (reordered = 1) AS "1", count(*) AS total, round(avg(reordered), 6) AS reorder_rate FROM lines GROUP BY 1'))
 def _(t):
-    p = basket_lines(t).groupBy("department_id").pivot("reordered", [0, 1]).agg(F.count("*")).fillna(0)
+    p = basket_lines(t).groupBy("department_id").pivot("reordered", [0, 1]).agg(F.count(F.lit(1))).fillna(0)
     return rounded(p.withColumn("total", F.col("0") + F.col("1")).withColumn("reorder_rate", F.col("1") / F.col("total")))
 
 

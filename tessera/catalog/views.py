@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.sequences import mark_reorders, order_history
+from tessera.session import cut_lineage
 
 
 def basket_orders(t) -> DataFrame:
@@ -41,7 +42,8 @@ def basket_lines(t, orders: DataFrame | None = None) -> DataFrame:
         .withColumn("aisle_id", F.col("product_id") % 7)
         .withColumn("department_id", F.col("product_id") % 3)
     )
-    return mark_reorders(items.join(orders, "order_id"))
+    # written once: the reorder flag reads the lines twice
+    return mark_reorders(cut_lineage(items.join(orders, "order_id")))
 
 
 BASKET = """
