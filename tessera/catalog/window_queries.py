@@ -161,9 +161,9 @@ def _(t):
 SCORES = [("a", "l_quantity / 50"), ("b", "l_discount * 10"), ("c", "l_tax * 12.5"), ("d", "l_extendedprice / 100000"), ("e", "l_linenumber / 7.0")]
 
 
-@query("t03_top_columns_per_row", f"""WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, unnest([{', '.join(f"{{'n': '{n}', 's': round({e}, 6)}}" for n, e in SCORES)}]) AS x FROM lineitem),
-  r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey ORDER BY x.s DESC, x.n) k FROM s)
-  SELECT l_orderkey, l_linenumber, l_partkey, string_agg(x.n, ' ' ORDER BY k) AS products FROM r WHERE k <= 3 GROUP BY l_orderkey, l_linenumber, l_partkey, l_suppkey""")
+@query("t03_top_columns_per_row", f"""WITH n AS (SELECT *, row_number() OVER () AS rid FROM lineitem), s AS (SELECT rid, l_orderkey, l_linenumber, l_partkey, unnest([{', '.join(f"{{'n': '{n}', 's': round({e}, 6)}}" for n, e in SCORES)}]) AS x FROM n),
+  r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY x.s DESC, x.n) k FROM s)
+  SELECT l_orderkey, l_linenumber, l_partkey, string_agg(x.n, ' ' ORDER BY k) AS products FROM r WHERE k <= 3 GROUP BY rid, l_orderkey, l_linenumber, l_partkey""")
 def _(t):
     df = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *[F.round(F.expr(e).cast("double"), 6).alias(n) for n, e in SCORES])
     return T.top_columns(df, ["l_orderkey", "l_linenumber", "l_partkey"], [n for n, _ in SCORES], 3)
