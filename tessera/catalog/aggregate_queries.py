@@ -8,10 +8,12 @@ from tessera.catalog.relational_queries import SET_DISTANCE
 from tessera.catalog.views import basket_lines, basket_orders, basket_sql, products
 from tessera.functions.text import ascii_words
 from tessera.operators import aggregates as A
+from tessera.operators.encoders import column_quantiles
 from tessera.operators.frames import rounded
 from tessera.operators.ranges import group_quantiles, number_chunks
 from tessera.operators.similarity import linked_set_distance
 from tessera.operators.topk import joined_ids, top_n
+from tessera.session import cut_lineage
 
 WORDS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 
@@ -128,7 +130,7 @@ def counts_sql(groups):
 
 
 def counts_query(t, groups):
-    df = A.with_group_counts(demand(t), {f"n_{'_'.join(g)}": g for g in groups})
+    df = A.with_group_counts(cut_lineage(demand(t)), {f"n_{'_'.join(g)}": g for g in groups})
     return df.select("client", "product", "demand", *[f"n_{'_'.join(g)}" for g in groups])
 
 
@@ -211,9 +213,8 @@ def _(t):
 def _(t):
     cols = ("l_quantity", "l_extendedprice", "l_discount")
     out = t.lineitem.agg(*[x for c in cols for x in (F.avg(c).alias(f"{c}_mean"), A.skewness_corrected(c).alias(f"{c}_skew"))])
-    for c in cols:
-        out = out.withColumn(f"{c}_median", group_quantiles(t.lineitem.select(c), [], c, {"q": 0.5}).scalar())
-    return rounded(out)
+    medians = column_quantiles(t.lineitem, cols, {"q": 0.5})
+    return rounded(out.select("*", *[F.lit(medians[c]["q"]).alias(f"{c}_median") for c in cols]))
 
 
 @query("a25_column_uniques", """SELECT DISTINCT * FROM (SELECT 'l_returnflag' AS c, l_returnflag AS v FROM lineitem UNION ALL SELECT 'l_linestatus', l_linestatus FROM lineitem

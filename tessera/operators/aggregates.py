@@ -31,7 +31,10 @@ def mode_position(df: DataFrame, keys: Sequence[str], value: str, out: str) -> D
 
 
 def with_group_counts(df: DataFrame, groups: Mapping[str, Sequence[str]]) -> DataFrame:
-    """Add ``count(*)`` of each column set as a column: a small grouped table joined back."""
+    """Add ``count(*)`` of each column set as a column: a small grouped table joined back.
+
+    ``df`` is read once per set, so pass a table rather than a long plan.
+    """
     out = df
     for name, cols in groups.items():
         out = out.join(df.groupBy(*cols).agg(F.count(F.lit(1)).alias(name)), list(cols), "left")

@@ -8,6 +8,7 @@ from pyspark.ml.feature import Imputer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.encoders import column_quantiles
 from tessera.operators.ranges import group_quantiles
 from tessera.session import cut_lineage
 
@@ -37,13 +38,13 @@ def fill_minimum(df: DataFrame, c: str) -> DataFrame:
 
 
 def above_centre(df: DataFrame, columns: Sequence[str]) -> list[Column]:
-    """0/1 columns: above the median and above the mean of the table."""
+    """0/1 columns: above the median and above the mean of the table, two passes for all columns."""
+    medians = column_quantiles(df, columns, {"m": 0.5})
+    means = df.agg(*[F.avg(c).alias(c) for c in columns]).first()
     out = []
     for c in columns:
-        median = group_quantiles(df.select(c), [], c, {"m": 0.5}).scalar()
-        mean = df.agg(F.avg(c)).scalar()
-        out += [(F.col(c) > median).cast("int").alias(f"{c}_above_median"),
-                (F.col(c) > mean).cast("int").alias(f"{c}_above_mean")]
+        out += [(F.col(c) > F.lit(medians[c]["m"])).cast("int").alias(f"{c}_above_median"),
+                (F.col(c) > F.lit(means[c])).cast("int").alias(f"{c}_above_mean")]
     return out
 
 

@@ -29,11 +29,11 @@ def fallback_prediction(fit: DataFrame, validate: DataFrame, test: DataFrame) ->
         *[f(F.col("y"), F.col(n)).alias(f"{n}_{p}") for n in LEVELS
           for p, f in (("slope", F.regr_slope), ("shift", F.regr_intercept))],
         F.avg("y").alias("level"),
-    )
-    level = lambda c: lines.select(c).scalar()
+    ).first()
     overall = fit.agg(F.avg("y")).scalar()
     chain = fallback_chain(
-        [(F.col(n), level(f"{n}_slope"), level(f"{n}_shift")) for n in LEVELS] + [(overall, F.lit(1.0), level("level"))]
+        [(F.col(n), F.lit(lines[f"{n}_slope"]), F.lit(lines[f"{n}_shift"])) for n in LEVELS]
+        + [(overall, F.lit(1.0), F.lit(lines["level"]))]
     )
     return with_means(test).withColumn("pred", chain)
 
