@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import mixing, quality, sharding
+from tessera.llm import jaccard, mixing, quality, sharding
 from tessera.session import configure, cut_lineage
 
 
@@ -21,6 +21,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs, quality.fit_ratio(docs, trusted))
 
 
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the first document of each group of 5-word shingle sets that link at 0.8."""
+    configure(spark)
+    return jaccard.keep_first(docs, size=5, percent=80, pivots="single")
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Draw the mix; a document taken twice is in it twice."""
     configure(spark)
@@ -36,6 +42,7 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", quality_rules),
+    ("jaccard_join", jaccard_join),
     ("mix_sources", mix_sources),
     ("shard", shard),
 ]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, quality, sharding, urlfilter, urls
+from tessera.llm import jaccard, mixing, quality, sharding, spans, urlfilter, urls
 from tessera.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,18 @@ def query(sql: str | None = None):
     return lambda fn: _register(fn, sql=sql)
 
 
+@query()
+def op2_jaccard_join(table) -> DataFrame:
+    """Groups of documents whose sets of 3-word shingles link at 0.9."""
+    return jaccard.jaccard_groups(table("documents"), size=3, percent=90, pivots="pieces")
+
+
+@query()
+def op5_substring_dedup(table) -> DataFrame:
+    """Words of repeated 50-word windows removed from every document but the first."""
+    return spans.remove_repeated_spans(table("documents"))
+
+
 @query()
 def op6_quality_rules(table) -> DataFrame:
     """Quality verdict of every document; labelled good documents are the trusted target."""
