@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import jaccard, mixing, quality, sharding
+from tessera.llm import decontaminate, jaccard, mixing, quality, sharding
 from tessera.session import configure, cut_lineage
 
 
@@ -27,6 +27,12 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return jaccard.keep_first(docs, size=5, percent=80, pivots="single")
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a benchmark item."""
+    configure(spark)
+    return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Draw the mix; a document taken twice is in it twice."""
     configure(spark)
@@ -43,6 +49,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", quality_rules),
     ("jaccard_join", jaccard_join),
+    ("decontamination", decontamination),
     ("mix_sources", mix_sources),
     ("shard", shard),
 ]

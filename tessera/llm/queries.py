@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import jaccard, mixing, quality, sharding, spans, urlfilter, urls
+from tessera.llm import decontaminate, jaccard, logbilinear, mixing, quality, revisits, sharding, spans, urlfilter, urls
 from tessera.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,12 +31,66 @@ def query(sql: str | None = None):
     return lambda fn: _register(fn, sql=sql)
 
 
+@query(
+    sql=f"""
+    WITH visits AS (
+      SELECT page_id, v AS visit, md5(coalesce(html, '')) AS digest, coalesce(page_id, 0) AS page,
+        CASE WHEN v % 2 = 1 AND strpos(url, '?') > 0 THEN url || '&utm_source=crawl'
+             WHEN v % 2 = 1 AND strpos(url, '#') > 0 THEN url WHEN v % 2 = 1 THEN url || '#again' ELSE url END AS url
+      FROM pages, (SELECT unnest([0, 1, 2, 3]) AS v)
+    ), bodies AS (
+      SELECT *, greatest(0, CASE WHEN visit >= 1 AND (page * 31 + 17) % 5 = 0 THEN 1 ELSE 0 END,
+        CASE WHEN visit >= 2 AND (page * 31 + 34) % 5 = 0 THEN 2 ELSE 0 END,
+        CASE WHEN visit >= 3 AND (page * 31 + 51) % 5 = 0 THEN 3 ELSE 0 END) AS body,
+        (page * 7 + visit * 3) % 11 AS fault
+      FROM visits
+    ), records AS (
+      SELECT page_id * 4 + visit AS record_id, page % 300 + visit * 30 AS day, body = visit AS full_body, fault, body, digest,
+        page % 300 + body * 30 AS modified, {urls.CANONICAL_SQL} AS url_key
+      FROM bodies
+    ), responses AS (SELECT * FROM records WHERE full_body),
+    matched AS (
+      SELECT r.record_id, r.url_key, r.day, r.fault, r.body + CASE WHEN r.fault = 0 THEN 9 ELSE 0 END AS tag, r.digest, r.modified,
+        max_by(struct_pack(id := p.record_id, body := p.body, digest := p.digest, modified := p.modified, day := p.day),
+               p.day * 1000000000000 + p.record_id) AS found
+      FROM records r LEFT JOIN responses p
+        ON r.url_key = p.url_key AND (p.day < r.day OR p.day = r.day AND p.record_id < r.record_id)
+      WHERE NOT r.full_body
+      GROUP BY ALL
+    ), judged AS (
+      SELECT *, CASE WHEN found IS NULL THEN 'no_response'
+          WHEN fault < 8 THEN CASE WHEN digest = found.digest AND tag = found.body THEN 'resolved' ELSE 'validator_mismatch' END
+          WHEN fault < 10 THEN CASE WHEN modified = found.modified THEN 'resolved' ELSE 'validator_mismatch' END
+          ELSE 'resolved_unchecked' END AS status
+      FROM matched
+    )
+    SELECT record_id, url_key, found.id AS response_id, status,
+      CASE WHEN status LIKE 'resolved%' THEN
+        'content-length: 1' || found.body || '; content-type: text/html; date: day ' || day
+        || '; etag: "' || CASE WHEN fault < 8 THEN digest || '-' || tag ELSE found.digest || '-' || found.body END
+        || '"; last-modified: day ' || found.modified END AS headers
+    FROM judged"""
+)
+def op1_revisits(table) -> DataFrame:
+    """Every revisit of the archive records made from the pages, with its response and merged headers."""
+    found = revisits.resolve_revisits(revisits.crawl_records(table("pages")))
+    entries = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
+    return found.select("record_id", "url_key", "response_id", "status", F.array_join(entries, "; ").alias("headers"))
+
+
 @query()
 def op2_jaccard_join(table) -> DataFrame:
     """Groups of documents whose sets of 3-word shingles link at 0.9."""
     return jaccard.jaccard_groups(table("documents"), size=3, percent=90, pivots="pieces")
 
 
+@query()
+def op3_decontamination(table) -> DataFrame:
+    """Benchmark items found in documents, with their edit distance."""
+    found = decontaminate.find_leaks(table("documents"), table("benchmark"))
+    return found.select("doc_id", "item_id", "distance", "item_bytes")
+
+
 @query()
 def op5_substring_dedup(table) -> DataFrame:
     """Words of repeated 50-word windows removed from every document but the first."""
@@ -143,3 +197,9 @@ def op10_mixing(table) -> DataFrame:
     """How many words of every document the mix takes."""
     docs = table("documents").select("doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query()
+def op9_log_bilinear(table) -> DataFrame:
+    """Log10 probability of every document under the base and the log-bilinear model."""
+    return logbilinear.score_texts(table("documents"))
