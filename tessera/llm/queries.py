@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, jaccard, logbilinear, mixing, quality, revisits, sharding, spans, urlfilter, urls
+from tessera.llm import decontaminate, jaccard, licences, logbilinear, mixing, quality, revisits, sharding, spans, urlfilter, urls
 from tessera.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -203,3 +203,10 @@ def op10_mixing(table) -> DataFrame:
 def op9_log_bilinear(table) -> DataFrame:
     """Log10 probability of every document under the base and the log-bilinear model."""
     return logbilinear.score_texts(table("documents"))
+
+
+@query()
+def op4_license_scan(table) -> DataFrame:
+    """Licence paragraphs of all documents with family, probability and the template that confirms it."""
+    docs = table("documents")
+    return licences.classify(docs, licences.fit(docs))
