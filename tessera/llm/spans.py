@@ -217,7 +217,8 @@ def remove_repeated_spans(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     named = docs.where(F.col("doc_id").isNotNull())
     nodes = named.mapInArrow(per_slice(_emit_nodes), f"node long, doc_id {kind}, context long")
-    repeated = (
+    # written, so that Spark can split a hot node's side of the join
+    repeated = cut_lineage(
         nodes.groupBy("node")
         .agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), (F.min("context") == F.max("context")).alias("plain"))
         .where("low < high").select("node", "low", "plain")
@@ -234,10 +235,13 @@ def remove_repeated_spans(docs: DataFrame) -> DataFrame:
         )
     )
     open_rows = decided.where("kept_sha256 is null")
-    windows = open_rows.select("doc_id", F.explode("windows").alias("window"))
-    owners = windows.groupBy("window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    windows = open_rows.select("doc_id", F.explode(F.array_distinct("windows")).alias("window"))
+    owners = cut_lineage(
+        windows.groupBy("window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+        .where("low < high").select("window", "low")
+    )
     found = (
-        windows.join(owners.select("window", "low"), "window").where("doc_id > low")
+        windows.join(owners, "window").where("doc_id > low")
         .groupBy("doc_id").agg(F.collect_set("window").alias("found"))
     )
     finished = open_rows.select("doc_id", "text", "goes").join(found, "doc_id", "left").mapInArrow(
