@@ -20,9 +20,11 @@ small sets, and documents take over below:
 2. Inside a region the smallest document is the pivot. Its exact distance to
    every member is taken from the whole sets. Members at most 1 - s away are
    linked, and the region is done if the others are in one group already.
-3. What is left is joined again, with the number of pivots doubled every
-   round: a pivot p meets a member x of another group only if
-   |d(x, q) - d(p, q)| <= 1 - s for the region's first pivot q.
+3. What is left is joined again, with four times the pivots of the round
+   before: a pivot p meets a member x of another group only if
+   |d(x, q) - d(p, q)| <= 1 - s for the region's first pivot q, and their sets
+   are compared only if short sketches of them do not rule out a link. No pair
+   is looked at twice.
 
 Only links between different groups are looked for, so copies are never paired
 off, and a set that many documents share is one member. Sets are named by
@@ -47,6 +49,8 @@ from tessera.session import cut_lineage
 CLASS_RATIO = 1.5
 # parts with fewer shingles are not used as pivots where others suffice
 LEAST_IN_PART = 2
+# bytes of a set's sketch, which rules out most pairs before their sets are compared
+BUCKETS = 256
 
 
 class Sets:
@@ -71,6 +75,16 @@ class Sets:
         self.counts = np.diff(self.first)
         self.name = signed(mix(self.sums(mix(self.values, 11)) + self.counts.astype(np.uint64), 12))
 
+    def sketches(self) -> list[bytes]:
+        """How many shingles fall into each of ``BUCKETS`` buckets, one byte each.
+
+        The sum of the differences of two sketches is at most the number of
+        shingles that one set has and the other has not.
+        """
+        place = self.row * BUCKETS + (self.values & np.uint64(BUCKETS - 1)).astype(np.int64)
+        counts = np.bincount(place, minlength=len(self.counts) * BUCKETS)
+        return [x.tobytes() for x in np.minimum(counts, 255).astype(np.uint8).reshape(-1, BUCKETS)]
+
     def sums(self, values: np.ndarray) -> np.ndarray:
         total = np.zeros(len(values) + 1, np.uint64)
         np.cumsum(values, out=total[1:])
@@ -173,7 +187,10 @@ def _emit_shingles(size: int):
     def run(part: pa.RecordBatch, words: Words) -> pa.RecordBatch:
         sets = Sets(words, size)
         lists = list_column(signed(sets.values), sets.counts, pa.int64())
-        out = pa.RecordBatch.from_arrays([pa.array(sets.name), lists], ["set", "shingles"])
+        out = pa.RecordBatch.from_arrays(
+            [pa.array(sets.name), lists, pa.array(sets.sketches(), pa.binary()), pa.array(sets.counts)],
+            ["set", "shingles", "sketch", "n"],
+        )
         wanted = part.column("wanted").to_numpy(zero_copy_only=False)
         return out.filter(pa.array(sets.name == wanted))
 
@@ -195,15 +212,39 @@ def _measured(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _may_link(percent: int):
+    def run(batches):
+        for batch in batches:
+            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BUCKETS) for c in ("__s", "__t"))
+            differ = np.abs(one.astype(np.int16) - two).sum(axis=1)
+            sizes = batch.column("sizes").to_numpy()
+            out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"])
+            yield out.filter(pa.array(differ * (100 + percent) <= (100 - percent) * sizes))
+
+    return run
+
+
+def _near(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) pairs whose sketches do not rule out a link."""
+    one = shingles.select(F.col("set").alias("b"), F.col("sketch").alias("__s"), F.col("n").alias("__m"))
+    two = shingles.select(F.col("set").alias("a"), F.col("sketch").alias("__t"), F.col("n").alias("__n"))
+    both = pairs.join(one, "b").join(two, "a")
+    return both.select("a", "b", "__s", "__t", (F.col("__m") + F.col("__n")).alias("sizes")).mapInArrow(
+        _may_link(percent), "a long, b long"
+    )
+
+
 def set_groups(docs: DataFrame, sets: DataFrame, *, size: int, percent: int, pivots: str) -> DataFrame:
     """(set, group) for every set that is linked with another one; ``sets`` is (doc_id, n_shingles, set)."""
     usable = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
     placed = usable.mapInArrow(_emit_pivots(size, percent, pivots), "region long, set long")
-    regions = (
-        placed.groupBy("region").agg(F.min("set").alias("pivot"), F.max("set").alias("last")).where("pivot < last")
+    # written, so that Spark can split a hot region's side of the join
+    regions = cut_lineage(
+        placed.groupBy("region").agg(F.min("set").alias("pivot"), F.max("set").alias("last"))
+        .where("pivot < last").select("region", "pivot")
     )
     members = cut_lineage(
-        placed.join(regions.select("region", "pivot"), "region").where("set <> pivot").select("region", "pivot", "set").distinct()
+        placed.join(regions, "region").where("set <> pivot").select("region", "pivot", "set").distinct()
     )
     # regions with the same members are one
     same = members.groupBy("region", "pivot").agg(
@@ -215,7 +256,7 @@ def set_groups(docs: DataFrame, sets: DataFrame, *, size: int, percent: int, piv
     named = sets.where("set is not null").join(involved, "set").groupBy("set").agg(F.min("doc_id").alias("doc_id"))
     shingles = cut_lineage(
         usable.join(named.withColumnRenamed("set", "wanted"), "doc_id")
-        .mapInArrow(_emit_shingles(size), "set long, shingles array<long>")
+        .mapInArrow(_emit_shingles(size), "set long, shingles array<long>, sketch binary, n long")
     )
     measured = cut_lineage(_measured(stars, shingles, percent))
     links = measured.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -237,23 +278,39 @@ def set_groups(docs: DataFrame, sets: DataFrame, *, size: int, percent: int, piv
         measured.select(F.col("a").alias("pivot"), F.col("b").alias("set"), "distance"), ["pivot", "set"]
     ).select("region", "set", "distance")
     rest = unsettled(with_group(rest, groups))
-    at_once = 1
+    at_once, ties, compared = 4, None, stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     while not rest.isEmpty():
         least = rest.groupBy("region").agg(F.min("set").alias("least"))
-        drawn = F.pmod(F.xxhash64("region", "set", F.lit(at_once)), F.col("members")) < at_once
+        # drawn by the set alone, so that regions with the same members draw the same pivots
+        share = F.pmod(F.xxhash64("set", F.lit(at_once)), F.lit(1 << 30)) * F.col("members")
+        drawn = share < (at_once << 30)
         marked = cut_lineage(rest.join(least, "region").withColumn("pivot", drawn | (F.col("set") == F.col("least"))).drop("least"))
         chosen = marked.where("pivot").select(
-            "region", F.col("set").alias("a"), F.col("group").alias("__group"), F.col("distance").alias("__distance")
+            "region", F.col("set").alias("a"), F.col("group").alias("u"), F.col("distance").alias("__distance")
         )
         met = marked.join(chosen, "region").where(
-            (F.col("group") != F.col("__group")) & (F.abs(F.col("distance") - F.col("__distance")) <= window)
+            (F.col("group") != F.col("u")) & (F.abs(F.col("distance") - F.col("__distance")) <= window)
+            & (~F.col("pivot") | (F.col("a") < F.col("set")))
         )
-        pairs = met.select("a", F.col("set").alias("b")).distinct()
-        more = _measured(pairs, shingles, percent).where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-        links = cut_lineage(links.unionByName(more).distinct())
-        groups = cut_lineage(components(links))
-        rest = unsettled(with_group(marked.where("not pivot").drop("pivot", "group"), groups))
-        at_once *= 2
+        pairs = met.select(
+            F.least("a", "set").alias("a"), F.greatest("a", "set").alias("b"),
+            F.when(F.col("a") < F.col("set"), F.col("u")).otherwise(F.col("group")).alias("u"),
+            F.when(F.col("a") < F.col("set"), F.col("group")).otherwise(F.col("u")).alias("v"),
+        ).distinct()
+        pairs = cut_lineage(pairs.join(compared, ["a", "b"], "left_anti"))
+        near = _near(pairs.select("a", "b"), shingles, percent)
+        found = _measured(near, shingles, percent).where("linked").select("a", "b")
+        tied = cut_lineage(pairs.join(found, ["a", "b"]).select("u", "v").distinct())
+        compared = compared.unionByName(pairs.select("a", "b"))
+        rest = marked.where("not pivot").drop("pivot")
+        if not tied.isEmpty():
+            moved = cut_lineage(components(tied)).withColumnRenamed("node", "group")
+            rest = rest.join(moved, "group", "left").withColumn("group", F.coalesce("component", "group")).drop("component")
+            ties = tied if ties is None else ties.unionByName(tied)
+        rest = unsettled(rest)
+        at_once *= 4
+    if ties is not None:
+        groups = cut_lineage(components(links.unionByName(ties)))
     return groups.select(F.col("node").alias("set"), F.col("component").alias("group"))
 
 

@@ -1,7 +1,7 @@
 """Words of whole texts as numpy arrays, from the Arrow batches Spark hands to a task.
 
 A word is a run of bytes other than 0x20 and 0x09-0x0D. A batch is cut into
-slices of a few megabytes (a longer text is a slice of its own), so that a
+slices of a megabyte (a longer text is a slice of its own), so that a
 task's memory depends on the longest text and not on the table.
 """
 
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
