@@ -9,34 +9,39 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
 
+def _laws(p: np.ndarray) -> list[np.ndarray]:
+    """Distribution of the number of successes among the first 0, 1, ... trials."""
+    laws = [np.ones(1)]
+    for q in p:
+        laws.append(np.convolve(laws[-1], [1 - q, q]))
+    return laws
+
+
+def expected_score(hits: np.ndarray, others: np.ndarray, none: bool) -> float:
+    """Expected F1 of a basket from the laws of its hits and of the purchases outside it.
+
+    With h hits among k items and r other purchases the score is
+    2h / (k + h + r). ``none`` adds the entry None to the basket, which is
+    right if nothing is bought.
+    """
+    h, r = np.arange(len(hits))[:, None], np.arange(len(others))[None, :]
+    chosen = len(hits) - 1 + none
+    f1 = 2 * h / np.maximum(chosen + h + r, 1)
+    if none:
+        f1[0, 0] = 2 / (chosen + 1)
+    return float(hits @ f1 @ others)
+
+
 def best_size(p: np.ndarray) -> tuple[int, bool, float]:
     """How many of the items sorted by falling probability to choose, and whether to add None.
 
-    Items are bought independently. For each size k the hits among the k chosen
-    follow a Poisson-binomial distribution; the expectation of
-    1 / (k + items bought) is rolled back over the items not chosen.
+    Items are bought independently. Every prefix is scored with and without
+    None; of equal scores the one with None and the shorter prefix is taken.
     """
-    n = len(p)
-    hits = [np.ones(1)]
-    for q in p:
-        last = hits[-1]
-        hits.append(np.append(last * (1 - q), 0.0) + np.append(0.0, last * q))
-    none = float(np.prod(1 - p))
-    sizes = np.arange(1, 2 * n + 1, dtype=float)
-    plain, with_none = 1 / sizes, 1 / (sizes + 1)
-    score = np.zeros((2, n + 1))
-    for k in range(n, -1, -1):
-        k1 = np.arange(1, k + 1)
-        if k:
-            at = k + k1 - 1
-            score[1, k] = np.sum(2 * k1 * hits[k][1:] * plain[at])
-            score[0, k] = np.sum(2 * k1 * hits[k][1:] * with_none[at])
-            q = p[k - 1]
-            plain = (1 - q) * plain[:-1] + q * plain[1:] if len(plain) > 1 else plain
-            with_none = (1 - q) * with_none[:-1] + q * with_none[1:] if len(with_none) > 1 else with_none
-        score[0, k] += 2 * none / (2 + k)
-    row, size = np.unravel_index(score.argmax(), score.shape)
-    return int(size), bool(row == 0), float(score[row, size])
+    hits, others = _laws(p), _laws(p[::-1])[::-1]
+    scores = [(expected_score(hits[k], others[k], none), none, -k) for k in range(len(p) + 1) for none in (True, False)]
+    score, none, k = max(scores)
+    return -k, none, score
 
 
 _SIZE = StructType([StructField("size", IntegerType()), StructField("none", BooleanType())])
