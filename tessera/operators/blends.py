@@ -35,7 +35,8 @@ def rank_mean(df: DataFrame, key: str, columns: Sequence[str], out: str) -> Data
     ranked = df
     for c in columns:
         ranks = average_rank(df, c, f"__r_{c}").drop("ties")
-        ranked = ranked.join(ranks, c)
+        renamed = ranks.withColumnRenamed(c, "__v")
+        ranked = ranked.join(renamed, F.col(c).eqNullSafe(F.col("__v"))).drop("__v")
     mean = weighted_mean([F.col(f"__r_{c}") / n for c in columns])
     return ranked.select(key, mean.alias(out))
 

@@ -8,37 +8,36 @@ per key, so the window over it is small whatever the key's size.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 _OVERSAMPLE = 16
 _RANGE = "__range"
 
 
 def default_parts(df: DataFrame) -> int:
-    """As many ranges as shuffle partitions, within 32 to 512."""
-    return max(32, min(512, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    """As many ranges as shuffle partitions, 32 at least."""
+    return max(32, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def split_points(df: DataFrame, order: Sequence[str], parts: int | None = None) -> list[tuple]:
-    """Ordered cut points for ``order``, from a sample of fixed size.
+    """Ordered cut points for ``order``, whole values from a sample of ``parts * 16`` rows.
 
     The points only balance the ranges; any choice gives the same results.
     """
     parts = parts or default_parts(df)
-    # a cut point need not be a value of the table, so long texts give only their start
-    texts = [F.substring(c, 1, 64).alias(c) if df.schema[c].dataType == StringType() else F.col(c) for c in order]
     sample = (
-        df.select(*texts)
+        df.select(*order)
         .orderBy(F.xxhash64(*order, F.monotonically_increasing_id()))
         .limit(parts * _OVERSAMPLE)
         .collect()
     )
-    values = sorted({tuple(row) for row in sample if None not in tuple(row)})
+    # NULL and NaN have their place at the ends of the order and are no cut points
+    values = sorted({tuple(row) for row in sample if all(v is not None and v == v for v in row)})
     if len(values) <= parts:
         return values[1:]
     step = len(values) / parts
@@ -46,24 +45,23 @@ def split_points(df: DataFrame, order: Sequence[str], parts: int | None = None)
 
 
 def range_bucket(df: DataFrame, order: Sequence[str], parts: int | None = None) -> Column:
-    """Range number of a row: monotone in ``order``, found by a binary search of literals."""
+    """Range number of a row: how many cut points are not above its key.
+
+    Keys are compared as structs, whose order is that of a sort: NULL first,
+    NaN last. A coarse and a fine search read two roots of the number of points.
+    """
     points = split_points(df, order, parts)
+    if not points:
+        return F.lit(0)
     types = [df.schema[c].dataType for c in order]
-    key = F.struct(*order) if len(order) > 1 else F.col(order[0])
-
-    def literal(point):
-        cells = [F.lit(v).cast(t) for v, t in zip(point, types)]
-        if len(order) == 1:
-            return cells[0]
-        return F.struct(*[c.alias(n) for c, n in zip(cells, order)])
-
-    def search(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(key < literal(points[mid]), search(low, mid)).otherwise(search(mid + 1, high))
-
-    return search(0, len(points))
+    # names of their own, so that a literal and a key have one type
+    key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)])
+    cells = [F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(p, types))]) for p in points]
+    width = math.isqrt(len(cells) - 1) + 1
+    every, coarse = F.array(*cells), F.array(*cells[::width])
+    blocks = F.size(F.filter(coarse, lambda p: p <= key))
+    fine = F.slice(every, (blocks - 1) * width + 1, F.lit(width))
+    return F.when(blocks == 0, 0).otherwise((blocks - 1) * width + F.size(F.filter(fine, lambda p: p <= key)))
 
 
 def split_window(
@@ -82,35 +80,39 @@ def split_window(
     Cut points are sampled over all rows, so that with a unique ``order`` a
     range holds about 1/parts of the table and no cell of (key, range) more,
     even if one key has most rows. ``bucket`` replaces them by any expression
-    that never decreases along ``order``. ``lags`` and ``sums`` map an output
-    column to its input column.
+    that never decreases along ``order`` and is not null; then no job runs
+    before the result is asked for. The rows are shuffled once, by cell; a
+    cell's last row carries its totals to the table of cells. ``lags`` and
+    ``sums`` map an output column to its input column.
     """
     lags, sums = dict(lags or {}), dict(sums or {})
     keys, order = list(keys), list(order)
-    work = df.withColumn(_RANGE, bucket if bucket is not None else range_bucket(df, order, parts))
     group = [*keys, _RANGE]
-
-    cells = work.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("__n"),
-        *[F.sum(c).alias(f"__sum_{o}") for o, c in sums.items()],
-        *[F.max_by(F.col(c), F.struct(*order)).alias(f"__last_{o}") for o, c in lags.items()],
-    )
-    earlier = Window.partitionBy(*keys).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = cells.select(
-        *[F.col(c).alias(f"__k_{c}") for c in group],
-        F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"),
-        *[F.sum(f"__sum_{o}").over(earlier).alias(f"__before_{o}") for o in sums],
-        *[F.last(f"__last_{o}").over(earlier).alias(f"__carry_{o}") for o in lags],
-    )
-
+    work = df.withColumn(_RANGE, bucket if bucket is not None else range_bucket(df, order, parts))
     local = Window.partitionBy(*group).orderBy(*order)
     upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     work = work.select(
         "*",
         F.row_number().over(local).alias("__rn"),
+        F.lead(F.lit(False), 1, True).over(local).alias("__end"),
         *[F.lag(c).over(local).alias(f"__lag_{o}") for o, c in lags.items()],
         *[F.sum(c).over(upto).alias(f"__run_{o}") for o, c in sums.items()],
     )
+    # same shuffle as the rows themselves; one row per cell
+    cells = work.where("__end").select(
+        *[F.col(c).alias(f"__k_{c}") for c in group], "__rn",
+        *[F.col(f"__run_{o}").alias(f"__sum_{o}") for o in sums],
+        *[F.struct(F.col(c).alias("v")).alias(f"__last_{o}") for o, c in lags.items()],
+    )
+    earlier = (
+        Window.partitionBy(*[f"__k_{c}" for c in keys]).orderBy(f"__k_{_RANGE}").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    offsets = cells.select(
+        *[f"__k_{c}" for c in group],
+        F.coalesce(F.sum("__rn").over(earlier), F.lit(0)).alias("__before"),
+        *[F.sum(f"__sum_{o}").over(earlier).alias(f"__before_{o}") for o in sums],
+        *[F.last(f"__last_{o}").over(earlier)["v"].alias(f"__carry_{o}") for o in lags],
+    )
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in group])
     out = [F.col(c) for c in df.columns]
     if row_number:

@@ -16,8 +16,10 @@ def order_history(orders: DataFrame) -> DataFrame:
     Input (order_id, user_id, order_time, ...). The last order of a user is
     ``test``, the one before ``train``, the rest ``prior``.
     """
+    quarter = F.coalesce(F.year("order_time") * 4 + F.quarter("order_time"), F.lit(0))
     numbered = split_window(
-        orders, ["user_id"], ["order_time", "order_id"], row_number="order_number", lags={"__previous": "order_time"}
+        orders, ["user_id"], ["order_time", "order_id"], bucket=quarter, row_number="order_number",
+        lags={"__previous": "order_time"},
     )
     totals = orders.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_orders"))
     left = F.col("n_orders") - F.col("order_number")
