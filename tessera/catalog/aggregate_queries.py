@@ -6,7 +6,7 @@ from tessera.catalog.base import query
 from tessera.catalog.panel import FLAGS, PANEL, basket_links, weekly_panel
 from tessera.catalog.relational_queries import SET_DISTANCE
 from tessera.catalog.views import basket_lines, basket_orders, basket_sql, products
-from tessera.functions.text import ascii_words
+from tessera.functions.text import ascii_words, letter_words
 from tessera.operators import aggregates as A
 from tessera.operators.encoders import column_quantiles
 from tessera.operators.frames import rounded
@@ -16,6 +16,7 @@ from tessera.operators.topk import joined_ids, top_n
 from tessera.session import cut_lineage
 
 WORDS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
+LETTER_WORDS = r"regexp_extract_all(lower(text), '[\pL\pN]+')"
 
 
 @query("a01_basic", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_extendedprice), 2) AS s, min(l_quantity) AS lo, max(l_quantity) AS hi, round(avg(l_discount), 6) AS m FROM lineitem GROUP BY ALL")
@@ -224,9 +225,9 @@ def _(t):
     return t.lineitem.select([F.col(c).cast("string") for c in cols]).unpivot([], cols, "c", "v").distinct()
 
 
-@query("a26_word_counts", f"SELECT word, count(*) AS n FROM (SELECT unnest({WORDS}) AS word FROM documents) GROUP BY 1")
+@query("a26_word_counts", f"SELECT word, count(*) AS n FROM (SELECT unnest({LETTER_WORDS}) AS word FROM documents) GROUP BY 1")
 def _(t):
-    return A.word_counts(t.documents, ascii_words("text"))
+    return A.word_counts(t.documents, letter_words("text"))
 
 
 @query("a27_class_balance", "SELECT toxic, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM labels GROUP BY 1")
@@ -243,9 +244,9 @@ def _(t):
 
 
 @query("a29_list_moments", """SELECT doc_id, round(list_avg(l), 6) AS mean, round(list_stddev_pop(l), 6) AS std, CAST(list_min(l) AS DOUBLE) AS min, CAST(list_max(l) AS DOUBLE) AS max,
-  list_median(l) AS median FROM (SELECT doc_id, list_transform(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x)) AS l FROM documents)""")
+  list_median(l) AS median FROM (SELECT doc_id, list_transform(regexp_extract_all(lower(text), '[\\pL\\pN]+'), lambda x: length(x)) AS l FROM documents)""")
 def _(t):
-    lengths = t.documents.select("doc_id", F.transform(ascii_words("text"), F.length).alias("l"))
+    lengths = t.documents.select("doc_id", F.transform(letter_words("text"), F.length).alias("l"))
     return rounded(lengths.select("doc_id", *[c.alias(n) for n, c in A.array_moments(F.col("l")).items()]))
 
 
@@ -311,11 +312,11 @@ def _(t):
     return rounded(cells.groupBy("cart_pos").agg(F.avg(F.col("again") / F.col("n")).alias("reorder_rate"), F.count("*").alias("total_count")))
 
 
-@query("a39_always_reordered", basket_sql("""SELECT user_id, count(*) FILTER (m = 1) AS n_equal FROM (SELECT user_id, order_id, avg(reordered) m FROM lines WHERE order_number > 15 GROUP BY ALL)
-  GROUP BY 1 HAVING avg(CASE WHEN m = 1 THEN 1 ELSE 0 END) = 1"""))
+@query("a39_always_reordered", basket_sql("""SELECT user_id, count(*) FILTER (m = 1) AS n_equal, CAST(min(CASE WHEN m = 1 THEN 1 ELSE 0 END) AS BIGINT) AS every
+  FROM (SELECT user_id, order_id, avg(reordered) m FROM lines WHERE order_number > 2 GROUP BY ALL) GROUP BY 1"""))
 def _(t):
-    per = basket_lines(t).where("order_number > 15").groupBy("user_id", "order_id").agg(F.min("reordered").alias("all_again"))
-    return per.groupBy("user_id").agg(F.sum("all_again").alias("n_equal"), F.min("all_again").alias("every")).where("every = 1").drop("every")
+    per = basket_lines(t).where("order_number > 2").groupBy("user_id", "order_id").agg(F.min("reordered").alias("all_again"))
+    return per.groupBy("user_id").agg(F.sum("all_again").alias("n_equal"), F.min("all_again").alias("every"))
 
 
 @query("a40_category_roll_up", basket_sql("""SELECT department_id, aisle_id, 'department ' || department_id AS department, 'aisle ' || aisle_id AS aisle, n, CAST(sumcount AS BIGINT) AS sumcount

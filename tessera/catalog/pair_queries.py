@@ -124,7 +124,7 @@ def ngram_sql(c, n):
     return f"list_transform(range(1, greatest(CAST(len({c}) AS INT) - {n - 2}, 1)), lambda i: array_to_string({c}[i:i + {n - 1}], '_'))"
 
 
-TOKENS = PAIRS + r""", tk AS (SELECT id, regexp_extract_all(lower(a), '\w\w+') AS a1, regexp_extract_all(lower(b), '\w\w+') AS b1,
+TOKENS = PAIRS + r""", tk AS (SELECT id, regexp_extract_all(lower(a), '[\pL\pN_][\pL\pN_]+') AS a1, regexp_extract_all(lower(b), '[\pL\pN_][\pL\pN_]+') AS b1,
   list_filter(regexp_split_to_array(a, '\s+'), lambda w: w <> '') AS aw, list_filter(regexp_split_to_array(b, '\s+'), lambda w: w <> '') AS bw FROM pr),
   ng AS (SELECT id, a1, b1, """ + ", ".join(f"{ngram_sql(s + 'w', n)} AS {s}{n}" for s in "ab" for n in (2, 3)) + " FROM tk)"
 
@@ -244,13 +244,13 @@ def _(t):
     return rounded(both.select("vec_id", *[c.alias(n) for n, c in S.vector_distances(F.col("x"), F.col("y")).items()]), 5)
 
 
-WORD_VECTORS = """ww AS (SELECT id, 'a' AS s, unnest(regexp_extract_all(lower(a), '[a-z0-9]+')) AS word FROM pr UNION ALL SELECT id, 'b', unnest(regexp_extract_all(lower(b), '[a-z0-9]+')) FROM pr),
+WORD_VECTORS = """ww AS (SELECT id, 'a' AS s, unnest(regexp_extract_all(lower(a), '[\\pL\\pN]+')) AS word FROM pr UNION ALL SELECT id, 'b', unnest(regexp_extract_all(lower(b), '[\\pL\\pN]+')) FROM pr),
   wv AS (SELECT word, embedding AS vector FROM (SELECT DISTINCT word, (ascii(word) * 131 + ascii(substr(word, 2, 1)) * 17 + length(word) * 7) % (SELECT count(*) FROM embeddings) AS vec_id FROM ww) JOIN embeddings USING (vec_id))"""
 
 
 def word_vectors(t, p):
     """Vectors for the words of the pairs: an embedding picked by the word's letters and length."""
-    w = p.select(F.explode(F.concat(X.ascii_words("a"), X.ascii_words("b"))).alias("word")).distinct()
+    w = p.select(F.explode(F.concat(X.letter_words("a"), X.letter_words("b"))).alias("word")).distinct()
     n = t.embeddings.agg(F.count(F.lit(1))).scalar()
     at = (F.ascii("word") * 131 + F.ascii(F.substring("word", 2, 1)) * 17 + F.length("word") * 7) % n
     return w.withColumn("vec_id", at).join(t.embeddings, "vec_id").select("word", F.col("embedding").alias("vector"))
@@ -263,11 +263,20 @@ SENT = f"""{PAIRS}, {WORD_VECTORS}, sv AS (SELECT id, s, pos, sum(v) AS v FROM (
 @query("s14_sentence_vectors", f"WITH {SENT} SELECT id, list(round(v, 5) + 0.0 ORDER BY pos) AS vector FROM un WHERE s = 'a' GROUP BY 1")
 def _(t):
     p = pairs(t)
-    v = M.sentence_vectors(p.select("id", F.explode(X.ascii_words("a")).alias("word")), "id", word_vectors(t, p))
+    v = M.sentence_vectors(p.select("id", F.explode(X.letter_words("a")).alias("word")), "id", word_vectors(t, p))
     return v.select("id", F.transform("vector", lambda x: F.round(x, 5) + F.lit(0.0)).alias("vector"))
 
 
-RATIO_CTE = PAIRS + """, tk AS (SELECT id, regexp_extract_all(lower(a), '[a-z0-9]+') AS x, regexp_extract_all(lower(b), '[a-z0-9]+') AS y FROM pr),
+# the SQL dialect counts edits in bytes: letters beyond ASCII become one question mark, on both sides
+def one_byte_words(c):
+    return F.transform(X.letter_words(c), lambda w: F.regexp_replace(w, r"[^\x00-\x7F]", "?"))
+
+
+def one_byte_sql(c):
+    return rf"list_transform(regexp_extract_all(lower({c}), '[\pL\pN]+'), lambda w: regexp_replace(w, '[^\x00-\x7F]', '?', 'g'))"
+
+
+RATIO_CTE = PAIRS + """, tk AS (SELECT id, """ + one_byte_sql("a") + """ AS x, """ + one_byte_sql("b") + """ AS y FROM pr),
   st AS (SELECT *, list_sort(list_intersect(x, y)) AS c, list_sort(list_distinct(list_filter(x, lambda w: NOT list_contains(y, w)))) AS dx, list_sort(list_distinct(list_filter(y, lambda w: NOT list_contains(x, w)))) AS dy FROM tk),
   tx AS (SELECT id, array_to_string(x, ' ') AS px, array_to_string(y, ' ') AS py, array_to_string(list_sort(x), ' ') AS sx, array_to_string(list_sort(y), ' ') AS sy, array_to_string(c, ' ') AS c,
     array_to_string(list_concat(c, dx), ' ') AS cx, array_to_string(list_concat(c, dy), ' ') AS cy FROM st)"""
@@ -282,7 +291,7 @@ RATIO_SQL = f"round({edit_sql('px', 'py')}, 6) AS plain, round({edit_sql('sx', '
 
 @query("s15_text_ratios", f"WITH {RATIO_CTE} SELECT id, {RATIO_SQL} FROM tx")
 def _(t):
-    w = pairs(t).select("id", X.ascii_words("a").alias("x"), X.ascii_words("b").alias("y"))
+    w = pairs(t).select("id", one_byte_words("a").alias("x"), one_byte_words("b").alias("y"))
     return rounded(w.select("id", *[c.alias(n) for n, c in S.text_ratios(F.col("x"), F.col("y")).items()]))
 
 
@@ -307,16 +316,16 @@ def _(t):
 
 
 @query("s19_word_grid", f"""WITH {PAIRS}, {WORD_VECTORS}, dn AS (SELECT word, count(DISTINCT (id, s)) AS n FROM ww GROUP BY 1), ii AS (SELECT word, ln((1 + 2 * (SELECT count(*) FROM pr)) / (1 + n)) + 1 AS idf FROM dn),
-  x AS (SELECT id, unnest(regexp_extract_all(lower(a), '[a-z0-9]+')[1:10]) AS word, generate_subscripts(regexp_extract_all(lower(a), '[a-z0-9]+')[1:10], 1) AS p FROM pr),
-  y AS (SELECT id, unnest(regexp_extract_all(lower(b), '[a-z0-9]+')[1:10]) AS word, generate_subscripts(regexp_extract_all(lower(b), '[a-z0-9]+')[1:10], 1) AS q FROM pr),
+  x AS (SELECT id, unnest(regexp_extract_all(lower(a), '[\\pL\\pN]+')[1:10]) AS word, generate_subscripts(regexp_extract_all(lower(a), '[\\pL\\pN]+')[1:10], 1) AS p FROM pr),
+  y AS (SELECT id, unnest(regexp_extract_all(lower(b), '[\\pL\\pN]+')[1:10]) AS word, generate_subscripts(regexp_extract_all(lower(b), '[\\pL\\pN]+')[1:10], 1) AS q FROM pr),
   c AS (SELECT x.id, (p - 1) * 10 + q - 1 AS at, list_cosine_similarity(v.vector::DOUBLE[], w.vector::DOUBLE[]) * i.idf * j.idf AS v FROM x JOIN wv v USING (word) JOIN ii i ON i.word = x.word JOIN y ON x.id = y.id JOIN wv w ON w.word = y.word JOIN ii j ON j.word = y.word)
   SELECT id, round(sum(v), 4) AS total, round(max(v), 4) AS best, count(*) AS cells FROM c GROUP BY 1""")
 def _(t):
     p = pairs(t)
-    sides = p.select(F.concat(F.array_distinct(X.ascii_words("a")), F.array_distinct(X.ascii_words("b"))).alias("w"))
+    sides = p.select(F.concat(F.array_distinct(X.letter_words("a")), F.array_distinct(X.letter_words("b"))).alias("w"))
     n = p.agg(2 * F.count(F.lit(1))).scalar()
     idf = sides.select(F.explode("w").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).select("word", (F.log((1 + n) / (1 + F.col("n"))) + 1).alias("idf"))
-    grid = M.word_grid(p.select("id", X.ascii_words("a").alias("a"), X.ascii_words("b").alias("b")), "id", word_vectors(t, p), idf)
+    grid = M.word_grid(p.select("id", X.letter_words("a").alias("a"), X.letter_words("b").alias("b")), "id", word_vectors(t, p), idf)
     return rounded(grid.select("id", F.explode("grid").alias("v")).groupBy("id").agg(
         F.sum("v").alias("total"), F.max(F.when(F.col("v") != 0, F.col("v"))).alias("best"), F.count_if(F.col("v") != 0).alias("cells")).where("cells > 0"), 4)
 
@@ -330,10 +339,18 @@ def _(t):
     return rounded(pairs(t).select("id", *[c.alias(n) for n, c in S.length_features(F.col("a"), F.col("b")).items()]))
 
 
-@query("f18_pair_overlap", f"""WITH {WORDS}, {GRAMS} SELECT id, CAST({SHARE} AS DOUBLE) AS word_match, {overlap_sql([*OVERLAP, *RATIOS])}, a.share AS tfidf_wm, b.share AS tfidf_wm_stops FROM wd
-  LEFT JOIN ({weighted_sql('true')}) a USING (id) LEFT JOIN ({weighted_sql(f'NOT list_contains({STOP}, gram)')}) b USING (id)""")
+PAIR_ENDS = """ed AS (SELECT p.conv_id || '-' || p.turn AS id, md5(p.text) AS na, md5(q.text) AS nb FROM conversations p JOIN conversations q ON p.conv_id = q.conv_id AND q.turn = p.turn + 1),
+  fr AS (SELECT n, count(*) AS f FROM (SELECT na AS n FROM ed UNION ALL SELECT nb FROM ed) GROUP BY 1),
+  nb AS (SELECT DISTINCT na AS src, nb AS dst FROM ed WHERE na <> nb UNION SELECT DISTINCT nb, na FROM ed WHERE na <> nb),
+  cm AS (SELECT na, nb, count(*) AS common FROM (SELECT DISTINCT na, nb FROM ed) JOIN nb x ON x.src = na JOIN nb y ON y.src = nb AND x.dst = y.dst GROUP BY ALL),
+  ends AS (SELECT id, x.f AS a_freq, y.f AS b_freq, coalesce(common, 0) AS common FROM ed JOIN fr x ON x.n = na JOIN fr y ON y.n = nb LEFT JOIN cm USING (na, nb))"""
+
+
+@query("f18_pair_overlap", f"""WITH {WORDS}, {GRAMS}, {PAIR_ENDS} SELECT id, a_freq, b_freq, common, CAST({SHARE} AS DOUBLE) AS word_match, {overlap_sql([*OVERLAP, *RATIOS])}, a.share AS tfidf_wm, b.share AS tfidf_wm_stops FROM wd
+  LEFT JOIN ({weighted_sql('true')}) a USING (id) LEFT JOIN ({weighted_sql(f'NOT list_contains({STOP}, gram)')}) b USING (id) JOIN ends USING (id)""")
 def _(t):
-    return rounded(P.overlap_table(pairs(t), "id", STOP_WORDS))
+    p = pairs(t).withColumn("na", F.md5("a")).withColumn("nb", F.md5("b"))
+    return rounded(P.overlap_table(p, "id", STOP_WORDS, ("na", "nb")))
 
 
 def gram_counts_sql():
@@ -353,10 +370,10 @@ def _(t):
     return rounded(P.gram_table(pairs(t), "id"))
 
 
-@query("f20_pair_characters", f"WITH {PAIRS}, {', '.join(char_grams_sql(n, f'g{n}') for n in (1, 2, 3))} SELECT id, {LENGTHS}, o1.* EXCLUDE (id), o2.* EXCLUDE (id), o3.* EXCLUDE (id), d1.* EXCLUDE (id), d2.* EXCLUDE (id), d3.* EXCLUDE (id) FROM pr "
+@query("f20_pair_characters", f"WITH {PAIRS}, {', '.join(char_grams_sql(n, f'g{n}') for n in (1, 2, 3))} SELECT id, {LENGTHS}, round(least(greatest(length(a), 1) / greatest(length(b), 1), (SELECT max(greatest(length(a), 1) / greatest(length(b), 1)) + 2 * stddev_samp(greatest(length(a), 1) / greatest(length(b), 1)) FROM pr WHERE label = 1)), 6) AS ratio_len_capped, o1.* EXCLUDE (id), o2.* EXCLUDE (id), o3.* EXCLUDE (id), d1.* EXCLUDE (id), d2.* EXCLUDE (id), d3.* EXCLUDE (id) FROM pr "
        + " ".join(f"LEFT JOIN ({char_overlap_sql(f'g{n}', f'g{n}_')}) o{n} USING (id) LEFT JOIN ({char_distance_sql(f'g{n}', f'g{n}_')}) d{n} USING (id)" for n in (1, 2, 3)))
 def _(t):
-    out = P.char_table(pairs(t), "id")
+    out = P.char_table(pairs(t), "id", "label")
     far = [c for c in out.columns if c.endswith(("cosine", "euclidean"))]
     return rounded(rounded(out, 5, far), 6)
 
@@ -371,7 +388,7 @@ def _(t):
   FROM tx LEFT JOIN ds ON tx.id = ds.id LEFT JOIN sh p ON p.id = tx.id AND p.s = 'a' LEFT JOIN sh q ON q.id = tx.id AND q.s = 'b'""")
 def _(t):
     p = pairs(t)
-    return rounded(P.vector_table(p, "id", word_vectors(t, p)), 4)
+    return rounded(P.vector_table(p, "id", word_vectors(t, p), one_byte_words), 4)
 
 
 @query("s21_nearest_neighbours", """WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),

@@ -18,7 +18,12 @@ def lit(s: str) -> str:
 
 def fold(expr: str, pairs) -> str:
     for pattern, repl in pairs:
-        pattern = pattern.replace("(?<![A-Za-z0-9_])", r"\b").replace("(?![A-Za-z0-9_])", r"\b")
+        if r"\b" in pattern:  # the dialect's boundaries are ASCII ones: match the neighbours, twice for shared ones
+            word = pattern.replace(r"\b", "")
+            once = lit(rf"(^|[^\pL\pN_])({word})($|[^\pL\pN_])")
+            for _ in range(2):
+                expr = f"regexp_replace({expr}, {once}, {lit(chr(92) + '1' + repl + chr(92) + '3')}, 'g')"
+            continue
         expr = f"regexp_replace({expr}, {lit(pattern)}, {lit(repl.replace('$1', chr(92) + '1'))}, 'g')"
     return expr
 
@@ -181,7 +186,7 @@ def _(t):
     return t.pages.select("page_id", F.posexplode(X.sentences(X.html_text("html"))).alias("pos", "sentence"))
 
 
-@query("x16_tokens", rf"SELECT doc_id, CAST(len({words_sql('text')}) AS INT) AS spaced, CAST(len(regexp_extract_all(lower(text), '\w\w+')) AS INT) AS words FROM documents")
+@query("x16_tokens", rf"SELECT doc_id, CAST(len({words_sql('text')}) AS INT) AS spaced, CAST(len(regexp_extract_all(lower(text), '[\pL\pN_][\pL\pN_]+')) AS INT) AS words FROM documents")
 def _(t):
     return docs(t, spaced=F.size(X.space_words("text")), words=F.size(X.regex_words("text")))
 
@@ -190,7 +195,7 @@ STEM_SQL = "CASE " + " ".join(
     f"WHEN regexp_matches(w, {lit(p.replace('(?<=', '(?:'))}) THEN regexp_replace(w, {lit(p.split(')')[-1])}, {lit(r)})" for p, r in X.STEM_RULES) + " ELSE w END"
 
 
-@query("x17_stems", rf"SELECT doc_id, array_to_string(list_transform(regexp_extract_all(lower(text), '\w\w+'), lambda w: {STEM_SQL}), ' ') AS stems FROM documents")
+@query("x17_stems", rf"SELECT doc_id, array_to_string(list_transform(regexp_extract_all(lower(text), '[\pL\pN_][\pL\pN_]+'), lambda w: {STEM_SQL}), ' ') AS stems FROM documents")
 def _(t):
     return docs(t, stems=F.array_join(F.transform(X.regex_words("text"), X.stem), " "))
 
@@ -199,7 +204,7 @@ def grams_sql(words, n, sep="_"):
     return f"list_transform(range(1, greatest(CAST(len({words}) AS INT) - {n - 2}, 1)), lambda i: array_to_string({words}[i:i + {n - 1}], '{sep}'))"
 
 
-REGEX_WORDS = r"regexp_extract_all(lower(text), '\w\w+')"
+REGEX_WORDS = r"regexp_extract_all(lower(text), '[\pL\pN_][\pL\pN_]+')"
 
 
 @query("x18_word_ngrams", f"WITH w AS (SELECT doc_id, {REGEX_WORDS} AS w FROM documents) SELECT doc_id, array_to_string({grams_sql('w', 2)}, ' ') AS two, array_to_string({grams_sql('w', 3, '_*_')}, ' ') AS three FROM w")
@@ -267,19 +272,19 @@ def _(t):
     return p.withColumn("both", F.col("q1") * F.col("q2"))
 
 
-VOC = """w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word, generate_subscripts(regexp_extract_all(lower(text), '[a-z0-9]+'), 1) AS pos FROM documents),
+VOC = """w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\pL\\pN]+')) AS word, generate_subscripts(regexp_extract_all(lower(text), '[\\pL\\pN]+'), 1) AS pos FROM documents),
   v AS (SELECT word, row_number() OVER (ORDER BY count(*) DESC, word) AS id FROM w GROUP BY 1),
   s AS (SELECT doc_id, coalesce(ids, []) AS ids FROM documents LEFT JOIN (SELECT doc_id, list(id ORDER BY pos) AS ids FROM w JOIN v USING (word) GROUP BY 1) USING (doc_id))"""
 
 
 @query("x26_id_sequences", f"WITH {VOC} SELECT doc_id, ids FROM s")
 def _(t):
-    return V.id_sequences(t.documents, "doc_id", X.ascii_words("text"))
+    return V.id_sequences(t.documents, "doc_id", X.letter_words("text"))
 
 
 @query("x27_padded_sequences", f"WITH {VOC} SELECT doc_id, list_concat(list_resize([]::BIGINT[], greatest(80 - len(ids), 0), 0), ids[greatest(len(ids) - 79, 1):]) AS ids FROM s")
 def _(t):
-    s = V.id_sequences(t.documents, "doc_id", X.ascii_words("text"))
+    s = V.id_sequences(t.documents, "doc_id", X.letter_words("text"))
     return s.select("doc_id", X.pad_sequence(F.col("ids"), 80).alias("ids"))
 
 
@@ -292,14 +297,14 @@ def part_sql(n):
     return f"0.33::DOUBLE * list_sum(list_transform(list_distinct({c}), lambda g: least(len(list_filter({c}, lambda x: x = g)), len(list_filter({r}, lambda x: x = g))))) / (length(c) - {n - 1} + 0.0001::DOUBLE)"
 
 
-@query("x28_spelling_neighbours", f"""WITH w AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents), b AS (SELECT word, count(*) n FROM w GROUP BY 1 HAVING count(*) > 10 AND length(word) >= 5),
+@query("x28_spelling_neighbours", f"""WITH w AS (SELECT unnest(regexp_extract_all(lower(text), '\\pL+')) AS word FROM documents), b AS (SELECT word, count(*) n FROM w GROUP BY 1 HAVING count(*) > 10 AND length(word) >= 5),
   p AS (SELECT x.word AS c, y.word AS r, y.n AS rn FROM b x JOIN b y ON substr(x.word, 1, 3) = substr(y.word, 1, 3) AND abs(length(x.word) - length(y.word)) <= 3 AND (y.n > x.n OR (y.n = x.n AND y.word < x.word))
     AND len(list_intersect({letters_sql('y.word', 1)}, {letters_sql('x.word', 1)})) >= len(list_distinct({letters_sql('y.word', 1)})) * 0.7),
   s AS (SELECT c, r, rn, {part_sql(1)} AS p1, {part_sql(2)} AS p2, {part_sql(3)} AS p3 FROM p),
   z AS (SELECT c, r, rn, round((CASE WHEN length(c) > length(r) THEN 0.0 ELSE greatest(least(1 - length(r) / length(c), 0.0), -0.5) END)::DOUBLE + p1 + p2 + p3, 6) AS score FROM s WHERE p1 >= 0.25 AND p2 >= 0.25 AND p3 >= 0.25)
   SELECT c AS word, r AS near, score FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY score DESC, rn DESC, r DESC) k FROM z WHERE score > 0.60) WHERE k = 1""")
 def _(t):
-    words = t.documents.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
+    words = t.documents.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\pL+"), F.lit(0))).alias("word"))
     return V.spelling_neighbours(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -311,10 +316,10 @@ def _(t):
 
 
 @query("x30_balanced_word_counts", """WITH d AS (SELECT doc_id, text, doc_id % 4 = 0 AS test FROM documents), r AS (SELECT count(*) FILTER (NOT test) * 0.5 / count(*) FILTER (test) AS r FROM d),
-  w AS (SELECT test, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM d) SELECT word, CAST(count(*) FILTER (NOT test) AS DOUBLE) AS train_n, round(count(*) FILTER (test) * (SELECT r FROM r), 6) AS test_n FROM w GROUP BY 1""")
+  w AS (SELECT test, unnest(regexp_extract_all(lower(text), '[\\pL\\pN]+')) AS word FROM d) SELECT word, CAST(count(*) FILTER (NOT test) AS DOUBLE) AS train_n, round(count(*) FILTER (test) * (SELECT r FROM r), 6) AS test_n FROM w GROUP BY 1""")
 def _(t):
     d = t.documents
-    return rounded(V.balanced_word_counts(d.where("doc_id % 4 <> 0"), d.where("doc_id % 4 = 0"), X.ascii_words("text")))
+    return rounded(V.balanced_word_counts(d.where("doc_id % 4 <> 0"), d.where("doc_id % 4 = 0"), X.letter_words("text")))
 
 
 CG = char_gram_sql("text")

@@ -53,18 +53,6 @@ def dice(a: Column, b: Column) -> Column:
     return safe_ratio(2 * F.size(F.array_intersect(x, y)), F.size(x) + F.size(y))
 
 
-def found_in(obs: Column, target: Column) -> Column:
-    """How many of the observed grams, repeats included, occur in the target."""
-    return F.size(F.filter(obs, lambda x: F.array_contains(target, x)))
-
-
-def positions_in(obs: Column, target: Column) -> Column:
-    """1-based places of observed grams that occur in the target; [0] when none does."""
-    marked = F.transform(obs, lambda x, i: F.when(F.array_contains(target, x), i + 1))
-    places = F.filter(marked, lambda p: p.isNotNull())
-    return bound(places, lambda p: F.when(F.size(p) > 0, p).otherwise(F.array(F.lit(0))))
-
-
 def vector_distances(x: Column, y: Column) -> dict[str, Column]:
     """Cityblock, Canberra, Euclidean, Minkowski (p = 3) and Bray-Curtis distances."""
     def total(f):

@@ -1,11 +1,6 @@
 """Fixed values of the text cleaners: rule lists and word lists, applied in the order given."""
 
 
-def whole_word(word: str) -> str:
-    """The word between ASCII word boundaries."""
-    return rf"(?<![A-Za-z0-9_]){word}(?![A-Za-z0-9_])"
-
-
 # Question cleaning. The first rule leaves only letters, digits and
 # spaces, so rules that need other characters can never apply and are not listed.
 QUESTION_RULES = [
@@ -60,8 +55,8 @@ QUESTION_STOP_WORDS = [
     "What", "Which", "Is", "If", "While", "This",
 ]
 
-# Emoticons of the comment cleaner.
-EMOTICON_RULES = [
+# The comment cleaner, in the order given. Word boundaries are those of Unicode text.
+COMMENT_RULES = [
     ("&lt;3", " heart "),
     (":d", " smile "),
     (":dd", " smile "),
@@ -86,35 +81,28 @@ EMOTICON_RULES = [
     ("- :", ""),
     (":s", " sad "),
     (":-s", " sad "),
-]
-
-# Contractions and short forms of the comment cleaner, whole words first.
-WHOLE_WORD_RULES = [
-    ("r", "are"),
-    ("u", "you"),
-    ("haha", "ha"),
-    ("hahaha", "ha"),
-    ("don't", "do not"),
-    ("doesn't", "does not"),
-    ("didn't", "did not"),
-    ("hasn't", "has not"),
-    ("haven't", "have not"),
-    ("hadn't", "had not"),
-    ("won't", "will not"),
-    ("wouldn't", "would not"),
-    ("can't", "can not"),
-    ("cannot", "can not"),
-    ("i'm", "i am"),
-    ("I'm", "i am"),
-]
-SUFFIX_RULES = [
+    ("(A|a)in't", "is not"),
+    (r"\br\b", "are"),
+    (r"\bu\b", "you"),
+    (r"\bhaha\b", "ha"),
+    (r"\bhahaha\b", "ha"),
+    (r"\bdon't\b", "do not"),
+    (r"\bdoesn't\b", "does not"),
+    (r"\bdidn't\b", "did not"),
+    (r"\bhasn't\b", "has not"),
+    (r"\bhaven't\b", "have not"),
+    (r"\bhadn't\b", "had not"),
+    (r"\bwon't\b", "will not"),
+    (r"\bwouldn't\b", "would not"),
+    (r"\bcan't\b", "can not"),
+    (r"\bcannot\b", "can not"),
+    (r"\bi'm\b", "i am"),
+    (r"\bI'm\b", "i am"),
     ("'s", "is"),
     (r"(\w+)'d", "$1 would"),
     (r"(\w+)'ll", "$1 will"),
     (r"(\w+)'ve", "$1 have"),
-]
-REPEATED_LETTER_RULE = (r"([a-z])\1{2,}", "$1")
-SPELLING_RULES = [
+    (r"([a-z])\1{2,}", "$1"),
     ("'re", " are"),
     (r"\(UTC\) ", ""),
     ("fuckin", "fucking"),
@@ -147,14 +135,7 @@ SPELLING_RULES = [
     (r"\d+", ""),
     (r"\s+", " "),
 ]
-COMMENT_RULES = (
-    EMOTICON_RULES
-    + [("(A|a)in't", "is not")]
-    + [(whole_word(w), r) for w, r in WHOLE_WORD_RULES]
-    + SUFFIX_RULES
-    + [REPEATED_LETTER_RULE]
-    + SPELLING_RULES
-)
+REPEATED_LETTER_RULE = (r"([a-z])\1{2,}", "$1")
 
 # Contractions expanded before character n-grams; the text is lower case by then.
 CHAR_GRAM_RULES = [

@@ -19,11 +19,19 @@ def ascii_words(c) -> Column:
     return F.regexp_extract_all(F.lower(_col(c)), F.lit("[a-z0-9]+"), F.lit(0))
 
 
+def letter_words(c) -> Column:
+    """Lowered runs of letters and digits of any script."""
+    return F.regexp_extract_all(F.lower(_col(c)), F.lit(r"[\pL\pN]+"), F.lit(0))
+
+
 def replace_all(c, rules: Iterable[tuple[str, str]]) -> Column:
-    """Apply (pattern, replacement) rules in order; ``$1`` refers to a group."""
+    """Apply (pattern, replacement) rules in order; ``$1`` refers to a group.
+
+    Word boundaries are Unicode ones: a letter of any script is part of a word.
+    """
     out = _col(c)
     for pattern, replacement in rules:
-        out = F.regexp_replace(out, pattern, replacement)
+        out = F.regexp_replace(out, f"(?U){pattern}" if r"\b" in pattern else pattern, replacement)
     return out
 
 
@@ -32,10 +40,9 @@ def space_words(c) -> Column:
     return F.filter(F.split(_col(c), r"\s+"), lambda w: w != "")
 
 
-def regex_words(c, unicode: bool = False) -> Column:
-    """Lowered words of two or more word characters."""
-    pattern = r"(?U)\w\w+" if unicode else r"\w\w+"
-    return F.regexp_extract_all(F.lower(_col(c)), F.lit(pattern), F.lit(0))
+def regex_words(c) -> Column:
+    """Lowered words of two or more word characters (letters and digits of any script, underscores)."""
+    return F.regexp_extract_all(F.lower(_col(c)), F.lit(r"[\pL\pN_]{2,}"), F.lit(0))
 
 
 PUNCTUATION = r"[!-/:-@\[-`{-~]"

@@ -12,6 +12,8 @@ from tessera.functions import pairs as S
 from tessera.functions import text as X
 from tessera.functions.scalars import safe_ratio
 from tessera.operators.aggregates import array_moments, array_shape
+from tessera.operators.fills import cap_by_class
+from tessera.operators.joins import common_neighbours
 from tessera.operators.similarity import (
     gram_distances, gram_overlap, inverse_weights, pair_degrees, pair_grams, sentence_vectors, weighted_share,
 )
@@ -21,8 +23,12 @@ def joined(parts: Sequence[DataFrame], key: str) -> DataFrame:
     return reduce(lambda x, y: x.join(y, key, "left"), parts)
 
 
-def overlap_table(pairs: DataFrame, key: str, stop: Sequence[str]) -> DataFrame:
-    """Word overlap of the lowered tokens, plain and weighted by inverse frequency."""
+def overlap_table(pairs: DataFrame, key: str, stop: Sequence[str], ends: tuple[str, str] | None = None) -> DataFrame:
+    """Word overlap of the lowered tokens, plain and weighted by inverse frequency.
+
+    ``ends`` names the columns that identify the two texts; with them the
+    frequencies of both ends and their common partners are added.
+    """
     words = pairs.select(key, X.space_words(F.lower("a")).alias("x"), X.space_words(F.lower("b")).alias("y"))
     x, y = F.col("x"), F.col("y")
     base = words.select(
@@ -34,6 +40,7 @@ def overlap_table(pairs: DataFrame, key: str, stop: Sequence[str]) -> DataFrame:
     return joined([
         base, weighted_share(grams, key, weights).withColumnRenamed("share", "tfidf_wm"),
         weighted_share(grams, key, weights, stop).withColumnRenamed("share", "tfidf_wm_stops"),
+        *([degree_table(pairs, key, *ends)] if ends else []),
     ], key)
 
 
@@ -49,12 +56,14 @@ def gram_table(pairs: DataFrame, key: str) -> DataFrame:
     ).select(
         key, "a1", "b1", *[X.word_ngrams(F.col(f"{s}w"), n).alias(f"{s}{n}") for s in "ab" for n in (2, 3)]
     )
-    first = []
-    for n in (1, 2, 3):
-        a, b = F.col(f"a{n}"), F.col(f"b{n}")
-        first += [S.found_in(a, b).alias(f"a{n}_in_b"), S.found_in(b, a).alias(f"b{n}_in_a"),
-                  S.positions_in(a, b).alias(f"pa{n}"), S.positions_in(b, a).alias(f"pb{n}")]
-    wide = base.select("*", *first)
+    sides = [(s, n) for n in (1, 2, 3) for s in "ab"]
+    places = common_places(base, key, sides)
+    wide = base.join(places, key, "left")
+    for s, n in sides:
+        found = F.coalesce(F.size(f"__{s}{n}"), F.lit(0))
+        wide = wide.withColumn(f"{s}{n}_in_{'b' if s == 'a' else 'a'}", found).withColumn(
+            f"p{s}{n}", F.coalesce(f"__{s}{n}", F.array(F.lit(0)))
+        )
     out = [F.col(key)]
     for n in (1, 2, 3):
         a, b = F.col(f"a{n}"), F.col(f"b{n}")
@@ -74,9 +83,44 @@ def gram_table(pairs: DataFrame, key: str) -> DataFrame:
     return wide.select(*out)
 
 
-def char_table(pairs: DataFrame, key: str) -> DataFrame:
-    """Lengths, and overlap and TF-IDF distances of character 1-, 2- and 3-grams."""
-    parts = [pairs.select(key, *[c.alias(n) for n, c in S.length_features(F.col("a"), F.col("b")).items()])]
+def common_places(base: DataFrame, key: str, sides: Sequence[tuple[str, int]]) -> DataFrame:
+    """Per pair the 1-based places of the grams that the other side has too: (key, __a1, __b1, ...).
+
+    Grams meet in a join on (pair, length, gram), so a long text costs its length.
+    """
+    lists = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(n).alias("n"), F.col(f"{s}{n}").alias("g")) for s, n in sides])
+    each = base.select(key, F.explode(lists).alias("x")).select(
+        key, "x.s", "x.n", F.posexplode("x.g").alias("place", "gram")
+    )
+    shared = each.groupBy(key, "n", "gram").agg(F.min("s").alias("one"), F.max("s").alias("two")).where("one < two")
+    hits = each.join(shared.drop("one", "two"), [key, "n", "gram"])
+    return hits.groupBy(key).agg(*[
+        F.nullif(
+            F.sort_array(F.collect_list(F.when((F.col("s") == s) & (F.col("n") == n), F.col("place") + 1))),
+            F.array().cast("array<int>"),
+        ).alias(f"__{s}{n}") for s, n in sides
+    ])
+
+
+def degree_table(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
+    """How often each side of a pair occurs in any pair, and how many partners both sides share."""
+    edges = pairs.select(key, F.col(a).alias("__a"), F.col(b).alias("__b"))
+    degrees = pair_degrees(edges, "__a", "__b")
+    shared = common_neighbours(edges.select("__a", "__b").distinct(), "__a", "__b")
+    return degrees.join(shared, ["__a", "__b"], "left").select(
+        key, F.col("__a_freq").alias("a_freq"), F.col("__b_freq").alias("b_freq"), F.coalesce("common", F.lit(0)).alias("common"),
+    )
+
+
+def char_table(pairs: DataFrame, key: str, label: str | None = None) -> DataFrame:
+    """Lengths, and overlap and TF-IDF distances of character 1-, 2- and 3-grams.
+
+    With a 0/1 ``label`` the length ratio is also given capped by class 1.
+    """
+    lengths = pairs.select(key, *([label] if label else []), *[c.alias(n) for n, c in S.length_features(F.col("a"), F.col("b")).items()])
+    if label:
+        lengths = lengths.withColumn("ratio_len_capped", cap_by_class(lengths, "ratio_len", label)).drop(label)
+    parts = [lengths]
     documents = pairs.agg(2 * F.count(F.lit(1))).scalar()
     for n in (1, 2, 3):
         grams = pair_grams(pairs, key, X.char_ngrams("a", n), X.char_ngrams("b", n))
@@ -85,13 +129,13 @@ def char_table(pairs: DataFrame, key: str) -> DataFrame:
     return joined(parts, key)
 
 
-def vector_table(pairs: DataFrame, key: str, vectors: DataFrame) -> DataFrame:
-    """Distances between sentence vectors, their skewness and kurtosis, and text ratios."""
+def vector_table(pairs: DataFrame, key: str, vectors: DataFrame, ratio_words=X.letter_words) -> DataFrame:
+    """Distances between sentence vectors, their skewness and kurtosis, and text ratios of ``ratio_words``."""
     sides = []
     for s in "ab":
-        words = pairs.select(key, F.explode(X.ascii_words(s)).alias("word"))
+        words = pairs.select(key, F.explode(X.letter_words(s)).alias("word"))
         sides.append(sentence_vectors(words, key, vectors).withColumnRenamed("vector", f"v{s}"))
-    base = pairs.select(key, X.ascii_words("a").alias("x"), X.ascii_words("b").alias("y"))
+    base = pairs.select(key, ratio_words("a").alias("x"), ratio_words("b").alias("y"))
     both = joined([base, *sides], key)
     va, vb = F.col("va"), F.col("vb")
     return both.select(
