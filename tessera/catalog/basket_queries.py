@@ -64,7 +64,8 @@ def group_sql(l, g, p):
       round(sum(reordered) / count(DISTINCT order_id), 6) AS {p}_reorder_ratio FROM {l} GROUP BY ALL"""
 
 
-UP_SQL = """SELECT user_id, product_id, up_orders, up_first_order, up_last_order,
+def up_sql(lines, orders):
+    return f"""SELECT user_id, product_id, up_orders, up_first_order, up_last_order,
   round(up_mean_cart_position, 6) AS up_mean_cart_position, up_median_cart_position,
   round(up_inverted_mean, 6) AS up_inverted_mean, up_inverted_median, round(up_relative_mean, 6) AS up_relative_mean,
   round(up_hour_mean, 6) AS up_hour_mean, round(up_dow_mean, 6) AS up_dow_mean, round(up_days_mean, 6) AS up_days_mean,
@@ -78,11 +79,14 @@ FROM (SELECT user_id, product_id, count(*) AS up_orders, min(order_number) AS up
     avg(size - cart_pos) AS up_inverted_mean, median(size - cart_pos) AS up_inverted_median,
     avg(cart_pos / size) AS up_relative_mean, avg(order_hour) AS up_hour_mean, avg(order_dow) AS up_dow_mean,
     avg(days_since_prior) AS up_days_mean, sum(reordered) AS re
-  FROM prior JOIN (SELECT order_id, count(*) size FROM prior GROUP BY 1) USING (order_id) GROUP BY ALL)
+  FROM {lines} JOIN (SELECT order_id, count(*) size FROM {lines} GROUP BY 1) USING (order_id) GROUP BY ALL)
 JOIN (SELECT user_id, product_id, coalesce(max(CASE WHEN r = 2 THEN order_number END), 0) AS up_se_last_order
   FROM (SELECT *, row_number() OVER (PARTITION BY user_id, product_id ORDER BY order_number DESC) r
-    FROM (SELECT DISTINCT user_id, product_id, order_number FROM prior)) GROUP BY ALL) USING (user_id, product_id)
-JOIN (SELECT user_id, max(order_number) AS user_orders FROM ord WHERE eval_set = 'prior' GROUP BY 1) USING (user_id)"""
+    FROM (SELECT DISTINCT user_id, product_id, order_number FROM {lines})) GROUP BY ALL) USING (user_id, product_id)
+JOIN (SELECT user_id, max(order_number) AS user_orders FROM {orders} GROUP BY 1) USING (user_id)"""
+
+
+UP_SQL = up_sql("prior", "(SELECT * FROM ord WHERE eval_set = 'prior')")
 
 
 @query("f01_product_features", basket_sql(product_sql("prior")))
@@ -105,22 +109,27 @@ def _(t):
     return rounded(B.user_group_features(prior(t)[1], "department_id", "ud"))
 
 
-def time_sql(time, p):
-    keys = ["user_id", time]
-    return basket_sql(f"""SELECT *, round({p}_reorder / {p}_orders, 6) AS {p}_reorder_ratio FROM (
+F04_SQL = """SELECT *, round({p}_reorder / {p}_orders, 6) AS {p}_reorder_ratio FROM (
       SELECT user_id, {time}, count(*) AS {p}_product, CAST(sum(reordered) AS BIGINT) AS {p}_reorder,
         count(DISTINCT order_id) AS {p}_orders, count(DISTINCT department_id) AS {p}_department,
         count(DISTINCT aisle_id) AS {p}_aisle FROM prior GROUP BY ALL)
-      JOIN {mode_sql('prior', keys, 'department_id', p + '_mode_department')} USING (user_id, {time})
-      JOIN {mode_sql('prior', keys, 'aisle_id', p + '_mode_aisle')} USING (user_id, {time})""")
+      JOIN {dep} USING (user_id, {time}) JOIN {aisle} USING (user_id, {time})"""
 
 
-@query("f04_user_day", time_sql("order_dow", "ut"))
+def user_time_sql(time, p):
+    keys = ["user_id", time]
+    return F04_SQL.format(
+        p=p, time=time, dep=mode_sql("prior", keys, "department_id", p + "_mode_department"),
+        aisle=mode_sql("prior", keys, "aisle_id", p + "_mode_aisle"),
+    )
+
+
+@query("f04_user_day", basket_sql(user_time_sql("order_dow", "ut")))
 def _(t):
     return rounded(B.user_time_features(prior(t)[1], "order_dow", "ut"))
 
 
-@query("f04_user_hour", time_sql("order_hour", "uh"))
+@query("f04_user_hour", basket_sql(user_time_sql("order_hour", "uh")))
 def _(t):
     return rounded(B.user_time_features(prior(t)[1], "order_hour", "uh"))
 
@@ -132,11 +141,16 @@ def _(t):
     return rounded(B.user_product_features(lines, users))
 
 
+def prefixed_up(lines, orders, p):
+    return f"SELECT user_id, product_id, COLUMNS('(up_.*)') AS '{p}\\1' FROM ({up_sql(lines, orders)})"
+
+
 def window_sql(rows, p):
     return basket_sql(
         f"""SELECT * FROM (SELECT order_id, user_id, product_id FROM wl)
         LEFT JOIN ({product_sql('wl', p + 'prod_', False)}) USING (product_id)
-        LEFT JOIN ({user_sql('wo', 'wl', p + 'user_')}) USING (user_id)""",
+        LEFT JOIN ({user_sql('wo', 'wl', p + 'user_')}) USING (user_id)
+        LEFT JOIN ({prefixed_up('wl', 'wo', p)}) USING (user_id, product_id)""",
         f"""wo AS (SELECT * EXCLUDE (rd, ra) FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY order_number DESC) rd,
           row_number() OVER (PARTITION BY user_id ORDER BY order_number) ra FROM ord WHERE eval_set = 'prior') WHERE {rows}),
         wl AS (SELECT * FROM lines WHERE order_id IN (SELECT order_id FROM wo))""",
@@ -165,8 +179,7 @@ def repeat_sql(g, s):
       FROM prior GROUP BY 1 HAVING count(*) FILTER (reordered = 1) > 0)"""
 
 
-@query("f08_repeat_buyers", basket_sql(
-    f"""SELECT b.*, repeat_d, repeat_d_ratio, repeat_p, repeat_p_ratio, n_ap_ratio, u_ap_ratio, n_dp_ratio, u_dp_ratio,
+REPEAT_SQL = f"""SELECT b.*, repeat_d, repeat_d_ratio, repeat_p, repeat_p_ratio, n_ap_ratio, u_ap_ratio, n_dp_ratio, u_dp_ratio,
       round(coalesce(d1, 0), 6) AS repeat_buy_day, round(coalesce(d2, 0), 6) AS repeat_buy_day_o,
       round(coalesce(d3, 0), 6) AS repeat_buy_day_p, round(coalesce(d2 / nullif(d3, 0), 0), 6) AS repeat_buy_day_ratio
     FROM (SELECT DISTINCT user_id, product_id, aisle_id, department_id FROM prior) b
@@ -176,8 +189,10 @@ def repeat_sql(g, s):
     LEFT JOIN {share_sql('department_id', 'd')} USING (department_id, product_id)
     LEFT JOIN (SELECT user_id, product_id, avg(days_since_prior) d1, avg(days_since_prior) FILTER (reordered = 1) d2
       FROM prior GROUP BY ALL) USING (user_id, product_id)
-    LEFT JOIN (SELECT product_id, avg(days_since_prior) d3 FROM again GROUP BY 1) USING (product_id)""",
-    "again AS (SELECT * FROM prior WHERE reordered = 1)"))
+    LEFT JOIN (SELECT product_id, avg(days_since_prior) d3 FROM again GROUP BY 1) USING (product_id)"""
+
+
+@query("f08_repeat_buyers", basket_sql(REPEAT_SQL, "again AS (SELECT * FROM prior WHERE reordered = 1)"))
 def _(t):
     return rounded(B.repeat_buyer_features(prior(t)[1]))
 
@@ -228,23 +243,51 @@ def _(t):
     return rounded(B.markov_features(*prior(t)))
 
 
+def window_ctes(rows, p):
+    """The orders and lines of one window of prior orders."""
+    return f"""{p}o AS (SELECT * EXCLUDE (rd, ra) FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY order_number DESC) rd,
+        row_number() OVER (PARTITION BY user_id ORDER BY order_number) ra FROM ord WHERE eval_set = 'prior') WHERE {rows}),
+      {p}l AS (SELECT * FROM lines WHERE order_id IN (SELECT order_id FROM {p}o))"""
+
+
+def window_joins(p):
+    return f"""LEFT JOIN ({product_sql(p + 'l', p + 'prod_', False)}) {p}1 ON {p}1.product_id = f.product_id
+      LEFT JOIN ({user_sql(p + 'o', p + 'l', p + 'user_')}) {p}2 ON {p}2.user_id = f.user_id
+      LEFT JOIN ({prefixed_up(p + 'l', p + 'o', p)}) {p}3 ON {p}3.user_id = f.user_id AND {p}3.product_id = f.product_id"""
+
+
+def window_columns(p):
+    return f"{p}1.* EXCLUDE (product_id), {p}2.* EXCLUDE (user_id), {p}3.* EXCLUDE (user_id, product_id)"
+
+
 @query("f11_candidate_rows", basket_sql(
-    f"""SELECT f.*, now.* EXCLUDE (user_id), pr.* EXCLUDE (product_id), us.* EXCLUDE (user_id),
+    f"""SELECT f.*, f2.aisle_id, f2.department_id, now.* EXCLUDE (user_id), pr.* EXCLUDE (product_id), us.* EXCLUDE (user_id),
         a.* EXCLUDE (user_id, aisle_id), d.* EXCLUDE (user_id, department_id),
+        ut.* EXCLUDE (user_id, order_dow), uh.* EXCLUDE (user_id, order_hour), {window_columns('r_')}, {window_columns('e_')},
+        rb.* EXCLUDE (user_id, product_id), round(vec.x, 6) AS x, round(vec.y, 6) AS y,
         pt.mean_diff_order_day, pt.order_number_mean, mk."P0", mk."P1", mk."P2",
         CAST(lab.product_id IS NOT NULL AS BIGINT) AS label
-      FROM (SELECT *, product_id % 7 AS aisle_id, product_id % 3 AS department_id FROM ({UP_SQL})) f
+      FROM ({UP_SQL}) f JOIN (SELECT product_id, min(aisle_id) AS aisle_id, min(department_id) AS department_id FROM prior GROUP BY 1) f2 USING (product_id)
       JOIN (SELECT user_id, order_id, order_dow, order_hour, days_since_prior AS time_since_last_order
         FROM ord WHERE eval_set = 'train') now USING (user_id)
       LEFT JOIN ({product_sql('prior')}) pr USING (product_id)
       LEFT JOIN ({user_sql('po', 'prior')}) us ON us.user_id = f.user_id
-      LEFT JOIN ({group_sql('prior', 'aisle_id', 'ua')}) a ON a.user_id = f.user_id AND a.aisle_id = f.aisle_id
-      LEFT JOIN ({group_sql('prior', 'department_id', 'ud')}) d ON d.user_id = f.user_id AND d.department_id = f.department_id
+      LEFT JOIN ({group_sql('prior', 'aisle_id', 'ua')}) a ON a.user_id = f.user_id AND a.aisle_id = f2.aisle_id
+      LEFT JOIN ({group_sql('prior', 'department_id', 'ud')}) d ON d.user_id = f.user_id AND d.department_id = f2.department_id
+      LEFT JOIN ({user_time_sql('order_dow', 'ut')}) ut ON ut.user_id = f.user_id AND ut.order_dow = now.order_dow
+      LEFT JOIN ({user_time_sql('order_hour', 'uh')}) uh ON uh.user_id = f.user_id AND uh.order_hour = now.order_hour
+      {window_joins('r_')} {window_joins('e_')}
+      LEFT JOIN (SELECT * EXCLUDE (aisle_id, department_id) FROM ({REPEAT_SQL})) rb ON rb.user_id = f.user_id AND rb.product_id = f.product_id
+      LEFT JOIN (SELECT product_id, avg(cart_pos) AS x, avg(order_number) AS y FROM prior GROUP BY 1) vec ON vec.product_id = f.product_id
       LEFT JOIN (SELECT user_id, product_id, max(mean_diff_order_day) AS mean_diff_order_day, max(order_number_mean) AS order_number_mean
         FROM pattern GROUP BY ALL) pt ON pt.user_id = f.user_id AND pt.product_id = f.product_id
       LEFT JOIN {MARKOV_ROWS} mk ON mk.user_id = f.user_id AND mk.product_id = f.product_id
       LEFT JOIN (SELECT user_id, product_id FROM lines WHERE eval_set = 'train') lab
         ON lab.user_id = f.user_id AND lab.product_id = f.product_id""",
-    f"po AS (SELECT * FROM ord WHERE eval_set = 'prior'), {PATTERN}, {PRIOR_MARKOV}"))
+    f"po AS (SELECT * FROM ord WHERE eval_set = 'prior'), again AS (SELECT * FROM prior WHERE reordered = 1), {PATTERN}, {PRIOR_MARKOV}, "
+    + window_ctes("rd <= 3", "r_") + ", " + window_ctes("ra BETWEEN 2 AND 4", "e_")))
 def _(t):
-    return rounded(B.candidate_rows(*both(t)))
+    orders, lines = both(t)
+    # a table of two numbers per product in the place of trained item vectors, so that the rows can be checked
+    vectors = lines.where("eval_set = 'prior'").groupBy("product_id").agg(F.avg("cart_pos").alias("x"), F.avg("order_number").alias("y"))
+    return rounded(B.candidate_rows(orders, lines, vectors=vectors))

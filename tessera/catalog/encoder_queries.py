@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.catalog.base import query
 from tessera.catalog.views import basket_lines
 from tessera.functions import text as X
+from tessera.functions.rules import QUESTION_STOP_WORDS
 from tessera.operators import encoders as E
 from tessera.operators.frames import rounded
 from tessera.operators.vocabulary import supported_ids
@@ -16,6 +17,9 @@ LINE = "l_orderkey, l_linenumber, l_partkey"
 IDS = ["l_orderkey", "l_linenumber", "l_partkey"]
 
 
+STOP = "[" + ", ".join(f"'{w}'" for w in QUESTION_STOP_WORDS) + "]"
+
+
 def line(t, *cols):
     return t.lineitem.select(*IDS, *cols)
 
@@ -47,20 +51,20 @@ def _(t):
     return t.part.select("p_partkey", sum((c for c in cols), F.lit(0)).cast("long").alias("kept"))
 
 
-@query("e05_sparse_labels", """SELECT p_partkey, r AS slot, 1.0::DOUBLE AS ones FROM part JOIN (SELECT p_brand, row_number() OVER (ORDER BY count(*) DESC, p_brand) AS r FROM part GROUP BY 1) USING (p_brand)""")
+@query("e05_sparse_labels", "SELECT p_partkey, dense_rank() OVER (ORDER BY p_brand) - 1 AS slot, 1.0::DOUBLE AS value FROM part")
 def _(t):
-    df = t.part.select("p_partkey", "p_brand")
-    m = E.sparse_one_hot(["p_brand"], "v").fit(df).transform(df)
-    return m.select("p_partkey", F.array_position(vector_to_array("v"), F.lit(1.0)).cast("long").alias("slot"), F.aggregate(vector_to_array("v"), F.lit(0.0), lambda a, x: a + x).alias("ones"))
+    return E.sparse_one_hot(t.part, "p_partkey", ["p_brand"])
 
 
-@query("e06_count_vectors", r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\w\w+')) AS w, generate_subscripts(regexp_extract_all(lower(text), '\w\w+'), 1) AS i FROM documents),
-  g AS (SELECT doc_id, w AS g FROM w UNION ALL SELECT doc_id, w || ' ' || n FROM (SELECT doc_id, w, lead(w) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM w) WHERE n IS NOT NULL),
-  k AS (SELECT g FROM g GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3) SELECT doc_id, CAST(count(k.g) AS DOUBLE) AS total FROM documents LEFT JOIN g USING (doc_id) LEFT JOIN k USING (g) GROUP BY 1""")
+@query("e06_count_vectors", r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\pL\pN_][\pL\pN_]+')) AS w, generate_subscripts(regexp_extract_all(lower(text), '[\pL\pN_][\pL\pN_]+'), 1) AS i FROM documents),
+  g AS (SELECT doc_id, 1 AS n, w AS g FROM w UNION ALL SELECT doc_id, 2, w || ' ' || x FROM (SELECT doc_id, w, lead(w) OVER (PARTITION BY doc_id ORDER BY i) AS x FROM w) WHERE x IS NOT NULL),
+  k AS (SELECT n, g, row_number() OVER (ORDER BY n, g) - 1 AS slot FROM g GROUP BY n, g HAVING count(DISTINCT doc_id) >= 3)
+  SELECT doc_id, slot, CAST(count(*) AS DOUBLE) AS value FROM g JOIN k USING (n, g) GROUP BY ALL""")
 def _(t):
-    df = t.documents.select("doc_id", X.regex_words("text").alias("w"))
-    m = E.count_vectors("w", "v", n=2, min_df=3.0).fit(df).transform(df)
-    return m.select("doc_id", F.aggregate(vector_to_array("v"), F.lit(0.0), lambda a, x: a + x).alias("total"))
+    w = t.documents.select("doc_id", X.regex_words("text").alias("w"))
+    grams = F.array(*[F.struct(F.lit(n).alias("n"), X.word_ngrams(F.col("w"), n, " ").alias("g")) for n in (1, 2)])
+    rows = w.select("doc_id", F.explode(grams).alias("x")).select("doc_id", F.col("x.n").alias("n"), F.explode("x.g").alias("g"))
+    return E.count_vectors(rows, "doc_id", "n", "g", min_df=3)
 
 
 TFIDF = """st AS (SELECT term, count(*) AS df, sum(tf) AS total FROM c GROUP BY 1 {having}), k AS (SELECT * FROM st {top}),
@@ -68,7 +72,7 @@ TFIDF = """st AS (SELECT term, count(*) AS df, sum(tf) AS total FROM c GROUP BY
   SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS value FROM wt"""
 
 
-@query("e07_word_tfidf", r"WITH c AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\w\w+')) AS term FROM documents) GROUP BY ALL), "
+@query("e07_word_tfidf", r"WITH c AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\pL\pN_][\pL\pN_]+')) AS term FROM documents) GROUP BY ALL), "
        + TFIDF.format(having="HAVING count(*) >= 2", top="ORDER BY total DESC, term LIMIT 5000"))
 def _(t):
     terms = t.documents.select("doc_id", F.explode(X.regex_words("text")).alias("term"))
@@ -85,7 +89,7 @@ def _(t):
     return rounded(E.tfidf(text.select("doc_id", F.explode(grams).alias("term")), "doc_id", "term", max_features=2000))
 
 
-SLOT = "('0x' || substr(md5({}), 1, 8))::BIGINT % {}"
+SLOT = "('0x' || substr(md5({}), 1, 15))::BIGINT % {}"
 
 
 @query("e09_hashed_bag", f"""WITH n AS (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part), g AS (SELECT DISTINCT p_partkey, unnest(w) AS g, 1.5 AS wt FROM n UNION ALL SELECT p_partkey, w[1] || '_' || w[2], 1.0 FROM n)
@@ -104,26 +108,28 @@ def _(t):
     return line(t, E.hashed_fields(FIELDS, 1 << 20).alias("slots"))
 
 
-@query("e11_drop_rare_terms", r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\w\w+')) AS term FROM documents)
+@query("e11_drop_rare_terms", r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\pL\pN_][\pL\pN_]+')) AS term FROM documents)
   SELECT doc_id, count(*) AS n FROM w WHERE term IN (SELECT term FROM w GROUP BY 1 HAVING count(DISTINCT doc_id) >= 2) GROUP BY 1""")
 def _(t):
     terms = t.documents.select("doc_id", F.explode(X.regex_words("text")).alias("term"))
     return E.drop_rare_terms(terms, "doc_id", "term").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("e12_stacked_blocks", """SELECT p_partkey, CAST((SELECT count(DISTINCT p_brand) + count(DISTINCT p_type) + 2 FROM part) AS INT) AS width, round(2 + p_retailprice + p_size, 4) AS total FROM part""")
+@query("e12_stacked_blocks", """WITH b AS (SELECT p_brand, row_number() OVER (ORDER BY p_brand) - 1 AS s FROM part GROUP BY 1),
+  y AS (SELECT p_type, row_number() OVER (ORDER BY p_type) - 1 + (SELECT count(*) FROM b) AS s FROM part GROUP BY 1), n AS (SELECT count(*) + (SELECT count(*) FROM b) AS n FROM y)
+  SELECT p_partkey, s AS slot, 1.0::DOUBLE AS value FROM part JOIN b USING (p_brand) UNION ALL SELECT p_partkey, s, 1.0 FROM part JOIN y USING (p_type)
+  UNION ALL SELECT p_partkey, n, p_retailprice FROM part, n UNION ALL SELECT p_partkey, n + 1, CAST(p_size AS DOUBLE) FROM part, n""")
 def _(t):
-    df = t.part.select("p_partkey", "p_brand", "p_type", "p_retailprice", F.col("p_size").cast("double").alias("p_size"))
-    hot_block = E.sparse_one_hot(["p_brand", "p_type"], "cats").fit(df).transform(df)
-    v = VectorAssembler(inputCols=["cats", "p_retailprice", "p_size"], outputCol="v").transform(hot_block)
-    return v.select("p_partkey", F.size(vector_to_array("v")).alias("width"), F.round(F.aggregate(vector_to_array("v"), F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+    hot_block = E.sparse_one_hot(t.part, "p_partkey", ["p_brand", "p_type"])
+    return E.stacked_blocks([hot_block, E.numeric_block(t.part, "p_partkey", ["p_retailprice", "p_size"])])
 
 
-@query("e13_formula_matrix", """SELECT l_returnflag, l_linestatus, count(*) AS n, (SELECT CAST(count(DISTINCT l_returnflag) - 1 + count(DISTINCT l_linestatus) - 1 + 1 AS INT) FROM lineitem) AS width FROM lineitem GROUP BY ALL""")
+@query("e13_formula_matrix", """WITH b AS (SELECT p_brand, row_number() OVER (ORDER BY p_brand) - 2 AS s FROM part GROUP BY 1), y AS (SELECT p_type, row_number() OVER (ORDER BY p_type) - 2 AS s FROM part GROUP BY 1)
+  SELECT p_partkey, 0 AS slot, p_retailprice AS value FROM part UNION ALL SELECT p_partkey, 1, CAST(p_size AS DOUBLE) FROM part
+  UNION ALL SELECT p_partkey, 2 + s, 1.0 FROM part JOIN b USING (p_brand) WHERE s >= 0
+  UNION ALL SELECT p_partkey, 2 + s + (SELECT max(s) + 1 FROM b), 1.0 FROM part JOIN y USING (p_type) WHERE s >= 0""")
 def _(t):
-    df = t.lineitem.select("l_quantity", "l_returnflag", "l_linestatus", "l_discount")
-    m = E.formula_matrix(df, "l_quantity ~ l_returnflag + l_linestatus + l_discount")
-    return m.groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.first(F.size(vector_to_array("features"))).alias("width"))
+    return E.design_matrix(t.part, "p_partkey", ["p_retailprice", "p_size"], ["p_brand", "p_type"])
 
 
 WIDE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -202,10 +208,32 @@ def listings(t):
         F.log1p("p_retailprice").alias("price"))
 
 
-@query("f22_listing_matrix")
+def _normal(c):
+    return f"list_filter(string_split(regexp_replace(lower({c}), '[^a-z0-9]', ' ', 'g'), ' '), lambda w: length(w) > 1 AND NOT list_contains({STOP}, w))"
+
+
+def _gram_rows(c, sizes):
+    return " UNION ALL ".join(
+        f"SELECT p_partkey, {n} AS n, unnest(list_transform(range(1, greatest(CAST(len({c}) AS INT) - {n - 2}, 1)), lambda i: array_to_string({c}[i:i + {n - 1}], ' '))) AS gram FROM ls" for n in sizes)
+
+
+FIELD_NAMES = ["brand", "general_cat", "subcat_1", "subcat_2", "condition"]
+
+
+@query("f22_listing_matrix", f"""WITH ls AS (SELECT p_partkey, CASE WHEN p_partkey % 3 <> 0 THEN p_brand ELSE 'missing' END AS brand, p_type AS general_cat, p_brand AS subcat_1, CAST(p_size AS VARCHAR) AS subcat_2,
+    CAST(p_size % 5 AS VARCHAR) AS condition, {_normal('p_name')} AS nw, {_normal("CASE WHEN p_size % 7 = 0 THEN 'missing' ELSE concat_ws(' ', p_type, p_name, p_brand) END")} AS dw FROM part),
+  hot AS ({" UNION ALL ".join(f"SELECT p_partkey, {i} AS field, {c} AS term FROM ls" for i, c in enumerate(FIELD_NAMES))}),
+  hs AS (SELECT field, term, row_number() OVER (ORDER BY field, term) - 1 AS slot FROM hot GROUP BY field, term),
+  ng AS ({_gram_rows('nw', (1, 2))}), ns AS (SELECT n, gram, row_number() OVER (ORDER BY n, gram) - 1 + (SELECT count(*) FROM hs) AS slot FROM ng GROUP BY n, gram HAVING count(DISTINCT p_partkey) >= 2),
+  dg AS ({_gram_rows('dw', (1, 2, 3))}), tf AS (SELECT p_partkey, gram, count(*) AS tf FROM dg GROUP BY ALL),
+  df AS (SELECT gram, count(*) AS df, sum(tf) AS total FROM tf GROUP BY 1 ORDER BY total DESC, gram LIMIT 50000),
+  wt AS (SELECT p_partkey, gram, tf * (ln((1 + (SELECT count(DISTINCT p_partkey) FROM dg)) / (1 + df)) + 1) AS w FROM tf JOIN df USING (gram)),
+  ds AS (SELECT gram, row_number() OVER (ORDER BY gram) - 1 + (SELECT count(*) FROM hs) + (SELECT count(*) FROM ns) AS slot FROM df)
+  SELECT p_partkey, slot, 1.0::DOUBLE AS value FROM hot JOIN hs USING (field, term)
+  UNION ALL SELECT p_partkey, slot, CAST(count(*) AS DOUBLE) FROM ng JOIN ns USING (n, gram) GROUP BY ALL
+  UNION ALL SELECT p_partkey, slot, round(w / sqrt(sum(w * w) OVER (PARTITION BY p_partkey)), 6) FROM wt JOIN ds USING (gram)""")
 def _(t):
-    df, pipeline = P.listing_matrix(listings(t))
-    return pipeline.fit(df).transform(df).select("p_partkey", F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, x: a + x).alias("total"))
+    return rounded(P.listing_cells(P.prepared_listings(listings(t)), "p_partkey"))
 
 
 @query("f26_projected_rows")

@@ -185,18 +185,17 @@ def _(t):
     return lines.join(ua, ["user_id", "aisle_id"]).select("order_id", "product_id", "n")
 
 
-@query("j03_left", "SELECT o_orderkey, l.l_partkey FROM orders LEFT JOIN (SELECT l_orderkey, l_partkey FROM lineitem WHERE l_quantity > 45) l ON o_orderkey = l_orderkey")
+@query("j03_left", "SELECT o_orderkey, l.l_partkey FROM orders LEFT JOIN lineitem l ON o_orderkey = l_orderkey")
 def _(t):
-    li = t.lineitem.where("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey")
+    li = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey")
     return t.orders.select("o_orderkey").join(li, "o_orderkey", "left")
 
 
-@query("j04_right_back_to_groups", """SELECT c_custkey, n_big, n_all FROM (SELECT o_custkey AS c_custkey, count(*) n_big FROM orders WHERE o_totalprice > 400000 GROUP BY 1)
-  RIGHT JOIN (SELECT o_custkey AS c_custkey, count(*) n_all FROM orders GROUP BY 1) USING (c_custkey)""")
+@query("j04_right_back_to_groups", """SELECT c_custkey, n_orders, c_acctbal FROM (SELECT o_custkey AS c_custkey, count(*) n_orders FROM orders GROUP BY 1)
+  RIGHT JOIN customer USING (c_custkey)""")
 def _(t):
-    o = t.orders.withColumnRenamed("o_custkey", "c_custkey")
-    big = o.where("o_totalprice > 400000").groupBy("c_custkey").agg(F.count(F.lit(1)).alias("n_big"))
-    return big.join(o.groupBy("c_custkey").agg(F.count(F.lit(1)).alias("n_all")), "c_custkey", "right")
+    counts = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n_orders"))
+    return counts.join(t.customer.select("c_custkey", "c_acctbal"), "c_custkey", "right")
 
 
 @query("j05_natural", basket_sql("SELECT * FROM (SELECT user_id, product_id, count(*) AS n FROM lines GROUP BY ALL) NATURAL JOIN (SELECT user_id, max(order_number) AS m FROM lines GROUP BY 1) NATURAL JOIN prods"))
@@ -214,16 +213,16 @@ def _(t):
     return s.join(n, "s_suppkey", "left").fillna(0, ["n"])
 
 
-@query("j07_first_match", """SELECT p_partkey, supp FROM part LEFT JOIN (SELECT l_partkey, min(l_suppkey) AS supp FROM lineitem WHERE l_quantity = 50 GROUP BY 1) ON p_partkey = l_partkey""")
+@query("j07_first_match", """SELECT p_partkey, supp FROM part LEFT JOIN (SELECT l_partkey, min(l_suppkey) AS supp FROM lineitem GROUP BY 1) ON p_partkey = l_partkey""")
 def _(t):
-    li = t.lineitem.where("l_quantity = 50").select(F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("supp"))
+    li = t.lineitem.select(F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("supp"))
     return J.first_match(t.part.select("p_partkey"), li, "p_partkey", "supp", "supp")
 
 
 @query("j08_lookup_with_default", """SELECT c_custkey, coalesce(n, 0) AS n, coalesce(m, -1.0) AS m FROM customer LEFT JOIN
-  (SELECT o_custkey, count(*) n, max(o_totalprice) m FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) ON c_custkey = o_custkey""")
+  (SELECT o_custkey, count(*) n, max(o_totalprice) m FROM orders GROUP BY 1) ON c_custkey = o_custkey""")
 def _(t):
-    dim = t.orders.where("o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+    dim = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(
         F.count(F.lit(1)).alias("n"), F.max("o_totalprice").alias("m"))
     return J.lookup_with_default(t.customer.select("c_custkey"), dim, ["c_custkey"], {"n": 0, "m": -1.0})
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import bound
+from tessera.session import cut_lineage
 
 
 def mode_per_key(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
@@ -30,14 +31,28 @@ def mode_position(df: DataFrame, keys: Sequence[str], value: str, out: str) -> D
     )
 
 
-def with_group_counts(df: DataFrame, groups: Mapping[str, Sequence[str]]) -> DataFrame:
-    """Add ``count(*)`` of each column set as a column: a small grouped table joined back.
+def group_counts(df: DataFrame, groups: Sequence[Sequence[str]]) -> dict[tuple[str, ...], DataFrame]:
+    """``count(*)`` of each column set, all from one pass over ``df``: column set -> (columns, n)."""
+    keys = list(dict.fromkeys(c for cols in groups for c in cols))
+    sets = [[F.col(c) for c in cols] for cols in groups]
+    counts = cut_lineage(
+        df.groupingSets(sets, *keys).agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("__set"))
+    )
+    out = {}
+    for cols in groups:
+        absent = sum(1 << (len(keys) - 1 - i) for i, c in enumerate(keys) if c not in cols)
+        out[tuple(cols)] = counts.where(F.col("__set") == absent).select(*cols, "n")
+    return out
 
-    ``df`` is read once per set, so pass a table rather than a long plan.
-    """
+
+def with_group_counts(df: DataFrame, groups: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Add ``count(*)`` of each column set as a column: one pass counts all sets, each is joined back."""
+    counts = group_counts(df, list(groups.values()))
     out = df
     for name, cols in groups.items():
-        out = out.join(df.groupBy(*cols).agg(F.count(F.lit(1)).alias(name)), list(cols), "left")
+        table = counts[tuple(cols)].select(*[F.col(c).alias(f"__g_{c}") for c in cols], F.col("n").alias(name))
+        same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__g_{c}")) for c in cols])
+        out = out.join(table, same, "left").drop(*[f"__g_{c}" for c in cols])
     return out
 
 

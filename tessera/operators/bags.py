@@ -43,7 +43,7 @@ def cluster_regression(df: DataFrame, columns: Sequence[str], k: int = 3) -> Dat
     return best[1]
 
 
-def pruned_regression(df: DataFrame, columns: Sequence[str], size: int, rate: float = 0.05, rounds: int = 20) -> DataFrame:
+def pruned_regression(df: DataFrame, columns: Sequence[str], size: int, rate: float = 0.05) -> DataFrame:
     """Drop, round by round, the instances whose prediction is farthest from the bag's median.
 
     Bags are first made equal in size; a round keeps (1 - rate) of each and the
@@ -60,10 +60,7 @@ def pruned_regression(df: DataFrame, columns: Sequence[str], size: int, rate: fl
     rows = cut_lineage(assembled(equal_bags(df, "bag", "instance", size), columns))
     scored, medians, mse = fitted(rows)
     keep = size
-    for _ in range(rounds):
-        keep = int((1 - rate) * keep)
-        if keep < 1:
-            break
+    while (keep := int((1 - rate) * keep)) >= 1:
         nearest = Window.partitionBy("bag").orderBy("__gap", "slot")
         kept = scored.join(medians.select("bag", "middle"), "bag").withColumn(
             "__gap", F.pow(F.col("prediction") - F.col("middle"), F.lit(2.0))

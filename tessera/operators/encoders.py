@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import (
-    PCA, CountVectorizer, Interaction, NGram, OneHotEncoder, RFormula, StringIndexer, VectorAssembler, Word2Vec,
+    PCA, Interaction, VectorAssembler, Word2Vec,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor
@@ -16,13 +16,13 @@ from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.ranges import dense_codes, group_quantiles
+from tessera.operators.ranges import dense_codes, group_quantiles, split_window
 from tessera.operators.topk import top_n
 
 
 def hash_bucket(key: Column, size: int) -> Column:
-    """Bucket 0 .. size-1 from the first eight hex digits of the key's md5; the same in any engine."""
-    return F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("long") % size
+    """Bucket 0 .. size-1 from the first 15 hex digits (60 bits) of the key's md5; the same in any engine."""
+    return F.conv(F.substring(F.md5(key.cast("string")), 1, 15), 16, 10).cast("long") % size
 
 
 def label_codes(frames: Sequence[DataFrame], column: str, out: str) -> DataFrame:
@@ -33,22 +33,20 @@ def label_codes(frames: Sequence[DataFrame], column: str, out: str) -> DataFrame
     return dense_codes(stacked, column, out, start=0)
 
 
-def column_levels(df: DataFrame, column: str, min_count: int = 1, limit: int = 1000) -> list:
-    """Values of a column seen often enough. More than ``limit`` is an error: use a sparse encoder."""
+def column_levels(df: DataFrame, column: str, min_count: int = 1) -> list:
+    """Values of a column seen often enough; they become columns, so the driver has to know them."""
     rows = (
         df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") >= min_count).select(column).limit(limit + 1).collect()
+        .where(F.col("n") >= min_count).select(column).collect()
     )
-    if len(rows) > limit:
-        raise ValueError(f"{column} has more than {limit} values; use sparse_one_hot")
     return sorted(r[0] for r in rows)
 
 
-def one_hot(df: DataFrame, columns: Sequence[str], min_count: int = 1, limit: int = 1000) -> list[Column]:
-    """0/1 columns for the values of each column."""
+def one_hot(df: DataFrame, columns: Sequence[str], min_count: int = 1) -> list[Column]:
+    """0/1 columns for the values of each column. ``sparse_one_hot`` keeps levels off the driver."""
     return [
         F.coalesce((F.col(c) == F.lit(v)).cast("int"), F.lit(0)).alias(f"{c}_{v}")
-        for c in columns for v in column_levels(df, c, min_count, limit)
+        for c in columns for v in column_levels(df, c, min_count)
     ]
 
 
@@ -58,20 +56,56 @@ def few_valued(df: DataFrame, columns: Sequence[str], low: int = 3, high: int =
     return [c for c in columns if low <= counts[c] <= high]
 
 
-def sparse_one_hot(columns: Sequence[str], out: str) -> Pipeline:
-    """Indexed and one-hot encoded columns as one sparse vector; unseen values are kept apart."""
-    index = StringIndexer(inputCols=list(columns), outputCols=[f"{c}__i" for c in columns], handleInvalid="keep")
-    hot = OneHotEncoder(inputCols=[f"{c}__i" for c in columns], outputCols=[f"{c}__v" for c in columns])
-    return Pipeline(stages=[index, hot, VectorAssembler(inputCols=[f"{c}__v" for c in columns], outputCol=out)])
+def _coded(cells: DataFrame, block: str, term: str, kept: DataFrame) -> DataFrame:
+    """(key columns, slot, value): ``kept`` (block, term) pairs numbered from 0 in their order, joined to the cells."""
+    codes = split_window(kept.select(block, term), [], [block, term], row_number="__r").withColumn("slot", F.col("__r") - 1)
+    return cells.join(codes.drop("__r"), [block, term]).drop(block, term)
 
 
-def count_vectors(tokens: str, out: str, n: int = 1, min_df: float = 2.0, size: int = 1 << 18) -> Pipeline:
-    """Bag of words and n-grams up to ``n``, words in fewer than ``min_df`` texts dropped."""
-    grams = [NGram(n=k, inputCol=tokens, outputCol=f"{out}__g{k}") for k in range(1, n + 1)]
-    counts = [
-        CountVectorizer(inputCol=f"{out}__g{k}", outputCol=f"{out}__c{k}", minDF=min_df, vocabSize=size) for k in range(1, n + 1)
-    ]
-    return Pipeline(stages=[*grams, *counts, VectorAssembler(inputCols=[f"{out}__c{k}" for k in range(1, n + 1)], outputCol=out)])
+def sparse_one_hot(df: DataFrame, key: str, columns: Sequence[str], min_count: int = 1) -> DataFrame:
+    """(key, slot, value) cells of the one-hot block: a slot per column and value, columns in the given order."""
+    place = F.array(*[
+        F.struct(F.lit(i).alias("field"), F.col(c).cast("string").alias("term")) for i, c in enumerate(columns)
+    ])
+    cells = df.select(key, F.explode(place).alias("c")).select(key, "c.*").where("term is not null")
+    kept = cells.groupBy("field", "term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count)
+    return _coded(cells, "field", "term", kept).select(key, "slot", F.lit(1.0).alias("value"))
+
+
+def count_vectors(grams: DataFrame, key: str, n: str, gram: str, min_df: int = 1) -> DataFrame:
+    """(key, slot, value) cells of a bag of grams, from one row (key, gram length, gram) per occurrence.
+
+    Slots run over gram lengths and then grams; grams in fewer than ``min_df`` texts have none.
+    """
+    counts = grams.groupBy(key, n, gram).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    kept = counts.groupBy(n, gram).agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df)
+    return _coded(counts, n, gram, kept).select(key, "slot", "value")
+
+
+def numeric_block(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """(key, slot, value) cells of numeric columns, a slot each."""
+    cells = F.array(*[F.struct(F.lit(i).cast("long").alias("slot"), F.col(c).cast("double").alias("value")) for i, c in enumerate(columns)])
+    return df.select(key, F.explode(cells).alias("c")).select(key, "c.slot", "c.value").where("value is not null")
+
+
+def stacked_blocks(blocks: Sequence[DataFrame]) -> DataFrame:
+    """Blocks of (key, slot, value) cells side by side: each starts after the last slot of the one before."""
+    out, start = None, F.lit(0).cast("long")
+    for block in blocks:
+        moved = block.withColumn("slot", F.col("slot") + start)
+        out = moved if out is None else out.unionByName(moved)
+        start = start + F.coalesce(block.agg(F.max("slot") + 1).scalar(), F.lit(0))
+    return out
+
+
+def design_matrix(df: DataFrame, key: str, numeric: Sequence[str], factors: Sequence[str]) -> DataFrame:
+    """(key, slot, value) cells of a design matrix: numeric columns, then all but the first level of each factor."""
+    place = F.array(*[F.struct(F.lit(i).alias("field"), F.col(c).cast("string").alias("term")) for i, c in enumerate(factors)])
+    cells = df.select(key, F.explode(place).alias("c")).select(key, "c.*").where("term is not null")
+    levels = cells.select("field", "term").distinct()
+    first = levels.groupBy("field").agg(F.min("term").alias("term"))
+    kept = levels.join(first, ["field", "term"], "left_anti")
+    return stacked_blocks([numeric_block(df, key, numeric), _coded(cells, "field", "term", kept).select(key, "slot", F.lit(1.0).alias("value"))])
 
 
 def tfidf(terms: DataFrame, key: str, term: str, sublinear: bool = True, min_df: int = 1,
@@ -187,11 +221,6 @@ def leaf_indices(df: DataFrame, features: str, label: str, trees: int = 5, depth
     return model.transform(df).withColumn("leaves", vector_to_array("leaf").cast("array<int>")).drop("leaf", "prediction")
 
 
-def formula_matrix(df: DataFrame, formula: str) -> DataFrame:
-    """Design matrix with factor columns expanded."""
-    return RFormula(formula=formula, featuresCol="features", labelCol="label").fit(df).transform(df)
-
-
 def interactions(df: DataFrame, columns: Sequence[str], out: str) -> DataFrame:
     """Products of all pairs of columns as one vector."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Imputer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.encoders import column_quantiles
@@ -55,11 +54,19 @@ def cap_by_class(df: DataFrame, c: str, label: str) -> Column:
     return F.least(F.col(c), cap)
 
 
-def fold_mean_fill(df: DataFrame, columns: Sequence[str], fold: str, folds: int) -> DataFrame:
-    """Fill nulls of each fold with the mean of the other folds."""
-    out = None
-    for k in range(folds):
-        imputer = Imputer(strategy="mean", inputCols=list(columns), outputCols=list(columns))
-        part = imputer.fit(df.where(F.col(fold) != k)).transform(df.where(F.col(fold) == k))
-        out = part if out is None else out.unionByName(part)
-    return out
+def fold_mean_fill(df: DataFrame, columns: Sequence[str], fold: str) -> DataFrame:
+    """Fill nulls of each fold with the mean of the other folds: all less the own, from one grouped pass."""
+    own = df.groupBy(fold).agg(
+        *[F.sum(c).alias(f"__s_{c}") for c in columns], *[F.count(c).alias(f"__n_{c}") for c in columns]
+    )
+    # one row per fold
+    every = Window.partitionBy()
+    means = own.select(F.col(fold).alias("__fold"), *[
+        F.try_divide(
+            F.sum(f"__s_{c}").over(every) - F.coalesce(f"__s_{c}", F.lit(0.0)), F.sum(f"__n_{c}").over(every) - F.col(f"__n_{c}")
+        ).alias(f"__m_{c}") for c in columns
+    ])
+    joined = df.join(means, F.col(fold).eqNullSafe(F.col("__fold")))
+    return joined.select(*[
+        F.coalesce(F.col(c), F.col(f"__m_{c}")).alias(c) if c in columns else F.col(c) for c in df.columns
+    ])

@@ -9,17 +9,18 @@ from tessera.operators.joins import undirected
 from tessera.session import cut_lineage
 
 
-def core_numbers(pairs: DataFrame, a: str, b: str, top: int = 20, max_rounds: int = 200) -> DataFrame:
+def core_numbers(pairs: DataFrame, a: str, b: str, top: int = 20) -> DataFrame:
     """Largest k up to ``top`` for which a node is in the k-core; 0 when in no 2-core.
 
     Each node starts at its degree and repeatedly takes the largest k such that
     at least k neighbours hold k or more; the values fall to the core numbers.
     Values are capped at ``top``, so a round is one join and one aggregate with
-    ``top`` counters per node, however many neighbours it has.
+    ``top`` counters per node, however many neighbours it has. The rounds end when
+    nothing moves; values only fall, so they do end.
     """
     edges = cut_lineage(undirected(pairs, a, b))
     values = cut_lineage(edges.groupBy("src").agg(F.least(F.count(F.lit(1)), F.lit(top)).alias("k")))
-    for _ in range(max_rounds):
+    while True:
         around = edges.join(values.select(F.col("src").alias("dst"), F.col("k").alias("kd")), "dst")
         counters = around.groupBy("src").agg(*[F.count_if(F.col("kd") >= k).alias(f"n{k}") for k in range(1, top + 1)])
         best = F.greatest(F.lit(0), *[F.when(F.col(f"n{k}") >= k, k).otherwise(0) for k in range(1, top + 1)])
@@ -28,6 +29,4 @@ def core_numbers(pairs: DataFrame, a: str, b: str, top: int = 20, max_rounds: in
         values = step.select("src", "k")
         if not step.where("moved").limit(1).count():
             break
-    else:
-        raise RuntimeError("core numbers did not settle")
     return values.select(F.col("src").alias("node"), F.when(F.col("k") >= 2, F.col("k")).otherwise(0).alias("core"))

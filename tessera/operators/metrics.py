@@ -113,7 +113,7 @@ def kolmogorov_smirnov(df: DataFrame, a: str, b: str) -> Column:
     return run.agg(F.max(F.abs(F.col("cx") - F.col("cy")))).scalar() / df.agg(F.count(F.lit(1))).scalar()
 
 
-def kendall_tau_b(df: DataFrame, a: str, b: str, bits: int = 40) -> Column:
+def kendall_tau_b(df: DataFrame, a: str, b: str) -> Column:
     """Kendall's tau-b without pairing rows.
 
     Rows are first merged into weighted (a, b) cells and ``b`` coded 0, 1, 2, ...
@@ -125,7 +125,7 @@ def kendall_tau_b(df: DataFrame, a: str, b: str, bits: int = 40) -> Column:
     codes = dense_codes(cells, b, "code", start=0)
     coded = cells.join(codes, b)
     top = coded.agg(F.max("code")).scalar()
-    levels = F.sequence(F.lit(0), F.least(F.length(F.bin(top)), F.lit(bits)) - 1)
+    levels = F.sequence(F.lit(0), F.length(F.bin(top)) - 1)
     spread = coded.select(a, b, "w", "code", F.explode(levels).alias("level"))
     bit = F.expr("shiftright(code, level) & 1")
     spread = spread.select(

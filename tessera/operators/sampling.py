@@ -31,7 +31,7 @@ def folds(df: DataFrame, key: Column, k: int, out: str = "fold") -> DataFrame:
 
 def stratified_folds(df: DataFrame, key: str, label: str, k: int, out: str = "fold") -> DataFrame:
     """Folds whose class counts differ by at most one: rank by hash within the class, modulo k."""
-    hashed = df.withColumn("__h", hash_bucket(F.col(key), 1 << 31))
+    hashed = df.withColumn("__h", hash_bucket(F.col(key), 1 << 60))
     return split_window(hashed, [label], ["__h", key], row_number="__r").withColumn(out, (F.col("__r") - 1) % k).drop("__h", "__r")
 
 
@@ -72,7 +72,7 @@ def bootstrap(groups: DataFrame, key: str, draws: int) -> DataFrame:
 
 def equal_bags(df: DataFrame, bag: str, instance: str, size: int) -> DataFrame:
     """``size`` instances per bag: in hash order, from the start again when a bag is smaller."""
-    hashed = df.withColumn("__h", hash_bucket(F.concat_ws("-", bag, instance), 1 << 31))
+    hashed = df.withColumn("__h", hash_bucket(F.concat_ws("-", bag, instance), 1 << 60))
     ranked = split_window(hashed, [bag], ["__h", instance], row_number="__r")
     sizes = df.groupBy(bag).agg(F.count(F.lit(1)).alias("__n"))
     slots = F.when(F.col("__r") <= size, F.sequence(F.col("__r"), F.lit(size).cast("long"), F.col("__n"))).otherwise(F.array().cast("array<bigint>"))

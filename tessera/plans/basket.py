@@ -139,24 +139,35 @@ def user_product_features(lines: DataFrame, users: DataFrame) -> DataFrame:
     ).drop("user_orders")
 
 
+def window_blocks(orders: DataFrame, lines: DataFrame, prefix: str) -> list[tuple[DataFrame, list[str]]]:
+    """Product, user and user x product features over ``orders``, with the keys of each table."""
+    base = lines.join(orders.select("order_id"), "order_id", "left_semi")
+    users = user_features(orders, base, f"{prefix}user_")
+    pairs = user_product_features(base, users.select("user_id", F.col(f"{prefix}user_orders").alias("user_orders")))
+    named = pairs.select(*UP, *[F.col(c).alias(f"{prefix}{c}") for c in pairs.columns if c not in UP])
+    return [(reorder_stats(base, f"{prefix}prod_"), ["product_id"]), (users, ["user_id"]), (named, UP)]
+
+
 def window_features(orders: DataFrame, lines: DataFrame, prefix: str) -> DataFrame:
-    """Product and user features over a subset of each user's orders, per line of it."""
+    """The blocks of a subset of each user's orders, per line of it."""
     base = lines.join(orders.select("order_id"), "order_id", "left_semi")
-    return star_join(
-        base.select("order_id", "user_id", "product_id"),
-        [
-            (reorder_stats(base, f"{prefix}prod_"), ["product_id"]),
-            (user_features(orders, base, f"{prefix}user_"), ["user_id"]),
-        ],
-    )
+    return star_join(base.select("order_id", "user_id", "product_id"), window_blocks(orders, lines, prefix))
+
+
+def recent_orders(orders: DataFrame, n: int = 3) -> DataFrame:
+    return last_rows(orders, ["user_id"], ["order_number"], n)
+
+
+def early_orders(orders: DataFrame, low: int = 2, high: int = 4) -> DataFrame:
+    return rows_between(orders, ["user_id"], ["order_number"], low, high)
 
 
 def recent_features(orders: DataFrame, lines: DataFrame, n: int = 3) -> DataFrame:
-    return window_features(last_rows(orders, ["user_id"], ["order_number"], n), lines, "r_")
+    return window_features(recent_orders(orders, n), lines, "r_")
 
 
 def early_features(orders: DataFrame, lines: DataFrame, low: int = 2, high: int = 4) -> DataFrame:
-    return window_features(rows_between(orders, ["user_id"], ["order_number"], low, high), lines, "e_")
+    return window_features(early_orders(orders, low, high), lines, "e_")
 
 
 def repeat_buyer_features(lines: DataFrame) -> DataFrame:
@@ -193,7 +204,8 @@ def pattern_features(lines: DataFrame) -> DataFrame:
     """Per reordered line: days between repeats, early and late means, scaled order numbers."""
     again = lines.where("reordered = 1").select(*UP, "order_id", "order_number", "order_time", "days_since_prior")
     running = split_window(
-        again, UP, ["order_number", "order_id"], row_number="place", sums={"cumsum_order_day": "days_since_prior"}
+        again, UP, ["order_number", "order_id"], bucket=F.floor(F.col("order_number") / 64), row_number="place",
+        sums={"cumsum_order_day": "days_since_prior"},
     )
     # the step between running sums is the row's own gap, 0 on the first row
     steps = cut_lineage(running.withColumn(
@@ -231,15 +243,20 @@ def markov_features(orders: DataFrame, lines: DataFrame, as_written: bool = Fals
     )
 
 
-def candidate_rows(orders: DataFrame, lines: DataFrame, current: str = "train") -> DataFrame:
-    """One row per (order to predict, product the user bought before) with features and label."""
+def candidate_rows(
+    orders: DataFrame, lines: DataFrame, current: str = "train", vectors: DataFrame | None = None
+) -> DataFrame:
+    """One row per (order to predict, product the user bought before) with features and label.
+
+    Aisle and department of a product come from the lines. ``vectors`` is an
+    optional table of item embeddings (product_id and its columns).
+    """
     prior_orders = orders.where("eval_set = 'prior'")
     prior = lines.where("eval_set = 'prior'")
     users = cut_lineage(user_features(prior_orders, prior))
     label = lines.where(F.col("eval_set") == current).select(*UP, F.lit(1).cast("long").alias("label"))
-    base = user_product_features(prior, users).withColumn("aisle_id", F.col("product_id") % 7).withColumn(
-        "department_id", F.col("product_id") % 3
-    )
+    shelves = prior.groupBy("product_id").agg(F.min("aisle_id").alias("aisle_id"), F.min("department_id").alias("department_id"))
+    base = user_product_features(prior, users).join(shelves, "product_id")
     now = current_orders(orders, current)
     out = base.join(now, "user_id")
     pattern = pattern_features(prior).groupBy(*UP).agg(
@@ -250,6 +267,12 @@ def candidate_rows(orders: DataFrame, lines: DataFrame, current: str = "train")
         (users, ["user_id"]),
         (user_group_features(prior, "aisle_id", "ua"), ["user_id", "aisle_id"]),
         (user_group_features(prior, "department_id", "ud"), ["user_id", "department_id"]),
+        (user_time_features(prior, "order_dow", "ut"), ["user_id", "order_dow"]),
+        (user_time_features(prior, "order_hour", "uh"), ["user_id", "order_hour"]),
+        *window_blocks(recent_orders(prior_orders), prior, "r_"),
+        *window_blocks(early_orders(prior_orders), prior, "e_"),
+        (repeat_buyer_features(prior).drop("aisle_id", "department_id"), UP),
+        *([(vectors, ["product_id"])] if vectors is not None else []),
         (pattern, UP),
         (markov_features(prior_orders, prior).drop("order_id", "pre_reorder"), UP),
         (label, UP),

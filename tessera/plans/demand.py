@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import fallback_chain
-from tessera.operators.aggregates import with_group_counts
+from tessera.operators.aggregates import group_counts, with_group_counts
 from tessera.operators.ranges import dense_codes
 from tessera.session import cut_lineage
 
@@ -52,6 +52,7 @@ def count_features(df: DataFrame) -> DataFrame:
     df = cut_lineage(df)
     groups = [(k,) for k in keys] + list(combinations(keys, 2)) + TRIPLES
     out = with_group_counts(df, {"_".join(g) + "_cnt": list(g) for g in groups})
+    values = group_counts(df, [[k] for k in keys])
     for k in keys:
-        out = out.join(dense_codes(df, k, f"{k}_id"), k)
+        out = out.join(dense_codes(values[(k,)], k, f"{k}_id"), k)
     return out

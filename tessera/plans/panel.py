@@ -41,8 +41,12 @@ def clean_customers(df: DataFrame) -> DataFrame:
 def customer_vectors(
     panel: DataFrame, customers: DataFrame, products: Sequence[str], time: str, now: int,
     lags: Sequence[int], income_by_place: Mapping[str, float], income_default: float,
+    more_codes: Mapping[str, tuple[Mapping, int]] | None = None,
 ) -> DataFrame:
-    """One row per customer seen at ``now``: codes, scaled numbers, past states, totals."""
+    """One row per customer seen at ``now``: codes, scaled numbers, past states, totals.
+
+    ``more_codes`` adds code tables (codes, code of a blank or unknown cell), as for country and channel.
+    """
     state = [
         F.coalesce(F.max(F.when(F.col(time) == now - k, F.col(p))), F.lit(0)).alias(f"{p}_{k}")
         for k in (0, *lags) for p in products
@@ -52,7 +56,7 @@ def customer_vectors(
     income = F.coalesce(F.col("renta"), place[F.col("nomprov")], F.lit(income_default))
     codes = [
         code_lookup(F.col(c), table, missing, missing).alias(f"{c}_code")
-        for c, (table, missing) in CODE_TABLES.items() if c in customers.columns
+        for c, (table, missing) in {**CODE_TABLES, **(more_codes or {})}.items() if c in customers.columns
     ]
     sex = F.coalesce(F.col("sexo"), F.lit("N"))
     active = F.coalesce(F.col("ind_actividad_cliente"), F.lit("N"))

@@ -242,3 +242,113 @@ def test_gini_forms_agree(spark):
     one = Q.gini(df, "y", "p", "id").first()["gini_normalised"]
     two = Q.gini_pairwise(df, "y", "p", "id").first()["gini"]
     assert one == pytest.approx(two)
+
+
+def test_null_and_nan_orders_do_not_depend_on_the_cut_points(spark):
+    import math
+
+    from tessera.operators import ranges as R
+    values = [None] * 3 + [float("nan")] * 2 + [random.Random(3).random() for _ in range(200)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id long, v double")
+    order = sorted(range(len(values)), key=lambda i: (values[i] is not None, values[i] is not None and math.isnan(values[i]), values[i] if values[i] is not None and not math.isnan(values[i]) else 0, i))
+    want = {i: r + 1 for r, i in enumerate(order)}
+    for parts in (2, 4, 32):
+        got = R.split_window(df, [], ["v", "id"], row_number="r", parts=parts).collect()
+        assert {x["id"]: x["r"] for x in got} == want
+        tied = {str(x["v"]): (x["ties"], x["r"]) for x in _average_ranks(df, parts)}
+        assert tied["None"] == (3, 2.0) and tied["nan"] == (2, len(values) - 0.5)
+
+
+def _average_ranks(df, parts):
+    from tessera.operators import ranges as R
+    kept, R.default_parts = R.default_parts, lambda _: parts
+    try:
+        return R.average_rank(df, "v", "r").collect()
+    finally:
+        R.default_parts = kept
+
+
+def test_rank_mean_keeps_rows_without_a_prediction(spark):
+    from tessera.operators.blends import rank_mean
+    df = spark.createDataFrame([(1, 0.1, None), (2, 0.2, 0.5), (3, 0.3, 0.4)], "id long, a double, b double")
+    got = {r["id"]: r["m"] for r in rank_mean(df, "id", ["a", "b"], "m").collect()}
+    assert got == pytest.approx({1: 1 / 3, 2: (2 + 3) / 6, 3: (3 + 2) / 6})
+
+
+def test_long_texts_with_a_common_start_are_split(spark):
+    from tessera.operators.ranges import range_bucket
+    df = spark.createDataFrame([("https://example.com/" + "a" * 80 + f"/{i:04d}",) for i in range(600)], "u string")
+    counts = df.groupBy(range_bucket(df, ["u"], 16).alias("b")).count().collect()
+    assert len(counts) > 8 and max(r["count"] for r in counts) < 200
+
+
+def test_words_of_any_script(spark):
+    from tessera.functions import rules
+    from tessera.functions import text as X
+    df = spark.createDataFrame([("Für größe café r u",)], "t string")
+    row = df.select(X.regex_words("t").alias("a"), X.letter_words("t").alias("b"), X.replace_all("t", rules.COMMENT_RULES).alias("c")).first()
+    assert row["a"] == ["für", "größe", "café"] and row["b"] == ["für", "größe", "café", "r", "u"]
+    assert row["c"] == "Für größe café are you"
+
+
+def test_one_hot_beyond_a_thousand_levels(spark):
+    from tessera.operators import encoders as E
+    df = spark.range(2000).select("id", F.concat(F.lit("v"), F.col("id")).alias("c"))
+    assert len(E.one_hot(df, ["c"])) == 2000
+    cells = E.sparse_one_hot(df, "id", ["c"]).collect()
+    assert len({r["slot"] for r in cells}) == len(cells) == 2000
+
+
+def test_best_size_matches_all_outcomes():
+    from itertools import product
+
+    from tessera.operators.expected_f1 import best_size
+    rng = np.random.RandomState(4)
+    for n in (1, 2, 4, 6):
+        p = np.sort(rng.rand(n))[::-1]
+
+        def expected(k, none):
+            total = 0.0
+            for bought in product([0, 1], repeat=n):
+                chance = np.prod([q if b else 1 - q for q, b in zip(p, bought)])
+                truth = {i for i in range(n) if bought[i]} or {"None"}
+                chosen = set(range(k)) | ({"None"} if none else set())
+                both = len(truth & chosen)
+                total += chance * (2 * both / (len(truth) + len(chosen)) if both else 0.0)
+            return total
+
+        size, none, score = best_size(p)
+        best = max(expected(k, x) for k in range(n + 1) for x in (False, True))
+        assert score == pytest.approx(best) and expected(size, none) == pytest.approx(best)
+
+
+def test_nearest_sends_rows_only_where_they_are_searched(spark):
+    from tessera.operators import neighbours as N
+    rng = np.random.RandomState(5)
+    centres = rng.rand(60, 4) * 50
+    rows = [(i, [float(x) for x in centres[i % 60] + rng.rand(4)]) for i in range(1500)]
+    df = spark.createDataFrame(rows, "id long, vector array<float>")
+    got = N.nearest(df, df, 3, skip_same_id=True).collect()
+    m = np.array([r[1] for r in rows], dtype=np.float32).astype(float)
+    for q in range(0, 1500, 97):
+        gaps = np.abs(m - m[q]).sum(axis=1)
+        want = sorted((round(float(g), 4), i) for i, g in enumerate(gaps) if i != q)[:3]
+        assert sorted((round(r["distance"], 4), r["id"]) for r in got if r["qid"] == q) == want
+
+
+def test_gram_places_of_long_texts(spark):
+    from tessera.plans.pairs import gram_table
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(30000)}" for _ in range(20000)) for _ in range(2)]
+    df = spark.createDataFrame([(1, *texts), (2, "a bb cc", "dd"), (3, "", "x")], "id long, a string, b string")
+    got = {r["id"]: r for r in gram_table(df, "id").collect()}
+    other = set(texts[1].split())
+    assert got[1]["a1_in_b"] == sum(w in other for w in texts[0].split())
+    assert got[2]["a1_in_b"] == 0 and got[2]["pos_a1_max"] == 0 and got[3]["count_a1"] == 0
+
+
+def test_fold_means_leave_the_own_fold_out(spark):
+    from tessera.operators.fills import fold_mean_fill
+    df = spark.createDataFrame([(0, 1.0), (0, None), (1, 3.0), (1, None), (2, 5.0)], "f int, x double")
+    got = sorted((r["f"], r["x"]) for r in fold_mean_fill(df, ["x"], "f").collect())
+    assert got == [(0, 1.0), (0, 4.0), (1, 3.0), (1, 3.0), (2, 5.0)]
