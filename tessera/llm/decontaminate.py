@@ -43,10 +43,10 @@ from tessera.session import cut_lineage
 TOLERANCE = 0.1
 WINDOWS = (48, 24, 12)
 STEPS_PER_CHARACTER = 1.5
-STRIDE = 4
-WALKS = 2
+STRIDE = 2
+WALKS = 3
 SAMPLES = 2
-SAMPLED = 8
+SAMPLED = 16
 BITMAP_BITS = 1 << 24
 SEED = 11
 _CHUNK = 8192
@@ -63,8 +63,11 @@ def expected_recall(changed: float, windows: int) -> float:
     return 1 - (1 - (1 - changed) ** SAMPLED) ** (windows * WALKS * SAMPLES)
 
 
+GAP = int(max(WINDOWS) * STEPS_PER_CHARACTER) + 1
+
+
 class Folded:
-    """Normalised texts of a slice: bytes, text offsets and word starts."""
+    """Normalised texts of a slice: text ``r`` is data[begin[r]:end[r]], zeros follow it; and its word starts."""
 
     def __init__(self, texts: pa.Array):
         texts = texts.cast(pa.large_string()).fill_null("")
@@ -77,16 +80,17 @@ class Folded:
         before = np.roll(space, 1)
         before[offsets] = True
         keep = ~(space & before)[:-1]
-        self.data = data[keep]
-        self.offsets = np.concatenate([[0], np.cumsum(keep)])[offsets]
-        space = np.append(self.data == 32, True)
-        before = np.roll(space, 1)
-        before[self.offsets] = True
-        self.starts = np.flatnonzero(~space & before)
-        self.first = np.searchsorted(self.starts, self.offsets)
-        self.row = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
+        bounds = np.concatenate([[0], np.cumsum(keep)])[offsets]
+        shift = np.arange(len(texts)) * GAP
+        self.begin, self.end = bounds[:-1] + shift, bounds[1:] + shift
+        self.data = np.zeros(bounds[-1] + (len(texts) + 1) * GAP, np.uint8)
+        self.data[np.arange(bounds[-1]) + np.repeat(shift, np.diff(bounds))] = data[keep]
+        letter = (self.data != 32) & (self.data != 0)
+        self.starts = np.flatnonzero(letter & ~np.append(False, letter[:-1]))
+        self.first = np.append(np.searchsorted(self.starts, self.begin), len(self.starts))
+        self.row = np.repeat(np.arange(len(texts)), np.diff(self.first))
         self.place = np.arange(len(self.starts)) - self.first[self.row]
-        self.left = self.offsets[self.row + 1] - self.starts
+        self.left = self.end[self.row] - self.starts
 
 
 def _walks(size: int):
@@ -100,8 +104,10 @@ def _walks(size: int):
 
 
 def window_keys(data: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    """Keys of the windows that begin at ``starts``: one row per window, WALKS * SAMPLES columns."""
-    padded = np.concatenate([data, np.zeros(int(size * STEPS_PER_CHARACTER) + 1, np.uint8)])
+    """Keys of the windows that begin at ``starts``: one row per window, WALKS * SAMPLES columns.
+
+    A walk that leaves its text reads the zeros after it.
+    """
     out = np.zeros((len(starts), WALKS * SAMPLES), np.uint64)
     for walk, bits, places in _walks(size):
         sampled = [set(p.tolist()) for p in places]
@@ -110,10 +116,10 @@ def window_keys(data: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
             at = starts[a : a + _CHUNK].copy()
             key = np.zeros((SAMPLES, len(at)), np.uint64)
             for step in range(last + 1):
-                here = padded.take(at)
+                here = data.take(at)
                 for s in range(SAMPLES):
                     if step in sampled[s]:
-                        key[s] = (key[s] << np.uint64(8)) | here
+                        key[s] = key[s] * np.uint64(0x9E3779B97F4A7C15) + here + np.uint64(1)
                 at += bits[step].take(here)
             for s in range(SAMPLES):
                 out[a : a + _CHUNK, walk * SAMPLES + s] = mix(mix(key[s], size), walk * SAMPLES + s)
@@ -147,7 +153,7 @@ def _emit_items(batches):
         for part in slices(batch, "text"):
             folded = Folded(part.column("text"))
             for size, index in item_windows(folded):
-                keys = window_keys_of_texts(folded, index, size)
+                keys = window_keys(folded.data, folded.starts[index], size)
                 ids = part.column("item_id").take(pa.array(np.repeat(folded.row[index], keys.shape[1])))
                 yield pa.RecordBatch.from_arrays(
                     [ids, pa.array(signed(keys.ravel())), pa.array(np.full(keys.size, size, np.int64))],
@@ -155,17 +161,6 @@ def _emit_items(batches):
                 )
 
 
-def window_keys_of_texts(folded: Folded, index: np.ndarray, size: int) -> np.ndarray:
-    """Keys of windows that may reach the end of their text, where zeros follow."""
-    short = folded.left[index] < size * STEPS_PER_CHARACTER + 1
-    keys = window_keys(folded.data, folded.starts[index], size)
-    for i in np.flatnonzero(short):
-        at = folded.starts[index[i]]
-        own = folded.data[at : at + folded.left[index[i]]]
-        keys[i] = window_keys(own, np.zeros(1, np.int64), size)[0]
-    return keys
-
-
 def _find(bitmap: np.ndarray, sizes: list[int], reach: int):
     """Pieces of texts around windows that pass the bitmap, with the keys that pass."""
 
@@ -177,9 +172,6 @@ def _find(bitmap: np.ndarray, sizes: list[int], reach: int):
                 for size in sizes:
                     index = np.flatnonzero((folded.place % STRIDE == 0) & (folded.left >= min(size, min(WINDOWS))))
                     found = window_keys(folded.data, folded.starts[index], size)
-                    close = folded.left[index] < size * STEPS_PER_CHARACTER + 1
-                    if close.any():  # the walk may leave the text: zeros follow its end
-                        found[close] = window_keys_of_texts(folded, index[close], size)
                     one, two = _bits_of(found)
                     hit, column = np.nonzero(bitmap[one] & bitmap[two])
                     places.append(index[hit])
@@ -200,8 +192,8 @@ def _pieces(part: pa.RecordBatch, folded: Folded, at: np.ndarray, key: np.ndarra
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(at)) - 1
     rows = row[first]
-    begin = np.maximum(start[first] - reach, folded.offsets[rows])
-    end = np.minimum(start[last] + reach, folded.offsets[rows + 1])
+    begin = np.maximum(start[first] - reach, folded.begin[rows])
+    end = np.minimum(start[last] + reach, folded.end[rows])
     pieces = [folded.data[b:e].tobytes() for b, e in zip(begin.tolist(), end.tolist())]
     lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)).astype(np.int32)), pa.array(signed(key)))
     return pa.RecordBatch.from_arrays(
@@ -257,7 +249,7 @@ def _fold_items(batches):
     for batch in batches:
         for part in slices(batch, "text"):
             folded = Folded(part.column("text"))
-            texts = [folded.data[a:b].tobytes().rstrip() for a, b in zip(folded.offsets[:-1], folded.offsets[1:])]
+            texts = [folded.data[a:b].tobytes().rstrip() for a, b in zip(folded.begin, folded.end)]
             yield pa.RecordBatch.from_arrays([part.column("item_id"), pa.array(texts, pa.binary())], ["item_id", "item"])
 
 
