@@ -1,30 +1,39 @@
 """Exact Jaccard join of word-shingle sets, and the groups its links make.
 
-The Jaccard distance d = 1 - |x & y| / |x | y| is a metric. Documents lie so
-far apart in it (nearly all pairs at 1) that whole documents are useless as
-first pivots: within the window of the triangle inequality every document
-would be copied to every region. The pivots of the first level are therefore
-small sets, and documents take over below:
+The Jaccard distance d = 1 - |x & y| / |x | y| is a metric, and so is the size
+of the symmetric difference, |x - y| + |y - x|. Sets are linked if their
+difference is at most a share of their sizes, (1 - s)(|x| + |y|) / (1 + s).
+Documents lie so far apart (nearly all pairs share nothing) that whole
+documents are useless as first pivots: within the window of the triangle
+inequality every document would be copied to every region. The pivots of the
+first level are therefore small sets, and documents take over below:
 
 1. First level. The hash order of the shingles cuts a document's set into
-   pieces, and the pieces it holds are its nearest pivots. d(x, y) <= 1 - s
-   bounds the shingles that only one side has, and so the pieces in which x
-   and y can differ; a document is copied to just so many of its pivots'
-   regions that linked documents meet in one of them. ``single`` pivots are
-   one shingle each: x lacks at most |x| - s|x| of its shingles in y, so the
-   first floor(|x| - s|x|) + 1 of them are enough. ``pieces`` cuts the hash
-   range into more parts than the symmetric difference has elements, for all
-   documents of a size class, so that one part is equal as a whole; documents
-   at the upper edge of a class are copied to the next. Pieces hold several
-   shingles, which keeps documents apart that share only common ones.
-2. Inside a region the smallest document is the pivot. Its exact distance to
-   every member is taken from the whole sets. Members at most 1 - s away are
-   linked, and the region is done if the others are in one group already.
-3. What is left is joined again, with four times the pivots of the round
-   before: a pivot p meets a member x of another group only if
-   |d(x, q) - d(p, q)| <= 1 - s for the region's first pivot q, and their sets
-   are compared only if short sketches of them do not rule out a link. No pair
-   is looked at twice.
+   pieces, and the pieces it holds are its nearest pivots. The difference of
+   linked sets is bounded, and so are the pieces in which they can differ; a
+   document is copied to just so many of its pivots' regions that linked
+   documents meet in one of them. ``single`` pivots are one shingle each: the
+   first floor(|x| - s|x|) + 1 of x are enough. ``pieces`` cuts the hash range
+   into more parts than the difference has elements, for all documents of a
+   size class, so that one part is equal as a whole; documents at the upper
+   edge of a class are copied to the next. Pieces hold several shingles, which
+   keeps documents apart that share only common ones.
+2. The smallest document q of a region is its pivot; the documents that share
+   pivot q make its cell. The exact difference of each member and q is taken
+   from the whole sets. Members close enough to q are linked. A cell whose
+   other members are in one group already is done.
+3. A cell is joined again about a centre c, q with the changes that most of
+   (up to ``CENTRE_MEMBERS`` of) its members share; any set would do. Two
+   members differ from each other by the symmetric difference of their
+   differences from c, which are short. Members whose differences are so short
+   that they must be linked hang on the one with the most room left, by the
+   triangle inequality, without being paired. Otherwise, differences of i and j
+   times the bound or more can only belong to linked members if |i - j| <= 1, so
+   a member goes to its ring and, as boundary document, to the two beside it.
+   In a pair of rings, linked members share so many elements of their
+   differences that one lies among the first few of both, in an order that has
+   what c lacks before what c has. Members of different groups that share such
+   an element are compared, first by short sketches, then in full.
 
 Only links between different groups are looked for, so copies are never paired
 off, and a set that many documents share is one member. Sets are named by
@@ -51,6 +60,8 @@ CLASS_RATIO = 1.5
 LEAST_IN_PART = 2
 # bytes of a set's sketch, which rules out most pairs before their sets are compared
 BUCKETS = 256
+# members of a cell that its centre is taken from, about; the centre changes the cost only
+CENTRE_MEMBERS = 64
 
 
 class Sets:
@@ -197,19 +208,139 @@ def _emit_shingles(size: int):
     return per_slice(run)
 
 
-def _measured(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
-    """(a, b) pairs of sets with their exact distance and whether they are linked."""
+def _both_sets(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
     one = shingles.select(F.col("set").alias("b"), F.col("shingles").alias("__b"))
     two = shingles.select(F.col("set").alias("a"), F.col("shingles").alias("__a"))
+    return pairs.join(one, "b").join(two, "a")
+
+
+def _linked(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) pairs of sets that are linked, by their whole sets."""
     common = F.size(F.array_intersect("__a", "__b"))
-    return (
-        pairs.join(one, "b").join(two, "a")
-        .select("a", "b", common.alias("__n"), (F.size("__a") + F.size("__b")).alias("__sum"))
-        .select(
-            "a", "b", (1 - F.col("__n") / (F.col("__sum") - F.col("__n"))).alias("distance"),
-            (100 * F.col("__n") >= percent * (F.col("__sum") - F.col("__n"))).alias("linked"),
+    sized = _both_sets(pairs, shingles).select("a", "b", common.alias("__n"), (F.size("__a") + F.size("__b")).alias("__sum"))
+    return sized.where(100 * F.col("__n") >= percent * (F.col("__sum") - F.col("__n"))).select("a", "b")
+
+
+def _differences(batches):
+    """Per (a, b): sizes, and the shingles that b adds to a and that are gone from it."""
+    for batch in batches:
+        rows = {"n_a": [], "n_b": []}
+        lists = {"added": [], "gone": []}
+        for a, b in zip(batch.column("__a"), batch.column("__b")):
+            a, b = a.values.to_numpy().view(np.uint64), b.values.to_numpy().view(np.uint64)
+            rows["n_a"].append(len(a))
+            rows["n_b"].append(len(b))
+            lists["added"].append(np.setdiff1d(b, a, assume_unique=True))
+            lists["gone"].append(np.setdiff1d(a, b, assume_unique=True))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("a"), batch.column("b"), *[pa.array(v, pa.int64()) for v in rows.values()], *map(_lists, lists.values())],
+            ["a", "b", *rows, *lists],
         )
+
+
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    values = np.concatenate([*parts, np.zeros(0, np.uint64)])
+    return list_column(signed(values), [len(x) for x in parts], pa.int64())
+
+
+def _about_centre(percent: int):
+    """Per (a, b): the size of the difference of b and the centre of cell a, and its first elements."""
+
+    def run(batches):
+        for batch in batches:
+            differ, heads = [], []
+            sets = [[x.values.to_numpy().view(np.uint64) if x.is_valid else np.zeros(0, np.uint64) for x in batch.column(c)]
+                    for c in ("added", "gone", "centre_added", "centre_gone")]
+            for added, gone, plus, minus, n in zip(*sets, batch.column("n_b").to_pylist()):
+                # what the centre has changed in a and b has not
+                lacks, has = np.setdiff1d(plus, added), np.setdiff1d(minus, gone)
+                added = np.union1d(np.setdiff1d(added, plus), has)
+                gone = np.union1d(np.setdiff1d(gone, minus), lacks)
+                most = 2 * _largest_bound(n, percent) + 2
+                differ.append(len(added) + len(gone))
+                heads.append(np.concatenate([added[:most], gone[: max(0, most - len(added))]]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("a"), batch.column("b"), batch.column("n_b"), pa.array(differ, pa.int64()), _lists(heads)],
+                ["a", "b", "n_b", "differ", "head"],
+            )
+
+    return run
+
+
+def _centres(measured: DataFrame) -> DataFrame:
+    """(a, centre_added, centre_gone): changes of cell a that more than half of the members looked at have."""
+    cells = measured.groupBy("a").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    looked = measured.join(cells, "a").where(F.pmod(F.xxhash64("b"), F.col("members")) < CENTRE_MEMBERS)
+    seen = looked.groupBy("a").agg(F.count(F.lit(1)).alias("seen"))
+
+    def each(c: str, kind: int) -> DataFrame:
+        return looked.select("a", F.lit(kind).alias("kind"), F.explode(c).alias("x"))
+
+    common = (
+        each("added", 1).unionByName(each("gone", 0)).groupBy("a", "kind", "x").agg(F.count(F.lit(1)).alias("n"))
+        .join(seen, "a").where("2 * n > seen")
     )
+    return common.groupBy("a").agg(
+        F.collect_list(F.when(F.col("kind") == 1, F.col("x"))).alias("centre_added"),
+        F.collect_list(F.when(F.col("kind") == 0, F.col("x"))).alias("centre_gone"),
+    )
+
+
+def _largest_bound(n: int, percent: int) -> int:
+    """Bound on the difference in the size classes that a set of ``n`` shingles is copied to."""
+    bounds = size_classes(n)
+    kind = int(np.searchsorted(bounds, n, "right")) - 1
+    return (100 - percent) * 2 * (int(bounds[kind + 2] if kind + 2 < len(bounds) else bounds[-1] * CLASS_RATIO + 1) - 1) // (100 + percent)
+
+
+def ring_prefixes(differ: int, bound: int) -> list[tuple[int, int, int, int]]:
+    """(ring i, ring j, role, elements) for a member with ``differ`` elements of difference.
+
+    Roles: 2 in its own ring, 0 as the member of the lower and 1 of the upper
+    of two rings. Linked members of rings i and j share at least
+    ((i + j) * bound - bound) / 2 elements.
+    """
+    i = differ // bound
+    out = []
+    for low, high, role in ((i, i, 2), (i, i + 1, 0), (i - 1, i, 1)):
+        if low >= 0:
+            shared = max(1, -(-((low + high) * bound - bound) // 2))
+            out.append((low, high, role, max(0, differ - shared + 1)))
+    return out
+
+
+def _emit_rings(percent: int):
+    def run(batches):
+        for batch in batches:
+            keys, places, rows, roles = [], [], [], []
+            columns = [batch.column(c).to_pylist() for c in ("a", "n_b", "differ")]
+            for at, ((a, n, differ), head) in enumerate(zip(zip(*columns), batch.column("head"))):
+                head = head.values.to_numpy().view(np.uint64)
+                bounds = size_classes(n)
+                own = int(np.searchsorted(bounds, n, "right")) - 1
+                for kind in (own, own + 1):
+                    if kind > own and n * 100 // percent < bounds[kind]:
+                        continue
+                    upper = bounds[kind + 1] if kind + 1 < len(bounds) else max(bounds[kind] + 1, int(bounds[kind] * CLASS_RATIO))
+                    bound = (100 - percent) * 2 * (int(upper) - 1) // (100 + percent)
+                    if bound == 0:  # only equal sets are linked
+                        continue
+                    for low, high, role, take in ring_prefixes(differ, bound):
+                        cell = mix(mix(np.array([a], np.int64).view(np.uint64), kind) + np.uint64((low << 32) + high), 15)
+                        keys.append(mix(head[:take] + cell, 16))
+                        size = len(keys[-1])
+                        places.append(np.arange(size, dtype=np.int32))
+                        rows.append(np.full(size, at))
+                        roles.append(np.full(size, role, np.int8))
+            if keys:
+                which = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(signed(np.concatenate(keys))), pa.array(np.concatenate(places)), pa.array(np.concatenate(roles), pa.int8()),
+                     *[batch.column(c).take(which) for c in ("b", "group", "n_b", "differ")]],
+                    ["key", "place", "role", "set", "group", "n", "differ"],
+                )
+
+    return run
 
 
 def _may_link(percent: int):
@@ -243,74 +374,62 @@ def set_groups(docs: DataFrame, sets: DataFrame, *, size: int, percent: int, piv
         placed.groupBy("region").agg(F.min("set").alias("pivot"), F.max("set").alias("last"))
         .where("pivot < last").select("region", "pivot")
     )
-    members = cut_lineage(
-        placed.join(regions, "region").where("set <> pivot").select("region", "pivot", "set").distinct()
-    )
-    # regions with the same members are one
-    same = members.groupBy("region", "pivot").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("set").cast("decimal(38,0)")).alias("whole")
+    stars = cut_lineage(
+        placed.join(regions, "region").where("set <> pivot").select(F.col("pivot").alias("a"), F.col("set").alias("b")).distinct()
     )
-    kept = same.groupBy("pivot", "n", "whole").agg(F.min("region").alias("region")).where("n > 1")
-    stars = cut_lineage(members.select(F.col("pivot").alias("a"), F.col("set").alias("b")).distinct())
     involved = stars.select(F.explode(F.array("a", "b")).alias("set")).distinct()
     named = sets.where("set is not null").join(involved, "set").groupBy("set").agg(F.min("doc_id").alias("doc_id"))
     shingles = cut_lineage(
         usable.join(named.withColumnRenamed("set", "wanted"), "doc_id")
         .mapInArrow(_emit_shingles(size), "set long, shingles array<long>, sketch binary, n long")
+        .dropDuplicates(["set"])
     )
-    measured = cut_lineage(_measured(stars, shingles, percent))
-    links = measured.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    measured = cut_lineage(
+        _both_sets(stars, shingles).select("a", "b", "__a", "__b")
+        .mapInArrow(_differences, "a long, b long, n_a long, n_b long, added array<long>, gone array<long>")
+    )
+    more, less = 100 - percent, 100 + percent
+    apart = F.size("added") + F.size("gone")
+    links = measured.where(less * apart <= more * (F.col("n_a") + F.col("n_b"))).select(
+        F.col("a").alias("u"), F.col("b").alias("v")
+    )
+    moved = cut_lineage(
+        measured.join(_centres(measured), "a", "left").select("a", "b", "n_b", "added", "gone", "centre_added", "centre_gone")
+        .mapInArrow(_about_centre(percent), "a long, b long, n_b long, differ long, head array<long>")
+    )
+    # members so close to the centre that they are linked whatever they share: a link of y to any
+    # member means that y is linked to the one with the most room
+    room = F.struct((more * F.col("n_b") - less * F.col("differ")).alias("room"), "b")
+    best = moved.groupBy("a").agg(F.max(room).alias("best"))
+    close = moved.join(best, "a").where(
+        (F.col("b") != F.col("best.b")) & (less * F.col("differ") <= more * F.col("n_b") + F.col("best.room"))
+    )
+    links = cut_lineage(links.unionByName(close.select(F.col("best.b").alias("u"), F.col("b").alias("v"))).distinct())
     groups = cut_lineage(components(links))
-    window = (100 - percent) / 100 + 1e-9
-
-    def with_group(rows: DataFrame, groups: DataFrame) -> DataFrame:
-        named = groups.select(F.col("node").alias("set"), F.col("component"))
-        return rows.join(named, "set", "left").withColumn("group", F.coalesce("component", "set")).drop("component")
-
-    def unsettled(rows: DataFrame) -> DataFrame:
-        """Members of the regions that hold more than one group."""
-        mixed = rows.groupBy("region").agg(
-            F.min("group").alias("low"), F.max("group").alias("high"), F.count(F.lit(1)).alias("members")
-        ).where("low < high")
-        return cut_lineage(rows.drop("members").join(mixed.select("region", "members"), "region"))
-
-    rest = members.join(kept.select("region"), "region").join(
-        measured.select(F.col("a").alias("pivot"), F.col("b").alias("set"), "distance"), ["pivot", "set"]
-    ).select("region", "set", "distance")
-    rest = unsettled(with_group(rest, groups))
-    at_once, ties, compared = 4, None, stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    while not rest.isEmpty():
-        least = rest.groupBy("region").agg(F.min("set").alias("least"))
-        # drawn by the set alone, so that regions with the same members draw the same pivots
-        share = F.pmod(F.xxhash64("set", F.lit(at_once)), F.lit(1 << 30)) * F.col("members")
-        drawn = share < (at_once << 30)
-        marked = cut_lineage(rest.join(least, "region").withColumn("pivot", drawn | (F.col("set") == F.col("least"))).drop("least"))
-        chosen = marked.where("pivot").select(
-            "region", F.col("set").alias("a"), F.col("group").alias("u"), F.col("distance").alias("__distance")
-        )
-        met = marked.join(chosen, "region").where(
-            (F.col("group") != F.col("u")) & (F.abs(F.col("distance") - F.col("__distance")) <= window)
-            & (~F.col("pivot") | (F.col("a") < F.col("set")))
-        )
-        pairs = met.select(
-            F.least("a", "set").alias("a"), F.greatest("a", "set").alias("b"),
-            F.when(F.col("a") < F.col("set"), F.col("u")).otherwise(F.col("group")).alias("u"),
-            F.when(F.col("a") < F.col("set"), F.col("group")).otherwise(F.col("u")).alias("v"),
-        ).distinct()
-        pairs = cut_lineage(pairs.join(compared, ["a", "b"], "left_anti"))
-        near = _near(pairs.select("a", "b"), shingles, percent)
-        found = _measured(near, shingles, percent).where("linked").select("a", "b")
-        tied = cut_lineage(pairs.join(found, ["a", "b"]).select("u", "v").distinct())
-        compared = compared.unionByName(pairs.select("a", "b"))
-        rest = marked.where("not pivot").drop("pivot")
-        if not tied.isEmpty():
-            moved = cut_lineage(components(tied)).withColumnRenamed("node", "group")
-            rest = rest.join(moved, "group", "left").withColumn("group", F.coalesce("component", "group")).drop("component")
-            ties = tied if ties is None else ties.unionByName(tied)
-        rest = unsettled(rest)
-        at_once *= 4
-    if ties is not None:
-        groups = cut_lineage(components(links.unionByName(ties)))
+    member = groups.select(F.col("node").alias("b"), "component")
+    grouped = moved.join(member, "b", "left").withColumn("group", F.coalesce("component", "b")).drop("component")
+    mixed = cut_lineage(
+        grouped.groupBy("a").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("a")
+    )
+    rings = grouped.join(mixed, "a").select("a", "b", "group", "n_b", "differ", "head").mapInArrow(
+        _emit_rings(percent), "key long, place int, role byte, set long, group long, n long, differ long"
+    )
+    shared = cut_lineage(
+        rings.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("key")
+    )
+    meeting = cut_lineage(rings.join(shared, "key"))
+    other = meeting.select("key", *[F.col(c).alias(f"__{c}") for c in meeting.columns if c != "key"])
+    same_ring = (F.col("role") == 2) & (F.col("__role") == 2) & (F.col("set") < F.col("__set"))
+    # if this is the first element they share, no more than the rest of the shorter one can follow
+    left = F.least(F.col("differ") - F.col("place"), F.col("__differ") - F.col("__place"))
+    enough = less * (F.col("differ") + F.col("__differ")) - more * (F.col("n") + F.col("__n")) <= 2 * less * left
+    met = meeting.join(other, "key").where(
+        (F.col("group") != F.col("__group")) & (same_ring | ((F.col("role") == 0) & (F.col("__role") == 1))) & enough
+    )
+    pairs = cut_lineage(met.select(F.least("set", "__set").alias("a"), F.greatest("set", "__set").alias("b")).distinct())
+    found = cut_lineage(_linked(_near(pairs, shingles, percent), shingles, percent))
+    if not found.isEmpty():
+        groups = cut_lineage(components(links.unionByName(found.select(F.col("a").alias("u"), F.col("b").alias("v")))))
     return groups.select(F.col("node").alias("set"), F.col("component").alias("group"))
 
 
