@@ -63,7 +63,7 @@ UNKNOWN = "unknown"
 # most corpus paragraphs the classifier is fitted on
 SAMPLE = 4000
 # of a paragraph that is only fitted on, so many characters are taken
-SAMPLE_CHARACTERS = 2000
+SAMPLE_CHARACTERS = 500
 VARIANTS = 40
 DROPPED_PERCENT = 12
 REGULARISATION = 0.002
@@ -73,7 +73,7 @@ CONFIRMED = 0.5
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}.+]+|\.(?=\s|$)"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
 def grams_of(words: Column) -> Column:
@@ -186,13 +186,17 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Classifier:
     return model
 
 
-def _most(grams: Column, model: Classifier) -> Column:
-    """No family's odds over ``unknown`` are above this."""
-    names = F.array(*[F.lit(g) for g, _ in model.lifting]) if model.lifting else F.array().cast("array<string>")
-    lifts = F.array(F.lit(0.0), *[F.lit(x) for _, x in model.lifting])
-    found = F.array_intersect(grams, names)
+def _most(words: Column, model: Classifier) -> Column:
+    """No family's odds over ``unknown`` are above this: a pair of words counts if its first word is there."""
+    lift: dict[str, float] = {}
+    for gram, weight in model.lifting:
+        first = gram.split(" ")[0]
+        lift[first] = lift.get(first, 0.0) + weight
+    names = F.array(*[F.lit(w) for w in lift]) if lift else F.array().cast("array<string>")
+    lifts = F.array(F.lit(0.0), *[F.lit(x) for x in lift.values()])
     return F.aggregate(
-        found, F.lit(max(model.bias, default=-1.0)), lambda s, g: s + F.get(lifts, F.array_position(names, g).cast("int"))
+        F.array_intersect(words, names), F.lit(max(model.bias, default=-1.0)),
+        lambda s, w: s + F.get(lifts, F.array_position(names, w).cast("int")),
     )
 
 
@@ -200,9 +204,10 @@ def classify(docs: DataFrame, model: Classifier) -> DataFrame:
     """(doc_id, paragraph, family, probability, template_id, similarity, confirmed) of each licence paragraph."""
     named = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
     lines = named.select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).select(
-        "row", "doc_id", "paragraph", grams_of(words_of(F.col("line"))).alias("grams")
-    ).where(F.size("grams") > 0)
-    lines = cut_lineage(lines.where(_most(F.col("grams"), model) >= 0))
+        "row", "doc_id", "paragraph", words_of(F.col("line")).alias("words")
+    )
+    likely = lines.where(_most(F.col("words"), model) >= 0).where(F.size("words") > 0)
+    lines = cut_lineage(likely.select("row", "doc_id", "paragraph", grams_of(F.col("words")).alias("grams")))
     key = ["row", "paragraph"]
     odds = lines.join(_margins(lines, model, key), key)
     chance = _probabilities(F.col("odds"), model.temperature)
