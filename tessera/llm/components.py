@@ -10,7 +10,8 @@ from tessera.session import cut_lineage
 
 def _star(pairs: DataFrame, keep) -> DataFrame:
     """Hang the ``keep`` neighbours of every node u on the smallest node next to it (or u)."""
-    lowest = pairs.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
+    # written before it is joined, so that Spark can split the neighbours of a hot node
+    lowest = cut_lineage(pairs.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low")))
     return pairs.join(lowest, "u").where(keep).select(F.col("v").alias("u"), F.col("low").alias("v"))
 
 
@@ -31,7 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.where("u <> v").unionByName(
             large.groupBy("u").agg(F.min("v").alias("v")).where("u <> v")
         ).distinct()
-        lowest = small.groupBy("u").agg(F.min("v").alias("low"))
+        lowest = cut_lineage(small.groupBy("u").agg(F.min("v").alias("low")))
         hung = small.join(lowest, "u").select(F.col("v").alias("u"), F.col("low").alias("v"))
         edges = cut_lineage(hung.unionByName(lowest.select("u", F.col("low").alias("v"))).where("u <> v").distinct())
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

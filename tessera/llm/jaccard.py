@@ -13,13 +13,15 @@ first level are therefore small sets, and documents take over below:
    linked sets is bounded, and so are the pieces in which they can differ; a
    document is copied to just so many of its pivots' regions that linked
    documents meet in one of them. ``single`` pivots are one shingle each: the
-   first floor(|x| - s|x|) + 1 of x are enough. ``pieces`` cuts the hash range
+   first floor(|x| - s|x|) + 1 of x are enough, in an order that has those
+   common in a sample of the documents last. ``pieces`` cuts the hash range
    into more parts than the difference has elements, for all documents of a
    size class, so that one part is equal as a whole; documents at the upper
    edge of a class are copied to the next. Pieces hold several shingles, which
    keeps documents apart that share only common ones.
-2. The smallest document q of a region is its pivot; the documents that share
-   pivot q make its cell. The exact difference of each member and q is taken
+2. The smallest document q of a region is its pivot; pivots that are linked to
+   each other give way to the smallest one. The documents of one pivot make its
+   cell. The exact difference of each member and q is taken
    from the whole sets. Members close enough to q are linked. A cell whose
    other members are in one group already is done.
 3. A cell is joined again about a centre c, q with the changes that most of
@@ -27,13 +29,13 @@ first level are therefore small sets, and documents take over below:
    members differ from each other by the symmetric difference of their
    differences from c, which are short. Members whose differences are so short
    that they must be linked hang on the one with the most room left, by the
-   triangle inequality, without being paired. Otherwise, differences of i and j
-   times the bound or more can only belong to linked members if |i - j| <= 1, so
-   a member goes to its ring and, as boundary document, to the two beside it.
-   In a pair of rings, linked members share so many elements of their
-   differences that one lies among the first few of both, in an order that has
-   what c lacks before what c has. Members of different groups that share such
-   an element are compared, first by short sketches, then in full.
+   triangle inequality, without being paired. Other linked members share so
+   many elements of their differences that one lies among the first few of
+   both, in an order that has what c lacks before what c has: a member goes to
+   the regions of just these elements. Members of different groups that meet
+   there, and whose distances from the centre the triangle inequality and the
+   place of the element allow, are compared, first by short sketches, then in
+   full.
 
 Only links between different groups are looked for, so copies are never paired
 off, and a set that many documents share is one member. Sets are named by
@@ -48,6 +50,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,6 +65,10 @@ LEAST_IN_PART = 2
 BUCKETS = 256
 # members of a cell that its centre is taken from, about; the centre changes the cost only
 CENTRE_MEMBERS = 64
+# ``single`` pivots: documents and counts by which common shingles are known, and how many are kept
+SAMPLE_DOCS = 5000
+COMMON_TIMES = 3
+COMMON_MOST = 1 << 18
 
 
 class Sets:
@@ -102,12 +109,16 @@ class Sets:
         return total[self.first[1:]] - total[self.first[:-1]]
 
 
-def _first_shingles(sets: Sets, percent: int, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``single`` pivots: (pivot, row) for the chosen rows."""
+def _first_shingles(sets: Sets, percent: int, chosen: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``single`` pivots: (pivot, row) for the chosen rows; ``common`` shingles come last in the order."""
     need = sets.counts - -(-sets.counts * percent // 100) + 1
     need = np.where(chosen & (sets.counts > 0), need, 0)
-    place = np.arange(len(sets.values)) - sets.first[sets.row]
-    use = place < need[sets.row]
+    late = np.zeros(len(sets.values), bool)
+    if len(common):
+        late = common[np.minimum(np.searchsorted(common, sets.values), len(common) - 1)] == sets.values
+    order = np.lexsort((sets.values, late, sets.row))
+    place = np.arange(len(order)) - sets.first[sets.row]  # rows keep their lengths and their order
+    use = order[place < need[sets.row]]
     return sets.values[use], sets.row[use]
 
 
@@ -183,17 +194,39 @@ def _emit_sets(size: int):
     return per_slice(run)
 
 
-def _emit_pivots(size: int, percent: int, pivots: str):
+def _emit_pivots(size: int, percent: int, pivots: str, common: np.ndarray):
     def run(part: pa.RecordBatch, words: Words) -> pa.RecordBatch:
         sets = Sets(words, size)
         chosen = np.zeros(len(sets.counts), bool)
         chosen[np.unique(sets.name, return_index=True)[1]] = True  # a set once per slice
-        pivot, row = (_first_shingles if pivots == "single" else _pieces)(sets, percent, chosen)
+        if pivots == "single":
+            pivot, row = _first_shingles(sets, percent, chosen, common)
+        else:
+            pivot, row = _pieces(sets, percent, chosen)
         return pa.RecordBatch.from_arrays([pa.array(signed(pivot)), pa.array(sets.name[row])], ["region", "set"])
 
     return per_slice(run)
 
 
+def _emit_all(size: int):
+    def run(part: pa.RecordBatch, words: Words) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(signed(Sets(words, size).values))], ["shingle"])
+
+    return per_slice(run)
+
+
+def common_shingles(docs: DataFrame, count: int, size: int) -> np.ndarray:
+    """Shingles that ``COMMON_TIMES`` or more of about ``SAMPLE_DOCS`` documents have, sorted.
+
+    They are no good as pivots and come last in their order; any order gives the same groups.
+    """
+    share = int(min(1.0, SAMPLE_DOCS / max(count, 1)) * (1 << 30))
+    sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < share)
+    counted = sample.select("text").mapInArrow(_emit_all(size), "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+    top = counted.where(F.col("n") >= COMMON_TIMES).orderBy(F.desc("n"), "shingle").limit(COMMON_MOST)
+    return np.sort(top.select("shingle").toArrow().column(0).to_numpy().view(np.uint64))
+
+
 def _emit_shingles(size: int):
     def run(part: pa.RecordBatch, words: Words) -> pa.RecordBatch:
         sets = Sets(words, size)
@@ -256,7 +289,7 @@ def _about_centre(percent: int):
                 lacks, has = np.setdiff1d(plus, added), np.setdiff1d(minus, gone)
                 added = np.union1d(np.setdiff1d(added, plus), has)
                 gone = np.union1d(np.setdiff1d(gone, minus), lacks)
-                most = 2 * _largest_bound(n, percent) + 2
+                most = _largest_bound(n, percent) + 1
                 differ.append(len(added) + len(gone))
                 heads.append(np.concatenate([added[:most], gone[: max(0, most - len(added))]]))
             yield pa.RecordBatch.from_arrays(
@@ -287,60 +320,25 @@ def _centres(measured: DataFrame) -> DataFrame:
 
 
 def _largest_bound(n: int, percent: int) -> int:
-    """Bound on the difference in the size classes that a set of ``n`` shingles is copied to."""
-    bounds = size_classes(n)
-    kind = int(np.searchsorted(bounds, n, "right")) - 1
-    return (100 - percent) * 2 * (int(bounds[kind + 2] if kind + 2 < len(bounds) else bounds[-1] * CLASS_RATIO + 1) - 1) // (100 + percent)
-
-
-def ring_prefixes(differ: int, bound: int) -> list[tuple[int, int, int, int]]:
-    """(ring i, ring j, role, elements) for a member with ``differ`` elements of difference.
-
-    Roles: 2 in its own ring, 0 as the member of the lower and 1 of the upper
-    of two rings. Linked members of rings i and j share at least
-    ((i + j) * bound - bound) / 2 elements.
-    """
-    i = differ // bound
-    out = []
-    for low, high, role in ((i, i, 2), (i, i + 1, 0), (i - 1, i, 1)):
-        if low >= 0:
-            shared = max(1, -(-((low + high) * bound - bound) // 2))
-            out.append((low, high, role, max(0, differ - shared + 1)))
-    return out
-
+    """Bound on the difference of a set of ``n`` shingles and any set it is linked with."""
+    return (100 - percent) * n // percent
 
-def _emit_rings(percent: int):
-    def run(batches):
-        for batch in batches:
-            keys, places, rows, roles = [], [], [], []
-            columns = [batch.column(c).to_pylist() for c in ("a", "n_b", "differ")]
-            for at, ((a, n, differ), head) in enumerate(zip(zip(*columns), batch.column("head"))):
-                head = head.values.to_numpy().view(np.uint64)
-                bounds = size_classes(n)
-                own = int(np.searchsorted(bounds, n, "right")) - 1
-                for kind in (own, own + 1):
-                    if kind > own and n * 100 // percent < bounds[kind]:
-                        continue
-                    upper = bounds[kind + 1] if kind + 1 < len(bounds) else max(bounds[kind] + 1, int(bounds[kind] * CLASS_RATIO))
-                    bound = (100 - percent) * 2 * (int(upper) - 1) // (100 + percent)
-                    if bound == 0:  # only equal sets are linked
-                        continue
-                    for low, high, role, take in ring_prefixes(differ, bound):
-                        cell = mix(mix(np.array([a], np.int64).view(np.uint64), kind) + np.uint64((low << 32) + high), 15)
-                        keys.append(mix(head[:take] + cell, 16))
-                        size = len(keys[-1])
-                        places.append(np.arange(size, dtype=np.int32))
-                        rows.append(np.full(size, at))
-                        roles.append(np.full(size, role, np.int8))
-            if keys:
-                which = pa.array(np.concatenate(rows))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(np.concatenate(keys))), pa.array(np.concatenate(places)), pa.array(np.concatenate(roles), pa.int8()),
-                     *[batch.column(c).take(which) for c in ("b", "group", "n_b", "differ")]],
-                    ["key", "place", "role", "set", "group", "n", "differ"],
-                )
 
-    return run
+def _emit_heads(batches):
+    """A row for each of the first elements of a member's difference from its centre."""
+    for batch in batches:
+        heads = batch.column("head")
+        counts = pc.list_value_length(heads).to_numpy(zero_copy_only=False).astype(np.int64)
+        which = np.repeat(np.arange(batch.num_rows), counts)
+        values = heads.flatten().to_numpy().view(np.uint64)
+        cell = mix(batch.column("a").to_numpy().view(np.uint64), 15)
+        place = np.arange(len(which)) - np.repeat(np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)
+        at = pa.array(which)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(signed(mix(values + cell[which], 16))), pa.array(place.astype(np.int32)),
+             *[batch.column(c).take(at) for c in ("b", "group", "n_b", "differ")]],
+            ["key", "place", "set", "group", "n", "differ"],
+        )
 
 
 def _may_link(percent: int):
@@ -365,10 +363,23 @@ def _near(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _fewer_pivots(stars: DataFrame, shingles: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Stars (a, b) with linked pivots merged into the smallest, and the links (u, v) of the pivots."""
+    pivots = stars.select(F.col("a").alias("b")).distinct()
+    links = cut_lineage(
+        _linked(stars.join(pivots, "b").select("a", "b"), shingles, percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    )
+    root = components(links)
+    moved = stars.join(root.withColumnRenamed("node", "a"), "a", "left").select(F.coalesce("component", "a").alias("a"), "b")
+    own = root.select(F.col("component").alias("a"), F.col("node").alias("b"))
+    return cut_lineage(moved.unionByName(own).where("a <> b").distinct()), links
+
+
 def set_groups(docs: DataFrame, sets: DataFrame, *, size: int, percent: int, pivots: str) -> DataFrame:
     """(set, group) for every set that is linked with another one; ``sets`` is (doc_id, n_shingles, set)."""
     usable = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
-    placed = usable.mapInArrow(_emit_pivots(size, percent, pivots), "region long, set long")
+    common = common_shingles(usable, sets.count(), size) if pivots == "single" else np.zeros(0, np.uint64)
+    placed = usable.mapInArrow(_emit_pivots(size, percent, pivots, common), "region long, set long")
     # written, so that Spark can split a hot region's side of the join
     regions = cut_lineage(
         placed.groupBy("region").agg(F.min("set").alias("pivot"), F.max("set").alias("last"))
@@ -382,8 +393,8 @@ def set_groups(docs: DataFrame, sets: DataFrame, *, size: int, percent: int, piv
     shingles = cut_lineage(
         usable.join(named.withColumnRenamed("set", "wanted"), "doc_id")
         .mapInArrow(_emit_shingles(size), "set long, shingles array<long>, sketch binary, n long")
-        .dropDuplicates(["set"])
     )
+    stars, near_pivots = _fewer_pivots(stars, shingles, percent)
     measured = cut_lineage(
         _both_sets(stars, shingles).select("a", "b", "__a", "__b")
         .mapInArrow(_differences, "a long, b long, n_a long, n_b long, added array<long>, gone array<long>")
@@ -393,14 +404,16 @@ def set_groups(docs: DataFrame, sets: DataFrame, *, size: int, percent: int, piv
     links = measured.where(less * apart <= more * (F.col("n_a") + F.col("n_b"))).select(
         F.col("a").alias("u"), F.col("b").alias("v")
     )
+    centres = cut_lineage(_centres(measured))
     moved = cut_lineage(
-        measured.join(_centres(measured), "a", "left").select("a", "b", "n_b", "added", "gone", "centre_added", "centre_gone")
+        measured.join(centres, "a", "left").select("a", "b", "n_b", "added", "gone", "centre_added", "centre_gone")
         .mapInArrow(_about_centre(percent), "a long, b long, n_b long, differ long, head array<long>")
     )
+    links = links.unionByName(near_pivots)
     # members so close to the centre that they are linked whatever they share: a link of y to any
     # member means that y is linked to the one with the most room
     room = F.struct((more * F.col("n_b") - less * F.col("differ")).alias("room"), "b")
-    best = moved.groupBy("a").agg(F.max(room).alias("best"))
+    best = cut_lineage(moved.groupBy("a").agg(F.max(room).alias("best")))
     close = moved.join(best, "a").where(
         (F.col("b") != F.col("best.b")) & (less * F.col("differ") <= more * F.col("n_b") + F.col("best.room"))
     )
@@ -411,22 +424,21 @@ def set_groups(docs: DataFrame, sets: DataFrame, *, size: int, percent: int, piv
     mixed = cut_lineage(
         grouped.groupBy("a").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("a")
     )
-    rings = grouped.join(mixed, "a").select("a", "b", "group", "n_b", "differ", "head").mapInArrow(
-        _emit_rings(percent), "key long, place int, role byte, set long, group long, n long, differ long"
+    heads = grouped.join(mixed, "a").select("a", "b", "group", "n_b", "differ", "head").mapInArrow(
+        _emit_heads, "key long, place int, set long, group long, n long, differ long"
     )
     shared = cut_lineage(
-        rings.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("key")
+        heads.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("key")
     )
-    meeting = cut_lineage(rings.join(shared, "key"))
+    meeting = cut_lineage(heads.join(shared, "key"))
     other = meeting.select("key", *[F.col(c).alias(f"__{c}") for c in meeting.columns if c != "key"])
-    same_ring = (F.col("role") == 2) & (F.col("__role") == 2) & (F.col("set") < F.col("__set"))
     # if this is the first element they share, no more than the rest of the shorter one can follow
     left = F.least(F.col("differ") - F.col("place"), F.col("__differ") - F.col("__place"))
     enough = less * (F.col("differ") + F.col("__differ")) - more * (F.col("n") + F.col("__n")) <= 2 * less * left
     met = meeting.join(other, "key").where(
-        (F.col("group") != F.col("__group")) & (same_ring | ((F.col("role") == 0) & (F.col("__role") == 1))) & enough
+        (F.col("group") != F.col("__group")) & (F.col("set") < F.col("__set")) & enough
     )
-    pairs = cut_lineage(met.select(F.least("set", "__set").alias("a"), F.greatest("set", "__set").alias("b")).distinct())
+    pairs = cut_lineage(met.select(F.col("set").alias("a"), F.col("__set").alias("b")).distinct())
     found = cut_lineage(_linked(_near(pairs, shingles, percent), shingles, percent))
     if not found.isEmpty():
         groups = cut_lineage(components(links.unionByName(found.select(F.col("a").alias("u"), F.col("b").alias("v")))))
