@@ -11,37 +11,38 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import decontaminate, jaccard, mixing, quality, sharding
-from tessera.session import configure, cut_lineage
+from tessera.llm.words import configure_for_texts
+from tessera.session import cut_lineage
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what the quality rules reject."""
-    configure(spark)
+    configure_for_texts(spark)
     trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id")
     return quality.keep_good(docs, quality.fit_ratio(docs, trusted))
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the first document of each group of 5-word shingle sets that link at 0.8."""
-    configure(spark)
+    configure_for_texts(spark)
     return jaccard.keep_first(docs, size=5, percent=80, pivots="single")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item."""
-    configure(spark)
+    configure_for_texts(spark)
     return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Draw the mix; a document taken twice is in it twice."""
-    configure(spark)
+    configure_for_texts(spark)
     return mixing.mixed_rows(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deal the records to eight shards of nearly equal bytes."""
-    configure(spark)
+    configure_for_texts(spark)
     return sharding.range_shards(docs)
 
 

@@ -19,9 +19,8 @@ first level are therefore small sets, and documents take over below:
    size class, so that one part is equal as a whole; documents at the upper
    edge of a class are copied to the next. Pieces hold several shingles, which
    keeps documents apart that share only common ones.
-2. The smallest document q of a region is its pivot; pivots that are linked to
-   each other give way to the smallest one. The documents of one pivot make its
-   cell. The exact difference of each member and q is taken
+2. The smallest document q of a region is its pivot; of pivots with close
+   sketches the smallest takes all. The documents of one pivot make its cell. The exact difference of each member and q is taken
    from the whole sets. Members close enough to q are linked. A cell whose
    other members are in one group already is done.
 3. A cell is joined again about a centre c, q with the changes that most of
@@ -65,6 +64,8 @@ LEAST_IN_PART = 2
 BUCKETS = 256
 # members of a cell that its centre is taken from, about; the centre changes the cost only
 CENTRE_MEMBERS = 64
+# a cell with more members is measured in parts
+CELL_ROWS = 2000
 # ``single`` pivots: documents and counts by which common shingles are known, and how many are kept
 SAMPLE_DOCS = 5000
 COMMON_TIMES = 3
@@ -186,9 +187,11 @@ def _cut(values, row, kind, differ, parts) -> tuple[np.ndarray, np.ndarray]:
 def _emit_sets(size: int):
     def run(part: pa.RecordBatch, words: Words) -> pa.RecordBatch:
         sets = Sets(words, size)
-        name = pa.array(sets.name, mask=sets.counts == 0)
+        empty = sets.counts == 0
+        sketches = [None if e else x for e, x in zip(empty.tolist(), sets.sketches())]
         return pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), pa.array(sets.counts), name], ["doc_id", "n_shingles", "set"]
+            [part.column("doc_id"), pa.array(sets.counts), pa.array(sets.name, mask=empty), pa.array(sketches, pa.binary())],
+            ["doc_id", "n_shingles", "set", "sketch"],
         )
 
     return per_slice(run)
@@ -230,10 +233,8 @@ def common_shingles(docs: DataFrame, count: int, size: int) -> np.ndarray:
 def _emit_shingles(size: int):
     def run(part: pa.RecordBatch, words: Words) -> pa.RecordBatch:
         sets = Sets(words, size)
-        lists = list_column(signed(sets.values), sets.counts, pa.int64())
         out = pa.RecordBatch.from_arrays(
-            [pa.array(sets.name), lists, pa.array(sets.sketches(), pa.binary()), pa.array(sets.counts)],
-            ["set", "shingles", "sketch", "n"],
+            [pa.array(sets.name), list_column(signed(sets.values), sets.counts, pa.int64())], ["set", "shingles"]
         )
         wanted = part.column("wanted").to_numpy(zero_copy_only=False)
         return out.filter(pa.array(sets.name == wanted))
@@ -241,33 +242,57 @@ def _emit_shingles(size: int):
     return per_slice(run)
 
 
-def _both_sets(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
-    one = shingles.select(F.col("set").alias("b"), F.col("shingles").alias("__b"))
-    two = shingles.select(F.col("set").alias("a"), F.col("shingles").alias("__a"))
-    return pairs.join(one, "b").join(two, "a")
+def _emit_members(size: int):
+    """A row for each cell that asks for a set: pivots for every part of their cell, members for one."""
+
+    def run(part: pa.RecordBatch, words: Words) -> pa.RecordBatch:
+        sets = Sets(words, size)
+        asks = part.column("asks")
+        right = sets.name == part.column("wanted").to_numpy(zero_copy_only=False)
+        counts = np.where(right, pc.list_value_length(asks).to_numpy(zero_copy_only=False), 0)
+        row = np.repeat(np.arange(part.num_rows), counts)
+        chosen = asks.filter(pa.array(right)).flatten()
+        lists = list_column(signed(sets.values), sets.counts, pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [*[chosen.field(c) for c in ("a", "part", "member")], pa.array(sets.name[row]), lists.take(pa.array(row))],
+            ["a", "part", "member", "b", "shingles"],
+        )
+
+    return per_slice(run)
 
 
 def _linked(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
     """The (a, b) pairs of sets that are linked, by their whole sets."""
+    one = shingles.select(F.col("set").alias("b"), F.col("shingles").alias("__b"))
+    two = shingles.select(F.col("set").alias("a"), F.col("shingles").alias("__a"))
     common = F.size(F.array_intersect("__a", "__b"))
-    sized = _both_sets(pairs, shingles).select("a", "b", common.alias("__n"), (F.size("__a") + F.size("__b")).alias("__sum"))
+    sized = pairs.join(one, "b").join(two, "a").select(
+        "a", "b", common.alias("__n"), (F.size("__a") + F.size("__b")).alias("__sum")
+    )
     return sized.where(100 * F.col("__n") >= percent * (F.col("__sum") - F.col("__n"))).select("a", "b")
 
 
 def _differences(batches):
-    """Per (a, b): sizes, and the shingles that b adds to a and that are gone from it."""
+    """Per member: sizes, and the shingles that it adds to its pivot and that are gone from it.
+
+    Rows come sorted by cell, part of a cell and kind, so that a part's pivot is before its members.
+    """
+    at, pivot = None, None
     for batch in batches:
-        rows = {"n_a": [], "n_b": []}
-        lists = {"added": [], "gone": []}
-        for a, b in zip(batch.column("__a"), batch.column("__b")):
-            a, b = a.values.to_numpy().view(np.uint64), b.values.to_numpy().view(np.uint64)
-            rows["n_a"].append(len(a))
-            rows["n_b"].append(len(b))
-            lists["added"].append(np.setdiff1d(b, a, assume_unique=True))
-            lists["gone"].append(np.setdiff1d(a, b, assume_unique=True))
+        rows = {"a": [], "b": [], "n_a": [], "n_b": []}
+        added, gone = [], []
+        keys = zip(*[batch.column(c).to_pylist() for c in ("a", "part", "member", "b")])
+        for (a, part, member, b), shingles in zip(keys, batch.column("shingles")):
+            own = shingles.values.to_numpy().view(np.uint64)
+            if not member:
+                at, pivot = (a, part), own.copy()
+            elif at == (a, part):
+                for c, v in zip(rows, (a, b, len(pivot), len(own))):
+                    rows[c].append(v)
+                added.append(np.setdiff1d(own, pivot, assume_unique=True))
+                gone.append(np.setdiff1d(pivot, own, assume_unique=True))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("a"), batch.column("b"), *[pa.array(v, pa.int64()) for v in rows.values()], *map(_lists, lists.values())],
-            ["a", "b", *rows, *lists],
+            [*[pa.array(v, pa.int64()) for v in rows.values()], _lists(added), _lists(gone)], [*rows, "added", "gone"]
         )
 
 
@@ -363,40 +388,53 @@ def _near(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _fewer_pivots(stars: DataFrame, shingles: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Stars (a, b) with linked pivots merged into the smallest, and the links (u, v) of the pivots."""
+def _fewer_pivots(stars: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Stars (a, b) with pivots whose sketches are close merged into the smallest; any merging is exact."""
     pivots = stars.select(F.col("a").alias("b")).distinct()
-    links = cut_lineage(
-        _linked(stars.join(pivots, "b").select("a", "b"), shingles, percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    )
-    root = components(links)
+    close = _near(cut_lineage(stars.join(pivots, "b").select("a", "b")), known, percent)
+    root = cut_lineage(components(cut_lineage(close.select(F.col("a").alias("u"), F.col("b").alias("v")))))
     moved = stars.join(root.withColumnRenamed("node", "a"), "a", "left").select(F.coalesce("component", "a").alias("a"), "b")
     own = root.select(F.col("component").alias("a"), F.col("node").alias("b"))
-    return cut_lineage(moved.unionByName(own).where("a <> b").distinct()), links
+    return cut_lineage(moved.unionByName(own).where("a <> b").distinct())
+
+
+def _asks(stars: DataFrame) -> DataFrame:
+    """(set, asks): the cells, and parts of large cells, that need a set, and whether as pivot or member."""
+    parts = cut_lineage(stars.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).alias("parts")))
+    members = stars.join(parts, "a").select(
+        F.col("b").alias("set"), "a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), F.lit(True).alias("member")
+    )
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    pivots = parts.select(F.col("a").alias("set"), "a", each.alias("part"), F.lit(False).alias("member"))
+    return members.unionByName(pivots).groupBy("set").agg(F.collect_list(F.struct("a", "part", "member")).alias("asks"))
 
 
 def set_groups(docs: DataFrame, sets: DataFrame, *, size: int, percent: int, pivots: str) -> DataFrame:
-    """(set, group) for every set that is linked with another one; ``sets`` is (doc_id, n_shingles, set)."""
+    """(set, group) for every set that is linked with another one; ``sets`` has (doc_id, n_shingles, set, sketch)."""
     usable = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
     common = common_shingles(usable, sets.count(), size) if pivots == "single" else np.zeros(0, np.uint64)
     placed = usable.mapInArrow(_emit_pivots(size, percent, pivots, common), "region long, set long")
-    # written, so that Spark can split a hot region's side of the join
+    # written, so that Spark can split a hot region's side of the joins
+    repeated = cut_lineage(placed.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("region"))
+    members = cut_lineage(placed.join(repeated, "region"))
     regions = cut_lineage(
-        placed.groupBy("region").agg(F.min("set").alias("pivot"), F.max("set").alias("last"))
+        members.groupBy("region").agg(F.min("set").alias("pivot"), F.max("set").alias("last"))
         .where("pivot < last").select("region", "pivot")
     )
     stars = cut_lineage(
-        placed.join(regions, "region").where("set <> pivot").select(F.col("pivot").alias("a"), F.col("set").alias("b")).distinct()
+        members.join(regions, "region").where("set <> pivot").select(F.col("pivot").alias("a"), F.col("set").alias("b")).distinct()
     )
     involved = stars.select(F.explode(F.array("a", "b")).alias("set")).distinct()
-    named = sets.where("set is not null").join(involved, "set").groupBy("set").agg(F.min("doc_id").alias("doc_id"))
-    shingles = cut_lineage(
-        usable.join(named.withColumnRenamed("set", "wanted"), "doc_id")
-        .mapInArrow(_emit_shingles(size), "set long, shingles array<long>, sketch binary, n long")
+    known = cut_lineage(
+        sets.where("set is not null and doc_id is not null").join(involved, "set").groupBy("set")
+        .agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n"))
     )
-    stars, near_pivots = _fewer_pivots(stars, shingles, percent)
+    stars = _fewer_pivots(stars, known, percent)
+    asked = known.select(F.col("set").alias("wanted"), "doc_id").join(_asks(stars).withColumnRenamed("set", "wanted"), "wanted")
     measured = cut_lineage(
-        _both_sets(stars, shingles).select("a", "b", "__a", "__b")
+        usable.join(asked, "doc_id")
+        .mapInArrow(_emit_members(size), "a long, part long, member boolean, b long, shingles array<long>")
+        .repartition("a", "part").sortWithinPartitions("a", "part", "member")
         .mapInArrow(_differences, "a long, b long, n_a long, n_b long, added array<long>, gone array<long>")
     )
     more, less = 100 - percent, 100 + percent
@@ -409,7 +447,6 @@ def set_groups(docs: DataFrame, sets: DataFrame, *, size: int, percent: int, piv
         measured.join(centres, "a", "left").select("a", "b", "n_b", "added", "gone", "centre_added", "centre_gone")
         .mapInArrow(_about_centre(percent), "a long, b long, n_b long, differ long, head array<long>")
     )
-    links = links.unionByName(near_pivots)
     # members so close to the centre that they are linked whatever they share: a link of y to any
     # member means that y is linked to the one with the most room
     room = F.struct((more * F.col("n_b") - less * F.col("differ")).alias("room"), "b")
@@ -439,7 +476,11 @@ def set_groups(docs: DataFrame, sets: DataFrame, *, size: int, percent: int, piv
         (F.col("group") != F.col("__group")) & (F.col("set") < F.col("__set")) & enough
     )
     pairs = cut_lineage(met.select(F.col("set").alias("a"), F.col("__set").alias("b")).distinct())
-    found = cut_lineage(_linked(_near(pairs, shingles, percent), shingles, percent))
+    near = cut_lineage(_near(pairs, known, percent))
+    few = near.select(F.explode(F.array("a", "b")).alias("set")).distinct()
+    last = known.join(few, "set").select(F.col("set").alias("wanted"), "doc_id")
+    shingles = cut_lineage(usable.join(last, "doc_id").mapInArrow(_emit_shingles(size), "set long, shingles array<long>"))
+    found = cut_lineage(_linked(near, shingles, percent))
     if not found.isEmpty():
         groups = cut_lineage(components(links.unionByName(found.select(F.col("a").alias("u"), F.col("b").alias("v")))))
     return groups.select(F.col("node").alias("set"), F.col("component").alias("group"))
@@ -453,10 +494,10 @@ def jaccard_groups(docs: DataFrame, *, size: int = 5, percent: int = 80, pivots:
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     sets = cut_lineage(
-        docs.select("doc_id", "text").mapInArrow(_emit_sets(size), f"doc_id {kind}, n_shingles long, set long")
+        docs.select("doc_id", "text").mapInArrow(_emit_sets(size), f"doc_id {kind}, n_shingles long, set long, sketch binary")
     )
     groups = set_groups(docs, sets, size=size, percent=percent, pivots=pivots)
-    labelled = sets.join(groups, "set", "left").withColumn("group", F.coalesce("group", "set"))
+    labelled = sets.drop("sketch").join(groups, "set", "left").withColumn("group", F.coalesce("group", "set"))
     grouped = labelled.where("group is not null and doc_id is not null")
     # an id that several texts share ties their groups together
     shared = grouped.groupBy("doc_id").agg(F.min("group").alias("u"), F.max("group").alias("v")).where("u < v")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, jaccard, licences, logbilinear, mixing, quality, revisits, sharding, spans, urlfilter, urls
-from tessera.session import configure
+from tessera.llm.words import configure_for_texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -18,7 +18,7 @@ def _register(fn, name: str | None = None, sql: str | None = None):
     name = name or fn.__name__
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        configure(spark)
+        configure_for_texts(spark)
         return fn(lambda table: spark.read.parquet(f"{folder}/{table}.parquet"))
 
     QUERIES[name] = run

@@ -12,8 +12,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
+
+from tessera.session import configure
 
 SLICE_BYTES = 1 << 20
+# long texts make large batches; these keep what lies between Spark and a task's Python small
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -23,6 +28,13 @@ _GRAM = np.uint64(0xD1342543DE82EF95)
 _GRAM_INVERSE = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
 
 
+def configure_for_texts(spark: SparkSession) -> SparkSession:
+    configure(spark)
+    for key, value in BATCHES.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """Spread 64-bit values over all bits; one-to-one for a given salt."""
     x = x + np.uint64((salt * 0xA0761D6478BD642F + 0x2545F4914F6CDD1D) & ((1 << 64) - 1))
