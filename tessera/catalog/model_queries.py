@@ -421,9 +421,13 @@ def _(t):
     return M.importances(M.boosted_classifier(trees=3, depth=3).fit(df), cols, df)
 
 
-@query("m48_noisy_column")
+def uniform_sql(draw):
+    return f"(({md5_sql(f"'7-{draw}-' || id", 1 << 60)}) + 0.5) / {1 << 60}::DOUBLE"
+
+
+@query("m48_noisy_column", f"WITH {PRED} SELECT id, round(p1 * (1 + 0.01 * sqrt(-2 * ln({uniform_sql(1)})) * cos(2 * pi() * {uniform_sql(2)})), 6) AS p1 FROM pr")
 def _(t):
-    return S.with_noise(predictions(t).select("id", "p1"), "p1", 0.01, 7)
+    return rounded(S.with_noise(predictions(t).select("id", "p1"), F.col("id").cast("string"), "p1", 0.01, 7))
 
 
 @query("m49_progressive_validation")

@@ -76,7 +76,9 @@ SPELLING = {"the": "teh", "le": "el", "der": "dre", "los": "las"}
 
 @query("x05_word_replacement", f"SELECT doc_id, array_to_string(list_transform({words_sql('text')}, lambda w: CASE w {' '.join(f'WHEN {lit(a)} THEN {lit(b)}' for a, b in SPELLING.items())} ELSE w END), ' ') AS c FROM documents")
 def _(t):
-    return docs(t, c=X.join_words(X.fix_spelling(X.space_words("text"), SPELLING)))
+    table = t.spark.createDataFrame(list(SPELLING.items()), "word string, replacement string")
+    fixed = V.replace_words(t.documents, "doc_id", X.space_words("text"), table)
+    return fixed.select("doc_id", X.join_words(F.col("tokens")).alias("c"))
 
 
 @query("x06_drop_non_ascii_words", rf"SELECT doc_id, array_to_string(list_filter({words_sql('text')}, lambda w: regexp_full_match(w, '[\x00-\x7F]*')), ' ') AS c FROM documents")

@@ -79,6 +79,10 @@ def equal_bags(df: DataFrame, bag: str, instance: str, size: int) -> DataFrame:
     return ranked.join(sizes, bag).withColumn("slot", F.explode(slots)).drop("__h", "__r", "__n")
 
 
-def with_noise(df: DataFrame, column: str, level: float, seed: int) -> DataFrame:
-    """Multiply by 1 + level x standard normal noise."""
-    return df.withColumn(column, F.col(column) * (1 + level * F.randn(seed)))
+def with_noise(df: DataFrame, key: Column, column: str, level: float, seed: int) -> DataFrame:
+    """Multiply by 1 + level x standard normal noise, drawn from two hashes of ``key``: reruns agree."""
+    def uniform(draw: int) -> Column:
+        return (hash_bucket(F.concat_ws("-", F.lit(seed), F.lit(draw), key), 1 << 60) + 0.5) / float(1 << 60)
+
+    normal = F.sqrt(-2 * F.log(uniform(1))) * F.cos(2 * math.pi * uniform(2))
+    return df.withColumn(column, F.col(column) * (1 + level * normal))

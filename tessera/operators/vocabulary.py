@@ -28,6 +28,21 @@ def id_sequences(df: DataFrame, key: str, tokens: Column) -> DataFrame:
     )
 
 
+def replace_words(df: DataFrame, key: str, tokens: Column, table: DataFrame, out: str = "tokens") -> DataFrame:
+    """(key, out): tokens with listed words replaced, by a join with ``table`` (word, replacement) of any size.
+
+    ``key`` is unique; an empty list stays empty.
+    """
+    lists = df.select(key, tokens.alias("__t"))
+    each = lists.select(key, F.posexplode("__t").alias("__p", "word"))
+    new = each.join(table.select("word", "replacement"), "word", "left").groupBy(key).agg(
+        F.sort_array(F.collect_list(F.struct("__p", F.coalesce("replacement", "word").alias("w")))).alias("__new")
+    )
+    return lists.join(new, key, "left").select(
+        key, F.coalesce(F.transform("__new", lambda x: x["w"]), F.array().cast("array<string>")).alias(out)
+    )
+
+
 def balanced_word_counts(train: DataFrame, test: DataFrame, tokens: Column) -> DataFrame:
     """Word counts of train and test, the test counts scaled by half the ratio of row numbers."""
     ratio = train.agg(F.count(F.lit(1))).scalar() * 0.5 / test.agg(F.count(F.lit(1))).scalar()

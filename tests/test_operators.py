@@ -352,3 +352,23 @@ def test_fold_means_leave_the_own_fold_out(spark):
     df = spark.createDataFrame([(0, 1.0), (0, None), (1, 3.0), (1, None), (2, 5.0)], "f int, x double")
     got = sorted((r["f"], r["x"]) for r in fold_mean_fill(df, ["x"], "f").collect())
     assert got == [(0, 1.0), (0, 4.0), (1, 3.0), (1, 3.0), (2, 5.0)]
+
+
+def test_joined_chunks_and_replaced_words(spark):
+    from tessera.operators.topk import joined_chunks
+    from tessera.operators.vocabulary import replace_words
+    df = spark.createDataFrame([("k", i, 24 - i) for i in range(25)] + [("j", 1, 1)], "k string, v long, o long")
+    got = {(r["k"], r["chunk"]): r["t"] for r in joined_chunks(df, ["k"], "v", "t", ["o"], size=10).collect()}
+    assert got[("k", 0)].split() == [str(24 - i) for i in range(10)] and got[("k", 2)].split() == ["4", "3", "2", "1", "0"]
+    assert got[("j", 0)] == "1" and len(got) == 4
+    texts = spark.createDataFrame([(1, ["a", "b", "a"]), (2, []), (3, ["c"])], "id long, w array<string>")
+    table = spark.createDataFrame([("a", "x")], "word string, replacement string")
+    assert {r["id"]: r["tokens"] for r in replace_words(texts, "id", F.col("w"), table).collect()} == {1: ["x", "b", "x"], 2: [], 3: ["c"]}
+
+
+def test_noise_is_the_same_again_and_standard_normal(spark):
+    from tessera.operators.sampling import with_noise
+    df = spark.range(4000).select("id", F.lit(1.0).alias("x"))
+    one = [r["x"] for r in with_noise(df, F.col("id").cast("string"), "x", 1.0, 3).orderBy("id").collect()]
+    assert one == [r["x"] for r in with_noise(df.repartition(5), F.col("id").cast("string"), "x", 1.0, 3).orderBy("id").collect()]
+    assert abs(statistics.mean(one) - 1) < 0.1 and abs(statistics.stdev(one) - 1) < 0.05
