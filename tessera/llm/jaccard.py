@@ -13,8 +13,9 @@ first level are therefore small sets, and documents take over below:
    linked sets is bounded, and so are the pieces in which they can differ; a
    document is copied to just so many of its pivots' regions that linked
    documents meet in one of them. ``single`` pivots are one shingle each: the
-   first floor(|x| - s|x|) + 1 of x are enough, in an order that has those
-   common in a sample of the documents last. ``pieces`` cuts the hash range
+   first floor(|x| - s|x|) + m of x are enough to meet m times, in an order that
+   has those common in a sample of the documents last; pairs that are alone in
+   their regions and meet less often are no candidates. ``pieces`` cuts the hash range
    into more parts than the difference has elements, for all documents of a
    size class, so that one part is equal as a whole; documents at the upper
    edge of a class are copied to the next. Pieces hold several shingles, which
@@ -70,6 +71,8 @@ CELL_ROWS = 2000
 SAMPLE_DOCS = 5000
 COMMON_TIMES = 3
 COMMON_MOST = 1 << 18
+# linked sets meet in so many regions of ``single`` pivots
+MEETINGS = 6
 
 
 class Sets:
@@ -112,7 +115,7 @@ class Sets:
 
 def _first_shingles(sets: Sets, percent: int, chosen: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``single`` pivots: (pivot, row) for the chosen rows; ``common`` shingles come last in the order."""
-    need = sets.counts - -(-sets.counts * percent // 100) + 1
+    need = np.minimum(sets.counts, sets.counts - -(-sets.counts * percent // 100) + MEETINGS)
     need = np.where(chosen & (sets.counts > 0), need, 0)
     late = np.zeros(len(sets.values), bool)
     if len(common):
@@ -206,7 +209,11 @@ def _emit_pivots(size: int, percent: int, pivots: str, common: np.ndarray):
             pivot, row = _first_shingles(sets, percent, chosen, common)
         else:
             pivot, row = _pieces(sets, percent, chosen)
-        return pa.RecordBatch.from_arrays([pa.array(signed(pivot)), pa.array(sets.name[row])], ["region", "set"])
+        # sets that may share fewer shingles than MEETINGS with a linked one
+        small = -(-sets.counts * percent // 100) < MEETINGS if pivots == "single" else np.ones(len(sets.counts), bool)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(signed(pivot)), pa.array(sets.name[row]), pa.array(small[row])], ["region", "set", "small"]
+        )
 
     return per_slice(run)
 
@@ -230,18 +237,6 @@ def common_shingles(docs: DataFrame, count: int, size: int) -> np.ndarray:
     return np.sort(top.select("shingle").toArrow().column(0).to_numpy().view(np.uint64))
 
 
-def _emit_shingles(size: int):
-    def run(part: pa.RecordBatch, words: Words) -> pa.RecordBatch:
-        sets = Sets(words, size)
-        out = pa.RecordBatch.from_arrays(
-            [pa.array(sets.name), list_column(signed(sets.values), sets.counts, pa.int64())], ["set", "shingles"]
-        )
-        wanted = part.column("wanted").to_numpy(zero_copy_only=False)
-        return out.filter(pa.array(sets.name == wanted))
-
-    return per_slice(run)
-
-
 def _emit_members(size: int):
     """A row for each cell that asks for a set: pivots for every part of their cell, members for one."""
 
@@ -261,15 +256,20 @@ def _emit_members(size: int):
     return per_slice(run)
 
 
-def _linked(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) pairs of sets that are linked, by their whole sets."""
-    one = shingles.select(F.col("set").alias("b"), F.col("shingles").alias("__b"))
-    two = shingles.select(F.col("set").alias("a"), F.col("shingles").alias("__a"))
-    common = F.size(F.array_intersect("__a", "__b"))
-    sized = pairs.join(one, "b").join(two, "a").select(
-        "a", "b", common.alias("__n"), (F.size("__a") + F.size("__b")).alias("__sum")
-    )
-    return sized.where(100 * F.col("__n") >= percent * (F.col("__sum") - F.col("__n"))).select("a", "b")
+def _linked(pairs: DataFrame, measured: DataFrame, percent: int) -> DataFrame:
+    """The (cell, a, b) pairs that are linked: what differs between two members is what differs in their differences."""
+
+    def side(name: str) -> DataFrame:
+        return measured.select(
+            F.col("a").alias("cell"), F.col("b").alias(name), F.col("n_b").alias(f"n_{name}"),
+            F.col("added").alias(f"added_{name}"), F.col("gone").alias(f"gone_{name}"),
+        )
+
+    both = pairs.join(side("a"), ["cell", "a"]).join(side("b"), ["cell", "b"])
+    sizes = [F.size(f"{kind}_{name}") for kind in ("added", "gone") for name in ("a", "b")]
+    common = F.size(F.array_intersect("added_a", "added_b")) + F.size(F.array_intersect("gone_a", "gone_b"))
+    differ = sizes[0] + sizes[1] + sizes[2] + sizes[3] - 2 * common
+    return both.where((100 + percent) * differ <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
 def _differences(batches):
@@ -327,7 +327,7 @@ def _about_centre(percent: int):
 
 def _centres(measured: DataFrame) -> DataFrame:
     """(a, centre_added, centre_gone): changes of cell a that more than half of the members looked at have."""
-    cells = measured.groupBy("a").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    cells = cut_lineage(measured.groupBy("a").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
     looked = measured.join(cells, "a").where(F.pmod(F.xxhash64("b"), F.col("members")) < CENTRE_MEMBERS)
     seen = looked.groupBy("a").agg(F.count(F.lit(1)).alias("seen"))
 
@@ -361,8 +361,8 @@ def _emit_heads(batches):
         at = pa.array(which)
         yield pa.RecordBatch.from_arrays(
             [pa.array(signed(mix(values + cell[which], 16))), pa.array(place.astype(np.int32)),
-             *[batch.column(c).take(at) for c in ("b", "group", "n_b", "differ")]],
-            ["key", "place", "set", "group", "n", "differ"],
+             *[batch.column(c).take(at) for c in ("a", "b", "group", "n_b", "differ")]],
+            ["key", "place", "cell", "set", "group", "n", "differ"],
         )
 
 
@@ -413,16 +413,18 @@ def set_groups(docs: DataFrame, sets: DataFrame, *, size: int, percent: int, piv
     """(set, group) for every set that is linked with another one; ``sets`` has (doc_id, n_shingles, set, sketch)."""
     usable = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
     common = common_shingles(usable, sets.count(), size) if pivots == "single" else np.zeros(0, np.uint64)
-    placed = usable.mapInArrow(_emit_pivots(size, percent, pivots, common), "region long, set long")
+    placed = usable.mapInArrow(_emit_pivots(size, percent, pivots, common), "region long, set long, small boolean")
     # written, so that Spark can split a hot region's side of the joins
     repeated = cut_lineage(placed.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("region"))
-    members = cut_lineage(placed.join(repeated, "region"))
+    members = cut_lineage(placed.join(repeated, "region").distinct())
     regions = cut_lineage(
-        members.groupBy("region").agg(F.min("set").alias("pivot"), F.max("set").alias("last"))
-        .where("pivot < last").select("region", "pivot")
+        members.groupBy("region").agg(F.min("set").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
     )
+    # linked sets meet in MEETINGS regions; if no third set is in any of these, the pair is counted so often
+    met = members.join(regions, "region").where("set <> pivot").groupBy(F.col("pivot").alias("a"), F.col("set").alias("b"))
     stars = cut_lineage(
-        members.join(regions, "region").where("set <> pivot").select(F.col("pivot").alias("a"), F.col("set").alias("b")).distinct()
+        met.agg(F.max("n").alias("most"), F.max("small").alias("small"), F.count(F.lit(1)).alias("times"))
+        .where((F.col("most") > 2) | F.col("small") | (F.col("times") >= MEETINGS)).select("a", "b")
     )
     involved = stars.select(F.explode(F.array("a", "b")).alias("set")).distinct()
     known = cut_lineage(
@@ -462,7 +464,7 @@ def set_groups(docs: DataFrame, sets: DataFrame, *, size: int, percent: int, piv
         grouped.groupBy("a").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("a")
     )
     heads = grouped.join(mixed, "a").select("a", "b", "group", "n_b", "differ", "head").mapInArrow(
-        _emit_heads, "key long, place int, set long, group long, n long, differ long"
+        _emit_heads, "key long, place int, cell long, set long, group long, n long, differ long"
     )
     shared = cut_lineage(
         heads.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("key")
@@ -472,15 +474,14 @@ def set_groups(docs: DataFrame, sets: DataFrame, *, size: int, percent: int, piv
     # if this is the first element they share, no more than the rest of the shorter one can follow
     left = F.least(F.col("differ") - F.col("place"), F.col("__differ") - F.col("__place"))
     enough = less * (F.col("differ") + F.col("__differ")) - more * (F.col("n") + F.col("__n")) <= 2 * less * left
-    met = meeting.join(other, "key").where(
+    near = meeting.join(other, "key").where(
         (F.col("group") != F.col("__group")) & (F.col("set") < F.col("__set")) & enough
     )
-    pairs = cut_lineage(met.select(F.col("set").alias("a"), F.col("__set").alias("b")).distinct())
-    near = cut_lineage(_near(pairs, known, percent))
-    few = near.select(F.explode(F.array("a", "b")).alias("set")).distinct()
-    last = known.join(few, "set").select(F.col("set").alias("wanted"), "doc_id")
-    shingles = cut_lineage(usable.join(last, "doc_id").mapInArrow(_emit_shingles(size), "set long, shingles array<long>"))
-    found = cut_lineage(_linked(near, shingles, percent))
+    pairs = cut_lineage(
+        near.groupBy(F.col("set").alias("a"), F.col("__set").alias("b")).agg(F.min("cell").alias("cell"))
+    )
+    kept = cut_lineage(_near(pairs.select("a", "b"), known, percent))
+    found = cut_lineage(_linked(pairs.join(kept, ["a", "b"]), measured, percent))
     if not found.isEmpty():
         groups = cut_lineage(components(links.unionByName(found.select(F.col("a").alias("u"), F.col("b").alias("v")))))
     return groups.select(F.col("node").alias("set"), F.col("component").alias("group"))
