@@ -14,8 +14,8 @@ first level are therefore small sets, and documents take over below:
    document is copied to just so many of its pivots' regions that linked
    documents meet in one of them. ``single`` pivots are one shingle each: the
    first floor(|x| - s|x|) + m of x are enough to meet m times, in an order that
-   has those common in a sample of the documents last; pairs that are alone in
-   their regions and meet less often are no candidates. ``pieces`` cuts the hash range
+   has those common in a sample of the documents last; sets and pairs that meet
+   less often are no candidates. ``pieces`` cuts the hash range
    into more parts than the difference has elements, for all documents of a
    size class, so that one part is equal as a whole; documents at the upper
    edge of a class are copied to the next. Pieces hold several shingles, which
@@ -71,8 +71,8 @@ CELL_ROWS = 2000
 SAMPLE_DOCS = 5000
 COMMON_TIMES = 3
 COMMON_MOST = 1 << 18
-# linked sets meet in so many regions of ``single`` pivots
-MEETINGS = 6
+# linked sets meet in so many regions of ``single`` pivots, and large ones in more
+LEAST_MEETINGS = 6
 
 
 class Sets:
@@ -113,9 +113,20 @@ class Sets:
         return total[self.first[1:]] - total[self.first[:-1]]
 
 
+def meetings(counts: np.ndarray) -> np.ndarray:
+    """In how many regions of ``single`` pivots two linked sets of these sizes meet, if they share so many shingles."""
+    return np.maximum(LEAST_MEETINGS, -(-counts // 20))
+
+
+def least_meetings(counts: np.ndarray, percent: int) -> np.ndarray:
+    """In how many regions a set meets any set it is linked with: its partner may be smaller."""
+    least = -(-counts * percent // 100)
+    return np.minimum(least, meetings(least))
+
+
 def _first_shingles(sets: Sets, percent: int, chosen: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``single`` pivots: (pivot, row) for the chosen rows; ``common`` shingles come last in the order."""
-    need = np.minimum(sets.counts, sets.counts - -(-sets.counts * percent // 100) + MEETINGS)
+    need = np.minimum(sets.counts, sets.counts - -(-sets.counts * percent // 100) + meetings(sets.counts))
     need = np.where(chosen & (sets.counts > 0), need, 0)
     late = np.zeros(len(sets.values), bool)
     if len(common):
@@ -209,10 +220,9 @@ def _emit_pivots(size: int, percent: int, pivots: str, common: np.ndarray):
             pivot, row = _first_shingles(sets, percent, chosen, common)
         else:
             pivot, row = _pieces(sets, percent, chosen)
-        # sets that may share fewer shingles than MEETINGS with a linked one
-        small = -(-sets.counts * percent // 100) < MEETINGS if pivots == "single" else np.ones(len(sets.counts), bool)
+        need = least_meetings(sets.counts, percent) if pivots == "single" else np.ones(len(sets.counts))
         return pa.RecordBatch.from_arrays(
-            [pa.array(signed(pivot)), pa.array(sets.name[row]), pa.array(small[row])], ["region", "set", "small"]
+            [pa.array(signed(pivot)), pa.array(sets.name[row]), pa.array(need[row].astype(np.int32))], ["region", "set", "need"]
         )
 
     return per_slice(run)
@@ -398,6 +408,16 @@ def _fewer_pivots(stars: DataFrame, known: DataFrame, percent: int) -> DataFrame
     return cut_lineage(moved.unionByName(own).where("a <> b").distinct())
 
 
+def _often_met(members: DataFrame) -> DataFrame:
+    """Members without the sets that meet others in too few regions to be linked with any."""
+    shared = cut_lineage(members.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("region"))
+    within = members.join(shared, "region")
+    busy = cut_lineage(
+        within.groupBy("set").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need")).where("n >= need").select("set")
+    )
+    return cut_lineage(within.join(busy, "set"))
+
+
 def _asks(stars: DataFrame) -> DataFrame:
     """(set, asks): the cells, and parts of large cells, that need a set, and whether as pivot or member."""
     parts = cut_lineage(stars.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).alias("parts")))
@@ -413,18 +433,20 @@ def set_groups(docs: DataFrame, sets: DataFrame, *, size: int, percent: int, piv
     """(set, group) for every set that is linked with another one; ``sets`` has (doc_id, n_shingles, set, sketch)."""
     usable = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
     common = common_shingles(usable, sets.count(), size) if pivots == "single" else np.zeros(0, np.uint64)
-    placed = usable.mapInArrow(_emit_pivots(size, percent, pivots, common), "region long, set long, small boolean")
+    placed = usable.mapInArrow(_emit_pivots(size, percent, pivots, common), "region long, set long, need int")
     # written, so that Spark can split a hot region's side of the joins
     repeated = cut_lineage(placed.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("region"))
     members = cut_lineage(placed.join(repeated, "region").distinct())
+    if pivots == "single":
+        members = _often_met(_often_met(members))
     regions = cut_lineage(
         members.groupBy("region").agg(F.min("set").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
     )
-    # linked sets meet in MEETINGS regions; if no third set is in any of these, the pair is counted so often
+    # a pair that is alone in its regions meets in all of them
     met = members.join(regions, "region").where("set <> pivot").groupBy(F.col("pivot").alias("a"), F.col("set").alias("b"))
     stars = cut_lineage(
-        met.agg(F.max("n").alias("most"), F.max("small").alias("small"), F.count(F.lit(1)).alias("times"))
-        .where((F.col("most") > 2) | F.col("small") | (F.col("times") >= MEETINGS)).select("a", "b")
+        met.agg(F.max("n").alias("most"), F.max("need").alias("need"), F.count(F.lit(1)).alias("times"))
+        .where("most > 2 or times >= need").select("a", "b")
     )
     involved = stars.select(F.explode(F.array("a", "b")).alias("set")).distinct()
     known = cut_lineage(
