@@ -529,7 +529,7 @@ def jaccard_groups(docs: DataFrame, *, size: int = 5, percent: int = 80, pivots:
         ties = components(pairs).withColumnRenamed("node", "group")
         labelled = labelled.join(ties, "group", "left").withColumn("group", F.coalesce("component", "group")).drop("component")
         grouped = labelled.where("group is not null and doc_id is not null")
-    first = grouped.groupBy("group").agg(F.min("doc_id").alias("first"))
+    first = cut_lineage(grouped.groupBy("group").agg(F.min("doc_id").alias("first")))
     return labelled.join(first, "group", "left").select(
         "doc_id", "n_shingles",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("first", "doc_id")).alias("component_id"),
