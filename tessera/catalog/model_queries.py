@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tessera.catalog.base import query
 from tessera.catalog.encoder_queries import listings
-from tessera.catalog.panel import FLAGS, PANEL, weekly_panel
+from tessera.catalog.panel import FLAGS
 from tessera.catalog.views import basket_lines, basket_orders, basket_sql
 from tessera.catalog.window_queries import PRED, predictions
 from tessera.functions import text as X

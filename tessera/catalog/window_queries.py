@@ -2,18 +2,16 @@
 
 from pyspark.sql import functions as F
 
-from tessera.catalog.aggregate_queries import CLICKS, DEMAND, clicks, demand
+from tessera.catalog.aggregate_queries import CLICKS, clicks
 from tessera.catalog.base import query
-from tessera.catalog.basket_queries import MARKOV, PATTERN, prior
+from tessera.catalog.basket_queries import MARKOV
 from tessera.catalog.panel import FLAGS, PANEL, weekly_panel
-from tessera.catalog.views import basket_lines, basket_orders, basket_sql, products
+from tessera.catalog.views import basket_lines, basket_orders, basket_sql
 from tessera.operators import aggregates as A
 from tessera.operators import sequences as S
 from tessera.operators import topk as T
 from tessera.operators.frames import rounded, tagged_union
-from tessera.operators.metrics import gini
 from tessera.operators.ranges import average_rank, dense_codes, split_window
-from tessera.plans.basket import pattern_features
 
 
 

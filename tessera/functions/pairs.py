@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import safe_ratio
-from tessera.functions.text import bound, drop_words
+from tessera.functions.text import drop_words
 
 
 def shared_share(a: Column, b: Column, stop: Sequence[str] = ()) -> Column:

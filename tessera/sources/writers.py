@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.ranges import split_window
-from tessera.session import scratch_path
 
 
 def write_delimited(df: DataFrame, path: str, sep: str = ",", decimals: int | None = None, header: bool = True) -> None:
