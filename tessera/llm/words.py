@@ -1,7 +1,7 @@
 """Words of whole texts as numpy arrays, from the Arrow batches Spark hands to a task.
 
 A word is a run of bytes other than 0x20 and 0x09-0x0D. A batch is cut into
-slices of a megabyte (a longer text is a slice of its own), so that a
+slices of a quarter megabyte (a longer text is a slice of its own), so that a
 task's memory depends on the longest text and not on the table.
 """
 
@@ -16,9 +16,9 @@ from pyspark.sql import SparkSession
 
 from tessera.session import configure
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 # long texts make large batches; these keep what lies between Spark and a task's Python small
-BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "2m"}
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -138,6 +138,7 @@ def per_slice(fn: Callable[[pa.RecordBatch, Words], Iterator[pa.RecordBatch] | p
     """A function for ``mapInArrow`` that calls ``fn(rows, words)`` for every slice."""
 
     def run(batches):
+        pa.set_memory_pool(pa.system_memory_pool())  # gives back what a batch has used
         for batch in batches:
             for part in slices(batch, text):
                 out = fn(part, Words(part.column(text)))
