@@ -409,13 +409,11 @@ def _fewer_pivots(stars: DataFrame, known: DataFrame, percent: int) -> DataFrame
 
 
 def _often_met(members: DataFrame) -> DataFrame:
-    """Members without the sets that meet others in too few regions to be linked with any."""
-    shared = cut_lineage(members.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("region"))
-    within = members.join(shared, "region")
+    """Members without the sets that are in too few shared regions to be linked with any."""
     busy = cut_lineage(
-        within.groupBy("set").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need")).where("n >= need").select("set")
+        members.groupBy("set").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need")).where("n >= need").select("set")
     )
-    return cut_lineage(within.join(busy, "set"))
+    return cut_lineage(members.join(busy, "set"))
 
 
 def _asks(stars: DataFrame) -> DataFrame:
@@ -438,7 +436,7 @@ def set_groups(docs: DataFrame, sets: DataFrame, *, size: int, percent: int, piv
     repeated = cut_lineage(placed.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("region"))
     members = cut_lineage(placed.join(repeated, "region").distinct())
     if pivots == "single":
-        members = _often_met(_often_met(members))
+        members = _often_met(members)
     regions = cut_lineage(
         members.groupBy("region").agg(F.min("set").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
     )
