@@ -5,7 +5,8 @@ spaces. Item-sized windows are cut at word starts: for a long item, windows of
 the largest of ``WINDOWS`` characters at all its words, for a shorter item of
 the size that still leaves a window for each of ``STRIDE`` word offsets; a text
 is cut at every ``STRIDE``-th word. So a copied passage has windows that begin
-where one of the item's begins.
+where one of the item's begins. This is for items of ``PIECED`` characters
+and more; shorter ones have too few windows and are found by their pieces.
 
 A window is embedded by the CGK random walk: at step j the character under the
 pointer is written out and the pointer moves on by a random bit that depends
@@ -18,6 +19,12 @@ all its keys (``expected_recall``). A pair that shares a key is verified by
 exact edit distance: the item must lie somewhere in the text around the hit
 with at most ``TOLERANCE`` of its length in edits.
 
+An item of fewer than ``PIECED`` characters in which k edits are allowed is cut
+into k + 1 pieces; one of them is left unchanged, so its first (at most 8)
+characters stand in the text, and texts are looked up at every character. This
+misses nothing. An item too short for any edit must stand in the text as whole
+words; it is looked up at every word.
+
 Keys of the items set two bits each in a bitmap of fixed size, which every
 task holds; windows that miss it are dropped in place, others are joined to
 the item keys exactly. No other table is broadcast, and only texts with hits
@@ -44,7 +51,11 @@ TOLERANCE = 0.1
 WINDOWS = (48, 24, 12)
 STEPS_PER_CHARACTER = 1.5
 STRIDE = 2
-WALKS = 3
+# items of fewer characters are found by unchanged pieces, not by walks
+PIECED = 130
+GRAM = 8
+PROBE = 4
+WALKS = 4
 SAMPLES = 2
 SAMPLED = 16
 BITMAP_BITS = 1 << 24
@@ -92,6 +103,9 @@ class Folded:
         self.place = np.arange(len(self.starts)) - self.first[self.row]
         self.left = self.end[self.row] - self.starts
 
+    def texts(self) -> list[bytes]:
+        return [self.data[a:b].tobytes().rstrip() for a, b in zip(self.begin, self.end)]
+
 
 def _walks(size: int):
     """Bit tables and sampled places of each walk for windows of ``size`` characters."""
@@ -148,54 +162,123 @@ def item_windows(folded: Folded) -> list[tuple[int, np.ndarray]]:
     return out
 
 
-def _emit_items(batches):
-    for batch in batches:
-        for part in slices(batch, "text"):
-            folded = Folded(part.column("text"))
-            for size, index in item_windows(folded):
-                keys = window_keys(folded.data, folded.starts[index], size)
-                ids = part.column("item_id").take(pa.array(np.repeat(folded.row[index], keys.shape[1])))
-                yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(signed(keys.ravel())), pa.array(np.full(keys.size, size, np.int64))],
-                    ["item_id", "key", "size"],
-                )
+def _grams(data: np.ndarray) -> np.ndarray:
+    """The GRAM characters from each place on as one number; zeros follow the last."""
+    out = np.zeros(len(data), np.uint64)
+    for i in range(GRAM):
+        out[: len(data) - i] |= data[i:].astype(np.uint64) << np.uint64(8 * i)
+    return out
+
+
+def gram_keys(grams: np.ndarray, size: int, kind: str) -> np.ndarray:
+    """Keys of the first ``size`` (at most GRAM) characters of ``grams``."""
+    mask = np.uint64((1 << 8 * min(size, GRAM)) - 1)
+    return mix(mix(grams & mask, size), 1000 if kind == "piece" else 2000)
+
+
+def allowed(tolerance: float, length):
+    return np.floor(tolerance * np.asarray(length)).astype(np.int64)
+
+
+def short_keys(item: bytes, tolerance: float) -> list[tuple[int, int, str]]:
+    """(key, size, kind) of an item of fewer than PIECED characters."""
+    m, edits = len(item), int(allowed(tolerance, len(item)))
+    kind = "piece" if edits else "words"
+    size = min(GRAM, m // (edits + 1)) if edits else m
+    begins = [j * m // (edits + 1) for j in range(edits + 1)]
+    grams = np.array([int.from_bytes(item[b : b + GRAM], "little") for b in begins], np.uint64)
+    return [(int(k), size, kind) for k in signed(gram_keys(grams, size, kind))]
 
 
-def _find(bitmap: np.ndarray, sizes: list[int], reach: int):
+def _emit_items(tolerance: float):
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                folded = Folded(part.column("text"))
+                texts = folded.texts()
+                long = np.array([len(t) >= PIECED for t in texts], bool)
+                made = []
+                for size, index in item_windows(folded):
+                    index = index[long[folded.row[index]]]
+                    keys = window_keys(folded.data, folded.starts[index], size)
+                    made.append((np.repeat(folded.row[index], keys.shape[1]), signed(keys.ravel()), [size] * keys.size, ["walk"] * keys.size))
+                short = [(r, *k) for r, t in enumerate(texts) if 0 < len(t) < PIECED for k in short_keys(t, tolerance)]
+                made.append(tuple(zip(*short)) if short else ([], [], [], []))
+                for rows, keys, size, kind in made:
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            part.column("item_id").take(pa.array(rows, pa.int64())), pa.array(keys, pa.int64()),
+                            pa.array(size, pa.int64()), pa.array(kind, pa.string()),
+                        ],
+                        ["item_id", "key", "size", "kind"],
+                    )
+
+    return run
+
+
+def _short_hits(folded: Folded, bitmap: np.ndarray, sizes: list[int], kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, places in the data and keys of the places where a short item may have a piece or begin."""
+    grams = _grams(folded.data)
+    at = np.flatnonzero(folded.data) if kind == "piece" else folded.starts
+    places, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for size in sizes:
+        use = at
+        if kind == "words":
+            use = at[at + size < len(folded.data)]
+            use = use[np.isin(folded.data[use + size], (0, 32))]
+        key = gram_keys(grams[use], size, kind)
+        near = np.flatnonzero(bitmap[(key & np.uint64(BITMAP_BITS - 1)).astype(np.int64)])
+        near = near[bitmap[_bits_of(key[near])[1]]]
+        places.append(use[near])
+        keys.append(key[near])
+    start = np.concatenate(places)
+    return np.searchsorted(folded.begin, start, side="right") - 1, start, np.concatenate(keys)
+
+
+def _find(bitmap: np.ndarray, sizes: dict[str, list[int]], reach: int, near: int):
     """Pieces of texts around windows that pass the bitmap, with the keys that pass."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 folded = Folded(part.column("text"))
+                for kind in ("piece", "words"):
+                    row, start, key = _short_hits(folded, bitmap, sizes.get(kind, []), kind) if sizes.get(kind) else ([], [], [])
+                    if len(row):
+                        yield _pieces(part, folded, row, start, key, near, kind)
                 places, keys = [], []
-                for size in sizes:
+                for size in sizes.get("walk", []):
                     index = np.flatnonzero((folded.place % STRIDE == 0) & (folded.left >= min(size, min(WINDOWS))))
                     found = window_keys(folded.data, folded.starts[index], size)
                     one, two = _bits_of(found)
                     hit, column = np.nonzero(bitmap[one] & bitmap[two])
                     places.append(index[hit])
                     keys.append(found[hit, column])
-                at, key = np.concatenate(places), np.concatenate(keys)
+                at = np.concatenate(places) if places else []
                 if len(at):
-                    yield _pieces(part, folded, at, key, reach)
+                    yield _pieces(part, folded, folded.row[at], folded.starts[at], np.concatenate(keys), reach, "walk")
 
     return run
 
 
-def _pieces(part: pa.RecordBatch, folded: Folded, at: np.ndarray, key: np.ndarray, reach: int) -> pa.RecordBatch:
+def _pieces(
+    part: pa.RecordBatch, folded: Folded, row: np.ndarray, at: np.ndarray, key: np.ndarray, reach: int, kind: str
+) -> pa.RecordBatch:
+    """Stretches of ``reach`` around the places; for whole words a space marks the ends of the text."""
     order = np.argsort(at, kind="stable")
-    at, key = at[order], key[order]
-    row, start = folded.row[at], folded.starts[at]
-    new = np.ones(len(at), bool)
+    row, start, key = row[order], at[order], key[order]
+    new = np.ones(len(start), bool)
     new[1:] = (row[1:] != row[:-1]) | (start[1:] - start[:-1] > reach)
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(at)) - 1
+    last = np.append(first[1:], len(start)) - 1
     rows = row[first]
     begin = np.maximum(start[first] - reach, folded.begin[rows])
     end = np.minimum(start[last] + reach, folded.end[rows])
     pieces = [folded.data[b:e].tobytes() for b, e in zip(begin.tolist(), end.tolist())]
-    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)).astype(np.int32)), pa.array(signed(key)))
+    if kind == "words":
+        edges = zip(pieces, begin == folded.begin[rows], end == folded.end[rows])
+        pieces = [b" " * bool(left) + p + b" " * bool(right) for p, left, right in edges]
+    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(start)).astype(np.int32)), pa.array(signed(key)))
     return pa.RecordBatch.from_arrays(
         [part.column("doc_id").take(pa.array(rows)), part.column("row").take(pa.array(rows)), pa.array(pieces, pa.binary()), lists],
         ["doc_id", "row", "piece", "keys"],
@@ -230,17 +313,32 @@ def infix_distance(item: bytes, text: bytes) -> int:
     return best
 
 
+def _distance(item: bytes, piece: bytes, edits: int, grams: list[bytes]) -> int:
+    """Edits between item and piece if ``edits`` at most, else any larger number.
+
+    An edit changes at most PROBE of the item's ``grams``; the others are in the piece.
+    """
+    if len(item) < PIECED:
+        if not edits:
+            return 0 if b" " + item + b" " in piece else len(item)
+        if sum(map(piece.__contains__, grams)) < len(grams) - PROBE * edits:
+            return len(item)
+    return infix_distance(item, piece)
+
+
 def _verify(tolerance: float):
     def run(batches):
         for batch in batches:
             items, pieces = batch.column("item").to_pylist(), batch.column("piece").to_pylist()
-            distance = np.array([infix_distance(a, b) for a, b in zip(items, pieces)], np.int64)
             length = np.array([len(a) for a in items], np.int64)
+            edits = allowed(tolerance, length)
+            grams = {a: [a[i : i + PROBE] for i in range(len(a) - PROBE + 1)] for a in set(items)}
+            distance = np.array([_distance(*x, grams[x[0]]) for x in zip(items, pieces, edits.tolist())], np.int64)
             out = pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("row"), batch.column("item_id"), pa.array(distance), pa.array(length)],
                 ["doc_id", "row", "item_id", "distance", "item_bytes"],
             )
-            yield out.filter(pa.array(distance <= np.floor(tolerance * length)))
+            yield out.filter(pa.array(distance <= edits))
 
     return run
 
@@ -249,8 +347,7 @@ def _fold_items(batches):
     for batch in batches:
         for part in slices(batch, "text"):
             folded = Folded(part.column("text"))
-            texts = [folded.data[a:b].tobytes().rstrip() for a, b in zip(folded.begin, folded.end)]
-            yield pa.RecordBatch.from_arrays([part.column("item_id"), pa.array(texts, pa.binary())], ["item_id", "item"])
+            yield pa.RecordBatch.from_arrays([part.column("item_id"), pa.array(folded.texts(), pa.binary())], ["item_id", "item"])
 
 
 def item_bitmap(keys: DataFrame) -> np.ndarray:
@@ -279,17 +376,21 @@ def find_leaks(docs: DataFrame, items: DataFrame, tolerance: float = TOLERANCE)
         items.select("item_id", "text").mapInArrow(_fold_items, f"item_id {item_kind}, item binary").where("length(item) > 0")
     )
     keys = cut_lineage(
-        items.select("item_id", "text").mapInArrow(_emit_items, f"item_id {item_kind}, key long, size long").distinct()
+        items.select("item_id", "text")
+        .mapInArrow(_emit_items(tolerance), f"item_id {item_kind}, key long, size long, kind string").distinct()
     )
     longest = folded.agg(F.max(F.length("item"))).first()[0] or 0
-    sizes = sorted(r[0] for r in keys.select("size").distinct().collect())
+    sizes: dict[str, list[int]] = {}
+    for kind_of, size in sorted(tuple(r) for r in keys.select("kind", "size").distinct().collect()):
+        sizes.setdefault(kind_of, []).append(size)
     reach = longest + math.ceil(tolerance * longest) + 1
+    near = min(reach, PIECED + math.ceil(tolerance * PIECED) + 1)
     rows = docs.select("doc_id", F.xxhash64(F.col("doc_id"), F.col("text")).alias("row"), "text")
     if not sizes:
         rows = rows.limit(0)
     pieces = cut_lineage(
         rows.mapInArrow(
-            _find(item_bitmap(keys), sizes or [min(WINDOWS)], reach), f"doc_id {kind}, row long, piece binary, keys array<long>"
+            _find(item_bitmap(keys), sizes, reach, near), f"doc_id {kind}, row long, piece binary, keys array<long>"
         ).withColumn("at", F.monotonically_increasing_id())
     )
     pairs = (

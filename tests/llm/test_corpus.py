@@ -253,6 +253,36 @@ def test_leaks_are_found_and_clean_texts_left(spark, docs, none):
     assert decontaminate.find_leaks(df, bench.limit(0)).count() == 0
 
 
+def test_short_items_are_found_at_any_place_with_any_edits(spark):
+    rd = random.Random(8)
+    word = lambda: "".join(rd.choice("abcdefghiklmnoprstu") for _ in range(rd.randint(3, 8)))
+    items = [(n, " ".join(word() for _ in range(1 + n % 14))) for n in range(140)]
+    planted = []
+    for n, (k, text) in enumerate(items * 2):
+        s, edited = list(text), n >= len(items)
+        for _ in range(int(len(s) * 0.1) if edited else 0):
+            p, kind = rd.randrange(len(s)), rd.randrange(3)
+            s[p : p + (kind > 0)] = rd.choice("xyz") if kind < 2 else ""
+        before = " ".join(word() for _ in range(n % 5))
+        after = " ".join(word() for _ in range(n % 3 * 4))
+        planted.append((1000 + n, f"{before} {''.join(s)} {after}".strip(), k))
+    planted.append((5000, "pre" + items[0][1] + "s", None))
+    df = frame(spark, [(i, t) for i, t, _ in planted])
+    got = {(r.doc_id, r.item_id): r.distance for r in decontaminate.find_leaks(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {}
+    for i, text, _ in planted:
+        for k, item in items:
+            edits = len(item) // 10
+            if not edits:
+                if f" {item} " in f" {text} ":
+                    want[i, k] = 0
+            elif len(item) < decontaminate.PIECED and (d := decontaminate.infix_distance(item.encode(), text.encode())) <= edits:
+                want[i, k] = d
+    assert {p: d for p, d in got.items() if len(items[p[1]][1]) < decontaminate.PIECED} == want
+    assert all((i, k) in got for i, _, k in planted[: len(items)])
+    assert (5000, 0) not in got
+
+
 def test_more_changes_lower_the_expected_recall():
     chances = [decontaminate.expected_recall(h, 3) for h in (0.0, 0.1, 0.2, 0.4)]
     assert chances[0] == 1 and chances == sorted(chances, reverse=True) and chances[1] > 0.99
