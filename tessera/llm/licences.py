@@ -1,6 +1,11 @@
 """Licence scan: a trained paragraph classifier whose predictions templates confirm.
 
-A paragraph is a line. Its features are the word 1- and 2-grams it shares with
+A paragraph is a line or a run of neighbouring lines without a blank one (one
+without words, so comment marks alone are blank, and others are no words) whose
+inner lines have at most ``RUN`` times the words of the longest template. Of
+overlapping runs of a family the best counts (the share of the template, more
+for longer templates, less ``LINE_COST`` per further line), of other families
+only confirmed ones beside it. Its features are the word 1- and 2-grams it shares with
 the licence templates, so the feature space is fixed by the templates. A
 sparse (L1) multinomial logistic regression tells the licence families and
 ``unknown`` apart. It is fitted on copies of the templates with words left
@@ -27,7 +32,7 @@ from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.session import cut_lineage
@@ -62,6 +67,9 @@ TEMPLATES = (
 UNKNOWN = "unknown"
 # most corpus paragraphs the classifier is fitted on
 SAMPLE = 4000
+RUN = 1.5
+# what a further line must add to a run's score; one word of any template adds more
+LINE_COST = 0.05
 # of a paragraph that is only fitted on, so many characters are taken
 SAMPLE_CHARACTERS = 500
 VARIANTS = 40
@@ -200,33 +208,83 @@ def _most(words: Column, model: Classifier) -> Column:
     )
 
 
-def classify(docs: DataFrame, model: Classifier) -> DataFrame:
-    """(doc_id, paragraph, family, probability, template_id, similarity, confirmed) of each licence paragraph."""
-    named = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
-    lines = named.select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).select(
-        "row", "doc_id", "paragraph", words_of(F.col("line")).alias("words")
+def _runs(docs: DataFrame, model: Classifier) -> DataFrame:
+    """(row, doc_id, paragraph, lines, words) of the runs of lines that lie at words which raise some family."""
+    spark = docs.sparkSession
+    most = int(RUN * template_table(spark).agg(F.max(F.size("words"))).first()[0])
+    raising = sorted({gram.split(" ")[0] for gram, _ in model.lifting})
+    names = F.array(*[F.lit(w) for w in raising]) if raising else F.array().cast("array<string>")
+    every = F.lit(max(model.bias, default=-1.0) >= 0)
+    lined = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()).select(
+        "row", "doc_id", F.transform(F.split("text", "\n"), words_of).alias("all")
     )
-    likely = lines.where(_most(F.col("words"), model) >= 0).where(F.size("words") > 0)
-    lines = cut_lineage(likely.select("row", "doc_id", "paragraph", grams_of(F.col("words")).alias("grams")))
-    key = ["row", "paragraph"]
+    lined = lined.select(
+        "row", "doc_id", "all", F.transform("all", lambda w: F.size(w)).alias("sizes"),
+        F.transform("all", lambda w: F.arrays_overlap(w, names) | every).alias("near"),
+    ).where(F.exists("near", lambda x: x))
+
+    def at(i):
+        return F.coalesce(F.get("near", i), F.lit(False))
+
+    def use(i):
+        return (F.get("sizes", i) > 0) & (at(i - 1) | at(i) | at(i + 1))
+
+    def inner(i, j):
+        between = F.slice("sizes", i + 2, F.greatest(j - i - 1, F.lit(0)))
+        return F.aggregate(between, F.lit(0), lambda n, x: n + F.when(x == 0, most + 1).otherwise(x))
+
+    def ends(i):
+        last = F.least(i + most + 1, F.size("all") - 1)
+        return F.filter(F.sequence(i, last), lambda j: use(j) & (inner(i, j) <= most))
+
+    def run(i, j):
+        return F.struct(i.alias("paragraph"), (j - i + 1).alias("lines"), F.flatten(F.slice("all", i + 1, j - i + 1)).alias("words"))
+
+    starts = F.filter(F.sequence(F.lit(0), F.size("all") - 1), use)
+    runs = F.flatten(F.transform(starts, lambda i: F.transform(ends(i), lambda j: run(i, j))))
+    return lined.select("row", "doc_id", F.explode(runs).alias("run")).select("row", "doc_id", "run.*")
+
+
+def _best_runs(found: DataFrame) -> DataFrame:
+    """Of the runs that share a line the best of each family, and of the families the best and all confirmed."""
+    rank = F.struct("score", -F.col("lines"), -F.col("paragraph"))
+    lines = found.withColumn("rank", rank).withColumn("line", F.explode(F.expr("sequence(paragraph, paragraph + lines - 1)")))
+    own, others = Window.partitionBy("row", "line", "family"), Window.partitionBy("row", "line")
+    kept = (F.col("rank") == F.max("rank").over(own)) & (F.col("confirmed") | (F.col("rank") == F.max("rank").over(others)))
+    key = ["row", "paragraph", "lines"]
+    return found.join(lines.select(*key, kept.alias("kept")).groupBy(*key).agg(F.min("kept").alias("kept")).where("kept"), key).drop("kept")
+
+
+def classify(docs: DataFrame, model: Classifier) -> DataFrame:
+    """(doc_id, paragraph, lines, family, probability, template_id, similarity, confirmed) of each licence paragraph.
+
+    ``paragraph`` is its first line, counted from zero, and ``lines`` their number.
+    """
+    key = ["row", "paragraph", "lines"]
+    likely = _runs(docs, model).where(_most(F.col("words"), model) >= 0)
+    lines = cut_lineage(likely.select(*key, "doc_id", grams_of(F.col("words")).alias("grams")))
     odds = lines.join(_margins(lines, model, key), key)
     chance = _probabilities(F.col("odds"), model.temperature)
     best = F.array_max(F.transform(chance, lambda p, i: F.struct(p.alias("p"), (-i).alias("i"))))
     families = F.array(*[F.lit(n) for n in model.families])
     named = odds.withColumn("best", best).where(F.col("best.p") >= LEAST_PROBABILITY).select(
-        "row", "doc_id", "paragraph", "grams", F.get(families, -F.col("best.i")).alias("family"), F.col("best.p").alias("probability")
+        *key, "doc_id", "grams", F.get(families, -F.col("best.i")).alias("family"), F.col("best.p").alias("probability")
     )
     templates = template_table(docs.sparkSession).select("template_id", "family", F.col("grams").alias("__t"))
     share = _covers(F.col("grams"), F.col("__t"))
-    return (
+    found = (
         named.join(F.broadcast(templates), "family")  # the fixed templates
-        .groupBy("row", "paragraph")
+        .groupBy(*key)
         .agg(
             F.first("doc_id").alias("doc_id"), F.first("family").alias("family"), F.first("probability").alias("probability"),
-            F.max(F.struct(share.alias("share"), (-F.col("template_id")).alias("t"))).alias("best"),
+            F.max(F.struct(share.alias("share"), F.size("__t").alias("size"), (-F.col("template_id")).alias("t"))).alias("best"),
         )
         .select(
-            "doc_id", "paragraph", "family", "probability", (-F.col("best.t")).alias("template_id"),
+            *key, "doc_id", "family", "probability", (-F.col("best.t")).alias("template_id"),
             F.col("best.share").alias("similarity"), (F.col("best.share") >= CONFIRMED).alias("confirmed"),
+            (F.col("best.share") * F.log2(F.col("best.size") + 1) - LINE_COST * (F.col("lines") - 1)).alias("score"),
         )
     )
+    return _best_runs(cut_lineage(found)).select(
+        "doc_id", "paragraph", "lines", "family", "probability", "template_id", "similarity", "confirmed"
+    )

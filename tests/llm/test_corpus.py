@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 from collections import Counter, defaultdict
 
 import duckdb
@@ -309,6 +310,22 @@ def test_licence_paragraphs(spark, docs, none):
     assert licences.classify(none, model).count() == 0
 
 
+def test_wrapped_notices_are_put_together(spark, docs):
+    rows, _ = docs
+    long = [(f, t) for f, t in licences.TEMPLATES if len(t) > 120]
+    made = []
+    for n, (family, text) in enumerate(long):
+        for m, (width, mark) in enumerate(((72, ""), (72, "# "), (40, " * "), (20, "// "))):
+            lines = [mark + x for x in textwrap.wrap(text, width)]
+            before, after = (["xyzzy qux"], ["plugh"]) if m % 2 else (["", mark], [mark, ""])
+            made.append((900 + 10 * n + m, "\n".join(before + lines + after), family, len(before), len(lines)))
+    df = frame(spark, rows + [x[:2] for x in made])
+    found = licences.classify(df, licences.fit(df)).where("doc_id >= 900").collect()
+    confirmed = {(r.doc_id, r.family, r.paragraph, r.lines) for r in found if r.confirmed and r.similarity == 1}
+    assert {(i, *rest) for i, _, *rest in made} <= confirmed
+    assert len(found) == len(made)
+
+
 # --- 5 -------------------------------------------------------------------------------------------
 
 def spans_by_force(rows, span=50):
