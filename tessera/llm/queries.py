@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, jaccard, licences, logbilinear, mixing, quality, revisits, sharding, spans, urlfilter, urls
+from tessera.llm import (
+    decontaminate, jaccard, licences, logbilinear, mixing, packing, quality, revisits, sharding, spans, urlfilter, urls,
+)
 from tessera.llm.words import configure_for_texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -210,3 +213,13 @@ def op4_license_scan(table) -> DataFrame:
     """Licence paragraphs of all documents with family, probability and the template that confirms it."""
     docs = table("documents")
     return licences.classify(docs, licences.fit(docs))
+
+
+@query()
+def op11_mixture_packing(table) -> DataFrame:
+    """Pieces of all documents in sequences of 1024 tokens that hold the sources' shares."""
+    pieces = packing.pack(table("documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select(
+        "doc_id", "source", "start", (F.octet_length("ids") / 4).cast("long").alias("length"),
+        F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset",
+    )
