@@ -21,8 +21,9 @@ are at most ``window`` queues of their own, whatever the number of sources,
 and their sizes are all the driver sees.
 
 Text is tokenised once. It is cut before the last white space ahead of a
-visible character, where the pattern of byte-level tokenizers always cuts; a
-piece between two cuts is tokenised when a task meets it for the first time.
+visible character and between a letter and a mark, where the pattern of
+byte-level tokenizers always cuts; a piece between two cuts is tokenised when
+a task meets it for the first time.
 
 Null text is empty: it has the end id only. Null sources are a queue. Repeated
 rows and ids are documents of their own, in any order among themselves. An
@@ -32,6 +33,7 @@ empty table gives no rows. Other columns of the input are not read.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator, Mapping
 from functools import reduce
 from pathlib import Path
@@ -61,6 +63,15 @@ BLOCK = 1 << 21
 _VISIBLE = np.zeros(256, bool)
 _VISIBLE[0x21:0x7F] = True
 _VISIBLE[0xC3] = True  # first byte of U+00C0 to U+00FF, letters and two signs
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK = _VISIBLE & ~_LETTER
+_MARK[[*range(0x30, 0x3A), 0xC3]] = False
+# one run of letters, which the pattern keeps whole
+_PLAIN = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+# byte-level tokenizers write a byte as a visible character: itself, or the next one from U+0100 on
+_SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_AS_SHOWN = {b: b if b in _SHOWN else 256 + sum(c not in _SHOWN for c in range(b)) for b in range(256)}
 
 
 def _runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -86,9 +97,13 @@ class Encoder:
         self.first, self.ids = [np.zeros(1, np.int64)], [np.zeros(0, np.int64)]
 
     def _learn(self, units: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch([u.decode() for u in units], add_special_tokens=False)
-        ids = [e.ids for e in found]
+        plain, other = [], []
         for unit in units:
+            (plain if _PLAIN.fullmatch(unit) else other).append(unit)
+        model = self.tokenizer.model
+        ids = [[t.id for t in model.tokenize(u.decode("latin-1").translate(_AS_SHOWN))] for u in plain]
+        ids += [e.ids for e in self.tokenizer.encode_batch([u.decode() for u in other], add_special_tokens=False)]
+        for unit in [*plain, *other]:
             self.number[unit] = len(self.number)
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         self.first = [np.concatenate([*self.first, self.first[-1][-1] + np.cumsum(lengths)])]
@@ -102,7 +117,10 @@ class Encoder:
         data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None and raw.size else np.zeros(0, np.uint8)
         offsets = offsets - offsets[0]
         cut = np.zeros(len(data) + 1, bool)
-        cut[: max(len(data) - 1, 0)] = ((data[:-1] == 0x20) | (data[:-1] == 0x0A)) & _VISIBLE[data[1:]]
+        if len(data):
+            cut[:-2] = ((data[:-1] == 0x20) | (data[:-1] == 0x0A)) & _VISIBLE[data[1:]]
+            cut[1:-1] |= _LETTER[data[:-1]] & _MARK[data[1:]]
+            cut[offsets - 1] = False  # a text's last byte is not ahead of the next text's first
         cut[offsets] = True
         at = np.flatnonzero(cut)
         units = pa.LargeBinaryArray.from_buffers(
