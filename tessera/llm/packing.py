@@ -35,7 +35,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator, Mapping
-from functools import reduce
+from functools import lru_cache, reduce
 from pathlib import Path
 
 import numpy as np
@@ -54,9 +54,9 @@ END = 0
 LEAST = 32
 SEED = 11
 # rows of a queue that one task sums up
-CELL_ROWS = 20_000
-# pieces of text a task remembers the ids of
-KNOWN = 1 << 20
+CELL_ROWS = 2_500
+# pieces of text a Python worker remembers the ids of
+KNOWN = 1 << 19
 # numbers of a schedule that are looked at together
 BLOCK = 1 << 21
 
@@ -142,29 +142,42 @@ class Encoder:
         return ids[_runs(first[number], lengths)], np.diff(total[np.searchsorted(at, offsets)])
 
 
+@lru_cache(maxsize=1)
+def _encoder(content: str) -> Encoder:
+    """One per Python worker, so that its later tasks know the pieces of its earlier ones."""
+    return Encoder(content)
+
+
 def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
     """Binary values that lie one after another in ``data``; ``ends`` are in bytes."""
     offsets = np.concatenate([[0], ends]).astype(np.int32)
     return pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
 
 
+def id_type(tokenizer: str, end: int = END) -> str:
+    """Two bytes if all ids of the tokenizer fit, else four."""
+    ids = _encoder(Path(tokenizer).read_text(encoding="utf-8")).tokenizer.get_vocab_size()
+    return "<u2" if max(ids - 1, end) < 1 << 16 else "<u4"
+
+
 def tokenize(docs: DataFrame, tokenizer: str, *, end: int = END) -> DataFrame:
-    """(doc_id, source, n, ids, row): ids as little-endian unsigned 32-bit numbers with ``end`` last, written once."""
+    """(doc_id, source, n, ids, row), written once: ids with ``end`` last, little-endian, ``id_type`` each."""
     kept = [docs.schema["doc_id"], docs.schema["source"]]
     schema = StructType([*kept, StructField("n", LongType()), StructField("ids", BinaryType())])
     content = Path(tokenizer).read_text(encoding="utf-8")  # tasks need no file of their own
+    kind = id_type(tokenizer, end)
 
     def run(batches):
         pa.set_memory_pool(pa.system_memory_pool())
-        encoder = Encoder(content)
+        encoder = _encoder(content)
         for batch in batches:
             for part in slices(batch, "text", 4 * SLICE_BYTES):
                 ids, counts = encoder.encode(part.column("text"))
-                out = np.full(len(ids) + len(counts), end, "<u4")
+                out = np.full(len(ids) + len(counts), end, kind)
                 out[np.arange(len(ids)) + np.repeat(np.arange(len(counts)), counts)] = ids
                 n = counts + 1
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("source"), pa.array(n, pa.int64()), _binary(out.view(np.uint8), 4 * np.cumsum(n))],
+                    [part.column("doc_id"), part.column("source"), pa.array(n, pa.int64()), _binary(out.view(np.uint8), out.itemsize * np.cumsum(n))],
                     names=["doc_id", "source", "n", "ids"],
                 )
 
@@ -307,7 +320,7 @@ def pack(docs: DataFrame, tokenizer: str, *, weights: Mapping[str | None, float]
     placed = split_window(
         queued, ["queue"], ["h", "doc_id", "row"], bucket=F.shiftright("h", 64 - bits), sums={"upto": "n"}
     ).select("row", "queue", (F.col("upto") - F.col("n")).alias("first"))
-    long = LongType()
+    long, kind = LongType(), id_type(tokenizer, end)
     schema = StructType([
         coded.schema["doc_id"], coded.schema["source"], StructField("start", long), StructField("ids", BinaryType()),
         StructField("doc_tokens", long), StructField("sequence_id", long), StructField("offset", long),
@@ -317,7 +330,7 @@ def pack(docs: DataFrame, tokenizer: str, *, weights: Mapping[str | None, float]
         pa.set_memory_pool(pa.system_memory_pool())
         for batch in batches:
             for part in _by_bytes(batch):
-                yield from _cut(part, schedule, sequences)
+                yield from _cut(part, schedule, sequences, kind)
 
     return coded.select("doc_id", "source", "n", "ids", "row").join(placed, "row").drop("row").mapInArrow(cut, schema)
 
@@ -332,10 +345,10 @@ def _by_bytes(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         at = to
 
 
-def _cut(part: pa.RecordBatch, schedule: Schedule, sequences: Sequences) -> Iterator[pa.RecordBatch]:
+def _cut(part: pa.RecordBatch, schedule: Schedule, sequences: Sequences, kind: str) -> Iterator[pa.RecordBatch]:
     """Pieces of the documents of a batch, cut where a round or a sequence ends."""
     n, first = part.column("n").to_numpy(), part.column("first").to_numpy()
-    ids = np.frombuffer(b"".join(v.as_buffer() for v in part.column("ids")), np.uint8)
+    ids = np.frombuffer(b"".join(v.as_buffer() for v in part.column("ids")), kind).astype("<u4").view(np.uint8)
     at = 0  # pieces come in the order of the documents and tile them
     for doc, start, length, place in schedule.pieces(part.column("queue").to_numpy(), first, n):
         low, high = sequences.of(place), sequences.of(place + length - 1)
