@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import (
-    decontaminate, jaccard, licences, logbilinear, mixing, packing, quality, revisits, sharding, spans, urlfilter, urls,
+    decontaminate, jaccard, licences, logbilinear, mixing, packing, quality, revisits, sharding, spans, urlfilter, urls, variants,
 )
 from tessera.llm.words import configure_for_texts
 
@@ -223,3 +223,10 @@ def op11_mixture_packing(table) -> DataFrame:
         "doc_id", "source", "start", (F.octet_length("ids") / 4).cast("long").alias("length"),
         F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset",
     )
+
+
+@query()
+def op12_spelling_variants(table) -> DataFrame:
+    """Words of five letters and more that occur three times, with the form and root they vary."""
+    counted = variants.count_words(table("documents"), least_length=5, drop_every=97)
+    return variants.spelling_groups(counted.where("n >= 3"), ratio=2)
