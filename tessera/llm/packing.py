@@ -72,6 +72,7 @@ _PLAIN = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 # byte-level tokenizers write a byte as a visible character: itself, or the next one from U+0100 on
 _SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _AS_SHOWN = {b: b if b in _SHOWN else 256 + sum(c not in _SHOWN for c in range(b)) for b in range(256)}
+_SPACE = chr(_AS_SHOWN[0x20])
 
 
 def _runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -97,14 +98,19 @@ class Encoder:
         self.first, self.ids = [np.zeros(1, np.int64)], [np.zeros(0, np.int64)]
 
     def _learn(self, units: list[bytes]) -> None:
-        plain, other = [], []
+        plain, other, ids, tokens_of = [], [], [], self.tokenizer.model.tokenize
         for unit in units:
-            (plain if _PLAIN.fullmatch(unit) else other).append(unit)
-        model = self.tokenizer.model
-        ids = [[t.id for t in model.tokenize(u.decode("latin-1").translate(_AS_SHOWN))] for u in plain]
+            if unit[:1] == b" " and unit[1:].isalpha():  # of bytes: A-Z and a-z
+                shown = _SPACE + unit[1:].decode()
+            elif _PLAIN.fullmatch(unit):
+                shown = unit.decode("latin-1").translate(_AS_SHOWN)
+            else:
+                other.append(unit)
+                continue
+            plain.append(unit)
+            ids.append([t.id for t in tokens_of(shown)])
         ids += [e.ids for e in self.tokenizer.encode_batch([u.decode() for u in other], add_special_tokens=False)]
-        for unit in [*plain, *other]:
-            self.number[unit] = len(self.number)
+        self.number.update(zip([*plain, *other], range(len(self.number), len(self.number) + len(units))))
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         self.first = [np.concatenate([*self.first, self.first[-1][-1] + np.cumsum(lengths)])]
         self.ids.append(np.fromiter((i for e in ids for i in e), np.int64, int(lengths.sum())))
@@ -127,16 +133,20 @@ class Encoder:
             pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]
         )
         coded = units.dictionary_encode()
-        names = coded.dictionary.to_pylist()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.number) + len(names) > KNOWN:
             self._forget()
-        fresh = [u for u in names if u not in self.number]
+        known = self.number.get
+        number = np.array([known(u, -1) for u in names], np.int64)
+        unknown = np.flatnonzero(number < 0)
+        fresh = [names[i] for i in unknown]
         for i in range(0, len(fresh), 5000):
             self._learn(fresh[i : i + 5000])
+        number[unknown] = [known(u) for u in fresh]
         if len(self.ids) > 1:
             self.ids = [np.concatenate(self.ids)]
         first, ids = self.first[0], self.ids[0]
-        number = np.fromiter((self.number[u] for u in names), np.int64, len(names))[coded.indices.to_numpy()]
+        number = number[coded.indices.to_numpy()]
         lengths = first[number + 1] - first[number]
         total = np.concatenate([[0], np.cumsum(lengths)])
         return ids[_runs(first[number], lengths)], np.diff(total[np.searchsorted(at, offsets)])
