@@ -45,8 +45,8 @@ GROUPS = 12
 BITS = 5
 MOST = (1 << BITS) - 1
 # members and visitors of a task
-CELL = 20_000
-VISITS = 200_000
+CELL = 10_000
+VISITS = 25_000
 # levels that the shuffle may take
 DEPTH = 6
 # states or pairs of a search that are looked at together
