@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from tessera.llm.words import SLICE_BYTES, slices
+from tessera.llm.words import SLICE_BYTES, ragged, slices
 from tessera.operators.ranges import split_window
 from tessera.session import cut_lineage
 
@@ -75,12 +75,6 @@ _AS_SHOWN = {b: b if b in _SHOWN else 256 + sum(c not in _SHOWN for c in range(b
 _SPACE = chr(_AS_SHOWN[0x20])
 
 
-def _runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """starts[0], starts[0] + 1, ... (lengths[0] of them), then those of starts[1], ..."""
-    before = np.cumsum(lengths) - lengths
-    return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
-
-
 class Encoder:
     """Token ids of whole texts, by a byte-level tokenizer (its file's content)."""
 
@@ -149,7 +143,7 @@ class Encoder:
         number = number[coded.indices.to_numpy()]
         lengths = first[number + 1] - first[number]
         total = np.concatenate([[0], np.cumsum(lengths)])
-        return ids[_runs(first[number], lengths)], np.diff(total[np.searchsorted(at, offsets)])
+        return ids[ragged(first[number], lengths)], np.diff(total[np.searchsorted(at, offsets)])
 
 
 @lru_cache(maxsize=1)
@@ -364,7 +358,7 @@ def _cut(part: pa.RecordBatch, schedule: Schedule, sequences: Sequences, kind: s
         low, high = sequences.of(place), sequences.of(place + length - 1)
         counts = high - low + 1
         each = np.repeat(np.arange(len(doc)), counts)
-        sequence = _runs(low, counts)
+        sequence = ragged(low, counts)
         begin = np.maximum(place[each], sequences.start(sequence))
         size = np.minimum(place[each] + length[each], sequences.start(sequence + 1)) - begin
         doc = doc[each]

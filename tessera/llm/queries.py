@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import (
-    decontaminate, jaccard, licences, logbilinear, mixing, packing, quality, revisits, sharding, spans, urlfilter, urls, variants,
+    decontaminate, jaccard, licences, logbilinear, mixing, packing, phrases, quality, revisits, sharding, spans, urlfilter, urls, variants,
 )
 from tessera.llm.words import configure_for_texts
 
@@ -230,3 +230,9 @@ def op12_spelling_variants(table) -> DataFrame:
     """Words of five letters and more that occur three times, with the form and root they vary."""
     counted = variants.count_words(table("documents"), least_length=5, drop_every=97)
     return variants.spelling_groups(counted.where("n >= 3"), ratio=2)
+
+
+@query()
+def op13_phrase_collocations(table) -> DataFrame:
+    """The first 2000 phrases of two to five words of every language."""
+    return phrases.collocations(table("documents"), longest=5, least=100, share=100, top=2000)

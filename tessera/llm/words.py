@@ -148,6 +148,12 @@ def per_slice(fn: Callable[[pa.RecordBatch, Words], Iterator[pa.RecordBatch] | p
     return run
 
 
+def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... (lengths[0] of them), then those of starts[1], and so on."""
+    before = np.cumsum(lengths) - lengths
+    return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
+
+
 def list_column(values: np.ndarray, counts: np.ndarray, kind) -> pa.Array:
     """A list column whose row ``r`` holds the next ``counts[r]`` values."""
     offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
