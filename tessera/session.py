@@ -68,4 +68,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, "cut")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.scratch = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``cut_lineage`` has written.
+
+    Only for tables whose readers have all been written themselves: a lost
+    executor's work on a reader that has not would need them again.
+    """
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table.scratch)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
