@@ -33,8 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.words import _BYTE, _ODD, _ODD_INVERSE, ragged, run_hashes
-from tessera.operators.ranges import split_window
-from tessera.session import cut_lineage
+from tessera.session import cut_lineage, release
 
 LONGEST = 5
 LEAST = 100
@@ -178,7 +177,7 @@ def _listed(values: pa.Array) -> pa.Array:
 
 
 def slices_of(docs: DataFrame) -> DataFrame:
-    """(slice, lang, tokens, words, counts), written once; tokens are little-endian 2 or 4 bytes each."""
+    """(slice, lang, n, tokens, words, counts), written once; tokens are little-endian 2 or 4 bytes each."""
 
     def run(batches):
         pa.set_memory_pool(pa.system_memory_pool())
@@ -199,33 +198,125 @@ def slices_of(docs: DataFrame) -> DataFrame:
             for tokens, words, counts in _sections(texts):
                 kind = "<u2" if len(words) < 1 << 16 else "<u4"
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang]), pa.array([tokens.astype(kind).tobytes()], pa.binary()), _listed(words), _listed(pa.array(counts))],
-                    names=["lang", "tokens", "words", "counts"],
+                    [pa.array([lang]), pa.array([int(counts.sum())]), pa.array([tokens.astype(kind).tobytes()], pa.binary()),
+                     _listed(words), _listed(pa.array(counts))],
+                    names=["lang", "n", "tokens", "words", "counts"],
                 )
 
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").mapInArrow(
-        run, "lang string, tokens binary, words array<string>, counts array<bigint>"
+        run, "lang string, n long, tokens binary, words array<string>, counts array<bigint>"
     )
     return cut_lineage(rows.withColumn("slice", F.monotonically_increasing_id()))
 
 
+# --- frequent words ----------------------------------------------------------
+
+
+def _word_shards(slices: DataFrame, shard_bits: int) -> DataFrame:
+    """The words of every slice by shard: (shard, slice, lang, places in the dictionary, words, counts)."""
+
+    def run(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
+        for batch in batches:
+            for r in range(len(batch)):
+                words = batch.column("words")[r].values.cast(pa.large_string())
+                counts = batch.column("counts")[r].values
+                at = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+                data = np.frombuffer(words.buffers()[2], np.uint8)
+                hashes = run_hashes(_BYTE[data[at[0] : at[-1]]], _ODD, _ODD_INVERSE, at[:-1] - at[0], at[1:] - at[0])
+                shard = (hashes >> np.uint64(64 - shard_bits)).astype(np.int64)
+                order = np.argsort(shard, kind="stable")
+                shards, first = np.unique(shard[order], return_index=True)
+                ends, lists = np.append(first, len(order)), pa.array(np.append(first, len(order)), pa.int32())
+                picked = pa.array(order)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(shards), pa.array([batch.column("slice")[r].as_py()] * len(shards), pa.int64()),
+                     pa.array([batch.column("lang")[r].as_py()] * len(shards)),
+                     pa.array([order[x:y].astype(_U4).tobytes() for x, y in zip(ends, ends[1:])], pa.binary()),
+                     pa.ListArray.from_arrays(lists, words.take(picked).cast(pa.string())),
+                     pa.ListArray.from_arrays(lists, counts.take(picked))],
+                    names=["shard", "slice", "lang", "places", "words", "counts"],
+                )
+
+    return slices.select("slice", "lang", "words", "counts").mapInArrow(
+        run, "shard long, slice long, lang string, places binary, words array<string>, counts array<bigint>"
+    )
+
+
+def _merged_words(shards: DataFrame, least: int) -> DataFrame:
+    """Per shard and language the frequent words with counts (slice null); per slice the places and ranks of its own."""
+
+    def merge(rows: pa.Table) -> pa.Table:
+        shard, size, found = rows.column("shard")[0].as_py(), 0, []
+        for lang in pc.unique(rows.column("lang")).to_pylist():
+            part = rows.filter(pc.equal(rows.column("lang"), lang)).combine_chunks()
+            lists = part.column("words").combine_chunks()
+            coded = lists.flatten().dictionary_encode()
+            number = coded.indices.to_numpy()
+            counts = np.zeros(len(coded.dictionary), np.int64)
+            np.add.at(counts, number, part.column("counts").combine_chunks().flatten().to_numpy())
+            often = np.flatnonzero(counts >= least)
+            if not len(often):
+                continue
+            rank = np.full(len(counts), -1)
+            rank[often] = size + np.arange(len(often))
+            found.append((None, lang, size, coded.dictionary.take(pa.array(often)).to_pylist(), counts[often].astype(_U8).tobytes(), None))
+            size += len(often)
+            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+            for i, (name, places) in enumerate(zip(part.column("slice").to_pylist(), part.column("places").to_pylist())):
+                own = rank[number[ends[i] : ends[i + 1]]]
+                hit = own >= 0
+                if hit.any():
+                    found.append((name, None, None, None, own[hit].astype(_U4).tobytes(), np.frombuffer(places, _U4)[hit].tobytes()))
+        columns = list(zip(*found)) if found else [()] * 6
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.binary(), pa.binary()]
+        names = ["slice", "lang", "first", "words", "values", "places"]
+        return pa.table(
+            [pa.array([shard] * len(found), pa.int64()), *[pa.array(v, k) for v, k in zip(columns, kinds)]], ["shard", *names]
+        )
+
+    return cut_lineage(shards.groupBy("shard").applyInArrow(
+        merge, "shard long, slice long, lang string, first long, words array<string>, values binary, places binary"
+    ))
+
+
+def _vocabulary(merged: DataFrame, most: int) -> DataFrame:
+    """(number, lang, word, a) of the frequent words; numbers begin with 1."""
+
+    def run(batches):
+        for batch in batches:
+            for r in range(len(batch)):
+                words = batch.column("words")[r].values
+                start = batch.column("shard")[r].as_py() * most + batch.column("first")[r].as_py() + 1
+                counts = np.frombuffer(batch.column("values")[r].as_buffer(), _U8)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(start + np.arange(len(words))), pa.array([batch.column("lang")[r].as_py()] * len(words)), words,
+                     pa.array(counts.astype(np.int64))],
+                    names=["number", "lang", "word", "a"],
+                )
+
+    return cut_lineage(
+        merged.where(F.col("slice").isNull()).select("shard", "lang", "first", "words", "values")
+        .mapInArrow(run, "number long, lang string, word string, a long")
+    )
+
+
 # --- levels ------------------------------------------------------------------
 
 # a level's phrases in a slice: (slice, places in the slice, packed phrases)
 Entries = Iterator[tuple[int, np.ndarray, np.ndarray]]
 
 
-def _pairs(bits: int) -> Callable[[pa.RecordBatch], Entries]:
-    """Pairs of frequent words from (slice, tokens, words, ids: list of (place in the dictionary, id))."""
+def _pairs(bits: int, most: int) -> Callable[[pa.RecordBatch], Entries]:
+    """Pairs of frequent words from (slice, tokens, size, ids: list of (shard, places in the dictionary, ranks))."""
 
     def read(batch: pa.RecordBatch) -> Entries:
-        listed = batch.column("ids")
-        ends, pairs = listed.offsets.to_numpy(), listed.values
-        place, number = pairs.field(0).to_numpy(), pairs.field(1).to_numpy()
         for r in range(len(batch)):
             size = batch.column("size")[r].as_py()
             id_of = np.zeros(size + 1, np.uint64)
-            id_of[place[ends[r] : ends[r + 1]] + 1] = number[ends[r] : ends[r + 1]]
+            for f in batch.column("ids")[r].as_py():
+                ranks = np.frombuffer(f["values"], _U4).astype(np.uint64)
+                id_of[np.frombuffer(f["places"], _U4) + 1] = ranks + np.uint64(f["shard"] * most + 1)
             tokens = np.frombuffer(batch.column("tokens")[r].as_buffer(), "<u2" if size < 1 << 16 else "<u4")
             ids = id_of[tokens]
             at = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
@@ -347,29 +438,21 @@ def _phrases(merged: DataFrame, width: int, shard_bits: int, most: int, bits: in
 def frequent_phrases(docs: DataFrame, *, longest: int = LONGEST, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """(lang, words, a) of all phrases of up to ``longest`` words found ``least`` times, and (lang, n) of all words."""
     slices = slices_of(docs)
-    each = slices.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).select(
-        "lang", F.col("w.words").alias("word"), F.col("w.counts").alias("c")
-    )
-    words = cut_lineage(each.groupBy("lang", "word").agg(F.sum("c").alias("a")))
-    totals = cut_lineage(words.groupBy("lang").agg(F.sum("a").alias("n")))
-    count = words.where(F.col("a") >= least).count()
-    size = totals.agg(F.sum("n")).first()[0] or 0
-    hashed = words.where(F.col("a") >= least).withColumn("h", F.xxhash64("lang", "word"))
-    cells = max(1, (count // 10_000).bit_length())
-    ids = cut_lineage(
-        split_window(hashed, [], ["h", "lang", "word"], bucket=F.shiftright("h", 64 - cells), row_number="number")
-        .select("lang", "word", "a", "number")
-    )
-    bits = max(1, count.bit_length())
+    totals = cut_lineage(slices.groupBy("lang").agg(F.sum("n").alias("n"), F.sum(F.size("words")).alias("__entries")))
+    size, entries = totals.agg(F.sum("n"), F.sum("__entries")).first()
+    size, entries = size or 0, entries or 0
+    word_bits = max(4, (entries // SHARD).bit_length())
+    counted = _merged_words(_word_shards(slices, word_bits), least)
+    most = counted.where(F.col("slice").isNull()).agg(F.max(F.col("first") + F.size("words"))).first()[0] or 1
+    ids = _vocabulary(counted, most)
+    bits = (most << word_bits).bit_length()
     shard_bits = max(4, (size // SHARD).bit_length())
-    own = (
-        slices.select("slice", "lang", F.posexplode("words").alias("place", "word"))
-        .join(ids.select("lang", "word", "number"), ["lang", "word"])
-        .groupBy("slice").agg(F.collect_list(F.struct("place", "number")).alias("ids"))
+    own = counted.where(F.col("slice").isNotNull()).groupBy("slice").agg(
+        F.collect_list(F.struct("shard", "places", "values")).alias("ids")
     )
-    rows = slices.select("slice", "tokens", F.size("words").alias("size")).join(cut_lineage(own), "slice")
-    read, known = _pairs(bits), ids.select("number", "lang", F.array("word").alias("words"), "a")
-    levels, numbers = [known], bits
+    rows = slices.select("slice", "tokens", F.size("words").alias("size")).join(own, "slice")
+    read, known = _pairs(bits, most), ids.select("number", "lang", F.array("word").alias("words"), "a")
+    levels, numbers, done = [known], bits, [slices, counted]
     for length in range(2, longest + 1):
         width = max(numbers + bits, shard_bits + 1)
         if width > 64:
@@ -387,7 +470,8 @@ def frequent_phrases(docs: DataFrame, *, longest: int = LONGEST, least: int = LE
         levels.append(known)
         if length < longest:
             rows = _next_level(rows, read, merged, width, shard_bits, most, bits)
-            read, numbers = _kept, ((1 << shard_bits) * most).bit_length()
+            release(*done, merged)
+            read, numbers, done = _kept, ((1 << shard_bits) * most).bit_length(), [rows]
     found = levels[0]
     for level in levels[1:]:
         found = found.unionByName(level)
