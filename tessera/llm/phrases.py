@@ -65,6 +65,19 @@ def _mask(width: int) -> np.uint64:
     return np.uint64((1 << width) - 1)
 
 
+def narrow(values: np.ndarray, bits: int) -> bytes:
+    """Numbers below 2^bits in as few whole bytes as hold them."""
+    return np.ascontiguousarray(values.astype(_U8)).view(np.uint8).reshape(-1, 8)[:, : -(-bits // 8)].tobytes()
+
+
+def widen(data, bits: int) -> np.ndarray:
+    """The inverse of ``narrow``."""
+    width = -(-bits // 8)
+    out = np.zeros((len(data) // width if width else 0, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
+    return out.view(_U8)[:, 0]
+
+
 def permute(keys: np.ndarray, width: int) -> np.ndarray:
     """A one-to-one map of the numbers below 2^width onto themselves that spreads them evenly."""
     half, mask = np.uint64((width + 1) // 2), _mask(width)
@@ -94,11 +107,10 @@ class QuotientFilter:
         runs = np.bincount((keys >> low).astype(np.int64), minlength=1 << quotient_bits)
         unary = np.ones(len(keys) + len(runs), np.uint8)
         unary[np.cumsum(runs) + np.arange(len(runs))] = 0
-        remainder = np.ascontiguousarray((keys & _mask(int(low))).astype(_U8)).view(np.uint8).reshape(-1, 8)
         large = counts >= 255
         head = np.array([len(keys), quotient_bits, width, int(large.sum())], _U4)
         return b"".join([
-            head.tobytes(), np.packbits(unary).tobytes(), remainder[:, : -(-int(low) // 8)].tobytes(),
+            head.tobytes(), np.packbits(unary).tobytes(), narrow(keys & _mask(int(low)), int(low)),
             np.minimum(counts, 255).astype(np.uint8).tobytes(), counts[large].astype(_U8).tobytes(),
         ])
 
@@ -325,11 +337,15 @@ def _pairs(bits: int, most: int) -> Callable[[pa.RecordBatch], Entries]:
     return read
 
 
-def _kept(batch: pa.RecordBatch) -> Entries:
+def _kept(width: int) -> Callable[[pa.RecordBatch], Entries]:
     """A written level: (slice, at, key) as bytes."""
-    for r in range(len(batch)):
-        at, key = batch.column("at")[r].as_buffer(), batch.column("key")[r].as_buffer()
-        yield batch.column("slice")[r].as_py(), np.frombuffer(at, _U4), np.frombuffer(key, _U8)
+
+    def read(batch: pa.RecordBatch) -> Entries:
+        for r in range(len(batch)):
+            at, key = batch.column("at")[r].as_buffer(), batch.column("key")[r].as_buffer()
+            yield batch.column("slice")[r].as_py(), np.frombuffer(at, _U4), widen(key, width)
+
+    return read
 
 
 def _filters(rows: DataFrame, read, width: int, shard_bits: int) -> DataFrame:
@@ -354,7 +370,7 @@ def _filters(rows: DataFrame, read, width: int, shard_bits: int) -> DataFrame:
     return rows.mapInArrow(run, "shard long, slice long, filter binary")
 
 
-def _merged(filters: DataFrame, least: int) -> DataFrame:
+def _merged(filters: DataFrame, least: int, low: int) -> DataFrame:
     """Per shard the frequent keys with counts (slice null), and per slice those of them that it has, with their ranks."""
 
     def merge(rows: pa.Table) -> pa.Table:
@@ -364,12 +380,12 @@ def _merged(filters: DataFrame, least: int) -> DataFrame:
         keys, counts = keys[often], counts[often]
         shard, found = rows.column("shard")[0].as_py(), []
         if len(keys):
-            found.append((None, len(keys), keys.tobytes(), counts.astype(_U8).tobytes()))
+            found.append((None, len(keys), narrow(keys, low), counts.astype(_U8).tobytes()))
             for number, (own, _) in zip(rows.column("slice").to_pylist(), parts):
                 rank = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
                 hit = keys[rank] == own
                 if hit.any():
-                    found.append((number, int(hit.sum()), own[hit].tobytes(), rank[hit].astype(_U8).tobytes()))
+                    found.append((number, int(hit.sum()), narrow(own[hit], low), rank[hit].astype(_U4).tobytes()))
         slices, sizes, names, values = zip(*found) if found else ((), (), (), ())
         return pa.table({
             "shard": pa.array([shard] * len(found), pa.int64()), "slice": pa.array(slices, pa.int64()),
@@ -383,7 +399,7 @@ def _merged(filters: DataFrame, least: int) -> DataFrame:
 
 def _next_level(rows: DataFrame, read, merged: DataFrame, width: int, shard_bits: int, most: int, bits: int) -> DataFrame:
     """Phrases of one more word whose both parts are frequent: (slice, at, key), written once."""
-    low = width - shard_bits
+    low, longer_width = width - shard_bits, (most << shard_bits).bit_length() + bits
     own = merged.where(F.col("slice").isNotNull()).groupBy("slice").agg(
         F.collect_list(F.struct("shard", "keys", "values")).alias("own")
     )
@@ -393,8 +409,8 @@ def _next_level(rows: DataFrame, read, merged: DataFrame, width: int, shard_bits
         for batch in batches:
             for r, (number, at, keys) in enumerate(read(batch)):
                 found = batch.column("own")[r].as_py()
-                names = np.concatenate([(np.uint64(f["shard"]) << np.uint64(low)) | np.frombuffer(f["keys"], _U8) for f in found])
-                ranks = np.concatenate([np.uint64(f["shard"] * most) + np.frombuffer(f["values"], _U8) for f in found])
+                names = np.concatenate([(np.uint64(f["shard"]) << np.uint64(low)) | widen(f["keys"], low) for f in found])
+                ranks = np.concatenate([np.uint64(f["shard"] * most) + np.frombuffer(f["values"], _U4) for f in found])
                 order = np.argsort(names)
                 names, ranks = names[order], ranks[order]
                 place = permute(keys, width)
@@ -407,7 +423,7 @@ def _next_level(rows: DataFrame, read, merged: DataFrame, width: int, shard_bits
                     longer = (numbers[both] << np.uint64(bits)) | (keys[both + 1] & _mask(bits))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([number], pa.int64()), pa.array([at[both].astype(_U4).tobytes()], pa.binary()),
-                         pa.array([longer.astype(_U8).tobytes()], pa.binary())],
+                         pa.array([narrow(longer, longer_width)], pa.binary())],
                         names=["slice", "at", "key"],
                     )
 
@@ -422,7 +438,7 @@ def _phrases(merged: DataFrame, width: int, shard_bits: int, most: int, bits: in
         for batch in batches:
             for r in range(len(batch)):
                 shard = batch.column("shard")[r].as_py()
-                own = np.frombuffer(batch.column("keys")[r].as_buffer(), _U8)
+                own = widen(batch.column("keys")[r].as_buffer(), low)
                 keys = restore((np.uint64(shard) << np.uint64(low)) | own, width)
                 counts = np.frombuffer(batch.column("values")[r].as_buffer(), _U8)
                 yield pa.RecordBatch.from_arrays(
@@ -457,7 +473,7 @@ def frequent_phrases(docs: DataFrame, *, longest: int = LONGEST, least: int = LE
         width = max(numbers + bits, shard_bits + 1)
         if width > 64:
             raise ValueError("phrases of this corpus do not fit into 64 bits")
-        merged = _merged(_filters(rows, read, width, shard_bits), least)
+        merged = _merged(_filters(rows, read, width, shard_bits), least, width - shard_bits)
         most = merged.where(F.col("slice").isNull()).agg(F.max("size")).first()[0]
         if not most:
             break
@@ -471,7 +487,8 @@ def frequent_phrases(docs: DataFrame, *, longest: int = LONGEST, least: int = LE
         if length < longest:
             rows = _next_level(rows, read, merged, width, shard_bits, most, bits)
             release(*done, merged)
-            read, numbers, done = _kept, ((1 << shard_bits) * most).bit_length(), [rows]
+            numbers, done = (most << shard_bits).bit_length(), [rows]
+            read = _kept(numbers + bits)
     found = levels[0]
     for level in levels[1:]:
         found = found.unionByName(level)
