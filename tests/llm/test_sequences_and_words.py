@@ -4,6 +4,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +36,15 @@ def docs(spark, texts):
     return spark.createDataFrame(texts, SCHEMA).repartition(5)
 
 
-def _tokens(text):
+@lru_cache(maxsize=1)
+def _tokenizer():
     tokenizer = Tokenizer.from_file(BPE)
     tokenizer.encode_special_tokens = True
-    return tokenizer.encode(text or "", add_special_tokens=False).ids + [0]
+    return tokenizer
+
+
+def _tokens(text):
+    return _tokenizer().encode(text or "", add_special_tokens=False).ids + [0]
 
 
 def test_encoder_equals_the_tokenizer():
