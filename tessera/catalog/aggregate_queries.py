@@ -4,13 +4,15 @@ from pyspark.sql import functions as F
 
 from tessera.catalog.base import query
 from tessera.catalog.panel import FLAGS, PANEL, basket_links, weekly_panel
-from tessera.catalog.relational_queries import SET_DISTANCE
+from tessera.catalog.relational_queries import SET_DISTANCE, SIMILAR_SETS, order_sets
 from tessera.catalog.views import basket_lines, basket_orders, basket_sql, products
 from tessera.functions.text import ascii_words, letter_words
 from tessera.operators import aggregates as A
 from tessera.operators.encoders import column_quantiles
 from tessera.operators.frames import rounded
+from tessera.operators import sketches as K
 from tessera.operators.ranges import group_quantiles, number_chunks
+from tessera.operators.set_join import class_distances
 from tessera.operators.similarity import linked_set_distance
 from tessera.operators.topk import joined_ids, top_n
 from tessera.session import cut_lineage
@@ -31,6 +33,26 @@ def _(t):
     return t.lineitem.groupBy("l_suppkey").agg(F.count_distinct("l_partkey").alias("parts"), F.count_distinct("l_orderkey").alias("orders"))
 
 
+@query("a02_distinct_sketches", "SELECT event_type, count(DISTINCT user_id) AS users, true AS within FROM events GROUP BY 1")
+def _(t):
+    """Users per event type from sketches per (type, day), next to the exact count: within 6 %."""
+    daily = cut_lineage(K.distinct_sketches(t.events.withColumn("day", F.to_date("ts")), ["event_type", "day"], ["user_id"]))
+    merged = K.merged_distinct(daily, ["event_type"], ["user_id"]).withColumnRenamed("user_id", "sketched")
+    exact = t.events.groupBy("event_type").agg(F.countDistinct("user_id").alias("users"))
+    return exact.join(merged, "event_type").select("event_type", "users", (F.abs(F.col("sketched") - F.col("users")) <= 0.06 * F.col("users")).alias("within"))
+
+
+@query("a24_quantile_sketches", "SELECT l_returnflag, count(*) AS rows, true AS median_within, true AS high_within FROM lineitem GROUP BY 1")
+def _(t):
+    """Median and 0.9 quantile of price per flag from sketches per (flag, ship month): ranks within 2 %."""
+    lines = t.lineitem.select("l_returnflag", F.trunc("l_shipdate", "month").alias("month"), F.col("l_extendedprice").cast("double").alias("x"))
+    monthly = cut_lineage(K.quantile_sketches(lines, ["l_returnflag", "month"], ["x"]))
+    found = cut_lineage(K.merged_quantiles(monthly, ["l_returnflag"], {"median": ("x", 0.5), "high": ("x", 0.9)}))
+    near = lambda at, q: (F.avg((F.col("x") < F.col(at)).cast("int")) <= q + 0.02) & (F.avg((F.col("x") <= F.col(at)).cast("int")) >= q - 0.02)
+    return lines.join(found, "l_returnflag").groupBy("l_returnflag").agg(
+        F.count(F.lit(1)).alias("rows"), near("median", 0.5).alias("median_within"), near("high", 0.9).alias("high_within"))
+
+
 @query("a03_conditional_sum", basket_sql("SELECT product_id, CAST(sum(reordered) AS BIGINT) AS again, count(*) FILTER (cart_pos = 1) AS firsts FROM lines GROUP BY 1"))
 def _(t):
     return basket_lines(t).groupBy("product_id").agg(F.count_if(F.col("reordered") == 1).alias("again"), F.count_if(F.col("cart_pos") == 1).alias("firsts"))
@@ -259,6 +281,14 @@ def _(t):
                                                 F.median("jaccard").alias("q50"), F.max("jaccard").alias("q100")))
 
 
+@query("a30_similar_set_stats", basket_sql("""SELECT id, class, count(*) AS rows, round(avg(jaccard), 6) AS mean, round(stddev_pop(jaccard), 5) AS std, round(min(jaccard), 6) AS q0,
+  round(median(jaccard), 6) AS q50, round(max(jaccard), 6) AS q100 FROM alike GROUP BY ALL""", SIMILAR_SETS))
+def _(t):
+    asked, others, classes = order_sets(t)
+    stats = class_distances(asked, others, classes, 20)
+    return rounded(stats.withColumn("std", F.round("std", 5)))
+
+
 @query("a31_vector_shape", """WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT vec_id, avg(x) AS mu FROM e GROUP BY 1)
   SELECT vec_id, round(avg(power(x - mu, 3)) / power(avg(power(x - mu, 2)), 1.5), 5) AS skew, round(avg(power(x - mu, 4)) / power(avg(power(x - mu, 2)), 2) - 3, 5) AS kurtosis
   FROM e JOIN m USING (vec_id) GROUP BY 1""")

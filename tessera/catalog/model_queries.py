@@ -80,6 +80,17 @@ def _(t):
     return S.bootstrap(t.orders.select(F.col("o_custkey").alias("bag")), "bag", 50)
 
 
+TAKEN = " + ".join(f"(u >= {c})::INT" for c in S.poisson_cuts())
+
+
+@query("m08_poisson_bootstrap", f"""WITH u AS (SELECT draw, l_quantity::DOUBLE AS x, {md5_sql("draw || '-' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey", 1 << 32)} AS u
+    FROM lineitem, (SELECT unnest(range(1, 51)) AS draw)), w AS (SELECT draw, x, {TAKEN} AS t FROM u)
+  SELECT CAST(draw AS INT) AS draw, CAST(sum(t) AS BIGINT) AS rows, round(sum(x * t) / sum(t), 6) AS mean FROM w GROUP BY 1""")
+def _(t):
+    lines = t.lineitem.withColumn("x", F.col("l_quantity").cast("double"))
+    return rounded(S.poisson_means(lines, F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), "x", 50))
+
+
 BAGS = """bg AS (SELECT l_orderkey AS bag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS instance, l_quantity / 50 AS a, l_extendedprice / 100000 AS b, l_discount * 10 AS c FROM lineitem)"""
 
 
@@ -430,12 +441,34 @@ def _(t):
     return rounded(S.with_noise(predictions(t).select("id", "p1"), F.col("id").cast("string"), "p1", 0.01, 7))
 
 
-@query("m49_progressive_validation")
+CLICK_DAYS = """ck AS (SELECT event_id AS id, date_diff('day', TIMESTAMP '2024-01-01', ts) // 7 AS block, CAST(event_type = 'click' AS BIGINT) AS label,
+    coalesce(json_extract_string(props, '$.k'), '') AS k, CAST(hour(ts) AS VARCHAR) AS h, CAST(user_id AS VARCHAR) AS ad FROM events),
+  lg AS (SELECT id, block, label, unnest([{'f': 'k', 'v': k}, {'f': 'h', 'v': h}, {'f': 'ad', 'v': ad}]) AS x FROM ck),
+  vc AS (SELECT x, block, sum(label) AS p, count(*) - sum(label) AS q FROM lg GROUP BY ALL),
+  st AS (SELECT x, block, coalesce(sum(p) OVER w, 0) AS vp, coalesce(sum(q) OVER w, 0) AS vq FROM vc WINDOW w AS (PARTITION BY x ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  tt AS (SELECT block, coalesce(sum(p) OVER w, 0) AS tp, coalesce(sum(q) OVER w, 0) AS tq FROM (SELECT block, sum(label) AS p, count(*) - sum(label) AS q FROM ck GROUP BY 1)
+    WINDOW w AS (ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  sc AS (SELECT id, block, label, 1 / (1 + exp(-(ln((tp + 1) / (tq + 1)) + sum(ln(((vp + 1) / (tp + 2)) / ((vq + 1) / (tq + 2))))))) AS p
+    FROM lg JOIN st USING (x, block) JOIN tt USING (block) GROUP BY id, block, label, tp, tq)"""
+
+
+def scored_weeks(t):
+    from tessera.operators.progressive import progressive_bayes
+    rows = t.events.select(
+        F.col("event_id").alias("id"), F.floor(F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")) / 7).cast("long").alias("block"),
+        (F.col("event_type") == "click").cast("long").alias("label"), F.coalesce(F.get_json_object("props", "$.k"), F.lit("")).alias("k"),
+        F.hour("ts").cast("string").alias("h"), F.col("user_id").cast("string").alias("ad"))
+    return progressive_bayes(rows, "id", "block", "label", ["k", "h", "ad"])
+
+
+@query("m49_progressive_scores", f"WITH {CLICK_DAYS} SELECT id, CAST(block AS BIGINT) AS block, round(p, 6) AS p FROM sc")
 def _(t):
-    from tessera.operators.ranges import split_window
-    df = hashed_clicks(t)
-    ranked = split_window(df.select("id", "ts"), [], ["ts", "id"], row_number="r").select("id", "r")
-    rows = df.join(ranked, "id")
-    model = M.logistic(0.01, 0.1, iterations=10).fit(rows.where("r % 10 <> 0"))
-    held = M.scored(model, rows.where("r % 10 = 0"), "p")
-    return held.groupBy(F.floor(F.col("r") / 1000).alias("block")).agg(Q.logloss("label", "p").alias("logloss"), F.count("*").alias("n"))
+    return rounded(scored_weeks(t).select("id", "block", "p"))
+
+
+@query("m49_progressive_validation", f"""WITH {CLICK_DAYS} SELECT CAST(block AS BIGINT) AS block, count(*) AS n,
+  round(-avg(label * ln(greatest(least(p, 1 - 1e-15), 1e-15)) + (1 - label) * ln(1 - greatest(least(p, 1 - 1e-15), 1e-15))), 5) AS logloss FROM sc GROUP BY 1""")
+def _(t):
+    """Logloss of each week, scored by the weeks before it."""
+    scored = scored_weeks(t)
+    return rounded(scored.groupBy("block").agg(F.count("*").alias("n"), Q.logloss("label", "p").alias("logloss")), 5)

@@ -7,6 +7,7 @@ from tessera.catalog.views import basket_lines, basket_orders, basket_sql, produ
 from tessera.operators import frames as R
 from tessera.operators import joins as J
 from tessera.operators.ranges import split_window
+from tessera.session import cut_lineage
 
 
 @query("p01_select_drop_rename", "SELECT o_orderkey AS order_id, o_custkey AS user_id, o_totalprice FROM orders")
@@ -287,6 +288,28 @@ def _(t):
     return R.rounded(linked_set_distance(sets, links).select("id", "id2", "jaccard", "dice"))
 
 
+SIMILAR_SETS = """held AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS item FROM lineitem),
+  side AS (SELECT h.id, item, eval_set = 'test' AS asked, order_dow AS class, count(*) OVER (PARTITION BY h.id) AS n FROM held h JOIN ord ON ord.order_id = h.id),
+  pairs AS (SELECT a.id, b.id AS id2, b.class, count(*) / (max(a.n) + max(b.n) - count(*)) AS jaccard, 2 * count(*) / (max(a.n) + max(b.n)) AS dice
+    FROM side a JOIN side b ON a.item = b.item AND a.asked AND NOT b.asked GROUP BY ALL),
+  alike AS (SELECT * FROM pairs WHERE jaccard >= 0.2)"""
+
+
+def order_sets(t):
+    """Parts of each order: those of users' last orders, those of all others, and the others' classes."""
+    orders = cut_lineage(basket_orders(t).select(
+        F.col("order_id").alias("id"), (F.col("n_orders") == F.col("order_number")).alias("asked"), F.col("order_dow").alias("class")))
+    held = t.lineitem.select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("item")).join(orders, "id")
+    return held.where("asked").select("id", "item"), held.where("not asked").select("id", "item"), orders.where("not asked").select("id", "class")
+
+
+@query("j13_similar_sets", basket_sql("SELECT id, id2, round(jaccard, 6) AS jaccard, round(dice, 6) AS dice FROM alike", SIMILAR_SETS))
+def _(t):
+    from tessera.operators.set_join import set_pairs
+    asked, others, _ = order_sets(t)
+    return R.rounded(set_pairs(asked, others, 20))
+
+
 EDGES = """e0 AS (SELECT DISTINCT a.l_partkey AS a, b.l_partkey AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey
     AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey <> b.l_partkey),
   adj AS (SELECT a AS src, b AS dst FROM e0 UNION SELECT b, a FROM e0)"""

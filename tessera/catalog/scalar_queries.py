@@ -267,7 +267,7 @@ def _(t):
 
 @query("f13_clean_customers", f"""WITH {BANK}, {AGES}, {RENTA} SELECT ncodpers, ages.age, greatest(coalesce(antiguedad, (SELECT min(antiguedad) FROM bank)), 0) AS antiguedad, rentas.renta, rentas.nomprov,
   coalesce(sexo, 'UNKNOWN') AS sexo, segmento, coalesce(ind_nuevo, '1') AS ind_nuevo, coalesce(ind_actividad_cliente, '1') AS ind_actividad_cliente,
-  CASE indrel_1mes WHEN '' THEN 1 WHEN 'P' THEN 5 ELSE CAST(CAST(indrel_1mes AS DOUBLE) AS INT) END AS indrel_1mes, fecha_alta
+  CASE indrel_1mes WHEN '' THEN 1 WHEN 'P' THEN 5 ELSE CAST(CAST(indrel_1mes AS DOUBLE) AS INT) END AS indrel_1mes, fecha_alta, pais_residencia, canal_entrada
   FROM bank JOIN ages USING (ncodpers) JOIN rentas USING (ncodpers)""")
 def _(t):
     return rounded(P.clean_customers(bank_customers(t)), 4)

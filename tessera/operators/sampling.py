@@ -70,6 +70,36 @@ def bootstrap(groups: DataFrame, key: str, draws: int) -> DataFrame:
     return picks.join(numbered.select(F.col("slot").alias("__at"), key), "__at").select("draw", "slot", key)
 
 
+POISSON_BITS = 32
+
+
+def poisson_cuts(bits: int = POISSON_BITS) -> list[int]:
+    """A uniform number of ``bits`` bits stands for k when it has reached the first k of these (mean 1)."""
+    cuts, term, total = [], math.exp(-1), math.exp(-1)
+    for k in range(1, 16):
+        cuts.append(math.floor(total * (1 << bits)))
+        term /= k
+        total += term
+    return [c for c in cuts if c < 1 << bits]
+
+
+def poisson_means(df: DataFrame, key: Column, value: str, draws: int, groups: Sequence[str] = ()) -> DataFrame:
+    """(groups, draw, rows, mean): the mean of ``value`` in each of ``draws`` resamples of the rows.
+
+    A row is taken a Poisson(1) number of times, which for many rows is a draw with replacement. The
+    number is a hash of (draw, key), so all draws are sums in one aggregation with partial
+    sums before the shuffle, and reruns agree.
+    """
+    times = sum((F.col("__u") >= c).cast("int") for c in poisson_cuts())
+    drawn = df.select(*groups, value, key.alias("__key"), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
+    counted = drawn.withColumn("__u", hash_bucket(F.concat_ws("-", "draw", "__key"), 1 << POISSON_BITS)).select(
+        *groups, "draw", value, times.cast("long").alias("__t")
+    )
+    return counted.groupBy(*groups, "draw").agg(
+        F.sum("__t").alias("rows"), (F.sum(F.col(value) * F.col("__t")) / F.sum(F.when(F.col(value).isNotNull(), F.col("__t")))).alias("mean")
+    )
+
+
 def equal_bags(df: DataFrame, bag: str, instance: str, size: int) -> DataFrame:
     """``size`` instances per bag: in hash order, from the start again when a bag is smaller."""
     hashed = df.withColumn("__h", hash_bucket(F.concat_ws("-", bag, instance), 1 << 60))
