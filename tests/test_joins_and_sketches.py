@@ -9,11 +9,25 @@ from pyspark.sql import functions as F
 
 from tessera.operators import graph
 from tessera.operators.progressive import progressive_bayes
+from tessera.operators.ranges import split_points
 from tessera.operators.sampling import poisson_means
 from tessera.operators.set_join import class_distances, set_pairs
 from tessera.operators.sketches import distinct_sketches, merged_distinct, merged_quantiles, quantile_sketches
 
 
+@pytest.mark.parametrize("partitions", [8, 400])
+def test_cut_points_do_not_grow_with_partitions(spark, monkeypatch, partitions):
+    df = spark.range(0, 60000, 1, partitions).select((F.col("id") * 7919 % 60000).alias("v"))
+    collected = []
+    collect = type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: collected.append(collect(self)) or collected[-1])
+    points = split_points(df, ["v"], 32)
+    # 512 expected, and the law of such a count
+    assert abs(len(collected[0]) - 512) < 6 * math.sqrt(512) and len(points) == 31
+    sizes = [b[0] - a[0] for a, b in zip([(0,), *points], [*points, (60000,)])]
+    assert max(sizes) < 3 * 60000 / 32
+
+
 def _sets(seed, count):
     r = random.Random(seed)
     # item 0 is in a third of the sets, and some sets are equal
