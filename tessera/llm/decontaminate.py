@@ -5,8 +5,7 @@ spaces. Item-sized windows are cut at word starts: for a long item, windows of
 the largest of ``WINDOWS`` characters at all its words, for a shorter item of
 the size that still leaves a window for each of ``STRIDE`` word offsets; a text
 is cut at every ``STRIDE``-th word. So a copied passage has windows that begin
-where one of the item's begins. This is for items of ``PIECED`` characters
-and more; shorter ones have too few windows and are found by their pieces.
+where one of the item's begins.
 
 A window is embedded by the CGK random walk: at step j the character under the
 pointer is written out and the pointer moves on by a random bit that depends
@@ -15,20 +14,25 @@ distance becomes Hamming distance, and ``SAMPLED`` places of the output make a
 locality-sensitive key. ``WALKS`` walks of ``SAMPLES`` samples each repeat the
 test; with a share h of changed places one key agrees with chance
 (1 - h)^SAMPLED, and a passage has a window every ``STRIDE`` words, each with
-all its keys (``expected_recall``). A pair that shares a key is verified by
-exact edit distance: the item must lie somewhere in the text around the hit
-with at most ``TOLERANCE`` of its length in edits.
-
-An item of fewer than ``PIECED`` characters in which k edits are allowed is cut
-into k + 1 pieces; one of them is left unchanged, so its first (at most 8)
-characters stand in the text, and texts are looked up at every character. This
-misses nothing. An item too short for any edit must stand in the text as whole
-words; it is looked up at every word.
-
-Keys of the items set two bits each in a bitmap of fixed size, which every
-task holds; windows that miss it are dropped in place, others are joined to
-the item keys exactly. No other table is broadcast, and only texts with hits
-are shuffled, in pieces around the hits.
+all its keys (``expected_recall``). The walk of a small window is the beginning
+of the walk of a large one, so a text is walked once for all sizes.
+
+Items of fewer than ``PIECED`` characters have too few windows for the target
+recall and get further keys: where k edits are allowed, an item is cut into
+k + 1 pieces; one of them is left unchanged, so its first (at most 8) characters
+stand in the text, and texts are looked up at every character. This misses
+nothing. An item too short for any edit must stand in the text as whole words;
+it is looked up at every word.
+
+A key that agrees says where the item would begin in the text. Each pair of
+item and place (of ``SPAN`` characters) is verified by exact edit distance: the
+item must lie there with at most ``TOLERANCE`` of its length in edits. All pairs
+of an Arrow batch are computed at once, a column of the text at a time.
+
+Keys of the items set two bits each in a bitmap of 16 to 32 bits per key (up to
+``BITMAP_MOST``), which every task holds; windows that miss it are dropped in
+place, others are joined to the item keys exactly. No other table is broadcast,
+and only texts with hits are shuffled, in pieces around the hits.
 
 Null or empty texts and items match nothing; items that are empty after
 normalising are left out. Rows with equal or null ids are judged one by one.
@@ -51,16 +55,20 @@ TOLERANCE = 0.1
 WINDOWS = (48, 24, 12)
 STEPS_PER_CHARACTER = 1.5
 STRIDE = 2
-# items of fewer characters are found by unchanged pieces, not by walks
+# items of fewer characters are also found by unchanged pieces
 PIECED = 130
 GRAM = 8
-PROBE = 4
 WALKS = 4
 SAMPLES = 2
 SAMPLED = 16
-BITMAP_BITS = 1 << 24
+# characters of a text in which an item may begin that are verified together
+SPAN = 16
+BITMAP_LEAST, BITMAP_MOST = 16, 26
 SEED = 11
 _CHUNK = 8192
+# below so many pairs for each 64 characters of the item, pairs are computed one by one
+FEW = 24
+_PIECE_ODD = 0x9E3779B97F4A7C15
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -107,42 +115,54 @@ class Folded:
         return [self.data[a:b].tobytes().rstrip() for a, b in zip(self.begin, self.end)]
 
 
-def _walks(size: int):
-    """Bit tables and sampled places of each walk for windows of ``size`` characters."""
-    steps = int(size * STEPS_PER_CHARACTER)
+def _places(size: int) -> list[list[np.ndarray]]:
+    """Sampled places of a window of ``size`` characters, for each walk and sample."""
+    steps, out = int(size * STEPS_PER_CHARACTER), []
     for walk in range(WALKS):
-        draw = np.random.default_rng([SEED, walk])
-        bits = draw.integers(0, 2, (int(max(WINDOWS) * STEPS_PER_CHARACTER), 256), dtype=np.int64)
         draw = np.random.default_rng([SEED, walk, size])
-        yield walk, bits, [np.sort(draw.choice(steps, min(SAMPLED, steps), replace=False)) for _ in range(SAMPLES)]
+        out.append([np.sort(draw.choice(steps, min(SAMPLED, steps), replace=False)) for _ in range(SAMPLES)])
+    return out
 
 
-def window_keys(data: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    """Keys of the windows that begin at ``starts``: one row per window, WALKS * SAMPLES columns.
+def window_keys(data: np.ndarray, starts: np.ndarray, sizes: list[int]) -> dict[int, np.ndarray]:
+    """Keys of the windows that begin at ``starts``, per size: one row per window, WALKS * SAMPLES columns.
 
     A walk that leaves its text reads the zeros after it.
     """
-    out = np.zeros((len(starts), WALKS * SAMPLES), np.uint64)
-    for walk, bits, places in _walks(size):
-        sampled = [set(p.tolist()) for p in places]
-        last = int(max(p[-1] for p in places))
+    out = {size: np.zeros((len(starts), WALKS * SAMPLES), np.uint64) for size in sizes}
+    odd, one = np.uint64(0x9E3779B97F4A7C15), np.uint64(1)
+    places = {size: _places(size) for size in sizes}
+    for walk in range(WALKS):
+        draw = np.random.default_rng([SEED, walk])
+        bits = draw.integers(0, 2, (int(max(WINDOWS) * STEPS_PER_CHARACTER), 256), dtype=np.int64)
+        read: dict[int, list[tuple[int, int]]] = {}
+        for size in sizes:
+            for s, at in enumerate(places[size][walk]):
+                for step in at.tolist():
+                    read.setdefault(step, []).append((size, s))
         for a in range(0, len(starts), _CHUNK):
             at = starts[a : a + _CHUNK].copy()
-            key = np.zeros((SAMPLES, len(at)), np.uint64)
-            for step in range(last + 1):
+            keys = {(size, s): np.zeros(len(at), np.uint64) for size in sizes for s in range(SAMPLES)}
+            for step in range(max(read, default=-1) + 1):
                 here = data.take(at)
-                for s in range(SAMPLES):
-                    if step in sampled[s]:
-                        key[s] = key[s] * np.uint64(0x9E3779B97F4A7C15) + here + np.uint64(1)
+                if step in read:
+                    value = here + one
+                    for key in map(keys.get, read[step]):
+                        key *= odd
+                        key += value
                 at += bits[step].take(here)
-            for s in range(SAMPLES):
-                out[a : a + _CHUNK, walk * SAMPLES + s] = mix(mix(key[s], size), walk * SAMPLES + s)
+            for (size, s), key in keys.items():
+                out[size][a : a + _CHUNK, walk * SAMPLES + s] = mix(mix(key, size), walk * SAMPLES + s)
     return out
 
 
-def _bits_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    low = np.uint64(BITMAP_BITS - 1)
-    return (keys & low).astype(np.int64), ((keys >> np.uint64(32)) & low).astype(np.int64)
+def _bits_of(keys: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two places of each key in a bitmap of 2^width bits."""
+    return (keys >> np.uint64(64 - width)).astype(np.int64), _second_bit(keys, width)
+
+
+def _second_bit(keys: np.ndarray, width: int) -> np.ndarray:
+    return ((keys >> np.uint64(64 - 2 * width)) & np.uint64((1 << width) - 1)).astype(np.int64)
 
 
 def item_windows(folded: Folded) -> list[tuple[int, np.ndarray]]:
@@ -163,31 +183,31 @@ def item_windows(folded: Folded) -> list[tuple[int, np.ndarray]]:
 
 
 def _grams(data: np.ndarray) -> np.ndarray:
-    """The GRAM characters from each place on as one number; zeros follow the last."""
-    out = np.zeros(len(data), np.uint64)
-    for i in range(GRAM):
-        out[: len(data) - i] |= data[i:].astype(np.uint64) << np.uint64(8 * i)
-    return out
+    """The GRAM characters from each place on as one number; nothing follows the last."""
+    padded = np.append(data, np.zeros(GRAM, np.uint8))
+    return np.ndarray(len(data), "<u8", padded, strides=(1,)).astype(np.uint64)
 
 
 def gram_keys(grams: np.ndarray, size: int, kind: str) -> np.ndarray:
-    """Keys of the first ``size`` (at most GRAM) characters of ``grams``."""
-    mask = np.uint64((1 << 8 * min(size, GRAM)) - 1)
-    return mix(mix(grams & mask, size), 1000 if kind == "piece" else 2000)
+    """Keys of the first ``size`` (at most GRAM) characters of ``grams``; one-to-one for a size and kind."""
+    size, salt = min(size, GRAM), size * 2 + (kind == "piece")
+    masked = grams & np.uint64((1 << 8 * size) - 1)
+    # a product's high bits depend on all characters
+    return masked * np.uint64(_PIECE_ODD) + np.uint64(salt * 0xA0761D6478BD642F & (1 << 64) - 1)
 
 
 def allowed(tolerance: float, length):
     return np.floor(tolerance * np.asarray(length)).astype(np.int64)
 
 
-def short_keys(item: bytes, tolerance: float) -> list[tuple[int, int, str]]:
-    """(key, size, kind) of an item of fewer than PIECED characters."""
+def short_keys(item: bytes, tolerance: float) -> list[tuple[int, int, int, str]]:
+    """(key, where its characters begin, size, kind) of an item of fewer than PIECED characters."""
     m, edits = len(item), int(allowed(tolerance, len(item)))
     kind = "piece" if edits else "words"
     size = min(GRAM, m // (edits + 1)) if edits else m
     begins = [j * m // (edits + 1) for j in range(edits + 1)]
     grams = np.array([int.from_bytes(item[b : b + GRAM], "little") for b in begins], np.uint64)
-    return [(int(k), size, kind) for k in signed(gram_keys(grams, size, kind))]
+    return [(int(k), b, size, kind) for k, b in zip(signed(gram_keys(grams, size, kind)), begins)]
 
 
 def _emit_items(tolerance: float):
@@ -196,61 +216,66 @@ def _emit_items(tolerance: float):
             for part in slices(batch, "text"):
                 folded = Folded(part.column("text"))
                 texts = folded.texts()
-                long = np.array([len(t) >= PIECED for t in texts], bool)
                 made = []
                 for size, index in item_windows(folded):
-                    index = index[long[folded.row[index]]]
-                    keys = window_keys(folded.data, folded.starts[index], size)
-                    made.append((np.repeat(folded.row[index], keys.shape[1]), signed(keys.ravel()), [size] * keys.size, ["walk"] * keys.size))
+                    keys = window_keys(folded.data, folded.starts[index], [size])[size]
+                    rows = folded.row[index]
+                    wide = [np.repeat(x, keys.shape[1]) for x in (rows, folded.starts[index] - folded.begin[rows])]
+                    made.append((wide[0], signed(keys.ravel()), wide[1], [size] * keys.size, ["walk"] * keys.size))
                 short = [(r, *k) for r, t in enumerate(texts) if 0 < len(t) < PIECED for k in short_keys(t, tolerance)]
-                made.append(tuple(zip(*short)) if short else ([], [], [], []))
-                for rows, keys, size, kind in made:
+                made.append(tuple(zip(*short)) if short else ([], [], [], [], []))
+                for rows, keys, begin, size, kind in made:
                     yield pa.RecordBatch.from_arrays(
                         [
                             part.column("item_id").take(pa.array(rows, pa.int64())), pa.array(keys, pa.int64()),
-                            pa.array(size, pa.int64()), pa.array(kind, pa.string()),
+                            pa.array(begin, pa.int64()), pa.array(size, pa.int64()), pa.array(kind, pa.string()),
+                            pa.array([len(texts[r]) for r in rows], pa.int64()),
                         ],
-                        ["item_id", "key", "size", "kind"],
+                        ["item_id", "key", "begin", "size", "kind", "item_bytes"],
                     )
 
     return run
 
 
-def _short_hits(folded: Folded, bitmap: np.ndarray, sizes: list[int], kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _short_hits(
+    folded: Folded, bitmap: np.ndarray, width: int, sizes: list[int], kind: str
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows, places in the data and keys of the places where a short item may have a piece or begin."""
+    at = None if kind == "piece" else folded.starts
     grams = _grams(folded.data)
-    at = np.flatnonzero(folded.data) if kind == "piece" else folded.starts
     places, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     for size in sizes:
         use = at
         if kind == "words":
             use = at[at + size < len(folded.data)]
             use = use[np.isin(folded.data[use + size], (0, 32))]
-        key = gram_keys(grams[use], size, kind)
-        near = np.flatnonzero(bitmap[(key & np.uint64(BITMAP_BITS - 1)).astype(np.int64)])
-        near = near[bitmap[_bits_of(key[near])[1]]]
-        places.append(use[near])
-        keys.append(key[near])
+        key = gram_keys(grams if use is None else grams[use], size, kind)
+        near = np.flatnonzero(bitmap.take((key >> np.uint64(64 - width)).astype(np.int64)))
+        near = near[bitmap[_second_bit(key[near], width)]]
+        place = near if use is None else use[near]
+        inside = folded.data[place] != 0
+        places.append(place[inside])
+        keys.append(key[near][inside])
     start = np.concatenate(places)
     return np.searchsorted(folded.begin, start, side="right") - 1, start, np.concatenate(keys)
 
 
 def _find(bitmap: np.ndarray, sizes: dict[str, list[int]], reach: int, near: int):
-    """Pieces of texts around windows that pass the bitmap, with the keys that pass."""
+    """Pieces of texts around windows that pass the bitmap, with the keys that pass and where."""
+    width = len(bitmap).bit_length() - 1
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 folded = Folded(part.column("text"))
-                for kind in ("piece", "words"):
-                    row, start, key = _short_hits(folded, bitmap, sizes.get(kind, []), kind) if sizes.get(kind) else ([], [], [])
+                for kind in sorted({"piece", "words"} & sizes.keys()):
+                    row, start, key = _short_hits(folded, bitmap, width, sizes[kind], kind)
                     if len(row):
                         yield _pieces(part, folded, row, start, key, near, kind)
+                index = np.flatnonzero((folded.place % STRIDE == 0) & (folded.left >= min(WINDOWS)))
                 places, keys = [], []
-                for size in sizes.get("walk", []):
-                    index = np.flatnonzero((folded.place % STRIDE == 0) & (folded.left >= min(size, min(WINDOWS))))
-                    found = window_keys(folded.data, folded.starts[index], size)
-                    one, two = _bits_of(found)
+                for found in window_keys(folded.data, folded.starts[index], sizes.get("walk", [])).values():
+                    one, two = _bits_of(found, width)
                     hit, column = np.nonzero(bitmap[one] & bitmap[two])
                     places.append(index[hit])
                     keys.append(found[hit, column])
@@ -264,7 +289,7 @@ def _find(bitmap: np.ndarray, sizes: dict[str, list[int]], reach: int, near: int
 def _pieces(
     part: pa.RecordBatch, folded: Folded, row: np.ndarray, at: np.ndarray, key: np.ndarray, reach: int, kind: str
 ) -> pa.RecordBatch:
-    """Stretches of ``reach`` around the places; for whole words a space marks the ends of the text."""
+    """Stretches of ``reach`` around the places, between marks (zeros) at both ends."""
     order = np.argsort(at, kind="stable")
     row, start, key = row[order], at[order], key[order]
     new = np.ones(len(start), bool)
@@ -274,68 +299,143 @@ def _pieces(
     rows = row[first]
     begin = np.maximum(start[first] - reach, folded.begin[rows])
     end = np.minimum(start[last] + reach, folded.end[rows])
-    pieces = [folded.data[b:e].tobytes() for b, e in zip(begin.tolist(), end.tolist())]
-    if kind == "words":
-        edges = zip(pieces, begin == folded.begin[rows], end == folded.end[rows])
-        pieces = [b" " * bool(left) + p + b" " * bool(right) for p, left, right in edges]
-    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(start)).astype(np.int32)), pa.array(signed(key)))
+    pieces = [b"\0" + folded.data[b:e].tobytes() + b"\0" for b, e in zip(begin.tolist(), end.tolist())]
+    offsets = pa.array(np.append(first, len(start)).astype(np.int32))
+    places = (start - np.repeat(begin, last - first + 1) + 1).astype(np.int32)
     return pa.RecordBatch.from_arrays(
-        [part.column("doc_id").take(pa.array(rows)), part.column("row").take(pa.array(rows)), pa.array(pieces, pa.binary()), lists],
-        ["doc_id", "row", "piece", "keys"],
+        [
+            part.column("doc_id").take(pa.array(rows)), part.column("row").take(pa.array(rows)), pa.array(pieces, pa.binary()),
+            pa.ListArray.from_arrays(offsets, pa.array(signed(key))), pa.ListArray.from_arrays(offsets, pa.array(places)),
+        ],
+        ["doc_id", "row", "piece", "keys", "places"],
     )
 
 
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a binary column and where each value begins (and the last ends)."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = column.buffers()[2]
+    return np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8), offsets
+
+
+def _matrix(data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """data[begin:begin + length] of each row below one another, filled up with zeros."""
+    out = np.zeros((len(begin), int(length.max(initial=0))), np.uint8)
+    inside = np.arange(out.shape[1]) < length[:, None]
+    row, column = np.nonzero(inside)
+    out[inside] = data[begin[row] + column]
+    return out
+
+
+def infix_distances(items: pa.Array, texts: pa.Array) -> np.ndarray:
+    """For each pair the least number of edits that turn the item into some run of the text.
+
+    Columns of the edit table are kept as bits (vertical differences, 64 rows
+    to a word) and advance by one character of every pair's text at a time.
+    Zeros, which no item holds, fill up shorter texts and lower no distance.
+    """
+    coded = items.dictionary_encode()
+    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    item_data, item_at = _bytes_of(coded.dictionary)
+    text_data, text_at = _bytes_of(texts)
+    item_length, text_length = np.diff(item_at), np.diff(text_at)
+    words = (item_length[code] + 63) // 64
+    out = item_length[code].copy()
+    order = np.lexsort((text_length, words))
+    order = order[(words[order] > 0) & (text_length[order] > 0)]
+    cuts = np.flatnonzero(np.diff(words[order])) + 1
+    for same in np.split(order, cuts):
+        if not len(same):
+            continue
+        count = int(words[same[0]])
+        step = max(_CHUNK // count, 16)
+        for a in range(0, len(same), step):
+            pick = same[a : a + step]
+            if len(pick) < FEW * count:
+                out[pick] = [infix_distance(items[i].as_py(), texts[i].as_py()) for i in pick.tolist()]
+                continue
+            used, local = np.unique(code[pick], return_inverse=True)
+            letters = _matrix(item_data, item_at[used], item_length[used])
+            texts_of = _matrix(text_data, text_at[pick], text_length[pick])
+            out[pick] = _columns(letters, item_length[used], local, texts_of, count)
+    return out
+
+
 def infix_distance(item: bytes, text: bytes) -> int:
-    """Least number of edits that turn ``item`` into some run of ``text`` (bit-parallel columns)."""
-    m = len(item)
+    """The same for one pair, with all rows of a column in one number."""
     where: dict[int, int] = {}
     for i, c in enumerate(item):
         where[c] = where.get(c, 0) | (1 << i)
-    top, full = 1 << (m - 1), (1 << m) - 1
-    up, down, score, best = full, 0, m, m
+    top, full = 1 << (len(item) - 1), (1 << len(item)) - 1
+    up, down, score = full, 0, len(item)
+    best = score
     for c in text:
-        eq = where.get(c, 0)
-        x = eq | down
-        d = ((((eq & up) + up) ^ up) | eq | down) & full
-        hp = (down | ~(d | up)) & full
-        hn = up & d
-        if hp & top:
-            score += 1
-        elif hn & top:
-            score -= 1
-        hp, hn = (hp << 1) & full, (hn << 1) & full
-        up = (hn | ~(x | hp)) & full
-        down = hp & x
-        if score < best:
-            best = score
-            if not best:
-                return 0
+        equal = where.get(c, 0)
+        across = (((equal & up) + up) ^ up) | equal
+        plus, minus = (down | ~(across | up)) & full, up & across
+        score += bool(plus & top) - bool(minus & top)
+        best = min(best, score)
+        vertical = equal | down
+        plus, minus = (plus << 1) & full, (minus << 1) & full
+        up, down = (minus | ~(vertical | plus)) & full, plus & vertical
     return best
 
 
-def _distance(item: bytes, piece: bytes, edits: int, grams: list[bytes]) -> int:
-    """Edits between item and piece if ``edits`` at most, else any larger number.
-
-    An edit changes at most PROBE of the item's ``grams``; the others are in the piece.
-    """
-    if len(item) < PIECED:
-        if not edits:
-            return 0 if b" " + item + b" " in piece else len(item)
-        if sum(map(piece.__contains__, grams)) < len(grams) - PROBE * edits:
-            return len(item)
-    return infix_distance(item, piece)
+def _columns(letters: np.ndarray, lengths: np.ndarray, item: np.ndarray, texts: np.ndarray, count: int) -> np.ndarray:
+    """Least infix distances of items (rows of ``letters``) numbered ``item`` in the rows of ``texts``."""
+    one = np.uint64(1)
+    where = np.zeros((count, len(letters) * 256), np.uint64)
+    for w in range(count):
+        for i in range(w * 64, min(w * 64 + 64, letters.shape[1])):
+            rows = np.flatnonzero(lengths > i)
+            where[w, rows * 256 + letters[rows, i]] |= one << np.uint64(i - w * 64)
+    top = ((lengths[item] - 1) % 64).astype(np.uint64)
+    up = [np.full(len(item), ~np.uint64(0)) for _ in range(count)]
+    down = [np.zeros(len(item), np.uint64) for _ in range(count)]
+    score = lengths[item].astype(np.int64)
+    best = score.copy()
+    base = item.astype(np.int64) * 256
+    for column in np.ascontiguousarray(texts.T):
+        at = base + column
+        rise = fall = None
+        for w in range(count):
+            equal = where[w].take(at)
+            vertical = equal | down[w]
+            if fall is not None:
+                equal |= fall
+            across = (((equal & up[w]) + up[w]) ^ up[w]) | equal
+            plus = down[w] | ~(across | up[w])
+            minus = up[w] & across
+            if w == count - 1:
+                score += ((plus >> top) & one).view(np.int64)
+                score -= ((minus >> top) & one).view(np.int64)
+            next_rise, next_fall = plus >> np.uint64(63), minus >> np.uint64(63)
+            plus <<= one
+            minus <<= one
+            if rise is not None:
+                plus |= rise
+                minus |= fall
+            up[w] = minus | ~(vertical | plus)
+            down[w] = plus & vertical
+            rise, fall = next_rise, next_fall
+        np.minimum(best, score, out=best)
+    return best
 
 
 def _verify(tolerance: float):
     def run(batches):
         for batch in batches:
-            items, pieces = batch.column("item").to_pylist(), batch.column("piece").to_pylist()
-            length = np.array([len(a) for a in items], np.int64)
+            length = batch.column("item_bytes").to_numpy()
             edits = allowed(tolerance, length)
-            grams = {a: [a[i : i + PROBE] for i in range(len(a) - PROBE + 1)] for a in set(items)}
-            distance = np.array([_distance(*x, grams[x[0]]) for x in zip(items, pieces, edits.tolist())], np.int64)
+            distance = infix_distances(batch.column("item"), batch.column("window"))
+            # an item too short for an edit stands as whole words
+            for i in np.flatnonzero((length < PIECED) & (edits == 0) & (distance == 0)):
+                window = batch.column("window")[i].as_py().replace(b"\0", b" ")
+                if b" " + batch.column("item")[i].as_py() + b" " not in window:
+                    distance[i] = length[i]
             out = pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("row"), batch.column("item_id"), pa.array(distance), pa.array(length)],
+                [batch.column("doc_id"), batch.column("row"), batch.column("item_id"), pa.array(distance), batch.column("item_bytes")],
                 ["doc_id", "row", "item_id", "distance", "item_bytes"],
             )
             yield out.filter(pa.array(distance <= edits))
@@ -351,16 +451,17 @@ def _fold_items(batches):
 
 
 def item_bitmap(keys: DataFrame) -> np.ndarray:
-    """The bits of all item keys; at most BITMAP_BITS / 64 words reach the driver."""
-    low = F.lit(BITMAP_BITS - 1)
-    bit = F.explode(F.array(F.col("key").bitwiseAND(low), F.shiftrightunsigned("key", 32).bitwiseAND(low)))
+    """The bits of all item keys, 2^BITMAP_MOST at most; a 64th as many words reach the driver."""
+    width = min(max((16 * keys.count()).bit_length(), BITMAP_LEAST), BITMAP_MOST)
+    one = F.shiftrightunsigned("key", 64 - width)
+    two = F.shiftrightunsigned("key", 64 - 2 * width).bitwiseAND(F.lit((1 << width) - 1))
     words = (
-        keys.select(bit.alias("bit"))
+        keys.select(F.explode(F.array(one, two)).alias("bit"))
         .groupBy(F.shiftright("bit", 6).alias("word"))
         .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
         .toArrow()
     )
-    out = np.zeros(BITMAP_BITS // 64, np.uint64)
+    out = np.zeros((1 << width) // 64, np.uint64)
     if words.num_rows:
         out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
     return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
@@ -376,30 +477,40 @@ def find_leaks(docs: DataFrame, items: DataFrame, tolerance: float = TOLERANCE)
         items.select("item_id", "text").mapInArrow(_fold_items, f"item_id {item_kind}, item binary").where("length(item) > 0")
     )
     keys = cut_lineage(
-        items.select("item_id", "text")
-        .mapInArrow(_emit_items(tolerance), f"item_id {item_kind}, key long, size long, kind string").distinct()
+        items.select("item_id", "text").mapInArrow(
+            _emit_items(tolerance), f"item_id {item_kind}, key long, begin long, size long, kind string, item_bytes long"
+        ).distinct()
     )
     longest = folded.agg(F.max(F.length("item"))).first()[0] or 0
     sizes: dict[str, list[int]] = {}
     for kind_of, size in sorted(tuple(r) for r in keys.select("kind", "size").distinct().collect()):
         sizes.setdefault(kind_of, []).append(size)
-    reach = longest + math.ceil(tolerance * longest) + 1
-    near = min(reach, PIECED + math.ceil(tolerance * PIECED) + 1)
+    reach = longest + math.ceil(tolerance * longest) + SPAN + 2
+    near = min(reach, PIECED + math.ceil(tolerance * PIECED) + SPAN + 2)
     rows = docs.select("doc_id", F.xxhash64(F.col("doc_id"), F.col("text")).alias("row"), "text")
     if not sizes:
         rows = rows.limit(0)
     pieces = cut_lineage(
         rows.mapInArrow(
-            _find(item_bitmap(keys), sizes, reach, near), f"doc_id {kind}, row long, piece binary, keys array<long>"
+            _find(item_bitmap(keys), sizes, reach, near),
+            f"doc_id {kind}, row long, piece binary, keys array<long>, places array<int>",
         ).withColumn("at", F.monotonically_increasing_id())
     )
+    edits = F.floor(F.col("item_bytes") * tolerance)
+    span = F.floor((F.col("found.places") - F.col("begin")) / SPAN)
     pairs = (
-        pieces.select("at", F.explode(F.array_distinct("keys")).alias("key"))
-        .join(keys.select("key", "item_id"), "key").select("at", "item_id").distinct()
+        pieces.select("at", F.explode(F.arrays_zip("keys", "places")).alias("found"))
+        .join(keys.select("key", "item_id", "begin", "item_bytes"), F.col("found.keys") == F.col("key"))
+        .select("at", "item_id", "item_bytes", span.alias("span")).distinct()
     )
+    # the characters an item that begins in the span may take, edits and a mark at either end included
+    begin = F.greatest(F.col("span") * SPAN - edits, F.lit(1))
+    end = F.col("span") * SPAN + SPAN + F.col("item_bytes") + edits
+    window = F.substr("piece", begin.cast("int"), (end - begin + 2).cast("int"))
     return (
-        pairs.join(pieces.drop("keys"), "at").join(folded, "item_id")
-        .select("doc_id", "row", "item_id", "piece", "item")
+        pairs.join(pieces.drop("keys", "places"), "at").join(folded, "item_id")
+        .where(F.length("item") == F.col("item_bytes"))
+        .select("doc_id", "row", "item_id", "item_bytes", window.alias("window"), "item")
         .mapInArrow(_verify(tolerance), f"doc_id {kind}, row long, item_id {item_kind}, distance long, item_bytes long")
         .groupBy("doc_id", "row", "item_id")
         .agg(F.min("distance").alias("distance"), F.max("item_bytes").alias("item_bytes"))

@@ -219,9 +219,33 @@ def edits_by_force(item, text):
 
 def test_infix_distance():
     rd = random.Random(4)
-    for _ in range(200):
-        a, b = (bytes(rd.choice(b"abc") for _ in range(rd.randint(lo, 30))) for lo in (1, 0))
-        assert decontaminate.infix_distance(a, b) == edits_by_force(a, b)
+    pairs = [tuple(bytes(rd.choice(b"abc") for _ in range(rd.randint(lo, 30))) for lo in (1, 0)) for _ in range(300)]
+    pairs += [tuple(bytes(rd.choice(b"abcd") for _ in range(rd.randint(lo, 200))) for lo in (60, 0)) for _ in range(150)]
+    for n in (63, 64, 65, 128, 129, 192):
+        a = bytes(rd.choice(b"abcdefgh") for _ in range(n))
+        pairs += [(a, b"x" + a + b"y"), (a, a[:-1]), (a, a[1:]), (a, a[:40] + b"zz" + a[41:]), (a, b"")] * 30
+    want = [edits_by_force(a, b) for a, b in pairs]
+    assert [decontaminate.infix_distance(a, b) for a, b in pairs] == want
+    items, texts = (pa.array(x, pa.binary()) for x in zip(*pairs))
+    assert decontaminate.infix_distances(items, texts).tolist() == want
+    assert decontaminate.infix_distances(items.slice(290), texts.slice(290)).tolist() == want[290:]
+    assert decontaminate.infix_distances(items[:0], texts[:0]).tolist() == []
+
+
+def test_walk_keys_of_a_size_do_not_depend_on_other_sizes():
+    folded = decontaminate.Folded(pa.array(["one two three four five six seven", None, "eight nine ten " * 9]))
+    together = decontaminate.window_keys(folded.data, folded.starts, [48, 24, 12])
+    for size, keys in together.items():
+        alone = decontaminate.window_keys(folded.data, folded.starts, [size])[size]
+        assert (alone == keys).all() and len(set(keys[0].tolist())) == keys.shape[1]
+
+
+def test_every_item_of_a_window_or_more_has_walk_keys():
+    rd = random.Random(5)
+    texts = [" ".join("".join(rd.choice("abcdef") for _ in range(rd.randint(2, 7))) for _ in range(n)) for n in range(4, 60)]
+    folded = decontaminate.Folded(pa.array(texts))
+    walked = {r for _, index in decontaminate.item_windows(folded) for r in folded.row[index].tolist()}
+    assert walked == set(range(len(texts)))
 
 
 def test_leaks_are_found_and_clean_texts_left(spark, docs, none):
