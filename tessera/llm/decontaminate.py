@@ -29,10 +29,11 @@ item and place (of ``SPAN`` characters) is verified by exact edit distance: the
 item must lie there with at most ``TOLERANCE`` of its length in edits. All pairs
 of an Arrow batch are computed at once, a column of the text at a time.
 
-Keys of the items set two bits each in a bitmap of 16 to 32 bits per key (up to
-``BITMAP_MOST``), which every task holds; windows that miss it are dropped in
-place, others are joined to the item keys exactly. No other table is broadcast,
-and only texts with hits are shuffled, in pieces around the hits.
+Keys of the items set two bits each in one of two bitmaps (walks, others) of 256
+to 512 bits per key, 2^``BITMAP_MOST`` bits at most, which every task holds;
+windows that miss it are dropped in place, others are joined to the item keys
+exactly. No other table is broadcast, and only texts with hits are shuffled, in
+pieces around the hits.
 
 Null or empty texts and items match nothing; items that are empty after
 normalising are left out. Rows with equal or null ids are judged one by one.
@@ -63,7 +64,7 @@ SAMPLES = 2
 SAMPLED = 16
 # characters of a text in which an item may begin that are verified together
 SPAN = 16
-BITMAP_LEAST, BITMAP_MOST = 16, 26
+BITMAP_LEAST, BITMAP_MOST = 16, 27
 SEED = 11
 _CHUNK = 8192
 # below so many pairs for each 64 characters of the item, pairs are computed one by one
@@ -260,23 +261,23 @@ def _short_hits(
     return np.searchsorted(folded.begin, start, side="right") - 1, start, np.concatenate(keys)
 
 
-def _find(bitmap: np.ndarray, sizes: dict[str, list[int]], reach: int, near: int):
-    """Pieces of texts around windows that pass the bitmap, with the keys that pass and where."""
-    width = len(bitmap).bit_length() - 1
+def _find(walks: np.ndarray, others: np.ndarray, sizes: dict[str, list[int]], reach: int, near: int):
+    """Pieces of texts around windows that pass the bitmaps, with the keys that pass and where."""
 
     def run(batches):
+        (walked, width), short = _unpacked(walks), _unpacked(others)
         for batch in batches:
             for part in slices(batch, "text"):
                 folded = Folded(part.column("text"))
                 for kind in sorted({"piece", "words"} & sizes.keys()):
-                    row, start, key = _short_hits(folded, bitmap, width, sizes[kind], kind)
+                    row, start, key = _short_hits(folded, *short, sizes[kind], kind)
                     if len(row):
                         yield _pieces(part, folded, row, start, key, near, kind)
                 index = np.flatnonzero((folded.place % STRIDE == 0) & (folded.left >= min(WINDOWS)))
                 places, keys = [], []
                 for found in window_keys(folded.data, folded.starts[index], sizes.get("walk", [])).values():
                     one, two = _bits_of(found, width)
-                    hit, column = np.nonzero(bitmap[one] & bitmap[two])
+                    hit, column = np.nonzero(walked[one] & walked[two])
                     places.append(index[hit])
                     keys.append(found[hit, column])
                 at = np.concatenate(places) if places else []
@@ -451,8 +452,8 @@ def _fold_items(batches):
 
 
 def item_bitmap(keys: DataFrame) -> np.ndarray:
-    """The bits of all item keys, 2^BITMAP_MOST at most; a 64th as many words reach the driver."""
-    width = min(max((16 * keys.count()).bit_length(), BITMAP_LEAST), BITMAP_MOST)
+    """The packed bits of the keys of items; 2^BITMAP_MOST at most reach the driver, in numbers of 64."""
+    width = min(max((256 * keys.count()).bit_length(), BITMAP_LEAST), BITMAP_MOST)
     one = F.shiftrightunsigned("key", 64 - width)
     two = F.shiftrightunsigned("key", 64 - 2 * width).bitwiseAND(F.lit((1 << width) - 1))
     words = (
@@ -464,7 +465,13 @@ def item_bitmap(keys: DataFrame) -> np.ndarray:
     out = np.zeros((1 << width) // 64, np.uint64)
     if words.num_rows:
         out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+    return out
+
+
+def _unpacked(bitmap: np.ndarray) -> tuple[np.ndarray, int]:
+    """A bitmap as one truth value per bit, and the binary digits of its length."""
+    out = np.unpackbits(bitmap.view(np.uint8), bitorder="little").astype(bool)
+    return out, len(out).bit_length() - 1
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
@@ -492,7 +499,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, tolerance: float = TOLERANCE)
         rows = rows.limit(0)
     pieces = cut_lineage(
         rows.mapInArrow(
-            _find(item_bitmap(keys), sizes, reach, near),
+            _find(item_bitmap(keys.where("kind = 'walk'")), item_bitmap(keys.where("kind <> 'walk'")), sizes, reach, near),
             f"doc_id {kind}, row long, piece binary, keys array<long>, places array<int>",
         ).withColumn("at", F.monotonically_increasing_id())
     )
