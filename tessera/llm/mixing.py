@@ -94,8 +94,11 @@ def split_blocks(blocks: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
     return nodes
 
 
-def mix(docs: DataFrame, *, shards: int = SHARDS, blocks_per_shard: int = BLOCKS_PER_SHARD, seed: int = SEED) -> DataFrame:
-    """Every row of ``docs`` with its size, its source's target, how often it is taken and by which shards."""
+def mix(docs: DataFrame, *, shards: int = SHARDS, blocks_per_shard: int = BLOCKS_PER_SHARD, seed: int = SEED, ties: list[str] | None = None) -> DataFrame:
+    """Every row of ``docs`` with its size, its source's target, how often it is taken and by which shards.
+
+    Columns ``ties`` order rows of one id and size.
+    """
     kept = [c for c in docs.columns if c not in MIX_COLUMNS]
     sized = docs.select(
         *kept, word_count().alias("size"), F.substring(_hash(F.lit(seed), F.col("doc_id")), 1, 24).alias("__hash")
@@ -124,7 +127,7 @@ def mix(docs: DataFrame, *, shards: int = SHARDS, blocks_per_shard: int = BLOCKS
         .join(small, F.col("source").eqNullSafe(F.col("__source"))).drop("__source", "__words")
         .select(F.col("source").alias("__s"), F.col("__cell").alias("__c"), "__start", "source_size", "target", "code", "length")
     )
-    inside = Window.partitionBy("source", "__cell").orderBy("__hash", "size", F.col("doc_id"))
+    inside = Window.partitionBy("source", "__cell").orderBy("__hash", "size", F.col("doc_id"), *(ties or []))
     running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = (
         sized.withColumn("__upto", F.sum("size").over(running))
@@ -151,11 +154,14 @@ def mix(docs: DataFrame, *, shards: int = SHARDS, blocks_per_shard: int = BLOCKS
 
 def mixed_rows(docs: DataFrame, *, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """The mix itself: the columns of ``docs``, a row per taken copy, dealt to its shard in hashed order."""
-    plan = mix(docs, shards=shards, seed=seed)
-    each = plan.select(*docs.columns, F.posexplode("shards").alias("__copy", "__shard"))
+    whole = docs.select(
+        "doc_id", "source", "text", F.struct(*docs.columns).alias("__row"), F.xxhash64("text").alias("__tie")
+    )
+    plan = mix(whole, shards=shards, seed=seed, ties=["__tie"])
+    each = plan.select("doc_id", "__row", "__tie", F.posexplode("shards").alias("__copy", "__shard"))
     return (
         each.withColumn("__order", _hash(F.lit(seed), F.col("doc_id"), F.col("__copy")))
         .repartition("__shard", F.substring("__order", 1, 1))
-        .sortWithinPartitions("__shard", "__order")
-        .select(*docs.columns)
+        .sortWithinPartitions("__shard", "__order", "__tie")
+        .select("__row.*")
     )

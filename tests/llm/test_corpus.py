@@ -563,7 +563,13 @@ def test_mix(spark, none):
     mean = sum(words_of.values()) / mixing.SHARDS
     assert all(abs(words_of[s] - mean) < 0.5 * mean for s in range(mixing.SHARDS))
     mixed = mixing.mixed_rows(df)
-    assert mixed.columns == df.columns and mixed.count() == sum(r.copies for r in got)
+    assert mixed.schema == df.schema and mixed.count() == sum(r.copies for r in got)
+    assert {(r.size, r.copies) for r in mixed.collect()} == {("x", 0)}
+    copies = Counter((r.doc_id, r.text, r.source) for r in mixed.collect())
+    assert copies == Counter((r.doc_id, r.text, r.source) for r in got for _ in range(r.copies))
+    twins = spark.createDataFrame([(i % 3, f"{i} word", "a") for i in range(40)] + [(99, "w " * 900, "b")], "doc_id long, text string, source string")
+    again = [sorted(map(str, mixing.mixed_rows(twins.repartition(n)).collect())) for n in (1, 7)]
+    assert again[0] == again[1]
     assert mixing.mix(none).count() == 0 and mixing.mixed_rows(none).count() == 0
 
 
