@@ -55,8 +55,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.words import Words, list_column, mix, per_slice, signed
-from tessera.session import cut_lineage
+from tessera.llm.words import Words, list_column, mix, per_slice, signed, slices
+from tessera.session import cut_lineage, release
 
 CLASS_RATIO = 1.5
 # parts with fewer shingles are not used as pivots where others suffice
@@ -247,25 +247,6 @@ def common_shingles(docs: DataFrame, count: int, size: int) -> np.ndarray:
     return np.sort(top.select("shingle").toArrow().column(0).to_numpy().view(np.uint64))
 
 
-def _emit_members(size: int):
-    """A row for each cell that asks for a set: pivots for every part of their cell, members for one."""
-
-    def run(part: pa.RecordBatch, words: Words) -> pa.RecordBatch:
-        sets = Sets(words, size)
-        asks = part.column("asks")
-        right = sets.name == part.column("wanted").to_numpy(zero_copy_only=False)
-        counts = np.where(right, pc.list_value_length(asks).to_numpy(zero_copy_only=False), 0)
-        row = np.repeat(np.arange(part.num_rows), counts)
-        chosen = asks.filter(pa.array(right)).flatten()
-        lists = list_column(signed(sets.values), sets.counts, pa.int64())
-        return pa.RecordBatch.from_arrays(
-            [*[chosen.field(c) for c in ("a", "part", "member")], pa.array(sets.name[row]), lists.take(pa.array(row))],
-            ["a", "part", "member", "b", "shingles"],
-        )
-
-    return per_slice(run)
-
-
 def _linked(pairs: DataFrame, measured: DataFrame, percent: int) -> DataFrame:
     """The (cell, a, b) pairs that are linked: what differs between two members is what differs in their differences."""
 
@@ -282,33 +263,51 @@ def _linked(pairs: DataFrame, measured: DataFrame, percent: int) -> DataFrame:
     return both.where((100 + percent) * differ <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
-def _differences(batches):
-    """Per member: sizes, and the shingles that it adds to its pivot and that are gone from it.
+def _differences(size: int):
+    """Per member: sizes, the shingles that it adds to its pivot, and the places of those gone from it.
 
     Rows come sorted by cell, part of a cell and kind, so that a part's pivot is before its members.
+    Texts travel, not sets: a set takes several times the room of its text.
     """
-    at, pivot = None, None
-    for batch in batches:
-        rows = {"a": [], "b": [], "n_a": [], "n_b": []}
-        added, gone = [], []
-        keys = zip(*[batch.column(c).to_pylist() for c in ("a", "part", "member", "b")])
-        for (a, part, member, b), shingles in zip(keys, batch.column("shingles")):
-            own = shingles.values.to_numpy().view(np.uint64)
-            if not member:
-                at, pivot = (a, part), own.copy()
-            elif at == (a, part):
-                for c, v in zip(rows, (a, b, len(pivot), len(own))):
-                    rows[c].append(v)
-                added.append(np.setdiff1d(own, pivot, assume_unique=True))
-                gone.append(np.setdiff1d(pivot, own, assume_unique=True))
-        yield pa.RecordBatch.from_arrays(
-            [*[pa.array(v, pa.int64()) for v in rows.values()], _lists(added), _lists(gone)], [*rows, "added", "gone"]
-        )
+
+    def run(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
+        at, pivot = None, None
+        for batch in batches:
+            for part in slices(batch, "text"):
+                sets = Sets(Words(part.column("text")), size)
+                right = sets.name == part.column("b").to_numpy()
+                rows = {"a": [], "b": [], "n_a": [], "n_b": []}
+                added, gone = [], []
+                keys = zip(*[part.column(c).to_pylist() for c in ("a", "part", "member", "b")])
+                for i, (a, piece, member, b) in enumerate(keys):
+                    if not right[i]:  # another text of the same id
+                        continue
+                    own = sets.values[sets.first[i] : sets.first[i + 1]]
+                    if not member:
+                        at, pivot = (a, piece), own.copy()
+                    elif at == (a, piece):
+                        for c, v in zip(rows, (a, b, len(pivot), len(own))):
+                            rows[c].append(v)
+                        added.append(np.setdiff1d(own, pivot, assume_unique=True))
+                        gone.append(np.flatnonzero(np.isin(pivot, own, assume_unique=True, invert=True)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [*[pa.array(v, pa.int64()) for v in rows.values()], _lists(added), _lists(gone, np.int32)],
+                    [*rows, "added", "gone"],
+                )
+
+    return run
+
+
+def _lists(parts: list[np.ndarray], kind=np.uint64) -> pa.Array:
+    values = np.concatenate([*parts, np.zeros(0, kind)])
+    if kind is np.uint64:
+        return list_column(signed(values), [len(x) for x in parts], pa.int64())
+    return list_column(values, [len(x) for x in parts], pa.int32())
 
 
-def _lists(parts: list[np.ndarray]) -> pa.Array:
-    values = np.concatenate([*parts, np.zeros(0, np.uint64)])
-    return list_column(signed(values), [len(x) for x in parts], pa.int64())
+def _numbers(x: pa.ListScalar) -> np.ndarray:
+    return x.values.to_numpy().astype(np.int64, copy=False).view(np.uint64) if x.is_valid else np.zeros(0, np.uint64)
 
 
 def _about_centre(percent: int):
@@ -317,8 +316,7 @@ def _about_centre(percent: int):
     def run(batches):
         for batch in batches:
             differ, heads = [], []
-            sets = [[x.values.to_numpy().view(np.uint64) if x.is_valid else np.zeros(0, np.uint64) for x in batch.column(c)]
-                    for c in ("added", "gone", "centre_added", "centre_gone")]
+            sets = [[_numbers(x) for x in batch.column(c)] for c in ("added", "gone", "centre_added", "centre_gone")]
             for added, gone, plus, minus, n in zip(*sets, batch.column("n_b").to_pylist()):
                 # what the centre has changed in a and b has not
                 lacks, has = np.setdiff1d(plus, added), np.setdiff1d(minus, gone)
@@ -342,7 +340,7 @@ def _centres(measured: DataFrame) -> DataFrame:
     seen = looked.groupBy("a").agg(F.count(F.lit(1)).alias("seen"))
 
     def each(c: str, kind: int) -> DataFrame:
-        return looked.select("a", F.lit(kind).alias("kind"), F.explode(c).alias("x"))
+        return looked.select("a", F.lit(kind).alias("kind"), F.explode(F.col(c).cast("array<long>")).alias("x"))
 
     common = (
         each("added", 1).unionByName(each("gone", 0)).groupBy("a", "kind", "x").agg(F.count(F.lit(1)).alias("n"))
@@ -401,11 +399,14 @@ def _near(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
 def _fewer_pivots(stars: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """Stars (a, b) with pivots whose sketches are close merged into the smallest; any merging is exact."""
     pivots = stars.select(F.col("a").alias("b")).distinct()
-    close = _near(cut_lineage(stars.join(pivots, "b").select("a", "b")), known, percent)
-    root = cut_lineage(components(cut_lineage(close.select(F.col("a").alias("u"), F.col("b").alias("v")))))
+    of_pivots = cut_lineage(stars.join(pivots, "b").select("a", "b"))
+    close = cut_lineage(_near(of_pivots, known, percent).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    root = cut_lineage(components(close))
     moved = stars.join(root.withColumnRenamed("node", "a"), "a", "left").select(F.coalesce("component", "a").alias("a"), "b")
     own = root.select(F.col("component").alias("a"), F.col("node").alias("b"))
-    return cut_lineage(moved.unionByName(own).where("a <> b").distinct())
+    fewer = cut_lineage(moved.unionByName(own).where("a <> b").distinct())
+    release(stars, of_pivots, close, root)
+    return fewer
 
 
 def _often_met(members: DataFrame) -> DataFrame:
@@ -413,7 +414,9 @@ def _often_met(members: DataFrame) -> DataFrame:
     busy = cut_lineage(
         members.groupBy("set").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need")).where("n >= need").select("set")
     )
-    return cut_lineage(members.join(busy, "set"))
+    often = cut_lineage(members.join(busy, "set"))
+    release(members, busy)
+    return often
 
 
 def _asks(stars: DataFrame) -> DataFrame:
@@ -435,6 +438,7 @@ def set_groups(docs: DataFrame, sets: DataFrame, *, size: int, percent: int, piv
     # written, so that Spark can split a hot region's side of the joins
     repeated = cut_lineage(placed.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("region"))
     members = cut_lineage(placed.join(repeated, "region").distinct())
+    release(repeated)
     if pivots == "single":
         members = _often_met(members)
     regions = cut_lineage(
@@ -446,6 +450,7 @@ def set_groups(docs: DataFrame, sets: DataFrame, *, size: int, percent: int, piv
         met.agg(F.max("n").alias("most"), F.max("need").alias("need"), F.count(F.lit(1)).alias("times"))
         .where("most > 2 or times >= need").select("a", "b")
     )
+    release(members, regions)
     involved = stars.select(F.explode(F.array("a", "b")).alias("set")).distinct()
     known = cut_lineage(
         sets.where("set is not null and doc_id is not null").join(involved, "set").groupBy("set")
@@ -454,10 +459,10 @@ def set_groups(docs: DataFrame, sets: DataFrame, *, size: int, percent: int, piv
     stars = _fewer_pivots(stars, known, percent)
     asked = known.select(F.col("set").alias("wanted"), "doc_id").join(_asks(stars).withColumnRenamed("set", "wanted"), "wanted")
     measured = cut_lineage(
-        usable.join(asked, "doc_id")
-        .mapInArrow(_emit_members(size), "a long, part long, member boolean, b long, shingles array<long>")
+        usable.join(asked, "doc_id").select(F.explode("asks").alias("ask"), F.col("wanted").alias("b"), "text")
+        .select("ask.*", "b", "text")
         .repartition("a", "part").sortWithinPartitions("a", "part", "member")
-        .mapInArrow(_differences, "a long, b long, n_a long, n_b long, added array<long>, gone array<long>")
+        .mapInArrow(_differences(size), "a long, b long, n_a long, n_b long, added array<long>, gone array<int>")
     )
     more, less = 100 - percent, 100 + percent
     apart = F.size("added") + F.size("gone")
@@ -469,6 +474,7 @@ def set_groups(docs: DataFrame, sets: DataFrame, *, size: int, percent: int, piv
         measured.join(centres, "a", "left").select("a", "b", "n_b", "added", "gone", "centre_added", "centre_gone")
         .mapInArrow(_about_centre(percent), "a long, b long, n_b long, differ long, head array<long>")
     )
+    release(centres)
     # members so close to the centre that they are linked whatever they share: a link of y to any
     # member means that y is linked to the one with the most room
     room = F.struct((more * F.col("n_b") - less * F.col("differ")).alias("room"), "b")
@@ -477,6 +483,7 @@ def set_groups(docs: DataFrame, sets: DataFrame, *, size: int, percent: int, piv
         (F.col("b") != F.col("best.b")) & (less * F.col("differ") <= more * F.col("n_b") + F.col("best.room"))
     )
     links = cut_lineage(links.unionByName(close.select(F.col("best.b").alias("u"), F.col("b").alias("v"))).distinct())
+    release(best)
     groups = cut_lineage(components(links))
     member = groups.select(F.col("node").alias("b"), "component")
     grouped = moved.join(member, "b", "left").withColumn("group", F.coalesce("component", "b")).drop("component")
@@ -490,6 +497,7 @@ def set_groups(docs: DataFrame, sets: DataFrame, *, size: int, percent: int, piv
         heads.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("key")
     )
     meeting = cut_lineage(heads.join(shared, "key"))
+    release(mixed, shared, moved)
     other = meeting.select("key", *[F.col(c).alias(f"__{c}") for c in meeting.columns if c != "key"])
     # if this is the first element they share, no more than the rest of the shorter one can follow
     left = F.least(F.col("differ") - F.col("place"), F.col("__differ") - F.col("__place"))
@@ -501,8 +509,11 @@ def set_groups(docs: DataFrame, sets: DataFrame, *, size: int, percent: int, piv
         near.groupBy(F.col("set").alias("a"), F.col("__set").alias("b")).agg(F.min("cell").alias("cell"))
     )
     kept = cut_lineage(_near(pairs.select("a", "b"), known, percent))
+    release(meeting, known)
     found = cut_lineage(_linked(pairs.join(kept, ["a", "b"]), measured, percent))
+    release(pairs, kept, measured)
     if not found.isEmpty():
+        release(groups)
         groups = cut_lineage(components(links.unionByName(found.select(F.col("a").alias("u"), F.col("b").alias("v")))))
     return groups.select(F.col("node").alias("set"), F.col("component").alias("group"))
 
