@@ -18,6 +18,9 @@ SQL_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
 }
 
+# whether Spark deletes the shuffle files of a query when it ends
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in SQL_SETTINGS.items():
@@ -64,11 +67,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     A lost executor then costs a re-read, not a recomputation, and later scans
-    read only the columns they need.
+    read only the columns they need. Nothing reads the shuffle files of the
+    write once the table is there, so Spark deletes them then.
     """
-    path = scratch_path(df.sparkSession, "cut")
-    df.write.parquet(path)
-    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, "cut")
+    before = spark.conf.get(SHUFFLE_CLEANUP)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    table = spark.read.schema(df.schema).parquet(path)
     table.scratch = path
     return table
 
