@@ -48,6 +48,8 @@ Rows with equal ids are one document for the groups. Other columns are unread.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -56,7 +58,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.components import components
 from tessera.llm.words import Words, list_column, mix, per_slice, signed
-from tessera.session import cut_lineage
+from tessera.session import cut_lineage, release
 
 CLASS_RATIO = 1.5
 # parts with fewer shingles are not used as pivots where others suffice
@@ -67,6 +69,8 @@ BUCKETS = 256
 CENTRE_MEMBERS = 64
 # a cell with more members is measured in parts
 CELL_ROWS = 2000
+# cells are measured in so many turns, so that only a part of the sets is on its way at a time
+TURNS = 4
 # ``single`` pivots: documents and counts by which common shingles are known, and how many are kept
 SAMPLE_DOCS = 5000
 COMMON_TIMES = 3
@@ -405,7 +409,9 @@ def _fewer_pivots(stars: DataFrame, known: DataFrame, percent: int) -> DataFrame
     root = cut_lineage(components(cut_lineage(close.select(F.col("a").alias("u"), F.col("b").alias("v")))))
     moved = stars.join(root.withColumnRenamed("node", "a"), "a", "left").select(F.coalesce("component", "a").alias("a"), "b")
     own = root.select(F.col("component").alias("a"), F.col("node").alias("b"))
-    return cut_lineage(moved.unionByName(own).where("a <> b").distinct())
+    fewer = cut_lineage(moved.unionByName(own).where("a <> b").distinct())
+    release(stars, root)
+    return fewer
 
 
 def _often_met(members: DataFrame) -> DataFrame:
@@ -413,7 +419,9 @@ def _often_met(members: DataFrame) -> DataFrame:
     busy = cut_lineage(
         members.groupBy("set").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need")).where("n >= need").select("set")
     )
-    return cut_lineage(members.join(busy, "set"))
+    often = cut_lineage(members.join(busy, "set"))
+    release(members, busy)
+    return often
 
 
 def _asks(stars: DataFrame) -> DataFrame:
@@ -427,6 +435,21 @@ def _asks(stars: DataFrame) -> DataFrame:
     return members.unionByName(pivots).groupBy("set").agg(F.collect_list(F.struct("a", "part", "member")).alias("asks"))
 
 
+def _measured(held: DataFrame, size: int) -> list[DataFrame]:
+    """What members add to their pivots and what is gone from them, a table for each turn; frees ``held``."""
+    turns = []
+    for turn in range(TURNS):
+        now = F.filter("asks", lambda x: F.pmod(F.xxhash64(x["a"], x["part"]), F.lit(TURNS)) == turn)
+        asked = held.withColumn("asks", now).where(F.size("asks") > 0)
+        turns.append(cut_lineage(
+            asked.mapInArrow(_emit_members(size), "a long, part long, member boolean, b long, shingles array<long>")
+            .repartition("a", "part").sortWithinPartitions("a", "part", "member")
+            .mapInArrow(_differences, "a long, b long, n_a long, n_b long, added array<long>, gone array<long>")
+        ))
+    release(held)
+    return turns
+
+
 def set_groups(docs: DataFrame, sets: DataFrame, *, size: int, percent: int, pivots: str) -> DataFrame:
     """(set, group) for every set that is linked with another one; ``sets`` has (doc_id, n_shingles, set, sketch)."""
     usable = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
@@ -435,6 +458,7 @@ def set_groups(docs: DataFrame, sets: DataFrame, *, size: int, percent: int, piv
     # written, so that Spark can split a hot region's side of the joins
     repeated = cut_lineage(placed.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("region"))
     members = cut_lineage(placed.join(repeated, "region").distinct())
+    release(repeated)
     if pivots == "single":
         members = _often_met(members)
     regions = cut_lineage(
@@ -446,6 +470,7 @@ def set_groups(docs: DataFrame, sets: DataFrame, *, size: int, percent: int, piv
         met.agg(F.max("n").alias("most"), F.max("need").alias("need"), F.count(F.lit(1)).alias("times"))
         .where("most > 2 or times >= need").select("a", "b")
     )
+    release(members, regions)
     involved = stars.select(F.explode(F.array("a", "b")).alias("set")).distinct()
     known = cut_lineage(
         sets.where("set is not null and doc_id is not null").join(involved, "set").groupBy("set")
@@ -453,12 +478,8 @@ def set_groups(docs: DataFrame, sets: DataFrame, *, size: int, percent: int, piv
     )
     stars = _fewer_pivots(stars, known, percent)
     asked = known.select(F.col("set").alias("wanted"), "doc_id").join(_asks(stars).withColumnRenamed("set", "wanted"), "wanted")
-    measured = cut_lineage(
-        usable.join(asked, "doc_id")
-        .mapInArrow(_emit_members(size), "a long, part long, member boolean, b long, shingles array<long>")
-        .repartition("a", "part").sortWithinPartitions("a", "part", "member")
-        .mapInArrow(_differences, "a long, b long, n_a long, n_b long, added array<long>, gone array<long>")
-    )
+    turns = _measured(cut_lineage(usable.join(asked, "doc_id")), size)
+    measured = reduce(DataFrame.unionByName, turns)
     more, less = 100 - percent, 100 + percent
     apart = F.size("added") + F.size("gone")
     links = measured.where(less * apart <= more * (F.col("n_a") + F.col("n_b"))).select(
@@ -469,6 +490,7 @@ def set_groups(docs: DataFrame, sets: DataFrame, *, size: int, percent: int, piv
         measured.join(centres, "a", "left").select("a", "b", "n_b", "added", "gone", "centre_added", "centre_gone")
         .mapInArrow(_about_centre(percent), "a long, b long, n_b long, differ long, head array<long>")
     )
+    release(centres)
     # members so close to the centre that they are linked whatever they share: a link of y to any
     # member means that y is linked to the one with the most room
     room = F.struct((more * F.col("n_b") - less * F.col("differ")).alias("room"), "b")
@@ -477,6 +499,7 @@ def set_groups(docs: DataFrame, sets: DataFrame, *, size: int, percent: int, piv
         (F.col("b") != F.col("best.b")) & (less * F.col("differ") <= more * F.col("n_b") + F.col("best.room"))
     )
     links = cut_lineage(links.unionByName(close.select(F.col("best.b").alias("u"), F.col("b").alias("v"))).distinct())
+    release(best)
     groups = cut_lineage(components(links))
     member = groups.select(F.col("node").alias("b"), "component")
     grouped = moved.join(member, "b", "left").withColumn("group", F.coalesce("component", "b")).drop("component")
@@ -490,6 +513,7 @@ def set_groups(docs: DataFrame, sets: DataFrame, *, size: int, percent: int, piv
         heads.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("key")
     )
     meeting = cut_lineage(heads.join(shared, "key"))
+    release(moved, mixed, shared)
     other = meeting.select("key", *[F.col(c).alias(f"__{c}") for c in meeting.columns if c != "key"])
     # if this is the first element they share, no more than the rest of the shorter one can follow
     left = F.least(F.col("differ") - F.col("place"), F.col("__differ") - F.col("__place"))
@@ -500,8 +524,10 @@ def set_groups(docs: DataFrame, sets: DataFrame, *, size: int, percent: int, piv
     pairs = cut_lineage(
         near.groupBy(F.col("set").alias("a"), F.col("__set").alias("b")).agg(F.min("cell").alias("cell"))
     )
+    release(meeting)
     kept = cut_lineage(_near(pairs.select("a", "b"), known, percent))
     found = cut_lineage(_linked(pairs.join(kept, ["a", "b"]), measured, percent))
+    release(known, pairs, kept, *turns)
     if not found.isEmpty():
         groups = cut_lineage(components(links.unionByName(found.select(F.col("a").alias("u"), F.col("b").alias("v")))))
     return groups.select(F.col("node").alias("set"), F.col("component").alias("group"))
