@@ -66,7 +66,7 @@ LEAST_IN_PART = 2
 # bytes of a set's sketch, which rules out most pairs before their sets are compared
 BUCKETS = 256
 # members of a cell that its centre is taken from, about; the centre changes the cost only
-CENTRE_MEMBERS = 64
+CENTRE_MEMBERS = 16
 # a cell with more members is measured in parts
 CELL_ROWS = 2000
 # cells are measured in so many turns, so that only a part of the sets is on its way at a time
@@ -339,10 +339,16 @@ def _about_centre(percent: int):
     return run
 
 
-def _centres(measured: DataFrame) -> DataFrame:
-    """(a, centre_added, centre_gone): changes of cell a that more than half of the members looked at have."""
-    cells = cut_lineage(measured.groupBy("a").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
-    looked = measured.join(cells, "a").where(F.pmod(F.xxhash64("b"), F.col("members")) < CENTRE_MEMBERS)
+def _centres(measured: DataFrame, percent: int) -> DataFrame:
+    """(a, centre_added, centre_gone): changes of cell a that more than half of the members looked at have.
+
+    Members further from the pivot than two links are not looked at; a cell
+    with fewer than two others keeps its pivot as the centre.
+    """
+    apart = F.size("added") + F.size("gone")
+    near = measured.where((100 + percent) * apart <= 2 * (100 - percent) * (F.col("n_a") + F.col("n_b")))
+    cells = cut_lineage(near.groupBy("a").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
+    looked = near.join(cells, "a").where(F.pmod(F.xxhash64("b"), F.col("members")) < CENTRE_MEMBERS)
     seen = looked.groupBy("a").agg(F.count(F.lit(1)).alias("seen"))
 
     def each(c: str, kind: int) -> DataFrame:
@@ -485,7 +491,7 @@ def set_groups(docs: DataFrame, sets: DataFrame, *, size: int, percent: int, piv
     links = measured.where(less * apart <= more * (F.col("n_a") + F.col("n_b"))).select(
         F.col("a").alias("u"), F.col("b").alias("v")
     )
-    centres = cut_lineage(_centres(measured))
+    centres = cut_lineage(_centres(measured, percent))
     moved = cut_lineage(
         measured.join(centres, "a", "left").select("a", "b", "n_b", "added", "gone", "centre_added", "centre_gone")
         .mapInArrow(_about_centre(percent), "a long, b long, n_b long, differ long, head array<long>")
@@ -526,8 +532,14 @@ def set_groups(docs: DataFrame, sets: DataFrame, *, size: int, percent: int, piv
     )
     release(meeting)
     kept = cut_lineage(_near(pairs.select("a", "b"), known, percent))
-    found = cut_lineage(_linked(pairs.join(kept, ["a", "b"]), measured, percent))
-    release(known, pairs, kept, *turns)
+    chosen = cut_lineage(pairs.join(kept, ["a", "b"]))
+    release(known, pairs, kept)
+    # only members of these pairs go to the last comparison
+    paired = chosen.select(F.col("cell").alias("a"), F.explode(F.array("a", "b")).alias("b")).distinct()
+    compared = cut_lineage(measured.join(paired, ["a", "b"], "left_semi"))
+    release(*turns)
+    found = cut_lineage(_linked(chosen, compared, percent))
+    release(chosen, compared)
     if not found.isEmpty():
         groups = cut_lineage(components(links.unionByName(found.select(F.col("a").alias("u"), F.col("b").alias("v")))))
     return groups.select(F.col("node").alias("set"), F.col("component").alias("group"))
