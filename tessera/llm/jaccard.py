@@ -492,10 +492,14 @@ def set_groups(docs: DataFrame, sets: DataFrame, *, size: int, percent: int, piv
         F.col("a").alias("u"), F.col("b").alias("v")
     )
     centres = cut_lineage(_centres(measured, percent))
-    moved = cut_lineage(
-        measured.join(centres, "a", "left").select("a", "b", "n_b", "added", "gone", "centre_added", "centre_gone")
-        .mapInArrow(_about_centre(percent), "a long, b long, n_b long, differ long, head array<long>")
-    )
+    about = [
+        cut_lineage(
+            turn.join(centres, "a", "left").select("a", "b", "n_b", "added", "gone", "centre_added", "centre_gone")
+            .mapInArrow(_about_centre(percent), "a long, b long, n_b long, differ long, head array<long>")
+        )
+        for turn in turns
+    ]
+    moved = reduce(DataFrame.unionByName, about)
     release(centres)
     # members so close to the centre that they are linked whatever they share: a link of y to any
     # member means that y is linked to the one with the most room
@@ -519,7 +523,7 @@ def set_groups(docs: DataFrame, sets: DataFrame, *, size: int, percent: int, piv
         heads.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("key")
     )
     meeting = cut_lineage(heads.join(shared, "key"))
-    release(moved, mixed, shared)
+    release(*about, mixed, shared)
     other = meeting.select("key", *[F.col(c).alias(f"__{c}") for c in meeting.columns if c != "key"])
     # if this is the first element they share, no more than the rest of the shorter one can follow
     left = F.least(F.col("differ") - F.col("place"), F.col("__differ") - F.col("__place"))
