@@ -6,6 +6,7 @@ import statistics
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -372,3 +373,24 @@ def test_noise_is_the_same_again_and_standard_normal(spark):
     one = [r["x"] for r in with_noise(df, F.col("id").cast("string"), "x", 1.0, 3).orderBy("id").collect()]
     assert one == [r["x"] for r in with_noise(df.repartition(5), F.col("id").cast("string"), "x", 1.0, 3).orderBy("id").collect()]
     assert abs(statistics.mean(one) - 1) < 0.1 and abs(statistics.stdev(one) - 1) < 0.05
+
+
+def test_nearest_holds_few_distances_at_once(spark, monkeypatch):
+    from tessera.operators import neighbours as N
+    monkeypatch.setattr(N, "CELLS", 500)
+    frame = pd.DataFrame({"id": range(90), "vector": [np.array([float(i), 0.0], dtype=np.float32) for i in range(90)]})
+    assert [len(p) for p in N._slices(frame, 20)] == [25, 25, 25, 15]
+    rows = [(i, [float(i % 40), float(i // 40)]) for i in range(300)] + [(i, [3.0, 3.0]) for i in range(300, 340)]
+    df = spark.createDataFrame(rows, "id long, vector array<float>")
+    got = {}
+    for r in N.nearest(df, df, 4, pivots=6, skip_same_id=True).collect():
+        got.setdefault(r["qid"], []).append((r["distance"], r["id"]))
+    for q, v in rows[::7]:
+        want = sorted((abs(v[0] - w[0]) + abs(v[1] - w[1]), i) for i, w in rows if i != q)[:4]
+        assert sorted(got[q]) == want
+
+
+def test_smallest_takes_the_first_on_ties():
+    from tessera.operators.neighbours import _smallest
+    gaps = np.array([[2.0, 1.0, 1.0, 1.0, 0.0], [5.0, 4.0, 3.0, 2.0, 1.0]])
+    assert [list(map(int, x)) for x in _smallest(gaps, 2)] == [[0, 0, 1, 1], [1, 4, 3, 4]]
