@@ -20,6 +20,11 @@ def prior(t):
     return orders.where("eval_set = 'prior'"), lines.where("eval_set = 'prior'")
 
 
+def prior_lines(t, *columns):
+    """The prior lines alone, with the columns a feature reads."""
+    return cut_lineage(basket_lines(t).where("eval_set = 'prior'").select(*columns))
+
+
 def product_sql(src, p="prod_", extra=True):
     more = f""", count(*) FILTER (again > 0) AS {p}users_reordered,
       round(avg(CASE WHEN again > 0 THEN 1.0 ELSE 0.0 END), 6) AS {p}reorder_prob, round(any_value(cm), 6) AS {p}cart_mean""" if extra else ""
@@ -126,12 +131,12 @@ def user_time_sql(time, p):
 
 @query("f04_user_day", basket_sql(user_time_sql("order_dow", "ut")))
 def _(t):
-    return rounded(B.user_time_features(prior(t)[1], "order_dow", "ut"))
+    return rounded(B.user_time_features(prior_lines(t, "user_id", "order_dow", "order_id", "department_id", "aisle_id", "reordered"), "order_dow", "ut"))
 
 
 @query("f04_user_hour", basket_sql(user_time_sql("order_hour", "uh")))
 def _(t):
-    return rounded(B.user_time_features(prior(t)[1], "order_hour", "uh"))
+    return rounded(B.user_time_features(prior_lines(t, "user_id", "order_hour", "order_id", "department_id", "aisle_id", "reordered"), "order_hour", "uh"))
 
 
 @query("f05_user_product", basket_sql(UP_SQL))

@@ -16,10 +16,8 @@ def order_history(orders: DataFrame) -> DataFrame:
     Input (order_id, user_id, order_time, ...). The last order of a user is
     ``test``, the one before ``train``, the rest ``prior``.
     """
-    quarter = F.coalesce(F.year("order_time") * 4 + F.quarter("order_time"), F.lit(0))
     numbered = split_window(
-        orders, ["user_id"], ["order_time", "order_id"], bucket=quarter, row_number="order_number",
-        lags={"__previous": "order_time"},
+        orders, ["user_id"], ["order_time", "order_id"], row_number="order_number", lags={"__previous": "order_time"}
     )
     totals = orders.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_orders"))
     left = F.col("n_orders") - F.col("order_number")
@@ -33,10 +31,10 @@ def order_history(orders: DataFrame) -> DataFrame:
 
 def mark_reorders(lines: DataFrame) -> DataFrame:
     """1 when the user bought the product in an earlier order."""
-    first = lines.groupBy("user_id", "product_id").agg(F.min("order_number").alias("__first"))
-    return lines.join(first, ["user_id", "product_id"]).withColumn(
-        "reordered", (F.col("order_number") > F.col("__first")).cast("long")
-    ).drop("__first")
+    # a task holds the orders of one user with one product; one shuffle carries the lines
+    first = F.min("order_number").over(Window.partitionBy("user_id", "product_id"))
+    known = lines.where(F.col("user_id").isNotNull() & F.col("product_id").isNotNull())
+    return known.withColumn("reordered", (F.col("order_number") > first).cast("long"))
 
 
 def last_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
