@@ -175,9 +175,10 @@ def word_counts(df: DataFrame, tokens: Column) -> DataFrame:
 
 def log_count_ratio(df: DataFrame, token: str, label: str, alpha: float = 1.0) -> DataFrame:
     """log share of a token in class 1 minus log share in class 0, add-alpha smoothed."""
-    counts = df.groupBy(token).agg(
+    # written once: the two totals and the ratios read the counts
+    counts = cut_lineage(df.groupBy(token).agg(
         (F.count_if(F.col(label) == 1) + alpha).alias("p"), (F.count_if(F.col(label) == 0) + alpha).alias("q")
-    )
+    ))
     total_p, total_q = counts.agg(F.sum("p")).scalar(), counts.agg(F.sum("q")).scalar()
     return counts.select(
         token, (F.log(F.col("p") / total_p) - F.log(F.col("q") / total_q)).alias("ratio")
