@@ -394,3 +394,58 @@ def test_smallest_takes_the_first_on_ties():
     from tessera.operators.neighbours import _smallest
     gaps = np.array([[2.0, 1.0, 1.0, 1.0, 0.0], [5.0, 4.0, 3.0, 2.0, 1.0]])
     assert [list(map(int, x)) for x in _smallest(gaps, 2)] == [[0, 0, 1, 1], [1, 4, 3, 4]]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_split_window_sorts_small_keys_whole(spark, monkeypatch):
+    from pyspark.sql import Window
+    from tessera.operators import ranges as R
+    rows = [(None if k == 3 else k, i, i % 7) for k, n in ((0, 40), (1, 3), (2, 1), (3, 25)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k long, i long, v long")
+    order = Window.partitionBy("k").orderBy("i")
+    want = sorted(map(tuple, df.select(
+        "*", F.row_number().over(order).alias("r"), F.lag("v").over(order).alias("before"),
+        F.sum("v").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("s"),
+    ).collect()), key=repr)
+    ask = dict(row_number="r", lags={"before": "v"}, sums={"s": "v"})
+    small = R.split_window(df, ["k"], ["i"], **ask)
+    assert "Join" not in plan_of(small)
+    # keys above LARGE, the null one among them, are cut into ranges
+    monkeypatch.setattr(R, "LARGE", 10)
+    large = R.split_window(df, ["k"], ["i"], parts=4, **ask)
+    assert "Join" in plan_of(large)
+    for got in (small, large):
+        assert got.columns == [*df.columns, "r", "before", "s"]
+        assert sorted(map(tuple, got.collect()), key=repr) == want
+
+
+def test_reorders_are_marked_without_a_join(spark):
+    from tessera.operators.sequences import mark_reorders
+    rows = [(1, 5, 2), (1, 5, 1), (1, 6, 2), (2, 5, 3), (2, 5, 3), (None, 5, 1), (1, None, 4)]
+    got = mark_reorders(spark.createDataFrame(rows, "user_id long, product_id long, order_number long"))
+    assert "Join" not in plan_of(got)
+    assert sorted(map(tuple, got.collect())) == [(1, 5, 1, 0), (1, 5, 2, 1), (1, 6, 2, 0), (2, 5, 3, 0), (2, 5, 3, 0)]
+
+
+def test_terms_of_dealt_texts_are_not_shuffled_with_their_key(spark):
+    from math import log, sqrt
+    from tessera.operators import encoders as E
+    docs = spark.createDataFrame([(1, "a b a"), (2, "a c"), (2, "c d"), (None, "a b"), (3, "")], "doc_id long, text string").repartition("doc_id")
+    terms = docs.select("doc_id", F.explode(F.split("text", " ")).alias("term")).where("term <> ''")
+    for min_df in (1, 2):
+        df = E.tfidf(terms, "doc_id", "term", min_df=min_df, max_features=2)
+        assert "SortMergeJoin" not in plan_of(df) and "hashpartitioning(doc_id#" not in plan_of(df).split("Window", 1)[0]
+        got = {(r["doc_id"], r["term"]): r["value"] for r in df.collect()}
+        # a occurs 4 times in 3 texts, b and c twice: b in 2 texts, c in one
+        a, b = log(3 / 4) + 1, log(3 / 3) + 1
+        one, two = (1 + log(2)) * a, b
+        norm = sqrt(one * one + two * two)
+        assert got == pytest.approx({(1, "a"): one / norm, (1, "b"): two / norm, (2, "a"): 1.0})
+    grams = terms.select("doc_id", F.lit(1).alias("n"), F.col("term").alias("g"))
+    cells = E.count_vectors(grams, "doc_id", "n", "g", min_df=2)
+    assert "hashpartitioning(doc_id#" in plan_of(cells) and ", n#" not in "".join(
+        x for x in plan_of(cells).splitlines() if "hashpartitioning(doc_id#" in x)
+    assert sorted(map(tuple, cells.where("doc_id is not null").collect())) == [(1, 0, 2.0), (1, 1, 1.0), (2, 0, 1.0)]
