@@ -449,3 +449,11 @@ def test_terms_of_dealt_texts_are_not_shuffled_with_their_key(spark):
     assert "hashpartitioning(doc_id#" in plan_of(cells) and ", n#" not in "".join(
         x for x in plan_of(cells).splitlines() if "hashpartitioning(doc_id#" in x)
     assert sorted(map(tuple, cells.where("doc_id is not null").collect())) == [(1, 0, 2.0), (1, 1, 1.0), (2, 0, 1.0)]
+
+
+def test_char_gram_rows_are_all_grams(spark):
+    from tessera.operators.encoders import char_gram_rows
+    texts = {1: "abcabcab", 2: "é€𝄞x", 3: "a", 4: "", 5: "ab", 6: None}
+    df = spark.createDataFrame(list(texts.items()), "k long, t string")
+    want = Counter((k, t[i:i + n]) for k, t in texts.items() if t for n in range(2, 7) for i in range(len(t) - n + 1))
+    assert Counter(map(tuple, char_gram_rows(df, "k", "t", 2, 6).collect())) == want
