@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -9,8 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import bound
+from tessera.operators.ranges import LARGE
 from tessera.session import cut_lineage
 
+# column sets of no more groups are counted apart and joined back
+_FEW_GROUPS = 1 << 16
+
 
 def mode_per_key(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
     """Most frequent value per key; the lowest value wins a tie."""
@@ -45,15 +50,57 @@ def group_counts(df: DataFrame, groups: Sequence[Sequence[str]]) -> dict[tuple[s
     return out
 
 
-def with_group_counts(df: DataFrame, groups: Mapping[str, Sequence[str]]) -> DataFrame:
-    """Add ``count(*)`` of each column set as a column: one pass counts all sets, each is joined back."""
-    counts = group_counts(df, list(groups.values()))
+def with_group_counts(
+    df: DataFrame, groups: Mapping[str, Sequence[str]], values: Mapping[tuple[str, ...], DataFrame] | None = None
+) -> DataFrame:
+    """Add ``count(*)`` of each column set as a column.
+
+    A set is counted where the rows of its finest column lie together: the rows are shuffled once
+    for each such column, not once for each set, and sorted once for each chain of sets that are
+    prefixes of each other. Sets of few groups, and sets whose columns all have a value of more
+    than ``LARGE`` rows, are counted in one pass and joined back. ``values`` are the ``group_counts``
+    of every single column, if the caller has them. Reads ``df`` up to three times.
+    """
+    columns = list(dict.fromkeys(c for cols in groups.values() for c in cols))
+    values = values or group_counts(df, [[c] for c in columns])
+    sizes = {c: values[(c,)].agg(F.coalesce(F.max("n"), F.lit(0)), F.count(F.lit(1))).first() for c in columns}
+    largest, distinct = ({c: size[i] for c, size in sizes.items()} for i in (0, 1))
+    finest = {name: min(cols, key=lambda c: (largest[c], -distinct[c])) for name, cols in groups.items()}
+    joined = {
+        name: cols for name, cols in groups.items()
+        if largest[finest[name]] > LARGE or math.prod(distinct[c] for c in cols) <= _FEW_GROUPS
+    }
     out = df
-    for name, cols in groups.items():
-        table = counts[tuple(cols)].select(*[F.col(c).alias(f"__g_{c}") for c in cols], F.col("n").alias(name))
-        same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__g_{c}")) for c in cols])
-        out = out.join(table, same, "left").drop(*[f"__g_{c}" for c in cols])
-    return out
+    if joined:
+        counts = group_counts(df, list(joined.values()))
+        for name, cols in joined.items():
+            table = counts[tuple(cols)].select(*[F.col(c).alias(f"__g_{c}") for c in cols], F.col("n").alias(name))
+            same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__g_{c}")) for c in cols])
+            out = out.join(table, same, "left").drop(*[f"__g_{c}" for c in cols])
+    for hub in dict.fromkeys(finest[name] for name in groups if name not in joined):
+        out = out.repartition(hub)
+        held = {n: [hub, *[c for c in groups[n] if c != hub]] for n in groups if n not in joined and finest[n] == hub}
+        for chain in _chains(held):
+            # the longest order also serves the sets before it
+            out = out.sortWithinPartitions(*chain[-1][1])
+            for name, cols in chain:
+                out = out.select("*", F.count(F.lit(1)).over(Window.partitionBy(*cols)).alias(name))
+    return out.select(*df.columns, *groups)
+
+
+def _chains(sets: Mapping[str, Sequence[str]]) -> list[list[tuple[str, Sequence[str]]]]:
+    """Named column lists as chains in which each list holds the columns of the one before, in that order."""
+    chains = []
+    for name, cols in sorted(sets.items(), key=lambda s: -len(s[1])):
+        for chain in chains:
+            last = chain[0][1]
+            if set(cols) < set(last):
+                # the shorter set's columns come first in every longer one
+                chain[:] = [(name, list(cols)), *[(n, [*cols, *[c for c in longer if c not in cols]]) for n, longer in chain]]
+                break
+        else:
+            chains.append([(name, list(cols))])
+    return chains
 
 
 def with_group_max(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:

@@ -457,3 +457,54 @@ def test_char_gram_rows_are_all_grams(spark):
     df = spark.createDataFrame(list(texts.items()), "k long, t string")
     want = Counter((k, t[i:i + n]) for k, t in texts.items() if t for n in range(2, 7) for i in range(len(t) - n + 1))
     assert Counter(map(tuple, char_gram_rows(df, "k", "t", 2, 6).collect())) == want
+
+
+def test_group_counts_shuffle_rows_once_for_each_fine_column(spark, monkeypatch):
+    from tessera.operators import aggregates as A
+    rng = random.Random(11)
+    some = lambda *v: rng.choice([*v, None])
+    rows = [(some(1, 2), some(*range(30)), some("x", "y", "z"), some(*range(40)), i) for i in range(400)]
+    rows += [(1, 7, "x", 500 + i, -i) for i in range(300)]
+    df = spark.createDataFrame(rows, "a int, b int, c string, d int, v int")
+    columns = "abcd"
+    groups = {"n_" + "_".join(g): list(g) for n in (1, 2, 3) for g in itertools.combinations(columns, n)}
+    at = {name: [columns.index(c) for c in cols] for name, cols in groups.items()}
+    seen = {name: Counter(tuple(r[i] for i in places) for r in rows) for name, places in at.items()}
+    want = sorted(([*r, *[seen[n][tuple(r[i] for i in places)] for n, places in at.items()]] for r in rows), key=repr)
+    for few, large, shuffles in ((0, 1000, 4), (0, 250, 99), (1 << 16, 1000, 99), (0, 1, 99)):
+        monkeypatch.setattr(A, "_FEW_GROUPS", few)
+        monkeypatch.setattr(A, "LARGE", large)
+        got = A.with_group_counts(df, groups)
+        assert got.columns == [*df.columns, *groups]
+        assert sorted(map(list, got.collect()), key=repr) == want
+        assert plan_of(got).count("Exchange hashpartitioning") <= shuffles
+    assert sorted(map(list, A.with_group_counts(df.limit(0), groups).collect())) == []
+
+
+def test_set_chains_sort_each_set_with_a_prefix_of_the_longest():
+    from tessera.operators.aggregates import _chains
+    sets = {"p": "p", "ap": "pa", "wp": "pw", "wap": "pwa", "cp": "pc"}
+    chains = _chains({n: list(s) for n, s in sets.items()})
+    assert sorted(n for chain in chains for n, _ in chain) == sorted(sets) and len(chains) == 3
+    for chain in chains:
+        for name, cols in chain:
+            assert sorted(cols) == sorted(sets[name]) and chain[-1][1][: len(cols)] == list(cols)
+
+
+def test_count_features_keep_counted_rows_without_a_key_out(spark):
+    from tessera.plans.demand import TRIPLES, count_features
+    names = ["week", "agency", "channel", "route", "client", "product"]
+    rng = random.Random(5)
+    rows = [tuple([rng.randrange(3) if rng.random() < 0.95 else None for _ in names] + [float(i)]) for i in range(200)]
+    got = count_features(spark.createDataFrame(rows, ", ".join(f"{n} int" for n in names) + ", demand double"))
+    assert got.columns[:7] == ["product", "client", "route", "channel", "agency", "week", "demand"]
+    groups = [g for n in (1, 2) for g in itertools.combinations(names, n)] + TRIPLES
+    whole = {r["demand"]: r for r in got.collect()}
+    assert sorted(whole) == [r[6] for r in rows if None not in r]
+    codes = {n: {v: i for i, v in enumerate(sorted({r[k] for r in rows} - {None}), 1)} for k, n in enumerate(names)}
+    for g in groups:
+        places = [names.index(c) for c in g]
+        seen = Counter(tuple(r[i] for i in places) for r in rows)
+        assert all(whole[r[6]]["_".join(g) + "_cnt"] == seen[tuple(r[i] for i in places)] for r in rows if r[6] in whole)
+    for k, n in enumerate(names):
+        assert all(whole[r[6]][f"{n}_id"] == codes[n][r[k]] for r in rows if r[6] in whole)
