@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame
@@ -50,9 +51,15 @@ def count_features(df: DataFrame) -> DataFrame:
     """Codes of the six keys with their one-, two- and three-way row counts."""
     keys = ["week", "agency", "channel", "route", "client", "product"]
     df = cut_lineage(df)
-    groups = [(k,) for k in keys] + list(combinations(keys, 2)) + TRIPLES
-    out = with_group_counts(df, {"_".join(g) + "_cnt": list(g) for g in groups})
     values = group_counts(df, [[k] for k in keys])
+    coded = df
     for k in keys:
-        out = out.join(dense_codes(values[(k,)], k, f"{k}_id"), k)
-    return out
+        # written, so that Spark knows the size of a small table and sends it to every task
+        coded = coded.join(cut_lineage(dense_codes(values[(k,)], k, f"{k}_id")), k, "left")
+    groups = [(k,) for k in keys] + list(combinations(keys, 2)) + TRIPLES
+    counts = {"_".join(g) + "_cnt": list(g) for g in groups}
+    ids = [f"{k}_id" for k in keys]
+    out = with_group_counts(cut_lineage(coded), counts, values)
+    # rows without one of the keys count, but have no code
+    kept = out.where(reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in ids]))
+    return kept.select(*reversed(keys), *[c for c in df.columns if c not in keys], *counts, *ids)
