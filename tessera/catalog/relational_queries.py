@@ -7,7 +7,7 @@ from tessera.catalog.views import basket_lines, basket_orders, basket_sql, produ
 from tessera.operators import frames as R
 from tessera.operators import joins as J
 from tessera.operators.ranges import split_window
-from tessera.session import cut_lineage
+from tessera.session import cut_lineage, shuffles_for
 
 
 @query("p01_select_drop_rename", "SELECT o_orderkey AS order_id, o_custkey AS user_id, o_totalprice FROM orders")
@@ -299,7 +299,8 @@ def order_sets(t):
     """Parts of each order: those of users' last orders, those of all others, and the others' classes."""
     orders = cut_lineage(basket_orders(t).select(
         F.col("order_id").alias("id"), (F.col("n_orders") == F.col("order_number")).alias("asked"), F.col("order_dow").alias("class")))
-    held = t.lineitem.select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("item")).join(orders, "id")
+    with shuffles_for(t.spark, t.lineitem.count()):
+        held = cut_lineage(t.lineitem.select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("item")).join(orders, "id"))
     return held.where("asked").select("id", "item"), held.where("not asked").select("id", "item"), orders.where("not asked").select("id", "class")
 
 

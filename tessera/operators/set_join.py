@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import cut_lineage
+from tessera.session import cut_lineage, shuffles_for
 
 
 def ordered_sets(sets: DataFrame, counts: DataFrame) -> DataFrame:
@@ -36,12 +36,17 @@ def similar_sets(left: DataFrame, right: DataFrame, percent: int) -> tuple[DataF
     (id, rep) of either side; ``rep`` is the first owner of a set. Sets without items pair with none.
     """
     held = left.select("id", "item").distinct().unionAll(right.select("id", "item").distinct())
-    counts = held.groupBy("item").agg(F.count(F.lit(1)).alias("__c"))
+    spark, rows = left.sparkSession, left.count() + right.count()
+    with shuffles_for(spark, rows):
+        counts = cut_lineage(held.groupBy("item").agg(F.count(F.lit(1)).alias("__c")))
+    # an item held c times brings c * c / 4 pairs of left and right together at most
+    meetings = int(counts.agg(F.sum(F.col("__c") * F.col("__c").cast("double"))).first()[0] or 0) // 4
     sides = []
     for sets in (left, right):
-        owned = cut_lineage(ordered_sets(sets.where(F.col("item").isNotNull()), counts))
-        reps = owned.groupBy("items").agg(F.min("id").alias("rep"))
-        sides.append((cut_lineage(reps), owned.join(reps, "items").select("id", "rep")))
+        with shuffles_for(spark, rows):
+            owned = cut_lineage(ordered_sets(sets.where(F.col("item").isNotNull()), counts))
+            reps = cut_lineage(owned.groupBy("items").agg(F.min("id").alias("rep")))
+            sides.append((reps, cut_lineage(owned.join(reps, "items").select("id", "rep"))))
     (a, owners), (b, owners2) = sides
     one = _prefix(a, percent)
     two = _prefix(b, percent).select("item", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("at").alias("at2"))
@@ -57,7 +62,8 @@ def similar_sets(left: DataFrame, right: DataFrame, percent: int) -> tuple[DataF
         .select("rep", "rep2", n.alias("n"), n2.alias("n2"), common.alias("common"))
         .where(F.col("common") * (100 + percent) >= (F.col("n") + F.col("n2")) * percent)
     )
-    return pairs, owners, owners2
+    with shuffles_for(spark, max(rows, meetings)):
+        return cut_lineage(pairs), owners, owners2
 
 
 def jaccard_of() -> Column:

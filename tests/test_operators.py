@@ -476,8 +476,8 @@ def test_group_counts_shuffle_rows_once_for_each_fine_column(spark, monkeypatch)
         monkeypatch.setattr(A, "LARGE", large)
         got = A.with_group_counts(df, groups)
         assert got.columns == [*df.columns, *groups]
-        assert sorted(map(list, got.collect()), key=repr) == want
         assert plan_of(got).count("Exchange hashpartitioning") <= shuffles
+        assert sorted(map(list, got.collect()), key=repr) == want
     assert sorted(map(list, A.with_group_counts(df.limit(0), groups).collect())) == []
 
 
@@ -508,3 +508,24 @@ def test_count_features_keep_counted_rows_without_a_key_out(spark):
         assert all(whole[r[6]]["_".join(g) + "_cnt"] == seen[tuple(r[i] for i in places)] for r in rows if r[6] in whole)
     for k, n in enumerate(names):
         assert all(whole[r[6]][f"{n}_id"] == codes[n][r[k]] for r in rows if r[6] in whole)
+
+
+def test_similar_sets_shuffle_into_a_task_per_bounded_number_of_rows(spark, monkeypatch):
+    from tessera import session
+    from tessera.operators import set_join
+    rng = random.Random(9)
+    sets = {i: {rng.randrange(12) for _ in range(rng.randrange(1, 6))} for i in range(60)}
+    rows = [(i, v) for i, s in sets.items() for v in s]
+    df = spark.createDataFrame([*rows, *rows[:20], (99, None), (None, 3)], "id long, item long")
+    seen = []
+    cut = set_join.cut_lineage
+    monkeypatch.setattr(set_join, "cut_lineage", lambda d: (seen.append(spark.conf.get(session.FIRST_PARTITIONS, None)), cut(d))[1])
+    monkeypatch.setattr(session, "TASK_ROWS", 16)
+    before = spark.conf.get(session.FIRST_PARTITIONS, None)
+    got = set_join.set_pairs(df, df.where("id < 30"), 40)
+    # sides by the rows of both, the pairs by the meetings of prefixes, which are many more
+    assert int(seen[0]) >= len(rows) // 16 and int(seen[-1]) > int(seen[0])
+    assert spark.conf.get(session.FIRST_PARTITIONS, None) == before
+    want = sorted((i, j, len(s & t) / len(s | t)) for i, s in sets.items() for j, t in sets.items()
+                  if j < 30 and len(s & t) * 100 >= 40 * len(s | t))
+    assert sorted(tuple(r)[:3] for r in got.where("id is not null and id2 is not null").collect()) == want
