@@ -19,6 +19,7 @@ from tessera.operators.expected_f1 import best_baskets
 from tessera.operators.frames import rounded
 from tessera.operators.topk import joined_ids, with_fallback_rows
 from tessera.plans import matrices
+from tessera.session import cut_lineage
 
 LINE = "l_orderkey, l_linenumber, l_partkey"
 IDS = ["l_orderkey", "l_linenumber", "l_partkey"]
@@ -301,6 +302,8 @@ PRED_U = PRED.replace("AS id FROM", "AS id, l_orderkey || '-' || l_linenumber ||
 def _(t):
     df = t.lineitem.select(F.concat_ws("-", *IDS, "l_suppkey", "l_quantity", "l_extendedprice").alias("u"), (F.col("l_returnflag") == "R").cast("int").alias("y"),
                            F.round(0.1 + 0.8 * F.col("l_quantity") / 50, 6).alias("p1"))
+    # written once: cut points and both orders read the names made of six columns
+    df = cut_lineage(df)
     return rounded(Q.gini(df, "y", "p1", "u").withColumn("paired", Q.gini_pairwise(df, "y", "p1", "u").scalar()))
 
 

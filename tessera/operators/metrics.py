@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.ranges import average_rank, dense_codes, split_window
+from tessera.operators.ranges import average_rank, dense_codes, range_bucket, split_window
 
 
 def regression_metrics(y: str, p: str) -> dict[str, Column]:
@@ -28,21 +28,44 @@ def logloss(y: str, p: str, eps: float = 1e-15) -> Column:
     return F.avg(F.when(F.col(y) == 1, -F.log(q)).otherwise(-F.log(1 - q)))
 
 
+def ordered_cells(df: DataFrame, order: Sequence[str], value: str, weight: Column) -> DataFrame:
+    """One row per range of the ``order``: rows ``n``, sums ``total`` and ``weight``, and ``gained``.
+
+    ``gained`` sums, over the range's rows, the weight times the running sum of ``value`` over all rows
+    up to that one. Each range is sorted once and only its sums are joined with those of earlier ranges.
+    """
+    rows = df.select(range_bucket(df, order).alias("__range"), *order, F.col(value).alias("__v"), weight.alias("__w"))
+    upto = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cells = rows.withColumn("__run", F.sum("__v").over(upto)).groupBy("__range").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("__v").alias("total"), F.sum("__w").alias("weight"),
+        F.coalesce(F.sum(F.col("__w") * F.col("__run")), F.lit(0)).alias("__own"),
+    )
+    earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    above = F.coalesce(F.sum("total").over(earlier), F.lit(0))
+    return cells.select("n", "total", "weight", (F.col("__own") + above * F.coalesce("weight", F.lit(0))).alias("gained"))
+
+
 def gini(df: DataFrame, y: str, p: str, key: str) -> DataFrame:
     """Normalised Gini: cumulative gain by falling prediction over that by falling target.
 
     Ties are ordered by ``key``. One row: gini, gini_perfect, gini_normalised.
     """
-    base = df.select(F.col(key).alias("__id"), F.col(y).cast("double").alias("__y"), (-F.col(p)).alias("__p"), (-F.col(y)).cast("double").alias("__t"))
-
-    def gain(order):
-        run = split_window(base, [], [order, "__id"], sums={"__cum": "__y"})
-        return run.agg(
-            (F.sum("__cum") / F.sum("__y") - (F.count(F.lit(1)) + 1) / 2) / F.count(F.lit(1))
-        ).scalar()
-
-    one = base.agg(F.count(F.lit(1)).alias("n"))
-    return one.select(gain("__p").alias("gini"), gain("__t").alias("gini_perfect")).withColumn(
+    values = df.select(F.col(key).alias("__id"), F.col(y).cast("double").alias("__y"), (-F.col(p)).alias("__p"))
+    # rows of equal target may stand in any order: each distinct target is one row of the perfect order
+    targets = df.groupBy((-F.col(y)).cast("double").alias("__t")).agg(F.count(F.lit(1)).alias("__n"), F.sum(F.col(y).cast("double")).alias("__s"))
+    perfect = split_window(targets, [], ["__t"], sums={"__cum": "__s"})
+    rows, total = F.col("__n"), F.col("__s")
+
+    def normal(gained, n, whole):
+        return (gained / whole - (n + 1) / 2) / n
+
+    # a target's rows stand on what came before them, and each on the rows of its target up to it
+    held = F.coalesce("__cum", F.lit(0.0)) - F.coalesce(total, F.lit(0.0))
+    best = perfect.agg(normal(F.sum(rows * held + F.coalesce(total, F.lit(0.0)) * (rows + 1) / 2), F.sum(rows), F.sum(total))).scalar()
+    cells = ordered_cells(values, ["__p", "__id"], "__y", F.lit(1))
+    got = cells.agg(normal(F.sum("gained"), F.sum("n"), F.sum("total"))).scalar()
+    one = df.agg(F.count(F.lit(1)).alias("n"))
+    return one.select(got.alias("gini"), best.alias("gini_perfect")).withColumn(
         "gini_normalised", F.col("gini") / F.col("gini_perfect")
     )
 
@@ -146,6 +169,6 @@ def kendall_tau_b(df: DataFrame, a: str, b: str) -> Column:
 def gini_pairwise(df: DataFrame, y: str, p: str, key: str) -> DataFrame:
     """1 - 2 x (share of wrongly ordered 1/0 pairs), from the zeros ranked above each one."""
     base = df.select(F.col(key).alias("__id"), F.col(y).alias("__y"), (1 - F.col(y)).alias("__z"), (-F.col(p)).alias("__p"))
-    run = split_window(base, [], ["__p", "__id"], sums={"__zeros": "__z"})
-    ones, n = F.sum("__y"), F.count(F.lit(1))
-    return run.agg((1 - 2 * F.sum(F.col("__y") * F.col("__zeros")) / (ones * (n - ones))).alias("gini"))
+    cells = ordered_cells(base, ["__p", "__id"], "__z", F.col("__y"))
+    ones, n = F.sum("weight"), F.sum("n")
+    return cells.agg((1 - 2 * F.sum("gained") / (ones * (n - ones))).alias("gini"))

@@ -529,3 +529,34 @@ def test_similar_sets_shuffle_into_a_task_per_bounded_number_of_rows(spark, monk
     want = sorted((i, j, len(s & t) / len(s | t)) for i, s in sets.items() for j, t in sets.items()
                   if j < 30 and len(s & t) * 100 >= 40 * len(s | t))
     assert sorted(tuple(r)[:3] for r in got.where("id is not null and id2 is not null").collect()) == want
+
+
+def test_gini_sorts_the_rows_once_for_each_figure(spark):
+    rng = random.Random(21)
+    for rows in ([(i, rng.choice([0.0, 1.0, 1.0, None]), rng.randrange(5) / 4) for i in range(300)],
+                 [(i, rng.choice([0.0, 0.5, 2.0]), rng.randrange(4) / 4) for i in range(200)]):
+        df = spark.createDataFrame(rows, "id long, y double, p double")
+
+        def gain(order):
+            seen, total = 0.0, 0.0
+            for r in order:
+                seen += r[1] or 0
+                total += seen
+            n = len(rows)
+            return (total / seen - (n + 1) / 2) / n
+
+        by_target = sorted(rows, key=lambda r: (r[1] is not None, -(r[1] or 0), r[0]))
+        by_score = sorted(rows, key=lambda r: (-r[2], r[0]))
+        got = Q.gini(df, "y", "p", "id")
+        one = got.first()
+        assert one["gini"] == pytest.approx(gain(by_score)) and one["gini_perfect"] == pytest.approx(gain(by_target))
+    rows = [(i, rng.choice([0, 1, 1, None]), rng.randrange(5) / 4) for i in range(300)]
+    known = sorted((r for r in rows), key=lambda r: (-r[2], r[0]))
+    zeros, wrong, ones = 0, 0, sum(r[1] or 0 for r in rows)
+    for r in known:
+        zeros += r[1] == 0
+        wrong += zeros * (r[1] or 0)
+    pairwise = Q.gini_pairwise(spark.createDataFrame(rows, "id long, y int, p double"), "y", "p", "id")
+    # rows are sorted by ranges and summed up there, not joined with what came before
+    assert "Join" not in plan_of(pairwise)
+    assert pairwise.first()["gini"] == pytest.approx(1 - 2 * wrong / (ones * (len(rows) - ones)))
