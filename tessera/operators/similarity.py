@@ -8,6 +8,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import cut_lineage
+
 
 def linked_set_distance(sets: DataFrame, links: DataFrame) -> DataFrame:
     """Jaccard and Dice of the item sets at both ends of each link, own row excluded.
@@ -58,7 +60,8 @@ def gram_distances(grams: DataFrame, key: str, documents: Column) -> DataFrame:
     seen = grams.groupBy("gram").agg(
         (F.count_if(F.col("ca") > 0) + F.count_if(F.col("cb") > 0)).alias("df")
     ).select("gram", (F.log((1 + documents) / (1 + F.col("df"))) + 1).alias("idf"))
-    w = grams.join(seen, "gram").select(
+    # written, so that Spark knows the size of a small table and does not shuffle the grams
+    w = grams.join(cut_lineage(seen), "gram").select(
         key, "ca", "cb", (F.col("ca") * F.col("idf")).alias("x"), (F.col("cb") * F.col("idf")).alias("y")
     )
     dot = lambda p, q: F.sum(F.col(p) * F.col(q))

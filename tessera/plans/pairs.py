@@ -17,6 +17,10 @@ from tessera.operators.joins import common_neighbours
 from tessera.operators.similarity import (
     gram_distances, gram_overlap, inverse_weights, pair_degrees, pair_grams, sentence_vectors, weighted_share,
 )
+from tessera.session import cut_lineage
+
+# characters whose grams one task counts
+CHARACTERS = 1 << 23
 
 
 def joined(parts: Sequence[DataFrame], key: str) -> DataFrame:
@@ -117,13 +121,19 @@ def char_table(pairs: DataFrame, key: str, label: str | None = None) -> DataFram
 
     With a 0/1 ``label`` the length ratio is also given capped by class 1.
     """
+    pairs = cut_lineage(pairs.select(key, "a", "b", *([label] if label else [])))
+    # a pair's grams are counted where its texts lie; about CHARACTERS of text to a task
+    chars = pairs.agg(F.sum(F.coalesce(F.length("a"), F.lit(0)) + F.coalesce(F.length("b"), F.lit(0)))).first()[0] or 0
+    least = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = pairs.select(key, "a", "b").repartition(max(least, -(-chars // CHARACTERS)), key)
     lengths = pairs.select(key, *([label] if label else []), *[c.alias(n) for n, c in S.length_features(F.col("a"), F.col("b")).items()])
     if label:
         lengths = lengths.withColumn("ratio_len_capped", cap_by_class(lengths, "ratio_len", label)).drop(label)
     parts = [lengths]
     documents = pairs.agg(2 * F.count(F.lit(1))).scalar()
     for n in (1, 2, 3):
-        grams = pair_grams(pairs, key, X.char_ngrams("a", n), X.char_ngrams("b", n))
+        # written once: both tables read them, each with a small shuffle by pair
+        grams = cut_lineage(pair_grams(dealt, key, X.char_ngrams("a", n), X.char_ngrams("b", n)))
         for table in (gram_overlap(grams, key), gram_distances(grams, key, documents)):
             parts.append(table.select(key, *[F.col(c).alias(f"g{n}_{c}") for c in table.columns if c != key]))
     return joined(parts, key)

@@ -560,3 +560,21 @@ def test_gini_sorts_the_rows_once_for_each_figure(spark):
     # rows are sorted by ranges and summed up there, not joined with what came before
     assert "Join" not in plan_of(pairwise)
     assert pairwise.first()["gini"] == pytest.approx(1 - 2 * wrong / (ones * (len(rows) - ones)))
+
+
+def test_character_grams_are_counted_where_their_texts_lie(spark):
+    from tessera.functions.text import char_ngrams
+    from tessera.operators import similarity as M
+    from tessera.plans.pairs import char_table
+    texts = [(1, "abcab", "abd"), (2, "xyz", "xyz"), (3, "", "ab"), (4, None, "q"), (5, "zz top", "top zz")]
+    df = spark.createDataFrame(texts, "id long, a string, b string")
+    got = {r["id"]: r for r in char_table(df, "id").collect()}
+    assert sorted(got) == [1, 2, 3, 4, 5]
+    for n in (1, 2):
+        a, b = ({t[i:i + n] for i in range(len(t) - n + 1)} for t in ("abcab", "abd"))
+        assert got[1][f"g{n}_jaccard"] == pytest.approx(len(a & b) / len(a | b))
+        assert got[2][f"g{n}_tfidf_cosine"] == pytest.approx(0) and got[2][f"g{n}_jaccard"] == 1
+    # the grams' weights are a small table of known size: the grams are not shuffled to meet it
+    grams = M.pair_grams(df.repartition(4, "id"), "id", char_ngrams("a", 2), char_ngrams("b", 2))
+    plan = plan_of(M.gram_distances(grams, "id", F.lit(10)))
+    assert "SortMergeJoin" not in plan and "hashpartitioning(gram" not in plan and "hashpartitioning(id#" in plan
