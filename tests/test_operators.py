@@ -459,6 +459,29 @@ def test_char_gram_rows_are_all_grams(spark):
     assert Counter(map(tuple, char_gram_rows(df, "k", "t", 2, 6).collect())) == want
 
 
+def test_comment_texts_and_counts_need_no_lambdas(spark):
+    import re
+    from tessera.functions import rules
+    texts = ["I'm n't don't a'll'll they're b'd've x's won't", "'ll 's\b12 3-4 \n it's#", "a@b.c,d@e.f @x y@z.q w@v", "", "no marks 12:30 ", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+
+    def cleaned(t):
+        t = re.sub("[\n\t\b\r]", " ", t.lower())
+        for p, r in rules.CHAR_GRAM_RULES:
+            t = re.sub(p, r.replace("$1", "\\1"), t)
+        words = [re.sub(X.PUNCTUATION, "", w) for w in re.split(r"\s+", t) if w]
+        return re.sub(r"\s+", " ", re.sub(r"\d+", " ", " ".join(words))).replace(" ", "# #")
+
+    both = df.select("k", "t", X.char_gram_text("t").alias("c"))
+    got = both.select("k", "c", *[c.alias(n) for n, c in X.comment_counts(F.col("t"), F.col("c")).items()])
+    assert "lambda" not in got._jdf.queryExecution().analyzed().toString()
+    for row in got.collect():
+        t = texts[row.k]
+        assert row.c == (None if t is None else cleaned(t))
+        assert row.has_mail == (None if t is None else len(re.findall(X.ADDRESS, t)))
+        assert row.clean_chars == (None if t is None else len(set(cleaned(t))))
+
+
 def test_group_counts_shuffle_rows_once_for_each_fine_column(spark, monkeypatch):
     from tessera.operators import aggregates as A
     rng = random.Random(11)
