@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Normalizer
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.session import cut_lineage
 
+# words of the texts whose vectors are summed together
+GROUP_WORDS = 1 << 18
+
 
 def linked_set_distance(sets: DataFrame, links: DataFrame) -> DataFrame:
     """Jaccard and Dice of the item sets at both ends of each link, own row excluded.
@@ -114,15 +117,58 @@ def pair_degrees(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.join(one, a).join(two, b)
 
 
-def sentence_vectors(words: DataFrame, key: str, vectors: DataFrame) -> DataFrame:
-    """Sum of the vectors of a text's words, scaled to length 1; (key, vector)."""
-    counts = words.groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
-    rows = counts.join(vectors, "word").select(
-        key, array_to_vector(F.transform("vector", lambda v: v.cast("double"))).alias("v"), "n"
-    )
-    sums = rows.groupBy(key).agg(Summarizer.sum(F.col("v"), F.col("n").cast("double")).alias("s"))
-    unit = Normalizer(p=2.0, inputCol="s", outputCol="u").transform(sums)
-    return unit.select(key, vector_to_array("u").alias("vector"))
+def _vector_sums(sides: list[str]):
+    """For one group of keys: the texts' words and the vectors of all words they hold -> unit sums per key and side."""
+
+    def run(texts: pa.Table, found: pa.Table) -> pa.Table:
+        found = found.filter(pc.is_valid(found.column("vector")))
+        vectors = found.column("vector").combine_chunks()
+        each = vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(vectors), -1) if len(vectors) else np.zeros((0, 0))
+        named = found.column("word").combine_chunks().unique()
+        of_word = np.zeros((len(named), each.shape[1]))
+        np.add.at(of_word, pc.index_in(found.column("word"), named).to_numpy(), each)
+        keys = texts.column("key").combine_chunks().dictionary_encode(null_encoding="encode")
+        out = [keys.dictionary]
+        for side in sides:
+            lists = texts.column(side).combine_chunks()
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+            at = pc.fill_null(pc.index_in(lists.flatten(), named), -1).to_numpy()
+            row = np.repeat(keys.indices.to_numpy(), sizes)[at >= 0]
+            order = np.argsort(row, kind="stable")
+            row, at = row[order], at[at >= 0][order]
+            sums = np.zeros((len(keys.dictionary), each.shape[1]))
+            for start in range(0, len(row), 1 << 14):
+                part = row[start : start + (1 << 14)]
+                first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+                sums[part[first]] += np.add.reduceat(of_word[at[start : start + (1 << 14)]], first)
+            length = np.sqrt((sums * sums).sum(axis=1))
+            unit = sums / np.where(length == 0, 1, length)[:, None]
+            some = np.isin(np.arange(len(sums)), row)
+            ends = np.append(0, np.cumsum(np.where(some, each.shape[1], 0))).astype(np.int32)
+            values = pa.array(unit[some].ravel(), pa.float64())
+            out.append(pa.ListArray.from_arrays(pa.array(ends), values, mask=pa.array(~some)))
+        return pa.Table.from_arrays(out, ["key", *sides])
+
+    return run
+
+
+def sentence_vectors(texts: DataFrame, key: str, vectors: DataFrame, sides: dict[str, Column]) -> DataFrame:
+    """Sum of the vectors of a text's words, scaled to length 1: (key, one column per side).
+
+    ``sides`` names the word lists of a row; a key with several rows sums over all. A side without any
+    known word is null. Keys are dealt into groups of about ``GROUP_WORDS`` words and each group asks for the
+    vector of each of its words once, so vectors do not travel with every word of every text.
+    """
+    kind = texts.schema[key].dataType.simpleString()
+    words = cut_lineage(texts.select(F.col(key).alias("key"), *[c.alias(n) for n, c in sides.items()]))
+    count = words.agg(F.sum(sum((F.coalesce(F.size(n), F.lit(0)) for n in sides), F.lit(0)))).first()[0] or 0
+    dealt = words.withColumn("chunk", F.pmod(F.xxhash64("key"), F.lit(max(1, -(-count // GROUP_WORDS)))))
+    lists = F.flatten(F.array(*[F.coalesce(n, F.array().cast("array<string>")) for n in sides]))
+    asked = dealt.select("chunk", F.explode(lists).alias("word")).distinct()
+    found = asked.join(vectors.select("word", "vector"), "word").select(F.col("chunk").alias("of"), "word", "vector")
+    schema = ", ".join([f"key {kind}", *[f"{n} array<double>" for n in sides]])
+    sums = dealt.groupBy("chunk").cogroup(found.groupBy("of")).applyInArrow(_vector_sums(list(sides)), schema)
+    return sums.withColumnRenamed("key", key)
 
 
 def word_grid(pairs: DataFrame, key: str, vectors: DataFrame, idf: DataFrame, size: int = 10) -> DataFrame:

@@ -19,7 +19,7 @@ from tessera.operators.similarity import (
 )
 from tessera.session import cut_lineage
 
-# characters whose grams one task counts
+# characters of the texts of pairs that one task takes
 CHARACTERS = 1 << 23
 
 
@@ -116,16 +116,21 @@ def degree_table(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
     )
 
 
+def dealt_by_text(pairs: DataFrame, key: str) -> DataFrame:
+    """The pairs dealt by key, about ``CHARACTERS`` of text to a task."""
+    chars = pairs.agg(F.sum(F.coalesce(F.length("a"), F.lit(0)) + F.coalesce(F.length("b"), F.lit(0)))).first()[0] or 0
+    least = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pairs.repartition(max(least, -(-chars // CHARACTERS)), key)
+
+
 def char_table(pairs: DataFrame, key: str, label: str | None = None) -> DataFrame:
     """Lengths, and overlap and TF-IDF distances of character 1-, 2- and 3-grams.
 
     With a 0/1 ``label`` the length ratio is also given capped by class 1.
     """
     pairs = cut_lineage(pairs.select(key, "a", "b", *([label] if label else [])))
-    # a pair's grams are counted where its texts lie; about CHARACTERS of text to a task
-    chars = pairs.agg(F.sum(F.coalesce(F.length("a"), F.lit(0)) + F.coalesce(F.length("b"), F.lit(0)))).first()[0] or 0
-    least = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = pairs.select(key, "a", "b").repartition(max(least, -(-chars // CHARACTERS)), key)
+    # a pair's grams are counted where its texts lie
+    dealt = dealt_by_text(pairs.select(key, "a", "b"), key)
     lengths = pairs.select(key, *([label] if label else []), *[c.alias(n) for n, c in S.length_features(F.col("a"), F.col("b")).items()])
     if label:
         lengths = lengths.withColumn("ratio_len_capped", cap_by_class(lengths, "ratio_len", label)).drop(label)
@@ -141,15 +146,15 @@ def char_table(pairs: DataFrame, key: str, label: str | None = None) -> DataFram
 
 def vector_table(pairs: DataFrame, key: str, vectors: DataFrame, ratio_words=X.letter_words) -> DataFrame:
     """Distances between sentence vectors, their skewness and kurtosis, and text ratios of ``ratio_words``."""
-    sides = []
-    for s in "ab":
-        words = pairs.select(key, F.explode(X.letter_words(s)).alias("word"))
-        sides.append(sentence_vectors(words, key, vectors).withColumnRenamed("vector", f"v{s}"))
-    base = pairs.select(key, ratio_words("a").alias("x"), ratio_words("b").alias("y"))
-    both = joined([base, *sides], key)
+    x, y = F.col("x"), F.col("y")
+    # ratios are made where a pair's texts lie, before the join
+    base = dealt_by_text(pairs.select(key, "a", "b"), key).select(key, ratio_words("a").alias("x"), ratio_words("b").alias("y")).select(
+        key, *[c.alias(n) for n, c in S.text_ratios(x, y).items()]
+    )
+    sides = sentence_vectors(pairs, key, vectors, {"va": X.letter_words("a"), "vb": X.letter_words("b")})
+    both = joined([base, sides], key)
     va, vb = F.col("va"), F.col("vb")
     return both.select(
-        key, *[c.alias(n) for n, c in S.text_ratios(F.col("x"), F.col("y")).items()],
-        *[c.alias(n) for n, c in S.vector_distances(va, vb).items()],
+        *base.columns, *[c.alias(n) for n, c in S.vector_distances(va, vb).items()],
         *[c.alias(f"{n}_a") for n, c in array_shape(va).items()], *[c.alias(f"{n}_b") for n, c in array_shape(vb).items()],
     )

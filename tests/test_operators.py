@@ -459,6 +459,42 @@ def test_char_gram_rows_are_all_grams(spark):
     assert Counter(map(tuple, char_gram_rows(df, "k", "t", 2, 6).collect())) == want
 
 
+def test_sentence_vectors_ask_for_each_word_once_per_group(spark, monkeypatch):
+    from tessera.operators import similarity as M
+    from tessera.plans.pairs import vector_table
+    monkeypatch.setattr(M, "GROUP_WORDS", 40)
+    rng = random.Random(5)
+    vectors = {f"w{i}": [rng.uniform(-1, 1) for _ in range(3)] for i in range(9)} | {"zero": [0.0] * 3}
+    text = lambda: " ".join(rng.choice([*vectors, "other"]) for _ in range(rng.randrange(30)))
+    rows = [(i // 2, text(), text()) for i in range(80)] + [(50, None, ""), (51, "zero", "other"), (None, "w1", "w2")]
+    table = [(w, v) for w, v in vectors.items()] + [("w3", [1.0, 2.0, 3.0]), ("w4", None)]
+    df = spark.createDataFrame(rows, "k long, a string, b string")
+    v = spark.createDataFrame(table, "word string, vector array<float>")
+    got = M.sentence_vectors(df, "k", v, {"va": X.letter_words("a"), "vb": X.letter_words("b")})
+    asked = {w: np.zeros(3) for w, _ in table}
+    for w, x in table:
+        asked[w] = asked[w] + np.array(x or [0.0] * 3)
+    want = {}
+    for k, a, b in rows:
+        for side, t in ((0, a), (1, b)):
+            for w in (t or "").split():
+                if w in asked:
+                    both = want.setdefault(k, [None, None])
+                    both[side] = (0 if both[side] is None else both[side]) + asked[w]
+    found = {r.k: (r.va, r.vb) for r in got.collect()}
+    assert set(found) == {k for k, _, _ in rows}
+    for k, sides in found.items():
+        for mine, theirs in zip(sides, want.get(k, [None, None])):
+            if theirs is None:
+                assert mine is None
+            else:
+                length = np.linalg.norm(theirs)
+                assert np.allclose(mine, theirs / (length or 1.0), atol=1e-6)
+    # vectors meet words by group, not a row for every word of a text
+    assert "CoGroup" in got._jdf.queryExecution().analyzed().toString()
+    assert vector_table(df.where("k is not null").dropDuplicates(["k"]), "k", v).count() == 42
+
+
 def test_comment_texts_and_counts_need_no_lambdas(spark):
     import re
     from tessera.functions import rules
