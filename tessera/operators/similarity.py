@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from tessera.session import cut_lineage
 
-# words of the texts whose vectors are summed together
-GROUP_WORDS = 1 << 18
+# words, and texts at most, whose vectors are summed together: more words share more vectors
+GROUP_WORDS, GROUP_TEXTS = 1 << 21, 1 << 16
 
 
 def linked_set_distance(sets: DataFrame, links: DataFrame) -> DataFrame:
@@ -161,8 +161,9 @@ def sentence_vectors(texts: DataFrame, key: str, vectors: DataFrame, sides: dict
     """
     kind = texts.schema[key].dataType.simpleString()
     words = cut_lineage(texts.select(F.col(key).alias("key"), *[c.alias(n) for n, c in sides.items()]))
-    count = words.agg(F.sum(sum((F.coalesce(F.size(n), F.lit(0)) for n in sides), F.lit(0)))).first()[0] or 0
-    dealt = words.withColumn("chunk", F.pmod(F.xxhash64("key"), F.lit(max(1, -(-count // GROUP_WORDS)))))
+    count, rows = words.agg(F.sum(sum((F.coalesce(F.size(n), F.lit(0)) for n in sides), F.lit(0))), F.count(F.lit(1))).first()
+    groups = max(1, -(-(count or 0) // GROUP_WORDS), -(-rows // GROUP_TEXTS))
+    dealt = words.withColumn("chunk", F.pmod(F.xxhash64("key"), F.lit(groups)))
     lists = F.flatten(F.array(*[F.coalesce(n, F.array().cast("array<string>")) for n in sides]))
     asked = dealt.select("chunk", F.explode(lists).alias("word")).distinct()
     found = asked.join(vectors.select("word", "vector"), "word").select(F.col("chunk").alias("of"), "word", "vector")
