@@ -77,6 +77,8 @@ COMMON_TIMES = 3
 COMMON_MOST = 1 << 18
 # linked sets meet in so many regions of ``single`` pivots, and large ones in more
 LEAST_MEETINGS = 6
+# the sets of a region are paired one by one if there are at most so many; cells take the larger regions
+FEW_SETS = 16
 
 
 class Sets:
@@ -430,6 +432,34 @@ def _often_met(members: DataFrame) -> DataFrame:
     return often
 
 
+def _pairs_met(few: DataFrame, many: DataFrame) -> DataFrame:
+    """(a, b) pairs that can be linked by what they share in regions of ``few`` sets.
+
+    Linked sets meet ``need`` times. They meet in no more regions of ``many``
+    sets than either is in, so the rest of their meetings is in ``few``; of two
+    sets that are often enough in ``many``, those that meet there are left to the cells.
+    """
+    lists = few.groupBy("region").agg(F.sort_array(F.collect_list(F.struct("set", "need"))).alias("sets"))
+
+    def later(x, i):
+        rest = F.slice("sets", i + 2, F.size("sets"))
+        return F.transform(rest, lambda y: F.struct(x["set"].alias("a"), y["set"].alias("b"), F.greatest(x["need"], y["need"]).alias("need")))
+
+    # near copies share many regions: equal lists are paired once
+    each = lists.groupBy("sets").agg(F.count(F.lit(1)).alias("times")).select(
+        "times", F.explode(F.flatten(F.transform("sets", later))).alias("pair")
+    )
+    met = each.groupBy("pair.a", "pair.b").agg(F.sum("times").alias("times"), F.max("pair.need").alias("need"))
+    elsewhere = cut_lineage(many.groupBy("set").agg(F.count(F.lit(1)).alias("n")))
+    for c in ("a", "b"):
+        met = met.join(elsewhere.select(F.col("set").alias(c), F.col("n").alias(f"n_{c}")), c, "left")
+    most = F.least(F.coalesce("n_a", F.lit(0)), F.coalesce("n_b", F.lit(0)))
+    enough = (F.col("times") >= F.col("need")) | ((most < F.col("need")) & (F.col("times") + most >= F.col("need")))
+    pairs = cut_lineage(met.where(enough).select("a", "b"))
+    release(elsewhere)
+    return pairs
+
+
 def _asks(stars: DataFrame) -> DataFrame:
     """(set, asks): the cells, and parts of large cells, that need a set, and whether as pivot or member."""
     parts = cut_lineage(stars.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).alias("parts")))
@@ -441,17 +471,19 @@ def _asks(stars: DataFrame) -> DataFrame:
     return members.unionByName(pivots).groupBy("set").agg(F.collect_list(F.struct("a", "part", "member")).alias("asks"))
 
 
-def _measured(held: DataFrame, size: int) -> list[DataFrame]:
-    """What members add to their pivots and what is gone from them, a table for each turn; frees ``held``."""
+def _measured(usable: DataFrame, known: DataFrame, stars: DataFrame, size: int, finish=lambda found: found) -> list[DataFrame]:
+    """What members add to their pivots and what is gone from them, after ``finish``, a table for each turn."""
+    asked = known.select(F.col("set").alias("wanted"), "doc_id").join(_asks(stars).withColumnRenamed("set", "wanted"), "wanted")
+    held = cut_lineage(usable.join(asked, "doc_id"))
     turns = []
     for turn in range(TURNS):
         now = F.filter("asks", lambda x: F.pmod(F.xxhash64(x["a"], x["part"]), F.lit(TURNS)) == turn)
         asked = held.withColumn("asks", now).where(F.size("asks") > 0)
-        turns.append(cut_lineage(
+        turns.append(cut_lineage(finish(
             asked.mapInArrow(_emit_members(size), "a long, part long, member boolean, b long, shingles array<long>")
             .repartition("a", "part").sortWithinPartitions("a", "part", "member")
             .mapInArrow(_differences, "a long, b long, n_a long, n_b long, added array<long>, gone array<long>")
-        ))
+        )))
     release(held)
     return turns
 
@@ -467,30 +499,44 @@ def set_groups(docs: DataFrame, sets: DataFrame, *, size: int, percent: int, piv
     release(repeated)
     if pivots == "single":
         members = _often_met(members)
-    regions = cut_lineage(
-        members.groupBy("region").agg(F.min("set").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    )
-    # a pair that is alone in its regions meets in all of them
-    met = members.join(regions, "region").where("set <> pivot").groupBy(F.col("pivot").alias("a"), F.col("set").alias("b"))
-    stars = cut_lineage(
-        met.agg(F.max("n").alias("most"), F.max("need").alias("need"), F.count(F.lit(1)).alias("times"))
-        .where("most > 2 or times >= need").select("a", "b")
-    )
+    regions = cut_lineage(members.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    few = members.join(regions.where(F.col("n") <= FEW_SETS).select("region"), "region")
+    many = cut_lineage(members.join(regions.where(F.col("n") > FEW_SETS).select("region"), "region"))
+    pairs = _pairs_met(few, many)
     release(members, regions)
-    involved = stars.select(F.explode(F.array("a", "b")).alias("set")).distinct()
+    if pivots == "single":
+        many = _often_met(many)
+    pivot = cut_lineage(many.groupBy("region").agg(F.min("set").alias("a")))
+    stars = cut_lineage(many.join(pivot, "region").where("set <> a").select("a", F.col("set").alias("b")).distinct())
+    release(many, pivot)
+    involved = pairs.unionByName(stars).select(F.explode(F.array("a", "b")).alias("set")).distinct()
     known = cut_lineage(
         sets.where("set is not null and doc_id is not null").join(involved, "set").groupBy("set")
         .agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n"))
     )
+    close = cut_lineage(_near(pairs, known, percent))
+    release(pairs)
+    turns = _measured(usable, known, close, size, lambda found: _links(found, percent))
+    links = cut_lineage(reduce(DataFrame.unionByName, turns))
+    release(close, *turns)
+    if not stars.isEmpty():
+        links = _links_in_cells(usable, known, stars, links, size, percent)
+    return components(links).select(F.col("node").alias("set"), F.col("component").alias("group"))
+
+
+def _links(measured: DataFrame, percent: int) -> DataFrame:
+    """(u, v): the pivots and members that are linked."""
+    apart = (100 + percent) * (F.size("added") + F.size("gone"))
+    return measured.where(apart <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
+def _links_in_cells(usable: DataFrame, known: DataFrame, stars: DataFrame, links: DataFrame, size: int, percent: int) -> DataFrame:
+    """``links`` and those of the cells of ``stars`` that tie their members together; frees ``known`` and ``stars``."""
     stars = _fewer_pivots(stars, known, percent)
-    asked = known.select(F.col("set").alias("wanted"), "doc_id").join(_asks(stars).withColumnRenamed("set", "wanted"), "wanted")
-    turns = _measured(cut_lineage(usable.join(asked, "doc_id")), size)
+    turns = _measured(usable, known, stars, size)
     measured = reduce(DataFrame.unionByName, turns)
     more, less = 100 - percent, 100 + percent
-    apart = F.size("added") + F.size("gone")
-    links = measured.where(less * apart <= more * (F.col("n_a") + F.col("n_b"))).select(
-        F.col("a").alias("u"), F.col("b").alias("v")
-    )
+    links = links.unionByName(_links(measured, percent))
     centres = cut_lineage(_centres(measured, percent))
     about = [
         cut_lineage(
@@ -544,9 +590,7 @@ def set_groups(docs: DataFrame, sets: DataFrame, *, size: int, percent: int, piv
     release(*turns)
     found = cut_lineage(_linked(chosen, compared, percent))
     release(chosen, compared)
-    if not found.isEmpty():
-        groups = cut_lineage(components(links.unionByName(found.select(F.col("a").alias("u"), F.col("b").alias("v")))))
-    return groups.select(F.col("node").alias("set"), F.col("component").alias("group"))
+    return links.unionByName(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
 def jaccard_groups(docs: DataFrame, *, size: int = 5, percent: int = 80, pivots: str = "single") -> DataFrame:
