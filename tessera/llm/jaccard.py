@@ -20,7 +20,10 @@ first level are therefore small sets, and documents take over below:
    size class, so that one part is equal as a whole; documents at the upper
    edge of a class are copied to the next. Pieces hold several shingles, which
    keeps documents apart that share only common ones.
-2. The smallest document q of a region is its pivot; of pivots with close
+   In regions of up to ``FEW_SETS`` sets each pair's meetings are counted. Pairs
+   that meet often enough, or could with what larger regions add, are compared
+   in full. Only sets that are in enough larger regions go on to the cells.
+2. The smallest document q of a larger region is its pivot; of pivots with close
    sketches the smallest takes all. The documents of one pivot make its cell. The exact difference of each member and q is taken
    from the whole sets. Members close enough to q are linked. A cell whose
    other members are in one group already is done.
@@ -351,19 +354,21 @@ def _centres(measured: DataFrame, percent: int) -> DataFrame:
     near = measured.where((100 + percent) * apart <= 2 * (100 - percent) * (F.col("n_a") + F.col("n_b")))
     cells = cut_lineage(near.groupBy("a").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
     looked = near.join(cells, "a").where(F.pmod(F.xxhash64("b"), F.col("members")) < CENTRE_MEMBERS)
-    seen = looked.groupBy("a").agg(F.count(F.lit(1)).alias("seen"))
+    return looked.groupBy("a").agg(F.collect_list("added").alias("added"), F.collect_list("gone").alias("gone")).mapInArrow(
+        _common, "a long, centre_added array<long>, centre_gone array<long>"
+    )
 
-    def each(c: str, kind: int) -> DataFrame:
-        return looked.select("a", F.lit(kind).alias("kind"), F.explode(c).alias("x"))
 
-    common = (
-        each("added", 1).unionByName(each("gone", 0)).groupBy("a", "kind", "x").agg(F.count(F.lit(1)).alias("n"))
-        .join(seen, "a").where("2 * n > seen")
-    )
-    return common.groupBy("a").agg(
-        F.collect_list(F.when(F.col("kind") == 1, F.col("x"))).alias("centre_added"),
-        F.collect_list(F.when(F.col("kind") == 0, F.col("x"))).alias("centre_gone"),
-    )
+def _common(batches):
+    """Per cell the elements that more than half of its lists have."""
+    for batch in batches:
+        out = []
+        for c in ("added", "gone"):
+            out.append([])
+            for lists in batch.column(c):
+                values, times = np.unique(lists.values.flatten().to_numpy(zero_copy_only=False).view(np.uint64), return_counts=True)
+                out[-1].append(values[2 * times > len(lists)])
+        yield pa.RecordBatch.from_arrays([batch.column("a"), *map(_lists, out)], ["a", "centre_added", "centre_gone"])
 
 
 def _largest_bound(n: int, percent: int) -> int:
@@ -574,8 +579,9 @@ def _links_in_cells(usable: DataFrame, known: DataFrame, stars: DataFrame, links
     # if this is the first element they share, no more than the rest of the shorter one can follow
     left = F.least(F.col("differ") - F.col("place"), F.col("__differ") - F.col("__place"))
     enough = less * (F.col("differ") + F.col("__differ")) - more * (F.col("n") + F.col("__n")) <= 2 * less * left
+    alike = percent * F.greatest("n", "__n") <= 100 * F.least("n", "__n")
     near = meeting.join(other, "key").where(
-        (F.col("group") != F.col("__group")) & (F.col("set") < F.col("__set")) & enough
+        (F.col("group") != F.col("__group")) & (F.col("set") < F.col("__set")) & enough & alike
     )
     pairs = cut_lineage(
         near.groupBy(F.col("set").alias("a"), F.col("__set").alias("b")).agg(F.min("cell").alias("cell"))

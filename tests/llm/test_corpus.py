@@ -1,6 +1,7 @@
 """Corpus operators against brute force on small tables with nulls, blanks, ties, repeats and odd columns."""
 
 import hashlib
+import itertools
 import random
 import re
 import textwrap
@@ -13,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tessera import session
 from tessera.llm import (
     components, decontaminate, jaccard, licences, logbilinear, mixing, quality, queries, revisits, sharding, spans, urlfilter, urls,
 )
@@ -190,6 +192,40 @@ def test_jaccard_chains_that_miss_the_first_pivot(spark):
         assert got == {i: c for i, (_, c) in groups_by_force(rows, size, percent).items()}
 
 
+def test_sets_that_never_meet_often_are_not_compared(spark, monkeypatch):
+    """Every word is in three texts, so all texts are in many regions, but no two of them share more than a third."""
+    words = {i: [] for i in range(8)}
+    for n, three in enumerate(itertools.combinations(range(8), 3)):
+        for i in three:
+            words[i].append(f"w{n}")
+    rows = [(i, " ".join(w)) for i, w in words.items()] + [(8, " ".join(words[0][1:])), (9, "none of these words")]
+    asked = []
+
+    def cut(df):
+        table = session.cut_lineage(df)
+        if "asks" in df.columns:
+            asked.extend(r.doc_id for r in table.select("doc_id").collect())
+        return table
+
+    monkeypatch.setattr(jaccard, "cut_lineage", cut)
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_groups(frame(spark, rows), size=1, percent=80).collect()}
+    assert got == {i: c for i, (_, c) in groups_by_force(rows, 1, 80).items()} and got[8] == 0
+    assert set(asked) == {0, 8}
+
+
+def test_many_sets_in_a_region_are_linked_by_cells(spark, monkeypatch):
+    """Groups, with regions small and large, are those of brute force wherever the limit between them lies."""
+    rd = random.Random(5)
+    common, rows = [f"c{i}" for i in range(40)], []
+    for i in range(48):
+        text = common + [f"g{i % 3}-{j}" for j in range(50 * (i % 3))] + [f"o{i}-{j}" for j in range(rd.randint(0, 24))]
+        rows.append((i, " ".join(text)))
+    for most, size, percent, pivots in ((2, 1, 80, "single"), (5, 3, 90, "pieces")):
+        monkeypatch.setattr(jaccard, "FEW_SETS", most)
+        got = {r.doc_id: r.component_id for r in jaccard.jaccard_groups(frame(spark, rows), size=size, percent=percent, pivots=pivots).collect()}
+        assert got == {i: c for i, (_, c) in groups_by_force(rows, size, percent).items()}
+
+
 def test_jaccard_null_and_repeated_ids(spark):
     long = " ".join(f"w{i}" for i in range(40))
     df = frame(spark, [(None, long), (3, long), (3, long), (5, "other words only here"), (9, long), (9, "other words only here")])
