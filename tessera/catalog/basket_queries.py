@@ -6,7 +6,7 @@ from tessera.catalog.base import query
 from tessera.catalog.views import basket_lines, basket_orders, basket_sql
 from tessera.operators.frames import rounded
 from tessera.plans import basket as B
-from tessera.session import cut_lineage
+from tessera.session import TASK_ROWS, cut_by_user, cut_lineage
 
 
 def both(t):
@@ -15,6 +15,16 @@ def both(t):
     return orders, cut_lineage(basket_lines(t, orders))
 
 
+def both_by_user(t):
+    """Orders and lines written by user and the number of files of each; without it if one user has very many orders."""
+    largest = t.orders.where("o_custkey is not null").groupBy("o_custkey").count().agg(F.max("count")).first()[0] or 0
+    if largest > TASK_ROWS:
+        return *both(t), None
+    parts = max(int(t.spark.conf.get("spark.sql.shuffle.partitions")), -(-t.lineitem.count() // TASK_ROWS))
+    orders = cut_by_user(basket_orders(t, parts), parts)
+    return orders, cut_by_user(basket_lines(t, orders, parts), parts), parts
+
+
 def prior(t):
     orders, lines = both(t)
     return orders.where("eval_set = 'prior'"), lines.where("eval_set = 'prior'")
@@ -292,7 +302,7 @@ def window_columns(p):
     f"po AS (SELECT * FROM ord WHERE eval_set = 'prior'), again AS (SELECT * FROM prior WHERE reordered = 1), {PATTERN}, {PRIOR_MARKOV}, "
     + window_ctes("rd <= 3", "r_") + ", " + window_ctes("ra BETWEEN 2 AND 4", "e_")))
 def _(t):
-    orders, lines = both(t)
+    orders, lines, parts = both_by_user(t)
     # a table of two numbers per product in the place of trained item vectors, so that the rows can be checked
     vectors = lines.where("eval_set = 'prior'").groupBy("product_id").agg(F.avg("cart_pos").alias("x"), F.avg("order_number").alias("y"))
-    return rounded(B.candidate_rows(orders, lines, vectors=vectors))
+    return rounded(B.candidate_rows(orders, lines, vectors=vectors, parts=parts))

@@ -1,15 +1,16 @@
 """The test tables seen as order lines, panels, clicks, text pairs and claims."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.sequences import mark_reorders, order_history
 
 
-def basket_orders(t) -> DataFrame:
-    """One row per order; user = customer, hour = order key modulo 24."""
+def basket_orders(t, parts: int | None = None) -> DataFrame:
+    """One row per order; user = customer, hour = order key modulo 24. ``parts``: dealt by user."""
+    source = t.orders.repartition(parts, "o_custkey") if parts else t.orders
     return order_history(
-        t.orders.select(
+        source.select(
             F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("user_id"),
             F.col("o_orderdate").alias("order_time"),
             (F.dayofweek("o_orderdate") - 1).cast("long").alias("order_dow"),
@@ -29,8 +30,11 @@ def products(t) -> DataFrame:
     )
 
 
-def basket_lines(t, orders: DataFrame | None = None) -> DataFrame:
-    """One row per (order, product) with its place in the cart and the reorder flag."""
+def basket_lines(t, orders: DataFrame | None = None, parts: int | None = None) -> DataFrame:
+    """One row per (order, product) with its place in the cart and the reorder flag.
+
+    With ``parts`` dealt by user, and with the number of prior lines of the order, counted where they lie together.
+    """
     orders = basket_orders(t) if orders is None else orders
     brand = t.part.select("p_partkey", F.substring("p_brand", 7, 9).cast("long").alias("product_id"))
     items = (
@@ -43,7 +47,12 @@ def basket_lines(t, orders: DataFrame | None = None) -> DataFrame:
         .withColumn("aisle_id", F.col("product_id") % 7)
         .withColumn("department_id", F.col("product_id") % 3)
     )
-    return mark_reorders(items.join(orders, "order_id"))
+    lines = items.join(orders, "order_id")
+    if parts:
+        size = F.count_if(F.col("eval_set") == "prior").over(Window.partitionBy("order_id"))
+        known = lines.where("user_id is not null and product_id is not null")
+        lines = known.withColumn("order_size", size).repartition(parts, "user_id")
+    return mark_reorders(lines)
 
 
 BASKET = """

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import cut_lineage, is_small
+
 
 def natural_join(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
     shared = [c for c in left.columns if c in right.columns]
@@ -47,6 +49,31 @@ def star_join(fact: DataFrame, tables: Sequence[tuple[DataFrame, Sequence[str]]]
     return out
 
 
+def looked_up(
+    rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "left", parts: int | None = None
+) -> DataFrame:
+    """``rows`` joined with a table on keys without the user; with ``parts`` they stay dealt by user.
+
+    The table is then written first, so that the planner knows its size and
+    leaves the rows where they are if the table can go to every task.
+    """
+    if not parts:
+        return rows.join(table, list(keys), how)
+    table = cut_lineage(table)
+    joined = rows.join(table, list(keys), how)
+    return joined if is_small(table) else joined.repartition(parts, "user_id")
+
+
+def lines_of(lines: DataFrame, orders: DataFrame, parts: int | None = None) -> DataFrame:
+    """The lines whose order is among ``orders``; with ``parts`` they stay dealt by user."""
+    wanted = orders.select("order_id")
+    if not parts:
+        return lines.join(wanted, "order_id", "left_semi")
+    # only the orders of each user move, one row for all their lines
+    own = lines.select("user_id", "order_id").distinct().join(wanted, "order_id", "left_semi")
+    return lines.join(own.repartition(parts, "user_id"), ["user_id", "order_id"], "left_semi")
+
+
 def shift_rows(df: DataFrame, keys: Sequence[str], step: str, by: int, columns: Sequence[str],
                suffix: str) -> DataFrame:
     """Columns as they were ``by`` steps earlier, keyed for an equi-join on (keys, step)."""

@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 from tessera.operators.aggregates import (
     mode_per_key, parent_share, purchase_counts, reorder_stats, repeat_buyers, second_highest,
 )
-from tessera.operators.joins import star_join
+from tessera.operators.joins import lines_of, looked_up, star_join
 from tessera.operators.ranges import split_window
 from tessera.operators.sequences import (
     last_rows, rows_between, state_rows, transition_table,
 )
-from tessera.session import cut_lineage
+from tessera.session import ALL_JOIN_KEYS, cut_by_user, cut_lineage
 
 UP = ["user_id", "product_id"]
 
@@ -86,16 +86,23 @@ def user_group_features(lines: DataFrame, group: str, prefix: str) -> DataFrame:
     )
 
 
-def user_time_features(lines: DataFrame, time: str, prefix: str) -> DataFrame:
+def user_time_features(lines: DataFrame, time: str, prefix: str, parts: int | None = None) -> DataFrame:
     """Per user and weekday or hour: counts, reorder ratio, modal department and aisle."""
-    counts = lines.groupBy("user_id", time).agg(
+    keys = ["user_id", time]
+    first = [
         F.count(F.lit(1)).alias(f"{prefix}_product"),
         F.sum("reordered").alias(f"{prefix}_reorder"),
         F.count_distinct("order_id").alias(f"{prefix}_orders"),
+    ]
+    more = [
         F.count_distinct("department_id").alias(f"{prefix}_department"),
         F.count_distinct("aisle_id").alias(f"{prefix}_aisle"),
-    )
-    keys = ["user_id", time]
+    ]
+    if parts:
+        # several distinct counts at once would move a row for each of them
+        counts = star_join(lines.groupBy(*keys).agg(*first), [(lines.groupBy(*keys).agg(c), keys) for c in more])
+    else:
+        counts = lines.groupBy(*keys).agg(*first, *more)
     return (
         counts.withColumn(f"{prefix}_reorder_ratio", F.col(f"{prefix}_reorder") / F.col(f"{prefix}_orders"))
         .join(mode_per_key(lines, keys, "department_id", f"{prefix}_mode_department"), keys)
@@ -105,9 +112,11 @@ def user_time_features(lines: DataFrame, time: str, prefix: str) -> DataFrame:
 
 def user_product_features(lines: DataFrame, users: DataFrame) -> DataFrame:
     """Per user and product: how often, when first and last, where in the cart."""
-    sized = lines.join(
+    # lines dealt by user bring the sizes along
+    sized = lines.where("order_id is not null") if "order_size" in lines.columns else lines.join(
         lines.groupBy("order_id").agg(F.count(F.lit(1)).alias("order_size")), "order_id"
-    ).withColumn("inverted", F.col("order_size") - F.col("cart_pos")).withColumn(
+    )
+    sized = sized.withColumn("inverted", F.col("order_size") - F.col("cart_pos")).withColumn(
         "relative", F.col("cart_pos") / F.col("order_size")
     )
     stats = sized.groupBy(*UP).agg(
@@ -139,9 +148,11 @@ def user_product_features(lines: DataFrame, users: DataFrame) -> DataFrame:
     ).drop("user_orders")
 
 
-def window_blocks(orders: DataFrame, lines: DataFrame, prefix: str) -> list[tuple[DataFrame, list[str]]]:
+def window_blocks(
+    orders: DataFrame, lines: DataFrame, prefix: str, parts: int | None = None
+) -> list[tuple[DataFrame, list[str]]]:
     """Product, user and user x product features over ``orders``, with the keys of each table."""
-    base = lines.join(orders.select("order_id"), "order_id", "left_semi")
+    base = lines_of(lines, orders, parts)
     users = user_features(orders, base, f"{prefix}user_")
     pairs = user_product_features(base, users.select("user_id", F.col(f"{prefix}user_orders").alias("user_orders")))
     named = pairs.select(*UP, *[F.col(c).alias(f"{prefix}{c}") for c in pairs.columns if c not in UP])
@@ -170,7 +181,7 @@ def early_features(orders: DataFrame, lines: DataFrame, low: int = 2, high: int
     return window_features(early_orders(orders, low, high), lines, "e_")
 
 
-def repeat_buyer_features(lines: DataFrame) -> DataFrame:
+def repeat_buyer_features(lines: DataFrame, parts: int | None = None) -> DataFrame:
     """Per user and product: repeat shares, share in aisle and department, repeat gaps."""
     again = lines.where("reordered = 1")
     shares = []
@@ -185,7 +196,7 @@ def repeat_buyer_features(lines: DataFrame) -> DataFrame:
         F.avg(F.when(F.col("reordered") == 1, F.col("days_since_prior"))).alias("repeat_buy_day_o"),
     )
     product_gap = again.groupBy("product_id").agg(F.avg("days_since_prior").alias("repeat_buy_day_p"))
-    up = gaps.join(product_gap, "product_id", "left").withColumn(
+    up = looked_up(gaps, product_gap, ["product_id"], parts=parts).withColumn(
         "repeat_buy_day_ratio", F.try_divide("repeat_buy_day_o", "repeat_buy_day_p")
     ).fillna(0.0)
     repeats = {}
@@ -194,23 +205,27 @@ def repeat_buyer_features(lines: DataFrame) -> DataFrame:
             key, F.col("repeat_users").alias(f"repeat_{short}"), F.col("repeat_ratio").alias(f"repeat_{short}_ratio")
         )
     base = lines.select(*UP, "aisle_id", "department_id").distinct()
-    return star_join(base, [
+    for table, keys in (
         (repeats["d"], ["department_id"]), (repeats["p"], ["product_id"]),
-        (shares[1], ["aisle_id", "product_id"]), (shares[0], ["department_id", "product_id"]), (up, UP),
-    ])
+        (shares[1], ["aisle_id", "product_id"]), (shares[0], ["department_id", "product_id"]),
+    ):
+        base = looked_up(base, table, keys, parts=parts)
+    return base.join(up, UP, "left")
 
 
-def pattern_features(lines: DataFrame) -> DataFrame:
+def pattern_features(lines: DataFrame, parts: int | None = None) -> DataFrame:
     """Per reordered line: days between repeats, early and late means, scaled order numbers."""
     again = lines.where("reordered = 1").select(*UP, "order_id", "order_number", "order_time", "days_since_prior")
     running = split_window(
-        again, UP, ["order_number", "order_id"], bucket=F.floor(F.col("order_number") / 64), row_number="place",
-        sums={"cumsum_order_day": "days_since_prior"},
+        again, UP, ["order_number", "order_id"], row_number="place",
+        # lines dealt by user are windowed where they lie
+        bucket=None if parts else F.floor(F.col("order_number") / 64), sums={"cumsum_order_day": "days_since_prior"},
     )
     # the step between running sums is the row's own gap, 0 on the first row
-    steps = cut_lineage(running.withColumn(
+    steps = running.withColumn(
         "diff_order_day", F.when(F.col("place") == 1, 0).otherwise(F.col("days_since_prior"))
-    ))
+    )
+    steps = cut_by_user(steps, parts) if parts else cut_lineage(steps)
     stats = steps.groupBy(*UP).agg(
         F.avg("order_number").alias("__mean"), F.max("order_number").alias("__max"),
         F.count(F.lit(1)).alias("__n"), F.avg("diff_order_day").alias("mean_diff_order_day"),
@@ -233,48 +248,75 @@ def pattern_features(lines: DataFrame) -> DataFrame:
     ).join(ends, UP).fillna(0.0)
 
 
-def markov_features(orders: DataFrame, lines: DataFrame, as_written: bool = False) -> DataFrame:
+def markov_features(
+    orders: DataFrame, lines: DataFrame, as_written: bool = False, parts: int | None = None
+) -> DataFrame:
     """Products of each user's latest order with the probabilities of their state."""
     table = transition_table(lines, orders, as_written)
+    if parts:
+        # both states read it
+        table = cut_lineage(table)
     latest = last_rows(orders, ["user_id"], ["order_number"], 1).select("order_id")
-    now = lines.join(latest, "order_id", "left_semi").select("order_id", "user_id", "product_id", "reordered")
-    return now.join(state_rows(table), ["product_id", "reordered"], "left").withColumnRenamed(
+    now = lines_of(lines, latest, parts).select("order_id", "user_id", "product_id", "reordered")
+    return looked_up(now, state_rows(table), ["product_id", "reordered"], parts=parts).withColumnRenamed(
         "reordered", "pre_reorder"
     )
 
 
 def candidate_rows(
-    orders: DataFrame, lines: DataFrame, current: str = "train", vectors: DataFrame | None = None
+    orders: DataFrame, lines: DataFrame, current: str = "train", vectors: DataFrame | None = None,
+    parts: int | None = None,
 ) -> DataFrame:
     """One row per (order to predict, product the user bought before) with features and label.
 
     Aisle and department of a product come from the lines. ``vectors`` is an
-    optional table of item embeddings (product_id and its columns).
+    optional table of item embeddings (product_id and its columns). ``parts``
+    tells that both tables were written by ``cut_by_user`` into that many files,
+    and the lines with their ``order_size``: then users' rows are never moved,
+    which needs ``ALL_JOIN_KEYS`` off until the result has been written.
     """
+    def written(table: DataFrame) -> DataFrame:
+        # a task sorts only a few tables at a time
+        return cut_by_user(table, parts) if parts else table
+
+    if parts:
+        lines.sparkSession.conf.set(ALL_JOIN_KEYS, "false")
     prior_orders = orders.where("eval_set = 'prior'")
     prior = lines.where("eval_set = 'prior'")
-    users = cut_lineage(user_features(prior_orders, prior))
+    users = user_features(prior_orders, prior)
+    users = cut_by_user(users, parts) if parts else cut_lineage(users)
     label = lines.where(F.col("eval_set") == current).select(*UP, F.lit(1).cast("long").alias("label"))
     shelves = prior.groupBy("product_id").agg(F.min("aisle_id").alias("aisle_id"), F.min("department_id").alias("department_id"))
-    base = user_product_features(prior, users).join(shelves, "product_id")
+    base = written(user_product_features(prior, users))
     now = current_orders(orders, current)
-    out = base.join(now, "user_id")
-    pattern = pattern_features(prior).groupBy(*UP).agg(
+    pattern = pattern_features(prior, parts).groupBy(*UP).agg(
         F.max("mean_diff_order_day").alias("mean_diff_order_day"), F.max("order_number_mean").alias("order_number_mean")
     )
-    out = star_join(out, [
+    blocks = [
         (product_features(prior), ["product_id"]),
         (users, ["user_id"]),
         (user_group_features(prior, "aisle_id", "ua"), ["user_id", "aisle_id"]),
         (user_group_features(prior, "department_id", "ud"), ["user_id", "department_id"]),
-        (user_time_features(prior, "order_dow", "ut"), ["user_id", "order_dow"]),
-        (user_time_features(prior, "order_hour", "uh"), ["user_id", "order_hour"]),
-        *window_blocks(recent_orders(prior_orders), prior, "r_"),
-        *window_blocks(early_orders(prior_orders), prior, "e_"),
-        (repeat_buyer_features(prior).drop("aisle_id", "department_id"), UP),
+        (user_time_features(prior, "order_dow", "ut", parts), ["user_id", "order_dow"]),
+        (user_time_features(prior, "order_hour", "uh", parts), ["user_id", "order_hour"]),
+        *window_blocks(recent_orders(prior_orders), prior, "r_", parts),
+        *window_blocks(early_orders(prior_orders), prior, "e_", parts),
+        (repeat_buyer_features(prior, parts).drop("aisle_id", "department_id"), UP),
         *([(vectors, ["product_id"])] if vectors is not None else []),
         (pattern, UP),
-        (markov_features(prior_orders, prior).drop("order_id", "pre_reorder"), UP),
+        (markov_features(prior_orders, prior, parts=parts).drop("order_id", "pre_reorder"), UP),
         (label, UP),
-    ])
-    return out.withColumn("label", F.coalesce("label", F.lit(0)).cast("long"))
+    ]
+    blocks = [(table if table is users or table is label or "user_id" not in keys else written(table), keys) for table, keys in blocks]
+    # the keys meet products and users first, while rows are short; tables of many columns per row come last
+    out = looked_up(prior.select(*UP).distinct(), shelves, ["product_id"], "inner", parts).join(now, "user_id")
+    for table, keys in blocks:
+        if "user_id" not in keys:
+            out = looked_up(out, table, keys, parts=parts)
+    sides = [b for b in blocks if "user_id" in b[1] and b[1] != UP]
+    for some in (sides[:3], sides[3:]):
+        out = written(star_join(out, some))
+    out = star_join(out.join(base, UP), [b for b in blocks if b[1] == UP])
+    named = [*base.columns, "aisle_id", "department_id", *[c for c in now.columns if c != "user_id"]]
+    named += [c for table, keys in blocks for c in table.columns if c not in keys]
+    return out.select(*named).withColumn("label", F.coalesce("label", F.lit(0)).cast("long"))
