@@ -16,6 +16,7 @@ from tessera.functions.rules import REPEATED_LETTER_RULE
 from tessera.operators import metrics as Q
 from tessera.operators import sampling as S
 from tessera.operators.aggregates import mode_per_key, second_highest
+from tessera.operators.encoders import count_vectors
 from tessera.operators.expected_f1 import best_baskets, best_size
 from tessera.operators.graph import core_numbers
 from tessera.operators.joins import common_neighbours
@@ -637,3 +638,17 @@ def test_character_grams_are_counted_where_their_texts_lie(spark):
     grams = M.pair_grams(df.repartition(4, "id"), "id", char_ngrams("a", 2), char_ngrams("b", 2))
     plan = plan_of(M.gram_distances(grams, "id", F.lit(10)))
     assert "SortMergeJoin" not in plan and "hashpartitioning(gram" not in plan and "hashpartitioning(id#" in plan
+
+
+def test_coded_cells_are_joined_by_term_first(spark):
+    grams = spark.createDataFrame([(d, 1 + w % 2, f"w{w}") for d in range(4) for w in range(6) for _ in range(d)], "doc long, n int, g string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        cells = count_vectors(grams, "doc", "n", "g", min_df=3)
+        plan = cells._jdf.queryExecution().executedPlan().toString()
+        # a sort tells rows apart by its first key
+        assert "SortMergeJoin [g#" in plan
+        assert sorted(map(tuple, cells.collect())) == [(d, s, float(d)) for d in (1, 2, 3) for s in range(6)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
