@@ -27,7 +27,8 @@ def materialise(df: DataFrame, path: str) -> DataFrame:
 
 def svmlight_lines(rows: DataFrame, key: str, label: str, index: str, value: str) -> DataFrame:
     """``label idx:val ...`` per key, indices ascending and distinct, from (key, label, index, value) rows."""
-    cells = rows.dropDuplicates([key, index])
+    # dealt once by key: duplicates are dropped and lines put together where the cells then lie
+    cells = rows.select(key, label, index, value).repartition(key).dropDuplicates([key, index])
     items = F.sort_array(F.collect_list(F.struct(F.col(index).alias("i"), F.col(value).alias("v"))))
     text = F.array_join(F.transform(items, lambda x: F.format_string("%d:%.6f", x["i"], x["v"])), " ")
     return cells.groupBy(key, label).agg(text.alias("t")).select(

@@ -23,6 +23,7 @@ from tessera.operators.joins import common_neighbours
 from tessera.operators.neighbours import nearest
 from tessera.operators.ranges import dense_codes, group_quantiles, number_chunks, range_bucket, split_window
 from tessera.operators.vocabulary import letter_score, spelling_neighbours
+from tessera.sources.writers import svmlight_lines
 
 
 def hot_rows(n=600, seed=3):
@@ -640,6 +641,13 @@ def test_character_grams_are_counted_where_their_texts_lie(spark):
     assert "SortMergeJoin" not in plan and "hashpartitioning(gram" not in plan and "hashpartitioning(id#" in plan
 
 
+def test_svmlight_cells_are_dealt_once_by_their_text(spark):
+    rows = spark.createDataFrame([(i % 7, i % 2, i % 5, float(i)) for i in range(70)], "doc long, y long, i long, v double")
+    lines = svmlight_lines(rows.select("doc", (F.col("doc") % 2).alias("y"), "i", (F.col("i") * 0.5).alias("v")), "doc", "y", "i", "v")
+    assert lines._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert sorted(r["line"] for r in lines.collect())[0] == "0 0:0.000000 1:0.500000 2:1.000000 3:1.500000 4:2.000000"
+
+
 def test_coded_cells_are_joined_by_term_first(spark):
     grams = spark.createDataFrame([(d, 1 + w % 2, f"w{w}") for d in range(4) for w in range(6) for _ in range(d)], "doc long, n int, g string")
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
