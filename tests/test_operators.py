@@ -15,6 +15,7 @@ from tessera.functions import text as X
 from tessera.functions.rules import REPEATED_LETTER_RULE
 from tessera.operators import metrics as Q
 from tessera.operators import sampling as S
+from tessera.operators import vocabulary
 from tessera.operators.aggregates import mode_per_key, second_highest
 from tessera.operators.encoders import count_vectors
 from tessera.operators.expected_f1 import best_baskets, best_size
@@ -641,6 +642,22 @@ def test_character_grams_are_counted_where_their_texts_lie(spark):
     assert "SortMergeJoin" not in plan and "hashpartitioning(gram" not in plan and "hashpartitioning(id#" in plan
 
 
+def test_spelling_pairs_meet_in_rare_grams_of_both_words(spark):
+    # words of one block that share "xyz" only, of many lengths: none can match
+    rng = random.Random(2)
+    words = ["abc" + "".join(rng.choice("defghijk") for _ in range(rng.randrange(1, 9))) + "xyz" for _ in range(60)]
+    frame = spark.createDataFrame([(w, 20 + i) for i, w in enumerate(dict.fromkeys(words))], "word string, n long")
+    grams = frame.select("word", "n", F.substring("word", 1, 3).alias("block"), F.explode(F.array_distinct(X.char_ngrams("word", 3))).alias("gram"))
+    seen = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    ranked = grams.join(seen, "gram").groupBy("word", "n", "block").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("g"))
+    met = vocabulary._share_rare(ranked)
+    # lengths are part of the join: words more than three letters apart never meet
+    assert met.where(F.abs(F.length("word") - F.length("near")) > 3).count() == 0
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert "long" in [line for line in plan.splitlines() if "Join Inner" in line][0]
+    assert met.select("word", "near").distinct().count() < len(set(words)) * 3
+
+
 def test_svmlight_cells_are_dealt_once_by_their_text(spark):
     rows = spark.createDataFrame([(i % 7, i % 2, i % 5, float(i)) for i in range(70)], "doc long, y long, i long, v double")
     lines = svmlight_lines(rows.select("doc", (F.col("doc") % 2).alias("y"), "i", (F.col("i") * 0.5).alias("v")), "doc", "y", "i", "v")
